@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -30,8 +32,19 @@ from .common import batches_of, rows_of
 # The public byte-level pre-tokenizer's pattern; \s is spelled out as the Unicode White_Space set.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Pre-tokens kept with their ids in each worker; beyond it the store starts anew.
-CACHE = 200_000
+#: Pre-tokens, chunks and pairs kept in each worker; beyond it the store starts anew.
+CACHE, PAIRS = 300_000, 1_000_000
+_find = regex.compile(PATTERN).findall
+#: The same pattern for texts below U+0250 without fractions and raised digits, where plain classes say the same.
+_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_find_latin = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{_SPACE}{_LETTERS}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+_beyond_latin = re.compile(r"[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
+#: White space beside a space: pre-tokens may then begin elsewhere than at single spaces.
+_wide_space = re.compile(rf" [{_SPACE}]|[{_SPACE}] |^[{_SPACE}]|[{_SPACE}]$").search
+
+
+def pretokens(text: str) -> list[str]:
+    return _find(text) if _beyond_latin(text) else _find_latin(text)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,7 +62,7 @@ class _Cache(dict):
         self._encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self._encode(piece.encode("utf-8", "replace")), "<u4").tobytes()
+        ids = struct.pack(f"<{len(out := self._encode(piece.encode("utf-8", "replace")))}I", *out)
         if len(self) >= CACHE:
             self.clear()
         if len(piece) <= 256:
@@ -57,6 +70,22 @@ class _Cache(dict):
         return ids
 
 
+class _Chunks(dict):
+    """A chunk between single spaces, with the space before it, to its ids' bytes; bounded."""
+
+    def __init__(self, pieces: _Cache):
+        super().__init__()
+        self._pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = b"".join(map(self._pieces.__getitem__, pretokens(" " + chunk)))
+        if len(self) >= CACHE:
+            self.clear()
+        if len(chunk) <= 256:
+            self[chunk] = ids
+        return ids
+
+
 class BytePairCodec:
     """Encoder and decoder for one byte-level vocabulary file."""
 
@@ -70,17 +99,17 @@ class BytePairCodec:
         self.token: list[bytes] = [b""] * size
         for t, i in ids.items():
             self.token[i] = bytes(alphabet[c] for c in t)
-        #: How each merged token came about; a token of one byte is its own halves.
-        self.halves = [(i, i) for i in range(size)]
+        #: The two parts of each merged token.
+        self.left, self.right = list(range(size)), list(range(size))
         self.merged: dict[tuple[int, int], int] = {}
         #: Position in the order of merges; bytes come first.
         self.rank = [-1] * size
         for n, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            left, right, whole = ids[a], ids[b], ids[a + b]
-            self.merged[left, right] = whole
+            whole = ids[a + b]
+            self.merged[ids[a], ids[b]] = whole
             if self.rank[whole] < 0:
-                self.rank[whole], self.halves[whole] = n, (left, right)
+                self.rank[whole], self.left[whole], self.right[whole] = n, ids[a], ids[b]
         by_bytes = {t: i for i, t in enumerate(self.token) if t}
         self.automaton = ahocorasick.Automaton()
         for t, i in by_bytes.items():
@@ -90,86 +119,94 @@ class BytePairCodec:
         self.shorter = [-1] * size
         for t, i in by_bytes.items():
             self.shorter[i] = next((by_bytes[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in by_bytes), -1)
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: The pair table, filled as pairs occur: whether two tokens stay two when their bytes are merged by rank.
+        self._fits: dict[int, bool] = {}
+        self.length = [len(t) for t in self.token]
         for t, i in added.items():
             self.token[i] = t.encode()
         self.added = added
         self._special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self._find = regex.compile(PATTERN).findall
         self._cache = _Cache(self.encode_piece)
+        self._chunks = _Chunks(self._cache)
         self.blob = np.frombuffer(b"".join(self.token), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in self.token])]).astype(np.int64)
 
-    def compatible(self, left: int, right: int) -> bool:
-        """True if the two tokens stay two when their bytes are merged by rank (the pair table, filled as pairs occur)."""
-        known = self._fits.get((left, right))
-        if known is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            known = self._fits[left, right] = self._stays(left, right)
-        return known
-
     def _stays(self, a: int, b: int) -> bool:
         # Undo the merges at the border, the latest first. A pair across the border would have been merged if
         # its rank comes before the merges that used up its two parts. Equal ranks go from left to right: a
         # merge inside the left token comes before the one across the border, one inside the right token after.
-        rank, none = self.rank, len(self.rank)
-        used_a = used_b = none
+        rank, merged, left, right = self.rank, self.merged, self.left, self.right
+        rank_a, rank_b = rank[a], rank[b]
+        used_a = used_b = len(rank)
         while True:
-            whole = self.merged.get((a, b))
-            if whole is not None and rank[whole] < used_a and rank[whole] <= used_b:
-                return False
-            if rank[a] > rank[b]:
-                used_a, a = rank[a], self.halves[a][1]
-            elif rank[b] >= 0:
-                used_b, b = rank[b], self.halves[b][0]
+            whole = merged.get((a, b))
+            if whole is not None:
+                mine = rank[whole]
+                if mine < used_a and mine <= used_b:
+                    return False
+            if rank_a > rank_b:
+                used_a, a = rank_a, right[a]
+                rank_a = rank[a]
+            elif rank_b >= 0:
+                used_b, b = rank_b, left[b]
+                rank_b = rank[b]
             else:
                 return True
 
     def encode_piece(self, data: bytes) -> list[int]:
-        size = len(data)
-        if size == 1:
-            return [self._first(data)]
-        longest = [(0, -1)] * size
-        for end, (n, i) in self.automaton.iter(data.decode("latin-1")):
-            at = end - n + 1
-            if n > longest[at][0]:
-                longest[at] = (n, i)
+        chars = data.decode("latin-1")
+        size = len(chars)
+        longest = [-1] * size
+        for end, (n, i) in self.automaton.iter(chars):
+            # Ends come in order, so a later match from the same start is longer.
+            longest[end - n + 1] = i
+        if -1 in longest:
+            raise ValueError("the vocabulary lacks a byte of this text")
         open_ = bytearray(b"\x01") * (size + 1)
         out: list[int] = []
-        at, candidate = 0, longest[0][1]
-        token, shorter, compatible = self.token, self.shorter, self.compatible
-        while at < size:
-            last = out[-1] if out else -1
+        at, candidate, last = 0, longest[0], -1
+        length, shorter, fits = self.length, self.shorter, self._fits
+        while True:
             while candidate >= 0:
-                end = at + len(token[candidate])
-                if open_[end] and (last < 0 or compatible(last, candidate)):
-                    break
+                end = at + length[candidate]
+                if open_[end]:
+                    if last < 0:
+                        break
+                    pair = last << 20 | candidate
+                    ok = fits.get(pair)
+                    if ok is None:
+                        if len(fits) >= PAIRS:
+                            fits.clear()
+                        ok = fits[pair] = self._stays(last, candidate)
+                    if ok:
+                        break
                 candidate = shorter[candidate]
             if candidate >= 0:
                 out.append(candidate)
                 at = end
-                candidate = longest[at][1] if at < size else -1
+                if at == size:
+                    return out
+                last, candidate = candidate, longest[at]
             else:
-                if not out:
-                    raise ValueError("the vocabulary lacks a byte of this text")
                 open_[at] = 0
                 candidate = out.pop()
-                at -= len(token[candidate])
-        return out
-
-    def _first(self, data: bytes) -> int:
-        for _, (_, i) in self.automaton.iter(data.decode("latin-1")):
-            return i
-        raise ValueError("the vocabulary lacks a byte of this text")
+                at -= length[candidate]
+                last = out[-1] if out else -1
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if self._special is None or not any(t in text for t in self.added):
-            return b"".join(map(self._cache.__getitem__, self._find(text)))
-        return b"".join(self.added[part].to_bytes(4, "little") if part in self.added else b"".join(map(self._cache.__getitem__, self._find(part))) for part in self._special.split(text) if part)
+            return self._plain(text)
+        return b"".join(self.added[part].to_bytes(4, "little") if part in self.added else self._plain(part) for part in self._special.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
+        if _wide_space(text):
+            return b"".join(map(self._cache.__getitem__, pretokens(text)))
+        # No pre-token goes on over a single space, so the chunks between them are encoded one by one.
+        first, *rest = text.split(" ")
+        return b"".join([*map(self._cache.__getitem__, pretokens(first)), *map(self._chunks.__getitem__, rest)])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""

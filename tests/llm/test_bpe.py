@@ -42,6 +42,12 @@ def test_pieces_without_a_pretokenizer_cache():
         assert c.encode_piece(word.encode()) == REFERENCE.encode(word, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\u00a0\u2003a\u00b2\u00bc7\u0660\u0301\u4e2d'_sé.\x1c", max_size=30))
+def test_spaces_and_digits(text):
+    check(text)
+
+
 def test_frames(spark):
     rows = [(1, "hello there", "x"), (2, None, "x"), (None, "hello there", None), (1, "hello there", "x"), (5, "long " * 40000, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
