@@ -77,18 +77,23 @@ def resolve_path(document: Column, path: str) -> Column:
         elif step[0] == "index":
             value = F.try_variant_get(value, f"$[{step[1]}]", "variant")
         else:
-            number = _number(step[2])
-
-            def match(item, field=step[1], text=step[2], number=number):
-                own = F.try_variant_get(item, f"$.{field}", "variant")
-                equal = F.try_variant_get(own, "$", "string") == text
-                return F.when(F.schema_of_variant(own).rlike("BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(own, "$", "double") == number).otherwise(equal) if number is not None else equal
-
-            value = F.get(F.filter(F.try_variant_get(value, "$", "array<variant>"), match), 0)
+            value = F.get(F.filter(F.try_variant_get(value, "$", "array<variant>"), _selects(step[1], step[2])), 0)
     kind = F.schema_of_variant(value)
     return F.when(~kind.rlike("^(OBJECT|ARRAY)"), F.try_variant_get(value, "$", "string"))
 
 
+def _selects(field: str, text: str):
+    """Whether an item's field has the value; as a number if the item's is one."""
+    number = _number(text)
+
+    def match(item):
+        own = F.try_variant_get(item, f"$.{field}", "variant")
+        equal = F.try_variant_get(own, "$", "string") == text
+        return equal if number is None else F.when(F.schema_of_variant(own).rlike("BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(own, "$", "double") == number).otherwise(equal)
+
+    return match
+
+
 def _number(text: str) -> float | None:
     try:
         return float(text)

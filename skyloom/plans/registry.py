@@ -281,7 +281,7 @@ def _(spark, d):
     return near.groupBy("day").agg(r6(F.avg(F.when(h >= at, F.col("pm25"))) - F.avg(F.when(h < at, F.col("pm25")))).alias("effect"))
 
 
-@query("W13_embargo_split", ", ".join(["WITH obs_long AS (" + t.SQL["obs_long"] + ")", "obs AS (" + t.SQL["obs"] + ")", "hs AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS n, count(*) OVER () AS c FROM (SELECT DISTINCT h FROM obs))", "cut AS (SELECT h AS cut_h FROM hs WHERE n = CAST(floor(c * 0.7) AS BIGINT))"]) + " SELECT CASE WHEN h >= cut_h THEN 'test' WHEN h <= cut_h - 192 THEN 'train' ELSE 'embargo' END AS part, count(*) AS n FROM obs, cut GROUP BY 1")
+@query("W13_embargo_split", ", ".join(["WITH obs_long AS (" + t.SQL["obs_long"] + ")", "obs AS (" + t.SQL["obs"] + ")", "hs AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS n, count(*) OVER () AS c FROM (SELECT DISTINCT h FROM obs))", "cut AS (SELECT h AS cut_h FROM hs WHERE n = CAST(floor(c * 0.7::DOUBLE) AS BIGINT))"]) + " SELECT CASE WHEN h >= cut_h THEN 'test' WHEN h <= cut_h - 192 THEN 'train' ELSE 'embargo' END AS part, count(*) AS n FROM obs, cut GROUP BY 1")
 def _(spark, d):
     obs = t.obs_hour(spark, d)
     hs = obs.select("h").distinct().withColumns({"n": F.row_number().over(Window.orderBy("h")) - 1, "c": F.count(F.lit(1)).over(Window.partitionBy())})
