@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -43,6 +44,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(rows: DataFrame, key: Column, size: int, by: str | None = None) -> DataFrame:
+    """The ``size`` rows (of each value of ``by``) with the least hash of ``key``: the hashes alone are ordered first, so
+    that of all other rows nothing but a number leaves its task. More only if hashes are equal at the end."""
+    hashed = rows.withColumn("_h", F.xxhash64(key))
+    if by is None:
+        last = hashed.select("_h").orderBy("_h").limit(size).agg(F.max("_h")).first()[0]
+        return hashed.where(F.col("_h") <= (last if last is not None else 0)).drop("_h").limit(2 * size)
+    places = hashed.select(by, "_h").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("_h"))).where(F.col("_n") <= size)
+    ends = {r[by]: r["_e"] for r in places.groupBy(by).agg(F.max("_h").alias("_e")).collect()}
+    if not ends:
+        return rows.limit(0)
+    table = rows.sparkSession.createDataFrame(sorted(ends.items()), rows.select(F.col(by), F.lit(0).cast("long").alias("_e")).schema)
+    return hashed.join(F.broadcast(table), by).where("_h <= _e").drop("_h", "_e")
+
+
 def written_files(blobs: DataFrame, name: str, separator: str) -> str:
     """Writes each row of the one binary column as a file of its own and returns the folder.
 

@@ -20,10 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, rows_of
+from .common import batches_of, hashed_sample, rows_of
 
 #: Characters in an n-gram; the places before and after a word count as one.
 SIZE = 4
@@ -33,6 +33,8 @@ HASHES, SLOTS_PER_NGRAM = 3, 8
 SAMPLE_DOCS, SAMPLE_CHARS = 800, 10_000
 #: An n-gram belongs to a language if it was seen this often there, and at least this part as often as where it is most usual.
 LEAST_SEEN, LEAST_SHARE = 3, 0.1
+#: Rows of a sample at most, in all languages.
+MOST = 100_000
 _CHUNK = 1_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -153,9 +155,9 @@ def fit(samples: dict[str, list[str]]) -> Filter:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None) -> Filter:
     """Fits a filter on a bounded sample of the rows with a text and a language: the first by a hash of ``key``."""
-    picked = (labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col) if key is None else key).alias("h"))
-              .where((F.col("text") != "") & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS)))
-    first = picked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= SAMPLE_DOCS)
+    picked = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.col(text_col) if key is None else key).alias("k"))
+    fitting = picked.where((F.col("text") != "") & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    first = hashed_sample(fitting, F.col("k"), SAMPLE_DOCS, "lang").limit(MOST)
     samples: dict[str, list[str]] = {}
     for r in first.select("lang", "text").orderBy("lang", "text").collect():
         samples.setdefault(r.lang, []).append(r.text)

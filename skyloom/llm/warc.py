@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, rows_of, written_files
+from .common import batches_of, hashed_sample, rows_of, written_files
 
 #: Magic number of the skippable frame that holds a dictionary, and an empty skippable frame of another kind (all ASCII).
 DICTIONARY_FRAME = 0x184D2A5D
@@ -40,12 +40,12 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 
 
 def train_dictionary(payloads: DataFrame, id_col: str) -> bytes:
-    """A dictionary from at most SAMPLE_RECORDS payloads of at most SAMPLE_BYTES, the first by a hash of their id;
+    """A dictionary from about SAMPLE_RECORDS payloads of at most SAMPLE_BYTES, the first by a hash of their id;
     empty if they are too few to train on."""
-    sample = (payloads.where(F.octet_length("payload").between(1, SAMPLE_BYTES))
-              .select("payload", F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "payload").limit(SAMPLE_RECORDS).collect())
+    fitting = payloads.where(F.octet_length("payload").between(1, SAMPLE_BYTES))
+    sample = hashed_sample(fitting.select("payload", id_col), F.col(id_col), SAMPLE_RECORDS).select("payload").collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.payload) for r in sample]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(r.payload) for r in sample)).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
