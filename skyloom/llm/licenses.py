@@ -3,8 +3,8 @@
 Paragraphs (lines) are classified by a sparse logistic regression over word uni- and bigrams. It is trained on
 seeded variations of license notices, on license-like texts of no known family, and on a bounded sample of the
 corpus' own paragraphs (``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters). Words that the sample
-uses commonly are no features, so a text without any feature word is ordinary text by the model's intercepts and
-only the others are scored. Probabilities are calibrated by a temperature on held-out variations; a paragraph
+uses commonly are no features, so a text without any feature word is ordinary text, and only the others are
+scored. Probabilities are calibrated by a temperature on held-out variations; a paragraph
 whose best family is less likely than ``SURE``, or has too few words of each of that family's templates
 (``CONFIRM``), is of *unknown* license unless ordinary text is likelier.
 
@@ -25,6 +25,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
+
 #: Bounds of the corpus sample; variations of each template; most features.
 SAMPLE_DOCS, SAMPLE_CHARS, VARIATIONS, FEATURES = 300, 5_000, 24, 3_000
 #: Share of the sample's paragraphs from which on a word is common; least probability and share of template words.
@@ -102,6 +104,8 @@ OTHERS = (
     "Copyright by the authors. Redistribution of this document requires a license.",
     "SPDX-License-Identifier: LicenseRef-Custom",
 )
+#: Names that such licenses are made up with.
+NAMES = ("Acme", "Foo", "Northern", "Blue", "Vendor", "Sample", "Harbor", "Delta", "Orchid", "Granite", "Willow", "Summit")
 #: Ordinary texts that have some of the words.
 ORDINARY = (
     "She is a licensed physician in two states.", "He renewed his driving licence on Monday.", "The version of events told by the public was general.",
@@ -145,14 +149,17 @@ def _variations(text: str, rng: random.Random) -> str:
 def training_rows() -> list[tuple[str, str, bool]]:
     """Seeded (text, class, held out) without the corpus' own paragraphs."""
     rng = random.Random(11)
-    named = [(t, family) for family, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in OTHERS] + [(t, NONE) for t in ORDINARY]
+    made = [f"{how} the {a} {b} {kind}{', version ' + str(rng.randint(1, 9)) if rng.random() < 0.5 else ''}." for how in ("Licensed under", "Released under", "Distributed under")
+            for a, b, kind in zip(rng.sample(NAMES, 8), rng.sample(NAMES, 8), rng.choices(("License", "Terms", "Public Terms", "Agreement", "Software License"), k=8), strict=True)]
+    named = [(t, family) for family, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in (*OTHERS, *made)] + [(t, NONE) for t in ORDINARY]
     return [(t if k == 0 else _variations(t, rng), family, k % 4 == 3) for t, family in named for k in range(VARIATIONS)]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     spark: SparkSession = docs.sparkSession
     text = F.col(text_col).cast("string")
-    sample = docs.where((text != "") & (F.length(text) <= SAMPLE_CHARS)).select(text.alias("text"), F.xxhash64(text).alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS)
+    fitting = docs.where((text != "") & (F.length(text) <= SAMPLE_CHARS)).select(text.alias("text"), F.col(id_col).alias("k"))
+    sample = hashed_sample(fitting, F.col("k"), SAMPLE_DOCS)
     own = [r.text for r in sample.select(F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''").distinct().orderBy("text").collect()]
     cue = ("licen", "copyright", "permission", "spdx", "redistribut", "creative commons", "public domain", "warrant")
     # Paragraphs of the sample that speak of licenses are no examples of ordinary text.
@@ -172,8 +179,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     start += [-50.0] * (len(families) - len(start))
     weights = fitted.coefficientMatrix.toArray()
     used = [(g, [round(float(x), 5) for x in weights[:, i]]) for i, g in enumerate(vectorizer.vocabulary) if abs(weights[:, i]).sum() > 1e-6]
-    # Without a feature the intercepts must say "ordinary".
-    start[families.index(NONE)] = max(start[families.index(NONE)], max(start) + 1.0)
     held = fitted.transform(vectorizer.transform(data.where("held"))).select("label", vector_to_array("rawPrediction").alias("raw")).cache()
     losses = [F.avg(-F.log(F.greatest(F.lit(1e-9), F.get(F.transform("raw", lambda x: F.exp((x - F.array_max("raw")) / t)), F.col("label").cast("int")) / F.aggregate(F.transform("raw", lambda x: F.exp((x - F.array_max("raw")) / t)), F.lit(0.0), lambda a, b: a + b)))).alias(f"t{t}") for t in (0.5, 0.7, 1.0, 1.4, 2.0)]  # noqa: B023
     nll = held.agg(*losses).first()
