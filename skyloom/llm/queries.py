@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, licenses, mixing, neardup, quality, warc, wavelet
+from . import ann, bpe, chat, langid, licenses, mixing, neardup, oracles, quality, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_divergence": oracles.OP3, "op4_warc_dictionary": oracles.OP4, "op10_chat_format": oracles.OP10}
