@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import domain, geo, text
+from ..operators import models
 from ..operators import relational as rel
 from . import tables as t
 from .registry import ORACLES, QUERIES, _IDX, calendar, indexed, query, r6  # noqa: F401
@@ -236,3 +237,33 @@ def _(spark, d):
     risk = indexed(spark, d).groupBy("station").agg(F.max("idx").alias("i"))
     level = F.when(F.col("i") <= 200, "moderate").otherwise(domain.risk_level(F.col("i")))
     return risk.select("station", F.explode(F.array(F.lit("en"), F.lit("hi"))).alias("lang"), level.alias("risk")).select("station", F.concat_ws(":", "risk", "lang").alias("message"))
+
+
+# Models: checked for their rows, not by SQL.
+
+
+def _modelled(spark, d):
+    met = t.with_meteo(t.obs_hour(spark, d)).withColumns({"hour": (F.col("h") % 24).cast("double"), "row": F.col("h") * t.STATIONS + F.col("station")})
+    return met.withColumn("place", F.col("station").cast("double"))
+
+
+@query("M2_quantiles")
+def _(spark, d):
+    df = _modelled(spark, d)
+    return models.train_quantiles(df, ["wind_dir", "wind_speed", "hour", "place"], "pm25").predict(df, ["station", "h"])
+
+
+@query("M4_leave_one_out")
+def _(spark, d):
+    return models.leave_one_out(_modelled(spark, d), "station", ["station", "h"], ["wind_dir", "wind_speed", "hour"], "pm25", most=2)
+
+
+@query("M9_normalised")
+def _(spark, d):
+    return models.normalised(_modelled(spark, d), "row", ["wind_dir", "wind_speed"], ["hour"], "pm25", samples=10)
+
+
+@query("M13_bootstrap")
+def _(spark, d):
+    days = t.obs_hour(spark, d).groupBy(F.floor(F.col("h") / 24).cast("long").alias("day")).agg(F.avg("pm25").alias("v"))
+    return models.block_bootstrap(days, "day", F.col("v"))
