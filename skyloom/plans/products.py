@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import domain, geo, text
-from ..operators import models
+from ..operators import gate, models
 from ..operators import relational as rel
 from . import tables as t
 from .registry import ORACLES, QUERIES, _IDX, calendar, indexed, query, r6  # noqa: F401
@@ -267,3 +267,26 @@ def _(spark, d):
 def _(spark, d):
     days = t.obs_hour(spark, d).groupBy(F.floor(F.col("h") / 24).cast("long").alias("day")).agg(F.avg("pm25").alias("v"))
     return models.block_bootstrap(days, "day", F.col("v"))
+
+
+def _briefs(spark, d):
+    """A document of all wards, and a reference of each supplier to a ward (some to none), with values that are right or wrong."""
+    w = t.wards(spark, d).select(F.struct("ward_id", F.col("population").cast("long").alias("population")).alias("w"))
+    doc = w.agg(F.sort_array(F.collect_list("w")).alias("wards")).select(F.lit("nowcast").alias("root"), F.to_json(F.struct("wards")).alias("document"))
+    k = F.col("s_suppkey")
+    path = F.concat(F.lit("nowcast.wards[ward_id=delhi_"), F.lpad((k % 30).cast("string"), 3, "0"), F.lit("].population"))
+    people = t.wards(spark, d).select(F.col("k"), F.col("population").cast("long").alias("p"))
+    refs = t.read(spark, d, "supplier").withColumn("k", k % 30).join(people, "k", "left").select(k.alias("brief_id"), path.alias("path"), (F.coalesce("p", F.lit(5)) * F.when(k % 4 == 0, 2).otherwise(1)).cast("string").alias("value"))
+    return refs, doc
+
+
+@query("X10_verify", "SELECT s_suppkey AS brief_id, CAST(CAST(population AS BIGINT) AS VARCHAR) AS value FROM supplier JOIN wards ON k = s_suppkey % 30", "wards")
+def _(spark, d):
+    refs, doc = _briefs(spark, d)
+    return gate.verified(refs.select("brief_id").distinct(), refs, doc).select("brief_id", F.col("refs")[0]["value"].alias("value"))
+
+
+@query("X12_audit", "SELECT s_suppkey AS brief_id, coalesce(s_suppkey % 4 <> 0 OR population = 0, false) AND k IS NOT NULL AS ok FROM supplier LEFT JOIN wards ON k = s_suppkey % 30", "wards")
+def _(spark, d):
+    refs, doc = _briefs(spark, d)
+    return gate.audited(refs, doc)
