@@ -12,8 +12,9 @@ each sample from all their shingles; those between do both, so that any two docu
 
 Candidates are verified by their exact weighted Jaccard similarity, without all pairs of a bucket: first each
 member with its bucket's smallest document; then, only in buckets that are not yet one class, the members outside
-the bucket's largest class with those of other classes. So each pair of a bucket is verified or in one class, and
-no link between classes is lost. Copies of a text are one node from the start. Classes are the connected components.
+the bucket's largest class with those of other classes: as pairs in buckets of up to ``SMALL`` members, block by
+block over an index of shingles, giving out nothing but links, in larger ones. So each pair of a bucket is verified
+or in one class, and no link between classes is lost. Copies of a text are one node from the start. Classes are the connected components.
 
 Defined results: one row for each id. Texts with equal words are copies; those of under five words are one
 shingle, those without a word (nulls too) are copies of each other. Rows with one id are one document, whose texts
@@ -43,6 +44,8 @@ FULL, OVERLAP, DAMPING = 200, 0.55, 0.25
 SKETCH, PARTS, RARE = 1 << 21, 64, 1e-3
 #: Members that one task compares with a bucket's first document; rows up to which a list of ids is broadcast.
 BLOCK, BROADCAST_ROWS = 256, 500_000
+#: Members of a bucket up to which its open pairs are listed; documents in the two sides of a block of a larger one.
+SMALL, SIDES = 32, (256, 512)
 _CHUNK = 1_500_000
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE, _U = 0x9E3779B97F4A7C15, np.uint64
@@ -289,10 +292,70 @@ def verified(docs: DataFrame, pairs: DataFrame, weight, threshold: float) -> Dat
     return dealt.mapInArrow(lambda b: batches_of(run(b), _EDGE), "a long, b long, similarity double")
 
 
+def compared(docs: DataFrame, buckets: DataFrame, weight, threshold: float) -> DataFrame:
+    """Links between classes in large buckets ``band, node, root, main``: documents outside the main class against all,
+    a block of either at a time. Of many links that join the same classes one is given out for each block."""
+    outside = F.when(F.col("root") != F.col("main"), 1)
+    blocks = buckets.groupBy("band").agg(F.ceil(F.count(outside) / SIDES[0]).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / SIDES[1]).cast("int").alias("columns"))
+    dealt = buckets.join(blocks, "band")
+    own, every = (F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("rows", "columns"))
+    mine = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    xs = dealt.where("root <> main").select("band", mine("rows", 1).alias("i"), every.alias("j"), F.lit(0).alias("side"), F.col("node").alias("doc_id"), "root")
+    ys = dealt.select("band", own.alias("i"), mine("columns", 2).alias("j"), F.lit(1).alias("side"), F.col("node").alias("doc_id"), "root")
+    need = stored(xs.unionByName(ys), "neardup-blocks")
+    if need.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    wanted = need.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(wanted) if need.count() <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
+    units = need.join(texts, "doc_id").select("band", "i", "j", "side", "doc_id", "root", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
+
+    def run(batches):
+        unit, held = None, []
+        for row in rows_of(batches, "band", "i", "j", "side", "doc_id", "root", "text"):
+            if row[:3] != unit:
+                yield from _links(held, weight.value, threshold)
+                unit, held = row[:3], []
+            held.append(row[3:])
+        yield from _links(held, weight.value, threshold)
+
+    return units.mapInArrow(lambda b: batches_of(run(b), _EDGE), "a long, b long, similarity double")
+
+
+def _links(rows: list[tuple], weight: np.ndarray, threshold: float):
+    """(a, b, similarity) that join classes, of rows (side, id, class, text): side 0 against side 1."""
+    if not rows:
+        return
+    s = Shingled([r[-1] or "" for r in rows])
+    w = weight[_counters(s.key)] * s.count
+    total = np.bincount(s.doc, w, len(rows))
+    side = np.array([r[0] for r in rows])
+    pick = side[s.doc] == 1
+    order = np.argsort(s.key[pick], kind="stable")
+    keys, of, ws = s.key[pick][order], s.doc[pick][order], w[pick][order]
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    for x in np.flatnonzero(side == 0).tolist():
+        span = slice(s.first[x], s.first[x + 1])
+        lo, hi = np.searchsorted(keys, s.key[span], "left"), np.searchsorted(keys, s.key[span], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        shared = np.bincount(of[at], np.minimum(np.repeat(w[span], n), ws[at]), len(rows))
+        found = shared / (total[x] + total - shared)
+        for y in np.flatnonzero((found >= threshold) & (side == 1)).tolist():
+            a, b = root(rows[x][2]), root(rows[y][2])
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                yield rows[x][1], rows[y][1], float(found[y])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` (its component's least node) of all nodes with an edge, by alternating large and small stars."""
-    e = stored(edges.select("a", "b").where("a <> b").distinct(), "neardup-stars")
-    before = None
+    e = edges.select("a", "b").where("a <> b").distinct()
     while True:
         every = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         least = every.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -300,10 +363,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         e = stored(small.where("a <> b").distinct(), "neardup-stars")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        # Stars only: no node that has a root is one.
+        if e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             break
-        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b"))).distinct()
 
 
@@ -335,12 +397,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rooted = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("band", "root").count()
     main = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", "root")).alias("m")).where("n > 1").select("band", F.col("m.root").alias("main"))
-    open_ = stored(rooted.join(main, "band"), "neardup-open")
-    outside = open_.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("xr"))
-    across = outside.join(open_, "band").where("root <> xr and (root = main or x < node)").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    more = verified(named, stored(across.join(pairs, ["a", "b"], "left_anti"), "neardup-pairs"), weight, threshold).select("a", "b")
-    links = stored(more, "neardup-links").union(roots.select("root", "node"))
-    final = components(links)
+    counts = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
+    open_ = stored(rooted.join(main.join(counts, "band"), "band"), "neardup-open")
+    few = open_.where(F.col("members") <= SMALL)
+    outside = few.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("xr"))
+    across = outside.join(few, "band").where("root <> xr and (root = main or x < node)").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    more = verified(named, stored(across.join(pairs, ["a", "b"], "left_anti"), "neardup-pairs"), weight, threshold)
+    more = more.unionByName(compared(named, open_.where(F.col("members") > SMALL).select("band", "node", "root", "main"), weight, threshold)).select("a", "b")
+    more = stored(more, "neardup-links")
+    final = roots if more.isEmpty() else components(more.union(roots.select("root", "node")))
     out = same.join(final, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id"))
     return out.unionByName(picked.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
