@@ -16,6 +16,7 @@ an empty one, which still gets the end id. A shard has at most ``shard_tokens``
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -32,37 +33,84 @@ from .common import batches_of, rows_of, stored, written_files
 
 MAGIC = b"SKYWAVE1"
 BLOCK = 1 << 17
-#: Chunks of text kept with their ids in each worker; beyond it the store starts anew.
-CACHE = 200_000
+#: Chunks of text kept with their ids in each worker; beyond it the store starts anew. Characters asked of the library at once.
+CACHE, ASKED = 500_000, 200_000
 _chunks = re.compile(r"[^ \t\n\r]+").findall
 
 
-class WordEncoder(dict):
-    """Whole texts to ids by the tokenizers library, asked once for each chunk between plain white space.
+class WordEncoder:
+    """Whole texts to ids by the tokenizers library, which is asked once for each chunk between plain white space.
 
-    The vocabulary's pre-tokens never hold white space, and its normalizer changes nothing across it, so the
-    ids of a text are those of its chunks one after the other.
+    The vocabulary's pre-tokens never hold white space, and its normalizer changes nothing across it, so the ids of
+    a text are those of its chunks one after the other. A chunk of letters is one pre-token: many are asked for
+    together and parted where a token ends a word. A full stop or comma behind letters is a pre-token of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
         self.size = self._library.get_vocab_size(with_added_tokens=True)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self._library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(chunk) <= 256:
-            self[chunk] = ids
-        return ids
+        self._ends = np.zeros(self.size, bool)
+        self._ends[[i for t, i in self._library.get_vocab().items() if t.endswith("</w>")]] = True
+        self._known: dict[str, bytes] = {}
+        self._stops = {c: self._ask(c) for c in ".,"}
+
+    def _ask(self, text: str) -> bytes:
+        return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        ids = self._ask(" ".join(words))
+        ends = (np.flatnonzero(self._ends[np.frombuffer(ids, "<u4")]) + 1) * 4
+        if len(ends) != len(words):
+            return [self._ask(w) for w in words]
+        at = [0, *ends.tolist()]
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        # White space splits letters from nothing else here, and lower-casing ASCII is what the library does to it.
+        stems: dict[str, list[tuple[str, str]]] = {}
+        known = self._known
+        for c in chunks:
+            stop = c[-1] if c[-1] in ".," else ""
+            stem = c[:-1] if stop else c
+            if stem.isalpha():
+                stems.setdefault(stem.lower() if stem.isascii() else stem, []).append((c, stop))
+            else:
+                known[c] = self._ask(c)
+        words, size = [], 0
+        for stem in [*stems, ""]:
+            if stem and stem in known:
+                found = known[stem]
+                for c, stop in stems[stem]:
+                    known[c] = found + self._stops[stop] if stop else found
+                continue
+            if stem:
+                words.append(stem)
+                size += len(stem)
+            if words and (not stem or size >= ASKED):
+                for w, ids in zip(words, self._ask_words(words), strict=True):
+                    known[w] = ids
+                    for c, stop in stems[w]:
+                        known[c] = ids + self._stops[stop] if stop else ids
+                words, size = [], 0
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        every = [_chunks(t or "") for t in texts]
+        if len(self._known) >= CACHE:
+            self._known.clear()
+        new = set().union(*every).difference(self._known)
+        if new:
+            self._learn(new)
+        found = self._known.__getitem__
+        return [b"".join(map(found, chunks)) for chunks in every]
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, _chunks(text or "")))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=4)
@@ -210,13 +258,23 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 4_0
     (range, running number) in the order of ids.
     """
 
+    def encoded(encoder, batches):
+        held, size = [], 0
+        for row in rows_of(batches, "doc_id", "text"):
+            held.append(row)
+            size += len(row[1] or "")
+            if size >= 1_000_000:
+                yield from zip([d for d, _ in held], encoder.encode_all([t for _, t in held]), strict=True)
+                held, size = [], 0
+        yield from zip([d for d, _ in held], encoder.encode_all([t for _, t in held]), strict=True)
+
     def shards(batches):
         encoder = word_encoder(vocabulary)
         levels = max(encoder.size - 1, end_id, 1).bit_length()
         part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         names, sizes, parts, held = [], [], [], 0
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
-            ids = encoder.encode(text) + end
+        for doc_id, ids in encoded(encoder, batches):
+            ids += end
             if names and held + len(ids) // 4 > shard_tokens:
                 yield (build(np.frombuffer(b"".join(parts), "<u4"), names, sizes, part, seq, levels),)
                 names, sizes, parts, held, seq = [], [], [], 0, seq + 1
