@@ -290,3 +290,63 @@ def _(spark, d):
 def _(spark, d):
     refs, doc = _briefs(spark, d)
     return gate.audited(refs, doc)
+
+
+@query("J6_upwind_cells", "SELECT c.i, c.j, coalesce(round(sum(f.frp), 4), 0.0) AS frp, count(f.event_id) AS n FROM (SELECT i, j, 28.4::DOUBLE + (i * 10 + 5) / 100.0::DOUBLE AS lat, 76.83::DOUBLE + (j * 10 + 5) / 100.0::DOUBLE AS lon FROM range(5) a(i), range(5) b(j)) c LEFT JOIN (SELECT * FROM fires WHERE s > (SELECT max(s) - 86400 FROM fires)) f ON " + t.haversine_sql("c", "f") + " <= 100 AND least(fmod(" + t.bearing_sql("c", "f") + " - 315 + 360, 360), 360 - fmod(" + t.bearing_sql("c", "f") + " - 315 + 360, 360)) <= 45 GROUP BY 1, 2", "fires")
+def _(spark, d):
+    cells = spark.range(25).select(F.floor(F.col("id") / 5).alias("i"), (F.col("id") % 5).alias("j")).withColumns({"y": F.lit(28.4) + (F.col("i") * 10 + 5) / 100.0, "x": F.lit(76.83) + (F.col("j") * 10 + 5) / 100.0})
+    f = t.fires(spark, d)
+    recent = f.join(F.broadcast(f.agg(F.max("s").alias("last"))), F.col("s") > F.col("last") - 86400)
+    at = (F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))
+    hit = recent.join(F.broadcast(cells), geo.is_upwind(geo.haversine_km(*at), geo.bearing(*at), F.lit(315.0))).groupBy("i", "j").agg(F.round(F.sum("frp"), 4).alias("frp"), F.count(F.lit(1)).alias("n"))
+    return cells.select("i", "j").join(hit, ["i", "j"], "left").select("i", "j", F.coalesce("frp", F.lit(0.0)).alias("frp"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("J10_nearest_landuse", "SELECT event_id, station % 7 / 10.0::DOUBLE AS road_density FROM (SELECT event_id, station, row_number() OVER (PARTITION BY event_id ORDER BY km, station) AS n FROM (SELECT event_id, station, " + t.haversine_sql("f", "st") + " AS km FROM fires f, station st)) WHERE n = 1", "fires station")
+def _(spark, d):
+    use = t.station(spark).select("station", (F.col("station") % 7 / F.lit(10.0)).alias("road_density"))
+    return rel.nearest(t.fires(spark, d), t.station(spark), ["event_id"], "station").join(F.broadcast(use), "station").select("event_id", "road_density")
+
+
+@query("J16_fold_sizes", "SELECT station, (SELECT count(*) FROM obs) - count(*) AS learn, count(*) AS test FROM obs GROUP BY 1", "obs")
+def _(spark, d):
+    n = t.obs_hour(spark, d).groupBy("station").agg(F.count(F.lit(1)).alias("test"))
+    return n.select("station", (F.sum("test").over(Window.partitionBy()) - F.col("test")).alias("learn"), "test")
+
+
+@query("A5_ward_hourly", "SELECT station % 4 AS ward, h, round(avg(pm25), 6) AS pm25, round(avg(wind_speed), 6) AS wind FROM met GROUP BY 1, 2", "met")
+def _(spark, d):
+    return t.with_meteo(t.obs_hour(spark, d)).groupBy((F.col("station") % 4).alias("ward"), "h").agg(r6(F.avg("pm25")).alias("pm25"), r6(F.avg("wind_speed")).alias("wind"))
+
+
+@query("A27_run_totals", "SELECT role, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
+def _(spark, d):
+    return t.read(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("A28_bounds", "SELECT min(x0) AS west, min(y0) AS south, max(x0 + 0.1) AS east, max(y0 + 0.1) AS north FROM wards", "wards")
+def _(spark, d):
+    return t.wards(spark, d).agg(F.min("x0").alias("west"), F.min("y0").alias("south"), F.max(F.col("x0") + 0.1).alias("east"), F.max(F.col("y0") + 0.1).alias("north"))
+
+
+@query("W15_first_round", "SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def _(spark, d):
+    return t.read(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+
+
+@query("P9_active", "SELECT user_id FROM events GROUP BY 1 HAVING list_contains(list(event_type), 'view') AND max(ts) >= TIMESTAMP '2024-01-28'")
+def _(spark, d):
+    seen = t.read(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "view").alias("has"), F.max("ts").alias("last"))
+    return seen.where(F.col("has") & (F.col("last") >= F.expr("TIMESTAMP_NTZ'2024-01-28 00:00:00'"))).select("user_id")
+
+
+@query("K12_manifest", "SELECT r_name AS city, list(n_name ORDER BY n_name)::VARCHAR AS files FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def _(spark, d):
+    n = t.read(spark, d, "nation").join(rel.small(t.read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    return n.groupBy(F.col("r_name").alias("city")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("n_name")), ", "), F.lit("]")).alias("files"))
+
+
+@query("X14_null_prune", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"k\":' || event_id || '}' ELSE '{\"k\":' || event_id || ',\"v\":\"' || event_type || '\"}' END AS doc FROM events")
+def _(spark, d):
+    e = t.read(spark, d, "events")
+    return e.select("event_id", F.to_json(F.struct(F.col("event_id").alias("k"), F.when(F.col("event_id") % 2 == 1, F.col("event_type")).alias("v")), {"ignoreNullFields": "true"}).alias("doc"))
