@@ -46,7 +46,7 @@ SKETCH, PARTS, RARE = 1 << 21, 64, 1e-3
 BLOCK, BROADCAST_ROWS = 256, 500_000
 #: Members of a bucket up to which its open pairs are listed; documents in the two sides of a block of a larger one.
 SMALL, SIDES = 32, (256, 512)
-_CHUNK = 1_500_000
+_CHUNK = 1_000_000
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE, _U = 0x9E3779B97F4A7C15, np.uint64
 

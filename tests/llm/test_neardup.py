@@ -117,6 +117,25 @@ def test_large_group_and_blocks(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 + i for i in range(50))
 
 
+def test_spread_group_equals_brute_force(spark, monkeypatch):
+    """Copies with few and with many changes: some buckets stay open, and are compared as pairs and as blocks."""
+    monkeypatch.setattr(neardup, "DAMPING", 0.0)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for small, sides in ((32, (256, 512)), (2, (16, 24)), (1000, (1, 1))):
+        monkeypatch.setattr(neardup, "SMALL", small)
+        monkeypatch.setattr(neardup, "SIDES", sides)
+        assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 300)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)]
