@@ -33,7 +33,7 @@ from .common import batches_of, rows_of
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Pre-tokens, chunks and pairs kept in each worker; beyond it the store starts anew.
-CACHE, PAIRS = 300_000, 1_000_000
+CACHE, PAIRS = 120_000, 400_000
 _find = regex.compile(PATTERN).findall
 #: The same pattern for texts below U+0250 without fractions and raised digits, where plain classes say the same.
 _LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
