@@ -30,7 +30,7 @@ def test_shard_answers(n):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text(alphabet="aAΣσ \n\x1c\x85 é́<|endoftx>'s1", max_size=60)))
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="aAΣσªİ,.ǅ\n\x1c\x85 é́<|endoftx>'s1", max_size=60)))
 def test_chunks_equal_whole_texts(text):
     assert np.frombuffer(wavelet.word_encoder(PATH).encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
@@ -46,3 +46,11 @@ def test_files(spark):
         at += len(ids)
     assert sorted(map(tuple, out), key=lambda r: r[1]) == want
     assert wavelet.read_documents(spark, wavelet.write(df.limit(0), PATH, 2)).collect() == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abAÉé,. \n'1٠ﬁªⅠ中", max_size=40), max_size=8))
+def test_many_texts_at_once(texts):
+    encoder = wavelet.WordEncoder(PATH) if not hasattr(test_many_texts_at_once, "e") else test_many_texts_at_once.e
+    test_many_texts_at_once.e = encoder
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
