@@ -19,6 +19,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -33,8 +34,9 @@ from .common import batches_of, rows_of, stored, written_files
 
 MAGIC = b"SKYWAVE1"
 BLOCK = 1 << 17
-#: Chunks of text kept with their ids in each worker; beyond it the store starts anew. Characters asked of the library at once.
-CACHE, ASKED = 500_000, 200_000
+#: Chunks of text kept with their ids in each worker; beyond it a new store is begun, which takes what recurs from the
+#: last one. Characters asked of the library at once.
+CACHE, ASKED = 600_000, 200_000
 _chunks = re.compile(r"[^ \t\n\r]+").findall
 
 
@@ -42,7 +44,7 @@ class WordEncoder:
     """Whole texts to ids by the tokenizers library, which is asked once for each chunk between plain white space.
 
     The vocabulary's pre-tokens never hold white space, and its normalizer changes nothing across it, so the ids of
-    a text are those of its chunks one after the other. A chunk of letters is one pre-token: many are asked for
+    a text are those of its chunks one after the other. A chunk that is and stays letters is one pre-token: many are asked for
     together and parted where a token ends a word. A full stop or comma behind letters is a pre-token of its own.
     """
 
@@ -57,6 +59,7 @@ class WordEncoder:
         self._ends = np.zeros(self.size, bool)
         self._ends[[i for t, i in self._library.get_vocab().items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
+        self._last: dict[str, bytes] = {}
         self._stops = {c: self._ask(c) for c in ".,"}
 
     def _ask(self, text: str) -> bytes:
@@ -77,14 +80,14 @@ class WordEncoder:
         for c in chunks:
             stop = c[-1] if c[-1] in ".," else ""
             stem = c[:-1] if stop else c
-            if stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
                 stems.setdefault(stem.lower() if stem.isascii() else stem, []).append((c, stop))
             else:
                 known[c] = self._ask(c)
         words, size = [], 0
         for stem in [*stems, ""]:
-            if stem and stem in known:
-                found = known[stem]
+            if stem and (stem in known or stem in self._last):
+                found = known[stem] = known.get(stem) or self._last[stem]
                 for c, stop in stems[stem]:
                     known[c] = found + self._stops[stop] if stop else found
                 continue
@@ -102,8 +105,11 @@ class WordEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         every = [_chunks(t or "") for t in texts]
         if len(self._known) >= CACHE:
-            self._known.clear()
+            self._last, self._known = self._known, {}
         new = set().union(*every).difference(self._known)
+        again = new.intersection(self._last)
+        self._known.update((c, self._last[c]) for c in again)
+        new -= again
         if new:
             self._learn(new)
         found = self._known.__getitem__
@@ -118,6 +124,11 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _kind(levels: int) -> type:
+    """The narrowest type that holds the ids."""
+    return np.uint16 if levels <= 16 else np.uint32
+
+
 def build(ids: np.ndarray, doc_ids: list[int | None], doc_sizes: list[int], part: int, seq: int, levels: int) -> bytes:
     """The bytes of a shard."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -133,9 +144,10 @@ def build(ids: np.ndarray, doc_ids: list[int | None], doc_sizes: list[int], part
 
     table = np.array([-1 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(doc_sizes, "<u8").tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes()
     header = {"tokens": len(ids), "docs": len(doc_ids), "part": part, "seq": seq, "levels": levels, "block": BLOCK, "table": put(table), "planes": []}
-    values = ids.astype(np.uint32)
+    kind = _kind(levels)
+    values = ids.astype(kind)
     for level in range(levels):
-        ones = ((values >> np.uint32(levels - 1 - level)) & np.uint32(1)).astype(bool)
+        ones = (values & kind(1 << (levels - 1 - level))) != 0
         packed = np.packbits(ones, bitorder="little")
         frames, counts = [], [0]
         for n in range(0, len(ids), BLOCK):
@@ -236,13 +248,14 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All tokens, from the last plane up: each plane tells how the one below was dealt."""
-        values = np.zeros(self.n, np.uint32)
+        kind = _kind(self.levels)
+        values = np.zeros(self.n, kind)
         for level in reversed(range(self.levels)):
             raw = b"".join(self._part(f) for f in self.header["planes"][level]["frames"])
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=self.n).astype(bool)
+            ones = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=self.n).view(bool)
             above, z = np.empty_like(values), self.zeros[level]
             above[~ones] = values[:z]
-            above[ones] = values[z:] | np.uint32(1 << (self.levels - 1 - level))
+            above[ones] = values[z:] | kind(1 << (self.levels - 1 - level))
             values = above
         return values
 

@@ -11,6 +11,7 @@ from skyloom.llm import wavelet
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+LIBRARY.no_truncation()
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 5000, 300_001])
@@ -54,3 +55,16 @@ def test_many_texts_at_once(texts):
     encoder = wavelet.WordEncoder(PATH) if not hasattr(test_many_texts_at_once, "e") else test_many_texts_at_once.e
     test_many_texts_at_once.e = encoder
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("text", ["İ.", "İx, aİ", "क़. क़", "ΑΣ, Σ.", "ﬁ. Å,", "a., b.. c,"])
+def test_letters_that_normalize_to_more(text):
+    assert np.frombuffer(wavelet.WordEncoder(PATH).encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_stores_that_follow_each_other(monkeypatch):
+    monkeypatch.setattr(wavelet, "CACHE", 20)
+    encoder = wavelet.WordEncoder(PATH)
+    texts = [f"some words, {'abcdefghij'[i % 10] * 3} here. {'klmno'[i % 5]}Q" for i in range(60)]
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
