@@ -363,8 +363,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         e = stored(small.where("a <> b").distinct(), "neardup-stars")
-        # Stars only: no node that has a root is one.
-        if e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+        # Stars only: each node has one root, and no node that has a root is one.
+        several = e.groupBy("a").count().where("count > 1").select("a")
+        if several.unionByName(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")).isEmpty():
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b"))).distinct()
 

@@ -147,3 +147,10 @@ def test_components(spark):
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     used = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: find(x) for x in used}
+
+
+def test_components_of_nodes_with_two_roots(spark):
+    """After one round of this path no root has a root, but nodes hang on two of them."""
+    edges = [(3, 4), (4, 6), (6, 9), (7, 9), (2, 7)]
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys((2, 3, 4, 6, 7, 9), 2)
