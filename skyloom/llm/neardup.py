@@ -8,6 +8,8 @@ Document frequencies come from a count sketch of constant size over all document
 ICWS draws samples that two documents share with the probability of their weighted Jaccard similarity. Long
 documents draw one sample in each of ``BANDS * ROWS`` bins of their shingles (empty bins borrow), short ones draw
 each sample from all their shingles; those between do both, so that any two documents of 0.8 or more share a way.
+In bins each repeat of a shingle is an element of its own, by its number, which leaves the similarity as it is: so
+the bins of a long text are filled evenly, even if a word or a passage repeated is all there is to it.
 ``ROWS`` samples make a band; documents with an equal band are candidates.
 
 Candidates are verified by their exact weighted Jaccard similarity, without all pairs of a bucket: first each
@@ -164,8 +166,11 @@ def signatures(s: Shingled, weight: np.ndarray) -> list[list[int]]:
     long, short = size >= OVERLAP * FULL, (size > 0) & (size <= FULL)
     if long.any():
         pick = long[s.doc]
-        key, of = s.key[pick], (np.cumsum(long) - 1)[s.doc[pick]]
-        value, name = _draw(key, np.log(w[pick]), 1)
+        times = s.count[pick]
+        key, of = np.repeat(s.key[pick], times), np.repeat((np.cumsum(long) - 1)[s.doc[pick]], times)
+        number = np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
+        key[number > 0] = _mix(key[number > 0] + number[number > 0].astype(_U) * _U(_BASE))
+        value, name = _draw(key, np.log(weight[_counters(np.repeat(s.key[pick], times))]), 1)
         place = (_mix(key + _U(0x5851F42D4C957F2D)) >> _U(32)) * _U(SAMPLES) >> _U(32)
         some = _least(of * SAMPLES + place.astype(np.int64), value, name, int(long.sum()) * SAMPLES).reshape(-1, SAMPLES)
         full = some != 0

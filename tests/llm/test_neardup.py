@@ -51,6 +51,21 @@ def test_samples_agree_as_often_as_similarity():
         assert abs(hits / total - np.mean(np.array(want) ** neardup.ROWS)) < 0.08
 
 
+def test_long_texts_of_few_shingles_share_bands():
+    """A word repeated; and a few shingles that carry most of a text whose other shingles are its own."""
+    weight = np.ones(neardup.SKETCH, np.float32)
+    rng = np.random.default_rng(3)
+    hits = total = 0
+    for i in range(40):
+        lines = " ".join(" ".join([f"w{i}-{k}"] * 104) for k in range(10))
+        own = " ".join(f"o{x}" for x in rng.integers(0, 1 << 40, 200))
+        for a, b in ((" ".join([f"v{i}"] * 1004), " ".join([f"v{i}"] * 854)), (lines, lines + " " + own)):
+            a, b = neardup.signatures(neardup.Shingled([a, b]), weight)
+            assert set(a) & set(b)
+            hits, total = hits + len(set(a) & set(b)), total + neardup.BANDS
+    assert abs(hits / total - 0.85**neardup.ROWS) < 0.05
+
+
 def brute(rows, threshold=0.8):
     """Components of links between texts of enough similarity, with the idf of rare shingles only if none is common."""
     texts = {d: neardup_vector(t or "") for d, t in rows}
