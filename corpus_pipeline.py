@@ -14,42 +14,42 @@ from skyloom.llm.common import stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least language score of a document that stays.
 LEAST_SCORE = 0.2
-#: Ids up to which a stage's decisions go to the documents; beyond it both sides are shuffled.
+#: Row keys up to which a stage's decisions go to the documents; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is listed."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi").select(*COLUMNS)
+def _rows(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``_row``, written so that it stays: ids can be null or occur more than once."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
 
 
-def _rejected(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not listed; those without an id stay."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*COLUMNS)
+def _rejected(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not listed."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "_row", "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. An id with several texts goes if one of them is rejected."""
-    return _rejected(docs, stored(quality.judged(docs).where("not kept").select("doc_id").distinct(), "pipeline-ids"))
+    """Rows that the quality rules reject go, each judged on its own."""
+    rows = _rows(docs)
+    judged = quality.judged(rows.drop("doc_id"), id_col="_row")
+    return _rejected(rows, stored(judged.where("not kept").select(F.col("doc_id").alias("_row")), "pipeline-ids"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Rows without a recognisable language go, each judged on its own."""
+    rows = _rows(docs)
     model = langid.train(langid.learning_rows(docs), key=F.col("doc_id"))
-    found = langid.predictions(docs, model)
-    return _rejected(docs, stored(found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id").distinct(), "pipeline-ids"))
+    found = langid.predictions(rows, model, id_col="_row")
+    return _rejected(rows, stored(found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("_row")), "pipeline-ids"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest id, once. Documents without an id stay."""
-    classes = neardup.classes(docs)
-    gone = stored(classes.where("doc_id <> class_id").select("doc_id"), "pipeline-ids")
-    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-ids")
-    kept = _rejected(docs, gone)
-    if repeated.isEmpty():
-        return kept
-    once = _with_ids(kept, repeated).dropDuplicates(["doc_id"])
-    return _rejected(kept, repeated).unionByName(once)
+    """One row of each class stays: the one with the smallest id, a row without an id only if none has one."""
+    rows = _rows(docs)
+    classes = stored(neardup.classes(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id"), "pipeline-classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = classes.join(rows.select("_row", "doc_id"), "_row").groupBy("class_id").agg(F.min(order).alias("m")).select(F.col("m._row").alias("_row"))
+    return _rejected(rows, stored(classes.select("_row").join(kept, "_row", "left_anti"), "pipeline-ids"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

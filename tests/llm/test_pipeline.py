@@ -54,3 +54,20 @@ def test_empty_and_whole_run(spark, tmp_path):
         out = corpus_pipeline.run(spark, str(tmp_path / name))
         assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         assert (out.count() == 0) == (name == "none")
+
+
+def test_each_row_is_judged_on_its_own(spark):
+    """Rows without an id are rejected like others; a good row stays if a rejected one has its id."""
+    rng = random.Random(12)
+    good = [prose(rng, 120) for _ in range(12)]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(good[:9])]
+    rows += [(None, "one two", "en", "src1", 7), (None, "same words " * 200, "en", "src1", 5), (0, "one two", "en", "src1", 7)]
+    rows += [(None, good[9], "en", "src1", 1), (None, good[10], "en", "src1", 1), (None, good[10].replace(" the ", " a ", 1), "en", "src1", 1), (None, good[1], "en", "src1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in after) == sorted((r[0] is None, r[0] or 0, r[1]) for r in rows if len(r[1]) > 20 and "same words" not in r[1])
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(after, docs.schema), "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == list(range(9))
+    assert len([r for r in kept if r.doc_id is None]) == 2 and good[9] in {r.text for r in kept}
+    odd = spark.createDataFrame([(None, "1234 5678 " * 40, "en", "src1", 1)], docs.schema)
+    assert corpus_pipeline.language_id(spark, docs.limit(9).unionByName(odd), "").where("text like '1234%'").count() == 0
