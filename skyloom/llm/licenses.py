@@ -8,7 +8,12 @@ scored. Probabilities are calibrated by a temperature on held-out variations; a
 whose best family is less likely than ``SURE``, or has too few words of each of that family's templates
 (``CONFIRM``), is of *unknown* license unless ordinary text is likelier.
 
-Defined results: a null or empty text has no paragraphs with a license. A family is counted once a paragraph;
+Notices are wrapped in files. So lines that give no family are classified again together with up to ``AROUND`` lines
+before and after them, as far as no line without words (comment marks are none) or of a known license of its own
+lies between. A notice of several lines is given at the first of them that gives it with its neighbours.
+
+Defined results: a null or empty text has no paragraphs with a license. A family is counted once a line, and once
+for all lines that only together give it, as far as no line without words lies between;
 repeated rows each get a row; a null id is a row like any other; equal probabilities go to the family first in
 the list.
 """
@@ -31,6 +36,8 @@ from .common import hashed_sample
 SAMPLE_DOCS, SAMPLE_CHARS, VARIATIONS, FEATURES = 300, 5_000, 24, 3_000
 #: Share of the sample's paragraphs from which on a word is common; least probability and share of template words.
 COMMON, SURE, CONFIRM = 0.01, 0.5, 0.6
+#: Lines to either side of one that gives no family that it is classified with; 17 lines hold any template of 3 words a line.
+AROUND = (1, 2, 4, 8)
 SLOTS = 8192
 NONE, UNKNOWN = "none", "unknown"
 
@@ -230,8 +237,37 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty = F.array().cast("array<struct<paragraph int, words array<string>>>")
     lines = F.transform(F.split("_t", "\n"), lambda p, i: F.struct(i.alias("paragraph"), words_of(p).alias("words")))
     out = out.withColumn("_p", F.when(F.arrays_overlap(words_of(F.col("_t")), cues), F.filter(lines, lambda x: F.arrays_overlap(x["words"], cues))).otherwise(empty))
-    found = F.transform("_p", lambda x: F.struct(x["paragraph"].alias("paragraph"), classified(x["words"], model).alias("c")))
-    return out.select("doc_id", F.filter(F.transform(found, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["c"]["family"].alias("family"), x["c"]["confidence"].alias("confidence"), x["c"]["agreement"].alias("agreement"))), lambda x: x["family"] != NONE).alias("found"))
+    out = out.withColumn("_f", F.transform("_p", lambda x: F.struct(x["paragraph"].alias("paragraph"), classified(x["words"], model).alias("c"))))
+    out = out.withColumn("_l", F.when(F.exists("_f", lambda x: x["c"]["family"].isin(UNKNOWN, NONE)), lines).otherwise(empty))
+    known = F.filter("_f", lambda x: ~x["c"]["family"].isin(UNKNOWN, NONE))
+    out = out.withColumn("_b", F.filter("_l", lambda x: F.size(x["words"]) == 0)["paragraph"]).withColumn("_e", F.concat("_b", known["paragraph"]))
+    out = out.withColumn("_g", F.transform("_f", lambda x: F.when(x["c"]["family"].isin(UNKNOWN, NONE), _wrapped(x, model)).otherwise(F.struct(x["paragraph"].alias("paragraph"), F.lit(False).alias("wide"), x["c"].alias("c")))))
+    # The place of each among the lines without words.
+    out = out.withColumn("_g", F.transform("_g", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["wide"].alias("wide"), x["c"].alias("c"), F.size(F.filter("_b", lambda b: b < x["paragraph"])).alias("part"))))
+    # Of the lines of one notice the first, or the one that gives the family alone.
+    first = F.filter("_g", lambda x: (x["c"]["family"] != NONE) & ~(x["wide"] & F.exists("_g", lambda y: (y["part"] == x["part"]) & (y["c"]["family"] == x["c"]["family"]) & (~y["wide"] | (y["paragraph"] < x["paragraph"])))))
+    return out.select("doc_id", F.transform(first, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["c"]["family"].alias("family"), x["c"]["confidence"].alias("confidence"), x["c"]["agreement"].alias("agreement"))).alias("found"))
+
+
+def _wrapped(x: Column, model: Model) -> Column:
+    """A line that gives no family, classified with its neighbours; ``wide`` says that they give one."""
+    at = x["paragraph"]
+    lo = F.coalesce(F.array_max(F.filter("_e", lambda e: e < at)), F.lit(-1)) + 1
+    hi = F.coalesce(F.array_min(F.filter("_e", lambda e: e > at)), F.size("_l")) - 1
+
+    def windows(s):
+        ends = F.array_distinct(F.transform(F.array(*map(F.lit, AROUND)), lambda r: F.struct(F.greatest(s["lo"], at - r).alias("a"), F.least(s["hi"], at + r).alias("b"))))
+        words = F.transform(F.filter(ends, lambda w: w["a"] < w["b"]), lambda w: F.flatten(F.slice("_l", w["a"] + 1, w["b"] - w["a"] + 1)["words"]))
+        found = F.filter(F.transform(words, lambda w: classified(w, model)), lambda c: ~c["family"].isin(UNKNOWN, NONE))
+        best = F.array_max(F.transform(found, lambda c: F.struct(c["agreement"].alias("agreement"), c["confidence"].alias("confidence"), c["family"].alias("family"))))
+        return F.struct(best.alias("best"))
+
+    def chosen(s):
+        b = s["best"]
+        return F.struct(at.alias("paragraph"), b.isNotNull().alias("wide"),
+                        F.when(b.isNull(), x["c"]).otherwise(F.struct(b["family"].alias("family"), b["confidence"].alias("confidence"), b["agreement"].alias("agreement"))).alias("c"))
+
+    return F.get(F.transform(F.transform(F.array(F.struct(lo.alias("lo"), hi.alias("hi"))), windows), chosen), 0)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

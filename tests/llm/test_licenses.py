@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 
@@ -39,3 +40,17 @@ def test_odd_rows(spark):
     out = sorted((r.doc_id or 0, r.licenses) for r in licenses.report(df).collect())
     assert out == [(0, "mit"), (1, ""), (2, ""), (2, ""), (2, "mit")]
     assert licenses.report(df.limit(0)).collect() == []
+
+
+def test_wrapped_notices(spark, model):
+    """Notices in lines of 60 to 78 columns, with and without comment marks, are found; their neighbours stay what they are."""
+    notices = [("gpl-3.0", licenses.TEMPLATES["gpl-3.0"][2]), ("bsd", licenses.TEMPLATES["bsd"][3]), ("mit", licenses.TEMPLATES["mit"][3]), ("apache-2.0", licenses.TEMPLATES["apache-2.0"][2])]
+    want, texts = [], []
+    for family, notice in notices:
+        for width, mark in ((60, ""), (72, "# "), (78, " * ")):
+            body = "\n".join(mark + line for line in textwrap.wrap(notice, width))
+            texts.append(f"{mark}some words here\n{mark.rstrip()}\n{body}\n{mark.rstrip()}\nother words")
+            want.append(family)
+    got = families(spark, model, [*texts, "Released under the MIT License.\nUse of this product is subject to the terms of the end user license agreement."])
+    known = {i: sorted({f for f in fs if f != licenses.UNKNOWN}) for i, fs in got.items()}
+    assert known == {**{i: [f] for i, f in enumerate(want)}, len(want): ["mit"]}
