@@ -255,7 +255,7 @@ def _(spark, d):
 
 @query("M4_leave_one_out")
 def _(spark, d):
-    return models.leave_one_out(_modelled(spark, d), "station", ["station", "h"], ["wind_dir", "wind_speed", "hour"], "pm25", most=2)
+    return models.leave_one_out(_modelled(spark, d), "station", ["station", "h"], ["wind_dir", "wind_speed", "hour"], "pm25")
 
 
 @query("M9_normalised")
