@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import unicodedata
 import zlib
@@ -37,15 +38,31 @@ BLOCK = 1 << 17
 #: Chunks of text kept with their ids in each worker; beyond it a new store is begun, which takes what recurs from the
 #: last one. Characters asked of the library at once.
 CACHE, ASKED = 600_000, 200_000
+#: Controls that Python takes for white space and the vocabulary does not; texts with one are split at plain white space.
+_odd = re.compile("[\x1c-\x1f]").search
 _chunks = re.compile(r"[^ \t\n\r]+").findall
+# The vocabulary's pre-tokens, for lower-case ASCII without white space.
+_ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
+
+
+def _pieces(chunk: str) -> tuple[str, ...] | None:
+    """A chunk's pre-tokens, each of which is encoded alone as it is within the chunk; None if only the library can tell."""
+    if chunk.isascii():
+        chunk = chunk.lower()  # what the library does to ASCII
+        return (chunk,) if chunk.isalpha() else tuple(_ascii_pieces(chunk)) if "<|" not in chunk else None
+    stem = chunk.rstrip(string.punctuation)
+    if stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha():
+        return (stem, chunk[len(stem):]) if len(stem) < len(chunk) else (stem,)
+    return None
 
 
 class WordEncoder:
-    """Whole texts to ids by the tokenizers library, which is asked once for each chunk between plain white space.
+    """Whole texts to ids by the tokenizers library, which is asked once for each pre-token.
 
     The vocabulary's pre-tokens never hold white space, and its normalizer changes nothing across it, so the ids of
-    a text are those of its chunks one after the other. A chunk that is and stays letters is one pre-token: many are asked for
-    together and parted where a token ends a word. A full stop or comma behind letters is a pre-token of its own.
+    a text are those of its chunks between white space one after the other, and those of a chunk are its pre-tokens'.
+    Many are asked for together, parted by spaces; the answer is parted where a token ends a word. Chunks with a
+    special token's beginning, or letters whose normal form is more than letters, are asked for alone.
     """
 
     def __init__(self, path: str):
@@ -60,7 +77,6 @@ class WordEncoder:
         self._ends[[i for t, i in self._library.get_vocab().items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
         self._last: dict[str, bytes] = {}
-        self._stops = {c: self._ask(c) for c in ".,"}
 
     def _ask(self, text: str) -> bytes:
         return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -74,42 +90,41 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        # White space splits letters from nothing else here, and lower-casing ASCII is what the library does to it.
-        stems: dict[str, list[tuple[str, str]]] = {}
-        known = self._known
+        known, last = self._known, self._last
+        parted, new = {}, set()
         for c in chunks:
-            stop = c[-1] if c[-1] in ".," else ""
-            stem = c[:-1] if stop else c
-            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
-                stems.setdefault(stem.lower() if stem.isascii() else stem, []).append((c, stop))
-            else:
+            if c in last:
+                known[c] = last[c]
+                continue
+            pieces = _pieces(c)
+            if pieces is None:
                 known[c] = self._ask(c)
-        words, size = [], 0
-        for stem in [*stems, ""]:
-            if stem and (stem in known or stem in self._last):
-                found = known[stem] = known.get(stem) or self._last[stem]
-                for c, stop in stems[stem]:
-                    known[c] = found + self._stops[stop] if stop else found
                 continue
-            if stem:
-                words.append(stem)
-                size += len(stem)
-            if words and (not stem or size >= ASKED):
-                for w, ids in zip(words, self._ask_words(words), strict=True):
-                    known[w] = ids
-                    for c, stop in stems[w]:
-                        known[c] = ids + self._stops[stop] if stop else ids
+            if pieces != (c,):
+                parted[c] = pieces
+            for p in pieces:
+                if p in last:
+                    known[p] = last[p]
+                elif p not in known:
+                    new.add(p)
+        words, size = [], 0
+        for w in new:
+            words.append(w)
+            size += len(w) + 1
+            if size >= ASKED:
+                known.update(zip(words, self._ask_words(words), strict=True))
                 words, size = [], 0
+        if words:
+            known.update(zip(words, self._ask_words(words), strict=True))
+        for c, pieces in parted.items():
+            known[c] = b"".join([known[p] for p in pieces])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        every = [_chunks(t or "") for t in texts]
+        every = [_chunks(t) if _odd(t) else t.split() for t in (t or "" for t in texts)]
         if len(self._known) >= CACHE:
             self._last, self._known = self._known, {}
         new = set().union(*every).difference(self._known)
-        again = new.intersection(self._last)
-        self._known.update((c, self._last[c]) for c in again)
-        new -= again
         if new:
             self._learn(new)
         found = self._known.__getitem__
@@ -154,7 +169,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], doc_sizes: list[int], part
             frames.append(put(packed[n // 8:(n + BLOCK) // 8].tobytes()))
             counts.append(counts[-1] + int(np.count_nonzero(ones[n:n + BLOCK])))
         header["planes"].append({"frames": frames, "ones": counts})
-        values = np.concatenate([values[~ones], values[ones]])
+        values = np.concatenate([values.compress(~ones), values.compress(ones)])
     head = json.dumps(header, separators=(",", ":")).encode()
     return b"".join([MAGIC, struct.pack("<Q", len(head)), head, *body])
 
@@ -254,8 +269,8 @@ class Shard:
             raw = b"".join(self._part(f) for f in self.header["planes"][level]["frames"])
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=self.n).view(bool)
             above, z = np.empty_like(values), self.zeros[level]
-            above[~ones] = values[:z]
-            above[ones] = values[z:] | kind(1 << (self.levels - 1 - level))
+            above[np.flatnonzero(~ones)] = values[:z]
+            above[np.flatnonzero(ones)] = values[z:] | kind(1 << (self.levels - 1 - level))
             values = above
         return values
 
