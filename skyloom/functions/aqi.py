@@ -38,13 +38,24 @@ def category(index: Column) -> Column:
     return F.when(index.isNotNull(), out)
 
 
+def headline(mean24: Column) -> Column:
+    """struct<subindex24h, category, label> of a mean of 24 hours of PM2.5; null without one."""
+    i = sub_index("pm25", mean24)
+    return F.get(F.transform(F.array(i), lambda x: F.when(x.isNotNull(), F.struct(x.alias("subindex24h"), category(x).alias("category"), F.lit("PM2.5, mean of 24 hours").alias("label")))), 0)
+
+
 def full_index(values: dict[str, Column]) -> Column:
     """struct<aqi, dominant, category>: the greatest index if there are three pollutants with a particulate; the first of equals."""
-    parts = [F.struct(sub_index(p, v).alias("i"), F.lit(-k).alias("k"), F.lit(p).alias("p")) for k, (p, v) in enumerate(values.items())]
-    there = F.filter(F.array(*parts), lambda x: x["i"].isNotNull())
-    top = F.array_max(there)
-    particulate = reduce(lambda a, b: a | b, (sub_index(p, values[p]).isNotNull() for p in PARTICULATES if p in values), F.lit(False))
-    return F.when((F.size(there) >= LEAST_POLLUTANTS) & particulate, F.struct(top["i"].alias("aqi"), top["p"].alias("dominant"), category(top["i"]).alias("category")))
+    def judged(ix):
+        at = {p: F.get(ix, k) for k, p in enumerate(values)}
+        there = reduce(lambda a, b: a + b, (x.isNotNull().cast("int") for x in at.values()))
+        particulate = reduce(lambda a, b: a | b, (at[p].isNotNull() for p in PARTICULATES if p in at), F.lit(False))
+        top = F.array_max(ix)
+        named = F.element_at(F.array(*map(F.lit, values)), F.array_position(ix, top).cast("int"))
+        return F.when((there >= LEAST_POLLUTANTS) & particulate, F.struct(top.alias("aqi"), named.alias("dominant"), category(top).alias("category")))
+
+    # The indices are the one element of an array, so that none is worked out again where it is named.
+    return F.get(F.transform(F.array(F.array(*(sub_index(p, v) for p, v in values.items()))), judged), 0)
 
 
 def breakpoint_rows() -> list[tuple]:

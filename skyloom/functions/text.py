@@ -34,6 +34,19 @@ def violations(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in rules)))
 
 
+def thinking(answer: Column, mark: str = "</think>") -> Column:
+    """struct<thought, answer>: what stands before the first mark, and the rest, trimmed; without a mark all is answer."""
+    at = F.locate(mark, answer)
+    return F.struct(F.when(at > 0, F.substring(answer, F.lit(1), at - 1)).otherwise("").alias("thought"), F.trim(F.when(at > 0, F.substring(answer, at + len(mark), F.length(answer))).otherwise(answer)).alias("answer"))
+
+
+def with_nulls(document: Column, names: list[str]) -> Column:
+    """A JSON object to which the named fields, which must be there, come back as nulls where they are missing."""
+    missing = F.array_join(F.filter(F.array(*map(F.lit, names)), lambda n: ~F.array_contains(F.json_object_keys(document), n)), '":null,"')
+    joint = F.when(document == "{}", "").otherwise(",")
+    return F.when(missing == "", document).otherwise(F.concat(F.substring(document, F.lit(1), F.length(document) - 1), joint, F.lit('"'), missing, F.lit('":null}')))
+
+
 def strip_query(url: Column) -> Column:
     return F.regexp_replace(url, r"[?#].*$", "")
 

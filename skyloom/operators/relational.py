@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, shapes
 
 #: Rows up to which a dimension is broadcast; beyond it Spark's planner decides.
 BROADCAST_ROWS = 200_000
@@ -18,14 +18,15 @@ def small(df: DataFrame) -> DataFrame:
 
 def trailing_join(probe: DataFrame, build: DataFrame, keys: list[str], at: str, then: str, width: int, how: str = "left") -> DataFrame:
     """Rows of ``build`` with ``at - width < then <= at`` for each probe row: an equi-join on buckets of the width, so
-    that no nested loop is planned; each build row has one bucket, each probe row looks into two."""
-    bucket = F.floor(F.col(at) / width)
-    left = probe.withColumn("_b", F.explode(F.array(bucket, bucket - 1)))
-    right = build.withColumn("_b", F.floor(F.col(then) / width))
-    hit = left.join(right, [*keys, "_b"], "inner").where((F.col(then) <= F.col(at)) & (F.col(then) > F.col(at) - width)).drop("_b")
-    if how == "inner":
-        return hit
-    return probe.join(hit.select(*probe.columns, *[c for c in build.columns if c not in keys]), probe.columns, "left")
+    that no nested loop is planned; each probe row has one bucket, each build row lies in two."""
+    bucket = F.floor(F.col(then) / width)
+    left = probe.withColumn("_b", F.floor(F.col(at) / width)).alias("p")
+    right = build.withColumn("_b", F.explode(F.array(bucket, bucket + 1))).alias("q")
+    on = F.expr(f"q.{then} <= p.{at} AND q.{then} > p.{at} - {width}")
+    for k in (*keys, "_b"):
+        on = on & (F.col(f"p.{k}") == F.col(f"q.{k}"))
+    out = left.join(right, on, how)
+    return out.select(*(F.col(f"p.{c}") for c in probe.columns), *(F.col(f"q.{c}") for c in build.columns if c not in keys))
 
 
 def nearest(points: DataFrame, places: DataFrame, point_key: list[str], order: str, within: float | None = None) -> DataFrame:
@@ -49,13 +50,26 @@ def idw(pairs: DataFrame, keys: list[str], km: str, value: str, order: str, powe
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, key: str, missing: Column) -> DataFrame:
     """The first box (by key) that holds each point strictly inside, else ``missing``: an equi-join on grid buckets."""
-    bx, by = (lambda c: F.floor(c / size)), (lambda c: F.floor(c / size))
-    cells = boxes.withColumn("_x", F.explode(F.sequence(bx(F.col("x0")), bx(F.col("x0") + size)))).withColumn("_y", F.explode(F.sequence(by(F.col("y0")), by(F.col("y0") + size))))
-    p = points.withColumns({"_x": bx(F.col("lon")), "_y": by(F.col("lat"))})
-    inside = (F.col("lon") > F.col("x0")) & (F.col("lon") < F.col("x0") + size) & (F.col("lat") > F.col("y0")) & (F.col("lat") < F.col("y0") + size)
-    hits = p.join(small(cells.select("_x", "_y", "x0", "y0", key)), ["_x", "_y"]).where(inside)
-    first = hits.groupBy(*points.columns).agg(F.min(key).alias(key))
-    return points.join(first, points.columns, "left").withColumn(key, F.coalesce(F.col(key), missing))
+    inside = lambda c: (F.col("lon") > c["x0"]) & (F.col("lon") < c["x0"] + size) & (F.col("lat") > c["y0"]) & (F.col("lat") < c["y0"] + size)
+    box = F.struct(F.col("x0").alias("west"), F.col("y0").alias("south"), (F.col("x0") + size).alias("east"), (F.col("y0") + size).alias("north"))
+    return _first_holding(points, boxes.select(key, box.alias("_box"), F.struct(key, "x0", "y0").alias("_c")), size, key, missing, inside)
+
+
+def points_in_rings(points: DataFrame, places: DataFrame, size: float, key: str, missing: Column, ring: str = "ring") -> DataFrame:
+    """The first place (by key) whose closed ring holds each point strictly inside, else ``missing``: an equi-join on grid
+    cells of ``size`` degrees, which each place has as many of as its bounds cover, with the exact test behind it."""
+    inside = lambda c: geo.inside_ring(F.col("lon"), F.col("lat"), c[ring])
+    return _first_holding(points, places.select(key, shapes.bounds(F.col(ring)).alias("_box"), F.struct(key, ring).alias("_c")), size, key, missing, inside)
+
+
+def _first_holding(points: DataFrame, places: DataFrame, size: float, key: str, missing: Column, inside) -> DataFrame:
+    """Each grid cell has the list of places over it, so that a point meets one row and is never multiplied or shuffled twice."""
+    cell = lambda c: F.floor(c / size)
+    cells = places.withColumn("_x", F.explode(F.sequence(cell(F.col("_box.west")), cell(F.col("_box.east"))))).withColumn("_y", F.explode(F.sequence(cell(F.col("_box.south")), cell(F.col("_box.north")))))
+    lists = cells.groupBy("_x", "_y").agg(F.collect_list("_c").alias("_cs"))
+    hits = points.withColumns({"_x": cell(F.col("lon")), "_y": cell(F.col("lat"))}).join(small(lists), ["_x", "_y"], "left")
+    first = F.array_min(F.transform(F.filter("_cs", inside), lambda c: c[key]))
+    return hits.withColumn(key, F.coalesce(first, missing)).drop("_x", "_y", "_cs")
 
 
 def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -348,13 +348,13 @@ def _(spark, d):
     return a.join(F.broadcast(b)).select(F.col("station").alias("a"), "b", r6(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("km"))
 
 
-def loo_pairs(spark, d):
+def loo_pairs(spark, d, others: DataFrame | None = None):
     """(station, hour) with every other station of that hour and its distance."""
     st = t.station(spark)
     other = st.select(F.col("station").alias("o"), F.col("lat").alias("y"), F.col("lon").alias("x"))
     km = F.broadcast(st.join(F.broadcast(other), F.col("station") != F.col("o")).select("station", "o", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")).alias("km")))
     obs = t.obs_hour(spark, d)
-    return obs.select("station", "h").join(km, "station").join(obs.select(F.col("station").alias("o"), "h", "pm25"), ["o", "h"])
+    return obs.select("station", "h").join(km, "station").join((obs if others is None else others).select(F.col("station").alias("o"), "h", "pm25"), ["o", "h"])
 
 
 _LOO = "SELECT a.station, a.h, round(sum(b.pm25 / pow(greatest(k.km, 0.05), 2)) / sum(1 / pow(greatest(k.km, 0.05), 2)), 6) AS idw, round(min(k.km), 6) AS nearest_km, count(*) AS n FROM obs a JOIN obs b ON b.h = a.h AND b.station <> a.station JOIN (SELECT p.station AS x, q.station AS y, " + t.haversine_sql("p", "q") + " AS km FROM station p, station q) k ON k.x = a.station AND k.y = b.station GROUP BY 1, 2"

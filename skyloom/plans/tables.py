@@ -63,7 +63,25 @@ def wards(spark, d) -> DataFrame:
             .select(F.concat(F.lit("delhi_"), F.lpad(k.cast("string"), 3, "0")).alias("ward_id"), k, (SOUTH + F.floor(k / 5) * 0.1).alias("y0"), (WEST + (k % 5) * 0.1).alias("x0"), F.coalesce("population", F.lit(0.0)).alias("population")))
 
 
+#: Corners of a ward's polygon from its south-western corner on; it has a notch in the east.
+RING = ((0.0013, 0.0017), (0.0987, 0.0123), (0.0871, 0.0557), (0.0979, 0.0991), (0.0203, 0.0883))
+
+
+def rings(spark, d) -> DataFrame:
+    """Wards with their polygon as a closed ring."""
+    corners = [F.struct((F.col("x0") + F.lit(x)).alias("x"), (F.col("y0") + F.lit(y)).alias("y")) for x, y in (*RING, RING[0])]
+    return wards(spark, d).withColumn("ring", F.array(*corners))
+
+
+def ward_points(spark, d) -> DataFrame:
+    """Wards with a point inside them."""
+    return wards(spark, d).select("ward_id", "k", (F.col("y0") + 0.0512).alias("lat"), (F.col("x0") + 0.0487).alias("lon"), "population")
+
+
 SQL = {
+    "edges": "SELECT ward_id, k, i, x0 + ax AS ax, y0 + ay AS ay, x0 + bx AS bx, y0 + bz AS bz FROM wards, (VALUES " + ", ".join(
+        f"({i}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for i, (a, b) in enumerate(zip(RING, (*RING[1:], RING[0]), strict=True))) + ") e(i, ax, ay, bx, bz)",
+    "wardpt": "SELECT ward_id, k, y0 + 0.0512::DOUBLE AS lat, x0 + 0.0487::DOUBLE AS lon, population FROM wards",
     "obs_long": "SELECT user_id % 12 AS station, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, CASE event_type WHEN 'view' THEN 'pm25' WHEN 'click' THEN 'pm10' WHEN 'purchase' THEN 'no2' WHEN 'signup' THEN 'so2' WHEN 'error' THEN 'o3' END AS parameter, value, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events",
     "obs": "SELECT station, h, avg(value) AS pm25 FROM obs_long GROUP BY 1, 2",
     "station": "SELECT i AS station, 28.40::DOUBLE + (i * 37 % 49) / 100.0::DOUBLE + 0.005::DOUBLE AS lat, 76.83::DOUBLE + (i * 53 % 52) / 100.0::DOUBLE + 0.005::DOUBLE AS lon FROM range(12) t(i)",
@@ -95,13 +113,16 @@ def category_sql(v: str) -> str:
     return f"(CASE WHEN {v} IS NULL THEN NULL WHEN {v} <= 50 THEN 'Good' WHEN {v} <= 100 THEN 'Satisfactory' WHEN {v} <= 200 THEN 'Moderate' WHEN {v} <= 300 THEN 'Poor' WHEN {v} <= 400 THEN 'Very Poor' ELSE 'Severe' END)"
 
 
+#: What each table of SQL is made of.
+NEEDED: dict[str, list[str]] = {"obs": ["obs_long"], "met": ["obs"], "spine": ["obs"], "series": ["spine"], "edges": ["wards"], "wardpt": ["wards"]}
+
+
 def with_ctes(names: str, query: str) -> str:
     """The query behind the named tables and all that these need, in order."""
-    needed = {"obs": ["obs_long"], "met": ["obs"], "spine": ["obs"], "series": ["spine"]}
     order: list[str] = []
 
     def add(n: str) -> None:
-        for x in needed.get(n, ()):
+        for x in NEEDED.get(n, ()):
             add(x)
         if n not in order:
             order.append(n)

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from skyloom.plans.products import ORACLES, QUERIES
+from skyloom.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
