@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,6 +76,17 @@ def written_files(blobs: DataFrame, name: str, separator: str) -> str:
     return path
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session sets its own bound.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches by size, as texts may be of any length: a bound on rows alone lets a batch of long ones fill the memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of ``batches`` as tuples of the named columns."""
     for batch in batches:
@@ -91,6 +104,17 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> It
             buffer = []
     if buffer:
         yield _batch(buffer, schema)
+        buffer = []
+    _give_back()
+
+
+def _give_back() -> None:
+    """Unused memory of this worker goes back to the system: other stages' tasks use the same worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; elsewhere the allocator is left alone
+    if trim is not None:
+        trim(0)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, hashed_sample, rows_of
+from .common import batches_of, bounded_batches, hashed_sample, rows_of
 
 #: Characters in an n-gram; the places before and after a word count as one.
 SIZE = 4
@@ -35,7 +35,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 800, 10_000
 LEAST_SEEN, LEAST_SHARE = 3, 0.1
 #: Rows of a sample at most, in all languages.
 MOST = 100_000
-_CHUNK = 1_000_000
+#: Characters of text that a task works on at once.
+_CHUNK = 400_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -169,6 +170,7 @@ _PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("sc
 
 def predictions(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every document."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, rows_of, stored
+from .common import batches_of, bounded_batches, rows_of, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -48,7 +48,8 @@ SKETCH, PARTS, RARE = 1 << 21, 64, 1e-3
 BLOCK, BROADCAST_ROWS = 256, 500_000
 #: Members of a bucket up to which its open pairs are listed; documents in the two sides of a block of a larger one.
 SMALL, SIDES = 32, (256, 512)
-_CHUNK = 1_000_000
+#: Characters of text that a task works on at once.
+_CHUNK = 400_000
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE, _U = 0x9E3779B97F4A7C15, np.uint64
 
@@ -208,6 +209,7 @@ def _chunks(rows):
 
 
 def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, hashed_sample, rows_of, written_files
+from .common import batches_of, bounded_batches, hashed_sample, rows_of, written_files
 
 #: Magic number of the skippable frame that holds a dictionary, and an empty skippable frame of another kind (all ASCII).
 DICTIONARY_FRAME = 0x184D2A5D
@@ -136,6 +136,7 @@ def with_revisits(payloads: DataFrame) -> DataFrame:
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> str:
     """Archives all pages; returns the folder of the archives."""
     payloads = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
+    bounded_batches(pages.sparkSession)
     dictionary = train_dictionary(payloads, "page_id")
 
     def run(batches):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, rows_of, stored, written_files
+from .common import batches_of, bounded_batches, rows_of, stored, written_files
 
 MAGIC = b"SKYWAVE1"
 BLOCK = 1 << 17
@@ -314,6 +314,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 4_0
             yield (build(np.frombuffer(b"".join(parts), "<u4"), names, sizes, part, seq, levels),)
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
                .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text"))
     files = ordered.mapInArrow(lambda b: batches_of(shards(b), _FILE, 1), "content binary")
