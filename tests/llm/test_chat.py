@@ -57,3 +57,31 @@ def test_round_trip(spark):
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4), st.sampled_from(["user", "assistant", "system"]), st.text(alphabet="\\sl<>/turn\n\"q é\t", max_size=30), st.just("")), min_size=1, max_size=20))
 def test_any_texts(spark, rows):
     check(spark, rows)
+
+
+def test_conversations_of_any_size(spark):
+    """Texts far over what a variant holds come back whole, in one turn or in many."""
+    long = "a<b\\c é" * 3_000_000
+    check(spark, [(1, 0, "user", "q", ""), (1, 1, "assistant", long, ""), *((2, i, "assistant" if i % 2 else "user", long[:1_500_000], "") for i in range(16))])
+
+
+def test_large_json(spark):
+    long = "x\"y\n" * 5_000_000
+    records = [("messages", {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": long}], "more": 1}, [("user", "a"), ("assistant", long)]),
+               ("shares", {"conversations": [{"from": "gpt", "value": long}]}, [("assistant", long)]), ("prompt", {"prompt": long, "completion": "c"}, [("user", long), ("assistant", "c")]),
+               ("unknown", {"x": long}, [])]
+    rows = [(i, json.dumps(r)) for i, (_, r, _) in enumerate(records)] + [(90, json.dumps(records[0][1])[:-2])]
+    out = {r.id: r for r in chat.canonical(spark.createDataFrame(rows, "id int, record string")).select("id", "layout", "turns").collect()}
+    for i, (name, _, turns) in enumerate(records):
+        assert (out[i].layout, [tuple(t) for t in out[i].turns]) == (name, turns), i
+    assert out[90].layout == "malformed" and out[90].turns == []
+
+
+def test_structs_and_json_give_the_same(spark):
+    rows = [(1, [("user", "a"), ("assistant", None)], "s", None), (2, None, None, None), (3, [], "s", 4), (4, None, None, None)]
+    df = spark.createDataFrame([(i, (m, s, x) if i < 4 else None) for i, m, s, x in rows], "id int, record struct<messages array<struct<role string, content string>>, source string, n int>")
+    own = {r.id: (r.fingerprint, r.layout, r.turns) for r in chat.canonical(df).collect()}
+    text = df.where("record is not null").withColumn("record", F.to_json("record"))
+    for r in chat.canonical(text).where("id <> 3").collect():
+        assert own[r.id] == (r.fingerprint, r.layout, r.turns)
+    assert own[1][1] == "messages" and own[2][1] == own[3][1] == "unknown" and own[4][1] == "malformed"
