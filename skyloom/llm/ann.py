@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of their id. In a shard, vectors enter a directed
-graph in batches: a greedy search from the medoid proposes neighbours, and relaxed pruning keeps a neighbour
+Vectors are dealt to bands of lengths within a factor of 2, and in a band to shards by a hash of their id, of
+``SHARD_BYTES`` at most (smaller ones while cores are free). In a shard, vectors enter a directed graph in batches: a greedy search from the medoid proposes neighbours, and relaxed pruning keeps a neighbour
 only if no kept one is nearer to it by the factor 1/``ALPHA``; reverse edges are pruned the same way. A query
 searches each shard's graph with a beam; the best of all shards are ranked by exact scores in double precision.
 
 The largest inner product is found as the smallest distance once each vector has one more component that makes
-all lengths equal. Equal vectors are one node with many ids. Every row is indexed; nothing is sampled.
+all lengths of its shard equal; as these are alike, single precision does for the walk through the graph, however
+long or short the vectors of other bands are. Bands that hold no more vectors than the beam is wide are put
+together, as all of a graph that small is visited. Equal vectors are one node with many ids. Every row is indexed;
+nothing is sampled. The index of a shard is read once for each ``QUERY_BLOCK`` queries, which stream past it.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or non-finite
 component take no part, nor do null ids. Of rows with one id, the smallest vector counts. Ties go to the smaller
-id; a query never finds its own id.
+id; a query never finds its own id. A product beyond double precision scores infinite, but is ranked by its true size.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import batches_of, stored
 
-#: Vectors in a shard; queries that one task takes to a shard.
-SHARD_ROWS, QUERY_BLOCK = 8192, 8192
+#: Bytes of a shard's vectors at most, vectors below which it is not made smaller, queries that one task takes to a shard.
+SHARD_BYTES, SHARD_LEAST, QUERY_BLOCK = 64 << 20, 8192, 100_000
 #: Edges of a node, width of the beam in building and in searching, nodes expanded at a time, relaxation of pruning.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, STRIDE, ALPHA = 32, 64, 160, 4, 1.2
 _BATCH = 256
@@ -188,34 +191,57 @@ def _reach(graph: Graph) -> None:
         front = lost[:1]
 
 
-def pack_index(ids: np.ndarray, vectors: np.ndarray, longest: float) -> bytes:
+def pack_index(ids: np.ndarray, vectors: np.ndarray) -> bytes:
     """A shard's index: distinct vectors in double precision, their ids in order, and the graph."""
     distinct, which = np.unique(vectors, axis=0, return_inverse=True)
     order = np.lexsort((ids, which.ravel()))
     starts = np.searchsorted(which.ravel()[order], np.arange(len(distinct) + 1))
-    more = np.sqrt(np.clip(1 - (distinct / longest * distinct / longest).sum(axis=1), 0, None))
-    graph = build(np.concatenate([distinct / longest, more[:, None]], axis=1).astype(np.float32))
+    near_one = np.ldexp(distinct, -int(np.frexp(np.abs(distinct).max())[1]))  # squares neither overflow nor vanish
+    near_one /= np.sqrt((near_one * near_one).sum(axis=1).max())
+    more = np.sqrt(np.clip(1 - (near_one * near_one).sum(axis=1), 0, None))
+    graph = build(np.concatenate([near_one, more[:, None]], axis=1).astype(np.float32))
     out = io.BytesIO()
     np.savez(out, x=distinct, ids=ids[order], starts=starts, edges=graph.edges.astype(np.int32), entry=graph.entry, points=graph.x)
     return out.getvalue()
 
 
-def search_index(data: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
-    """(query id, vector id, score) of each query's best k in the shard."""
-    f = np.load(io.BytesIO(data))
-    x, ids, starts = f["x"], f["ids"], f["starts"]
-    graph = Graph(f["points"], f["edges"].astype(np.int64), int(f["entry"]))
-    for lo in range(0, len(queries), _BATCH):
-        q, names = queries[lo:lo + _BATCH], query_ids[lo:lo + _BATCH]
-        unit = q / np.abs(q).max(axis=1, keepdims=True)
-        unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        near, _ = graph.search(np.concatenate([unit, np.zeros((len(q), 1))], axis=1).astype(np.float32), min(max(beam, k + 1), max(2, len(x))))
-        for name, vector, nodes in zip(names.tolist(), q, near, strict=True):
-            nodes = nodes[nodes >= 0]
-            scores = x[nodes] @ vector
-            found = [(-s, i) for s, node in zip(scores.tolist(), nodes.tolist(), strict=True) for i in ids[starts[node]:min(starts[node + 1], starts[node] + k + 1)].tolist() if i != name]
-            for s, i in sorted(found)[:k]:
-                yield name, i, -s
+class Index:
+    """A shard's index as ``pack_index`` gave it."""
+
+    def __init__(self, data: bytes):
+        f = np.load(io.BytesIO(data))
+        self.x, self.ids, self.starts = f["x"], f["ids"], f["starts"]
+        self.graph = Graph(f["points"], f["edges"].astype(np.int64), int(f["entry"]))
+        self.exponent = int(np.frexp(np.abs(self.x).max())[1])
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float, float]]:
+        """(query id, vector id, score, size beyond double precision) of each query's best k in the shard."""
+        for lo in range(0, len(queries), _BATCH):
+            q, names = queries[lo:lo + _BATCH], query_ids[lo:lo + _BATCH]
+            unit = q / np.abs(q).max(axis=1, keepdims=True)
+            unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+            near, _ = self.graph.search(np.concatenate([unit, np.zeros((len(q), 1))], axis=1).astype(np.float32), min(max(beam, k + 1), max(2, len(self.x))))
+            for name, vector, nodes in zip(names.tolist(), q, near, strict=True):
+                nodes = nodes[nodes >= 0]
+                found = []
+                for score, size, node in zip(*self._scores(nodes, vector), nodes.tolist(), strict=True):
+                    some = self.ids[self.starts[node]:min(self.starts[node + 1], self.starts[node] + k + 1)].tolist()
+                    found += [(-score, -size, i) for i in some if i != name]
+                for score, size, i in sorted(found)[:k]:
+                    yield name, i, -score, -size
+
+    def _scores(self, nodes: np.ndarray, vector: np.ndarray) -> tuple[list[float], list[float]]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = self.x[nodes] @ vector
+            size = np.zeros(len(nodes))
+            beyond = ~np.isfinite(scores)
+            if beyond.any():
+                e = int(np.frexp(np.abs(vector).max())[1])
+                small = np.ldexp(self.x[nodes[beyond]], -self.exponent) @ np.ldexp(vector, -e)
+                scores[beyond] = np.ldexp(small, self.exponent + e)
+                size[beyond] = np.sign(small) * np.maximum(0, np.log2(np.maximum(np.abs(small), 1e-300)) + self.exponent + e)
+                size[np.isfinite(scores)] = 0
+        return scores.tolist(), size.tolist()
 
 
 def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -227,27 +253,81 @@ def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return picked.where(F.size("embedding") == (usual.dims if usual else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(rows: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _banded(vectors: DataFrame) -> DataFrame:
+    """Adds ``band``: the length's logarithm, rounded."""
+    top = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / F.col("_top")) * (x / F.col("_top")))
+    return vectors.withColumn("_top", top).withColumn("band", F.floor(F.log2("_top") + F.log2(square) / 2 + 0.5).cast("int")).drop("_top")
+
+
+def dealing(bands: list[tuple[int, int]], per_shard: int, beam: int) -> list[tuple[int, int, int]]:
+    """(band, its first shard, its number of shards) of (band, vectors): small bands in order share one."""
+    out, shard, held, n = [], 0, [], 0
+    for band, count in [*sorted(bands), (0, None)]:
+        if held and (count is None or n + count > beam):
+            shards = max(1, -(-n // per_shard))
+            out += [(b, shard, shards) for b in held]
+            shard, held, n = shard + shards, [], 0
+        held.append(band)
+        n += count or 0
+    return out
+
+
+_INDEX = pa.schema([("shard", pa.int32()), ("content", pa.binary())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("size", pa.float64())])
+
+
+def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a batch."""
+    ids = batch.column(batch.schema.get_field_index("vec_id")).to_numpy(zero_copy_only=False)
+    return ids, batch.column(batch.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def nearest(rows: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM, shard_rows: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of each vector whose id is divisible by ``every``."""
     spark = rows.sparkSession
-    vectors = stored(valid_vectors(rows, id_col, vector_col), "ann-vectors")
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b * b)
-    n, asked, longest = vectors.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(F.sqrt(square))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // QUERY_BLOCK))
-    longest = float(longest or 1.0)
-
-    def indexed(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [key[0]], "content": [pack_index(frame["vec_id"].to_numpy(), np.stack(frame["embedding"].to_numpy()), longest)]})
-
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    index = stored(dealt.groupBy("shard").applyInPandas(indexed, "shard int, content binary"), "ann-index")
-    per_block = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = [] if left.empty or right.empty else list(search_index(left["content"][0], right["vec_id"].to_numpy(), np.stack(right["embedding"].to_numpy()), k, beam))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    found = per_block.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(searched, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    vectors = stored(_banded(valid_vectors(rows, id_col, vector_col)), "ann-vectors")
+    bands = vectors.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"), F.max(F.size("embedding")).alias("dims")).collect()  # a row a power of two
+    n, asked, dims = sum(r.n for r in bands), sum(r.asked for r in bands), max((r.dims for r in bands), default=1)
+    cores = spark.sparkContext.defaultParallelism
+    per_shard = shard_rows or min(max(-(-n // cores), SHARD_LEAST), max(1, SHARD_BYTES // (8 * dims)))
+    table = dealing([(r.band, r.n) for r in bands], per_shard, beam)
+    shards = max((first + many for _, first, many in table), default=1)
+    blocks = max(1, -(-asked // QUERY_BLOCK))
+
+    def indexed(batches):
+        parts: dict[int, list] = {}
+        for batch in batches:
+            ids, x = _vectors(batch)
+            of = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+            for shard in np.unique(of).tolist():
+                parts.setdefault(shard, []).append((ids[of == shard], x[of == shard]))
+        for shard, found in parts.items():
+            yield shard, pack_index(np.concatenate([i for i, _ in found]), np.concatenate([x for _, x in found]))
+
+    dealt = (vectors.join(F.broadcast(spark.createDataFrame(table, "band int, first int, many int")), "band")
+             .select("vec_id", "embedding", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("shard")))
+    index = stored(dealt.repartitionById(shards, "shard").mapInArrow(lambda b: batches_of(indexed(b), _INDEX, 1), "shard int, content binary"), "ann-index")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None)
+    units = index.select("shard", numbers(blocks).alias("block"), F.lit(0).alias("kind"), "content", none.cast("long").alias("vec_id"), none.cast("array<double>").alias("embedding"))
+    queries = vectors.where(F.col("vec_id") % every == 0).select(
+        numbers(shards).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), none.cast("binary").alias("content"), "vec_id", "embedding")
+
+    def searched(batches):
+        unit, opened = None, None
+        for batch in batches:
+            of = batch.column(batch.schema.get_field_index("unit")).to_numpy()
+            content = batch.column(batch.schema.get_field_index("content"))
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if content[lo].is_valid:  # a unit's index comes before its queries
+                    unit, opened, lo = of[lo], Index(content[lo].as_py()), lo + 1
+                if lo < hi and unit == of[lo]:
+                    yield from opened.search(*_vectors(batch.slice(lo, hi - lo)), k, beam)
+
+    met = (units.unionByName(queries).withColumn("unit", F.col("shard") * F.lit(blocks) + F.col("block")).select("unit", "kind", "content", "vec_id", "embedding")
+           .repartitionById(shards * blocks, "unit").sortWithinPartitions("unit", "kind"))
+    found = met.mapInArrow(lambda b: batches_of(searched(b), _FOUND), "query_id long, vec_id long, score double, size double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("size"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

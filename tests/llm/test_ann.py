@@ -46,4 +46,35 @@ def test_odd_rows(spark):
 def test_many_equal_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(3000)] + [(5000 + i, [float(i), 1.0]) for i in range(5)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20, shard_rows=700).where("query_id = 40").orderBy("rank").collect()
-    assert [r.vec_id for r in got][:3] == [5004, 5003, 0 + 5002] or [r.vec_id for r in got][-1] < 25
+    # (i, 1) scores i + 2: 5004 scores 6; 5003 and all equal vectors score 5, the smallest ids first.
+    assert [(r.vec_id, r.score) for r in got] == [(5004, 6.0), *((i, 5.0) for i in range(19))]
+
+
+def recall(got, x, every, k):
+    """Share of the true nearest by exact order; vectors are scaled so that no product overflows."""
+    want = brute(np.arange(len(x)), x, every, k)
+    return np.mean([len(set(g.vec_id) & {i for i, _ in want[q]}) / k for q, g in got.groupby("query_id")])
+
+
+def test_one_vector_far_longer_than_others(spark):
+    rng = np.random.default_rng(1)
+    for factor in (1e3, 1e4, 1e12):
+        x = rng.normal(size=(1500, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x[7] *= factor
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        assert recall(ann.nearest(rows, 20, 20, shard_rows=800).toPandas(), x, 20, 20) > 0.95
+
+
+def test_products_beyond_double_precision(spark):
+    x = np.random.default_rng(2).normal(size=(1200, 16))
+    for factor in (1e200, 1.0):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x * factor)], "vec_id long, embedding array<double>")
+        got = ann.nearest(rows, 20, 10, shard_rows=600).toPandas()
+        assert recall(got, x, 20, 10) > 0.95
+        assert (got.score > 0).all() and np.isinf(got.score).all() == (factor > 1)
+
+
+def test_dealing():
+    assert ann.dealing([], 100, 10) == []
+    assert ann.dealing([(5, 3), (-2, 4), (6, 950), (9, 1)], 400, 10) == [(-2, 0, 1), (5, 0, 1), (6, 1, 3), (9, 4, 1)]
