@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARCHIVE = "location_id long, sensors_id long, location string, datetime string, lat double, lon double, parameter string, units string, value string"
-#: Pollutants and the greatest values that are believed.
+# Pollutants and the greatest values that are believed.
 CAPS = {"pm25": 1500.0, "pm10": 3000.0, "no2": 1000.0, "so2": 1000.0, "o3": 1000.0, "co": 100.0}
 METEO = {"wind_speed_10m": "wind_speed_10m", "wind_direction_10m": "wind_dir_10m", "temperature_2m": "temp_2m", "relative_humidity_2m": "rh_2m", "precipitation": "precip_mm", "boundary_layer_height": "blh_m"}
 STAMPS = ("dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
@@ -66,3 +66,89 @@ def months(first: tuple[int, int], last: tuple[int, int]) -> list[tuple[int, int
     """All months from the first to the last, both included."""
     lo, hi = first[0] * 12 + first[1] - 1, last[0] * 12 + last[1] - 1
     return [(n // 12, n % 12 + 1) for n in range(lo, hi + 1)]
+
+
+def discovered(sensors: DataFrame, station: str, parameter: str) -> DataFrame:
+    """Stations with at least one known pollutant, and all that they measure, in order. A station has few sensors."""
+    found = sensors.groupBy(station).agg(F.array_sort(F.collect_set(parameter)).alias("parameters"))
+    return found.where(F.arrays_overlap("parameters", F.array(*map(F.lit, CAPS))))
+
+
+def fetch_windows(span: DataFrame, days: int, cutoff: Column) -> DataFrame:
+    """The requests that cover the days ``lo`` to ``hi``: archive products up to the cutoff, recent ones after it."""
+    starts = span.select("hi", F.explode(F.sequence("lo", "hi", F.lit(days).cast("long"))).alias("first_day"))
+    return starts.select("first_day", F.least(F.col("first_day") + days - 1, F.col("hi")).alias("last_day"), F.when(F.col("first_day") <= cutoff, "SP").otherwise("NRT").alias("source"))
+
+
+def freshness(rows: DataFrame, key: str, at: str, days: int) -> DataFrame:
+    """Whether each key's last row is within some days of the last of all."""
+    last = rows.groupBy(key).agg(F.max(at).alias("_l"))
+    end = last.agg(F.max("_l").alias("_e"))
+    return last.join(F.broadcast(end)).select(key, (F.col("_l") >= F.timestamp_add("DAY", F.lit(-days), F.col("_e"))).alias("fresh"))
+
+
+def calendar(local: DataFrame) -> DataFrame:
+    """``stage, start, end`` in local time as ``start_utc, end_utc``; an open end stays null."""
+    utc = lambda c: F.timestamp_add("MINUTE", F.lit(-330), F.to_timestamp_ntz(F.col(c), F.lit("yyyy-MM-dd HH:mm")))
+    return local.select("stage", utc("start").alias("start_utc"), utc("end").alias("end_utc"))
+
+
+def cutoffs(products: DataFrame, lines: DataFrame, otherwise: str) -> DataFrame:
+    """``product, cutoff``: the last day of each product's archive from lines ``id,first,last``, a constant where there is none."""
+    parts = F.split("line", ",")
+    known = lines.select(F.regexp_replace(parts[0], "_SP$", "").alias("product"), F.try_to_date(F.get(parts, 2)).alias("day")).where(F.col("line").rlike("^[A-Z0-9_]+_SP,") & F.col("day").isNotNull())
+    best = known.groupBy("product").agg(F.max("day").alias("day"))
+    return products.join(F.broadcast(best), "product", "left").select("product", F.coalesce("day", F.to_date(F.lit(otherwise))).alias("cutoff"))
+
+
+SOURCES = ("openaq", "openmeteo", "firms", "cpcb", "osm", "wards")
+
+
+def sources(spec: str) -> list[str]:
+    """Names of a comma list, or all; an unknown name is an error."""
+    if spec.strip() in ("", "all"):
+        return list(SOURCES)
+    names = list(dict.fromkeys(x.strip() for x in spec.split(",") if x.strip()))
+    if unknown := [n for n in names if n not in SOURCES]:
+        raise ValueError(f"unknown source {unknown[0]}")
+    return names
+
+
+def cached_months(spark: SparkSession, root: str, wanted: list[tuple[int, int]], current: tuple[int, int]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """What a store partitioned by year and month has of the wanted months, and those to fetch: the absent ones and always the
+    current one, whose stored rows are left out."""
+    stored = spark.read.parquet(root)
+    have = {(r.year, r.month) for r in stored.select("year", "month").distinct().collect()}  # a row a month
+    keep = [m for m in wanted if m in have and m != current]
+    chosen = F.lit(False)
+    for y, m in keep:
+        chosen = chosen | ((F.col("year") == y) & (F.col("month") == m))
+    return stored.where(chosen), [m for m in wanted if m not in keep]
+
+
+def cities(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """Configurations (a JSON object a line) of a comma list of slugs, or of all."""
+    every = spark.read.schema("slug string, tier string, bbox array<double>, languages struct<primary: array<string>, regional: string>").json(path)
+    return every if wanted == "all" else every.where(F.col("slug").isin([x.strip() for x in wanted.split(",")]))
+
+
+def seeds(spark: SparkSession, path: str) -> DataFrame:
+    """Stations of a seed file (one JSON array); an empty frame if there is none."""
+    schema = "id long, name string, lat double, lon double, parameters array<string>"
+    return spark.read.schema(schema).option("multiLine", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.json").json(path)
+
+
+def ways(spark: SparkSession, path: str) -> DataFrame:
+    """Ways of a map extract: ``id, tags, line, closed``; those named areas are closed by their first place, lines stay open."""
+    raw = spark.read.option("multiLine", True).schema("elements array<struct<type: string, id: bigint, tags: map<string,string>, geometry: array<struct<lat: double, lon: double>>>>").json(path)
+    e = raw.select(F.explode("elements").alias("e")).select("e.*").where("type = 'way' and size(geometry) >= 2")
+    line = F.transform("geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    rows = e.select("id", "tags", line.alias("line"), (F.try_element_at("tags", F.lit("building")).isNotNull() | F.try_element_at("tags", F.lit("landuse")).isNotNull()).alias("closed"))
+    is_ring = F.element_at("line", 1) == F.element_at("line", -1)
+    return rows.withColumn("line", F.when(F.col("closed") & ~is_ring, F.concat("line", F.slice("line", 1, 1))).otherwise(F.col("line")))
+
+
+def validated(texts: DataFrame, schema: str, column: str = "body") -> DataFrame:
+    """Adds ``data`` and ``error`` (``json`` or null): a body that is no JSON of the shape degrades to an error, not a failure."""
+    parsed = F.from_json(column, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return texts.withColumn("data", parsed).withColumn("error", F.when(F.col(column).isNull() | F.col("data").isNull() | F.col("data._bad").isNotNull(), "json"))

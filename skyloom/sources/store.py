@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_query
@@ -53,3 +53,33 @@ def merged_lineage(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.withColumn("_s", F.lit(0)).unionByName(new.withColumn("_s", F.lit(1)))
     w = Window.partitionBy("source").orderBy(F.desc("_s"), F.desc("fetched_at"))
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_s").withColumn("base_url", strip_query(F.col("base_url")))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The store; filters on time and columns that are not asked for never leave the files."""
+    return spark.read.parquet(path).select(*(n for n, _ in COLUMNS))
+
+
+def enriched(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``base`` with the columns of one source taken anew."""
+    fresh = [c for c in new.columns if c not in keys]
+    return base.drop(*fresh).join(new, keys, "left")
+
+
+def patched(rows: DataFrame, values: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` (key, properties) with a value put into their JSON properties where there is one."""
+    joined = rows.join(values.select(key, F.col(name).alias("_v")), key, "left")
+    added = F.concat(F.substring("properties", F.lit(1), F.length("properties") - 1), F.when(F.col("properties") == "{}", "").otherwise(","), F.lit(f'"{name}":'), F.to_json(F.array("_v")).substr(F.lit(2), F.length(F.to_json(F.array("_v"))) - 2), F.lit("}"))
+    return joined.withColumn("properties", F.when(F.col("_v").isNotNull(), added).otherwise(F.col("properties"))).drop("_v")
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """``city, files, fixture`` of listed files ``path, fixture`` (.../city/name): names by surface in order, and whether one is a stand-in."""
+    parts = F.split("path", "/")
+    named = files.select(F.element_at(parts, -2).alias("city"), F.element_at(parts, -1).alias("name"), "fixture")
+    return named.groupBy("city").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.regexp_replace("name", r"\.[a-z]+$", "").alias("k"), F.col("name").alias("v"))))).alias("files"), F.bool_or("fixture").alias("fixture"))
+
+
+def emit(rows: DataFrame, path: str) -> None:
+    """Documents as compact JSON lines without nulls, in one file."""
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
