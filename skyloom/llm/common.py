@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
@@ -46,19 +46,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hashed_sample(rows: DataFrame, key: Column, size: int, by: str | None = None) -> DataFrame:
-    """The ``size`` rows (of each value of ``by``) with the least hash of ``key``: the hashes alone are ordered first, so
-    that of all other rows nothing but a number leaves its task. More only if hashes are equal at the end."""
-    hashed = rows.withColumn("_h", F.xxhash64(key))
+def hashed_sample(rows: DataFrame, size: int, *key: Column, by: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """About ``size`` rows (of each value of ``by``): those whose hash of ``key`` lies in the first part of all hashes that is
+    expected to hold so many. Nothing is ordered and no key is gathered; all rows if they are no more. Rows of one hash count
+    once, so that a row that is there many times doesn't fill the sample. ``sizes``: rows by value, if they are known."""
+    hashed = rows.withColumn("_h", F.xxhash64(*key))
+    place = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))
     if by is None:
-        last = hashed.select("_h").orderBy("_h").limit(size).agg(F.max("_h")).first()[0]
-        return hashed.where(F.col("_h") <= (last if last is not None else 0)).drop("_h").limit(2 * size)
-    places = hashed.select(by, "_h").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("_h"))).where(F.col("_n") <= size)
-    ends = {r[by]: r["_e"] for r in places.groupBy(by).agg(F.max("_h").alias("_e")).collect()}
-    if not ends:
-        return rows.limit(0)
-    table = rows.sparkSession.createDataFrame(sorted(ends.items()), rows.select(F.col(by), F.lit(0).cast("long").alias("_e")).schema)
-    return hashed.join(F.broadcast(table), by).where("_h <= _e").drop("_h", "_e")
+        n = rows.count()
+        return hashed.where(place < size / max(1, n)).dropDuplicates(["_h"]).drop("_h")
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
+    return hashed.join(counts, by).where(place < F.lit(float(size)) / F.col("_n")).dropDuplicates([by, "_h"]).drop("_h", "_n")
+
+
+#: Rows of a table up to which it is sent to all tasks; beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, which is stored, with a hint to broadcast it if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def written_files(blobs: DataFrame, name: str, separator: str) -> str:

@@ -33,8 +33,8 @@ HASHES, SLOTS_PER_NGRAM = 3, 8
 SAMPLE_DOCS, SAMPLE_CHARS = 800, 10_000
 #: An n-gram belongs to a language if it was seen this often there, and at least this part as often as where it is most usual.
 LEAST_SEEN, LEAST_SHARE = 3, 0.1
-#: Rows of a sample at most, in all languages.
-MOST = 100_000
+#: Documents of the sample in all languages together, and languages that are learned: the most frequent ones.
+MOST, LANGUAGES = 100_000, 2_000
 #: Characters of text that a task works on at once.
 _CHUNK = 400_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -155,10 +155,13 @@ def fit(samples: dict[str, list[str]]) -> Filter:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None) -> Filter:
-    """Fits a filter on a bounded sample of the rows with a text and a language: the first by a hash of ``key``."""
+    """Fits a filter on a bounded sample of the rows with a text and a language, drawn by a hash of ``key`` and text. With many
+    languages each gives fewer documents, so that none of the ``LANGUAGES`` is left out."""
     picked = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.col(text_col) if key is None else key).alias("k"))
     fitting = picked.where((F.col("text") != "") & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    first = hashed_sample(fitting, F.col("k"), SAMPLE_DOCS, "lang").limit(MOST)
+    sizes = fitting.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).collect()
+    table = fitting.sparkSession.createDataFrame([(r.lang, r["_n"]) for r in sizes], "lang string, _n long")
+    first = hashed_sample(fitting, min(SAMPLE_DOCS, MOST // max(1, len(sizes))), F.col("k"), F.col("text"), by="lang", sizes=F.broadcast(table))
     samples: dict[str, list[str]] = {}
     for r in first.select("lang", "text").orderBy("lang", "text").collect():
         samples.setdefault(r.lang, []).append(r.text)

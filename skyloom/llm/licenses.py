@@ -166,7 +166,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     spark: SparkSession = docs.sparkSession
     text = F.col(text_col).cast("string")
     fitting = docs.where((text != "") & (F.length(text) <= SAMPLE_CHARS)).select(text.alias("text"), F.col(id_col).alias("k"))
-    sample = hashed_sample(fitting, F.col("k"), SAMPLE_DOCS)
+    sample = hashed_sample(fitting, SAMPLE_DOCS, F.col("k"), F.col("text"))
     own = [r.text for r in sample.select(F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''").distinct().orderBy("text").collect()]
     cue = ("licen", "copyright", "permission", "spdx", "redistribut", "creative commons", "public domain", "warrant")
     # Paragraphs of the sample that speak of licenses are no examples of ordinary text.

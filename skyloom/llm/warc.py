@@ -43,7 +43,7 @@ def train_dictionary(payloads: DataFrame, id_col: str) -> bytes:
     """A dictionary from about SAMPLE_RECORDS payloads of at most SAMPLE_BYTES, the first by a hash of their id;
     empty if they are too few to train on."""
     fitting = payloads.where(F.octet_length("payload").between(1, SAMPLE_BYTES))
-    sample = hashed_sample(fitting.select("payload", id_col), F.col(id_col), SAMPLE_RECORDS).select("payload").collect()
+    sample = hashed_sample(fitting.select("payload", id_col), SAMPLE_RECORDS, F.col(id_col), F.col("payload")).select("payload").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(r.payload) for r in sample)).as_bytes()
     except (zstandard.ZstdError, ValueError):

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -43,3 +44,40 @@ def test_odd_rows(spark):
     assert [out[i].lang_pred for i in (1, 2, 3, LEARNED, None, 5)] == ["und", "und", "und", "en", "en", "en"]
     assert langid.predictions(df.limit(0), model).collect() == []
     assert langid.predictions(df, langid.train(df.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_each_of_many_languages_is_learned(spark, monkeypatch):
+    """With more languages than the sample has room for, each gives fewer documents; the rarest beyond LANGUAGES are not learned."""
+    monkeypatch.setattr(langid, "MOST", 120)
+    monkeypatch.setattr(langid, "LANGUAGES", 20)
+    rows = [(i, f"word{chr(97 + i % 25) * 4} " * 6 + str(i), f"l{i % 25:02d}") for i in range(25 * 40 + 20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{i:02d}" for i in range(20)]
+
+
+def exact(samples, text):
+    """Each language's n-grams of a text by sets instead of filters."""
+    def grams(t):
+        return langid.ngrams([t])[0].tolist()
+
+    seen = {lang: Counter(g for t in ts for g in grams(t)) for lang, ts in samples.items()}
+    total = {lang: max(1, sum(c.values())) for lang, c in seen.items()}
+    most = {g: max(c[g] / total[lang] for lang, c in seen.items()) for c in seen.values() for g in c}
+    held = {lang: {g for g, n in c.items() if n >= langid.LEAST_SEEN and n / total[lang] >= langid.LEAST_SHARE * most[g]} for lang, c in seen.items()}
+    own = grams(text)
+    return {lang: sum(g in h for g in own) for lang, h in held.items()}
+
+
+def test_counts_equal_exact_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and lang is not null").toPandas()
+    samples = {lang: g.text.tolist()[:40] for lang, g in docs.groupby("lang")}
+    model = langid.fit(samples)
+    texts = [t for t in docs.text.tolist() if len(t) > 40][:120]
+    _, found = model.counts(texts)
+    for t, row, (lang, _) in zip(texts, found, model.predict(texts), strict=True):
+        want = exact(samples, t)
+        n = len(langid.ngrams([t])[0])
+        assert all(abs(row[i] - want[name]) <= 0.02 * n + 6 for i, name in enumerate(model.languages))
+        best = sorted(want.values())
+        if len(best) < 2 or best[-1] - best[-2] > 0.04 * n + 12:
+            assert lang == max(want, key=want.get)
