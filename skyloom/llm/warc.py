@@ -1,7 +1,7 @@
 """WARC archives with a Zstandard dictionary.
 
-A dictionary is trained on a bounded sample of the archived payloads, put in front of each archive as a
-skippable frame, and each record is compressed on its own with it, so that any record can be read by its
+A dictionary is trained on a bounded sample of the archived records, headers and all, put in front of each archive
+as a skippable frame, and each record is compressed on its own with it, so that any record can be read by its
 place. Records with equal payloads (same SHA-1 and length) are written once: the one with the largest id is
 the ``response``, the others are ``revisit`` records that name it.
 
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, hashed_sample, rows_of, written_files
+from .common import batches_of, bounded_batches, hashed_sample, rows_of, sized, stored, written_files
 
 #: Magic number of the skippable frame that holds a dictionary, and an empty skippable frame of another kind (all ASCII).
 DICTIONARY_FRAME = 0x184D2A5D
@@ -39,13 +39,14 @@ DATE = "2024-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
-def train_dictionary(payloads: DataFrame, id_col: str) -> bytes:
-    """A dictionary from about SAMPLE_RECORDS payloads of at most SAMPLE_BYTES, the first by a hash of their id;
-    empty if they are too few to train on."""
-    fitting = payloads.where(F.octet_length("payload").between(1, SAMPLE_BYTES))
-    sample = hashed_sample(fitting.select("payload", id_col), SAMPLE_RECORDS, F.col(id_col), F.col("payload")).select("payload").collect()
+def train_dictionary(payloads: DataFrame) -> bytes:
+    """A dictionary from about SAMPLE_RECORDS records of any size, drawn by a hash of their id and payload; of a payload of
+    more than SAMPLE_BYTES a piece of that size, from a place that the hash tells. Empty if they are too few to train on."""
+    size, h = F.octet_length("payload"), F.pmod(F.xxhash64("page_id", F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    piece = F.substring("payload", (F.floor(h * F.greatest(size - SAMPLE_BYTES, F.lit(0))) + 1).cast("int"), F.lit(SAMPLE_BYTES))
+    sample = hashed_sample(payloads.select("page_id", "url", "payload"), SAMPLE_RECORDS, F.col("page_id"), F.col("payload")).select("page_id", "url", piece.alias("payload")).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(r.payload) for r in sample)).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(record(r.page_id, r.url, bytes(r.payload), None) for r in sample)).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -123,13 +124,14 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[int, str, bytes |
 
 
 def with_revisits(payloads: DataFrame) -> DataFrame:
-    """Adds ``refers_to``. Payloads are compared by digests, so that texts move at most once; a digest that many rows
-    have is reduced to its largest id in each task, and rows find it by a join that splits large keys."""
-    marks = payloads.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
+    """Adds ``refers_to``. Payloads are compared by digests, and only the digests of repeated ones are joined; the payloads
+    themselves move only if the revisits are too many to be sent to all tasks. A digest that many rows have is reduced to
+    its largest id in each task."""
+    marks = stored(payloads.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")), "warc-marks")
     groups = marks.groupBy("sha", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").drop("n")
-    others = marks.join(groups, ["sha", "size"]).where("page_id is null or page_id < last").select("page_id", "sha", "last").distinct()
+    others = stored(marks.join(groups, ["sha", "size"]).where("page_id is null or page_id < last").select("page_id", "sha", "last").distinct(), "warc-revisits")
     keyed = payloads.withColumn("sha", F.sha1("payload"))
-    return (keyed.alias("p").join(others.alias("o"), F.expr("p.page_id <=> o.page_id and p.sha = o.sha"), "left")
+    return (keyed.alias("p").join(sized(others).alias("o"), F.expr("p.page_id <=> o.page_id and p.sha = o.sha"), "left")
             .select("p.page_id", "p.url", "p.payload", F.col("o.last").alias("refers_to")))
 
 
@@ -137,7 +139,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     """Archives all pages; returns the folder of the archives."""
     payloads = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
     bounded_batches(pages.sparkSession)
-    dictionary = train_dictionary(payloads, "page_id")
+    dictionary = train_dictionary(payloads)
 
     def run(batches):
         records = (record(*r) for r in rows_of(batches, "page_id", "url", "payload", "refers_to"))
