@@ -5,7 +5,8 @@ Weights go down a tree of domains, languages and sources. A node whose documents
 to the siblings of its parent, and so on. Each leaf then takes the first tokens of its endless seeded stream: pass
 after pass over its documents, each in another order by a hash of seed, pass and id.
 
-Where a leaf's last pass ends is found from token sums of ``BUCKETS`` ranges of the hash, then within one range,
+Domains and languages are budgeted on the driver, a language's sources in a task of their own. Where a leaf's last
+pass ends is found from token sums of 4096 ranges of the hash, then of 4096 parts of one range, then within one part,
 so no leaf is sorted or gathered. The cut is a row a leaf, and choosing documents is a filter.
 
 Defined results: a null domain, language, source or text is an empty one; a null id is hashed as ``null``. Tokens
@@ -18,14 +19,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 
-#: Ranges of the hash; leaves that a mix may have (their budgets are worked out on the driver).
-BUCKETS, MAX_LEAVES = 4096, 200_000
-LEAF = ("domain", "lang", "source")
+#: Hexadecimal digits of the hash by which ranges are told, and how often.
+DIGITS, LEVELS = 3, 2
+KEYS = ["_domain", "_lang", "_source"]
 
 
 @dataclass(frozen=True)
@@ -65,30 +67,32 @@ def shares(budget: int, weights: list[float], room: list[int]) -> list[int]:
         for i in full:
             given[i] = room[i]
         left -= sum(room[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return given
 
 
 def budgets(tokens: dict[tuple[str, ...], int], total: int, mix: Mix) -> dict[tuple[str, ...], int]:
-    """Each leaf's tokens to take, of those it has."""
-    def down(prefix: tuple[str, ...], leaves: dict[tuple[str, ...], int], budget: int) -> dict[tuple[str, ...], int]:
-        depth = len(prefix)
-        if leaves and depth == len(next(iter(leaves))):
-            return {prefix: budget}
-        names = sorted({k[depth] for k in leaves})
-        groups = [{k: n for k, n in leaves.items() if k[depth] == name} for name in names]
-        room = [sum(room_of(prefix + (name,), g) for name, g in [(name, group)]) for name, group in zip(names, groups, strict=True)]
-        given = shares(budget, [mix.weight((*prefix, name)) for name in names], room)
-        out = {}
-        for name, group, part in zip(names, groups, given, strict=True):
-            out |= down((*prefix, name), group, part)
-        return out
-
-    def room_of(prefix: tuple[str, ...], leaves: dict[tuple[str, ...], int]) -> int:
-        # What a subtree can take: nothing below a weight of 0.
-        return sum(n * mix.epochs for k, n in leaves.items() if all(mix.weight(k[:d]) > 0 for d in range(len(prefix) + 1, len(k) + 1)))
-
-    return down((), tokens, total) if tokens else {}
+    """Each leaf's tokens to take, of those it has. Each level's leaves are parted once, so the work grows with leaves times depth."""
+    depth = len(next(iter(tokens), ()))
+    #: What a subtree can take: nothing below a weight of 0. A leaf's weight is judged at each of its levels.
+    room: dict[tuple[str, ...], int] = {}
+    children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for leaf in sorted(tokens):
+        fits = all(mix.weight(leaf[:k]) > 0 for k in range(1, depth + 1))
+        for k in range(depth + 1):
+            node = leaf[:k]
+            if node not in room:
+                room[node] = 0
+                if k:
+                    children.setdefault(leaf[:k - 1], []).append(node)
+            # Below a node only the levels under it count; a weight of 0 above it leaves it no budget anyway.
+            room[node] += tokens[leaf] * mix.epochs if fits or all(mix.weight(leaf[:j]) > 0 for j in range(k + 1, depth + 1)) else 0
+    given = {(): total} if tokens else {}
+    for node in sorted(children, key=len):
+        parts = shares(given[node], [mix.weight(c) for c in children[node]], [room[c] for c in children[node]])
+        given |= dict(zip(children[node], parts, strict=True))
+    return {leaf: given[leaf] for leaf in tokens}
 
 
 def with_leaf(docs: DataFrame, mix: Mix, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -109,43 +113,63 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
+def _weight(mix: Mix) -> Column:
+    """A leaf's weight among its siblings."""
+    out = F.lit(1.0)
+    whole = {k: w for k, w in mix.weights.items() if len(k) == len(KEYS)}
+    for path, w in [*reversed([x for x in whole.items() if None in x[0]]), *(x for x in whole.items() if None not in x[0])]:
+        fits = F.lit(True)
+        for name, part in zip(KEYS, path, strict=True):
+            fits = fits & (F.lit(True) if part is None else F.col(name) == part)
+        out = F.when(fits, F.lit(float(w))).otherwise(out)
+    return out
+
+
+def leaf_budgets(counted: DataFrame, mix: Mix) -> DataFrame:
+    """``_domain, _lang, _source, n, budget``: the tokens that each leaf has and is to give. The driver sees a row a domain and
+    language; each language's sources are shared out in one task, a few bytes each."""
+    leaves = stored(counted.groupBy(*KEYS).agg(F.sum("n_tokens").alias("n")).withColumn("weight", _weight(mix)), "mix-leaves")
+    nodes = leaves.groupBy("_domain", "_lang").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("weight") > 0, F.col("n")).otherwise(0)).alias("usable")).collect()
+    plan = budgets({(r["_domain"], r["_lang"]): int(r["usable"]) for r in nodes}, int(sum(r["n"] for r in nodes) * mix.share), mix)
+    table = leaves.sparkSession.createDataFrame([(*k, b) for k, b in sorted(plan.items())], "_domain string, _lang string, given long")
+
+    def parted(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_source")
+        room = [int(n) * mix.epochs for n in frame["n"]]
+        return frame[[*KEYS, "n"]].assign(budget=shares(int(frame["given"].iloc[0]), frame["weight"].tolist(), room))
+
+    return leaves.join(sized(table), ["_domain", "_lang"]).groupBy("_domain", "_lang").applyInPandas(parted, "_domain string, _lang string, _source string, n long, budget long")
+
+
 def cuts(counted: DataFrame, mix: Mix) -> DataFrame:
     """A row a leaf: full passes, and the place up to which the next pass is taken. ``counted``: _domain, _lang, _source, doc_id, n_tokens."""
-    keys = ["_domain", "_lang", "_source"]
-    spark = counted.sparkSession
-    leaves = counted.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves: join rare sources into one")
-    tokens = {(r["_domain"], r["_lang"], r["_source"]): int(r["n"] or 0) for r in leaves}
-    plan = budgets(tokens, int(sum(tokens.values()) * mix.share), mix)
-    rows = [(*k, *(divmod(b, tokens[k]) if tokens[k] else (0, 0)), b) for k, b in sorted(plan.items())]
-    table = spark.createDataFrame(rows, "_domain string, _lang string, _source string, _full long, _rest long, _budget long")
-    placed = (counted.join(F.broadcast(table), keys).where("_rest > 0")
-              .withColumn("p", place(mix.seed, F.col("_full"), F.col("doc_id"))).withColumn("b", F.conv(F.substring("p", 1, 3), 16, 10).cast("int")))
-    summed = placed.groupBy(*keys, "_rest", "b").agg(F.sum("n_tokens").alias("n"))
-    before = summed.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("b")) - F.col("n"))
-    # The range in which the budget ends; all ranges before it are taken.
-    edge = stored(before.where("before <= _rest and before + n > _rest").groupBy(*keys, "_rest").agg(F.min(F.struct("b", "before")).alias("e"))
-                  .select(*keys, "_rest", F.col("e.b").alias("b"), F.col("e.before").alias("before")), "mix-edge")
-    last = placed.drop("_rest").join(F.broadcast(edge), [*keys, "b"]).groupBy(*keys, "p", "before", "_rest").agg(F.sum("n_tokens").alias("n"))
-    upto = last.withColumn("end", F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("p"))).where("end <= _rest").groupBy(*keys).agg(F.max("p").alias("_place"))
-    low = edge.select(*keys, F.lpad(F.lower(F.hex("b")), 3, "0").alias("_range"))
-    return table.join(F.broadcast(low), keys, "left").join(F.broadcast(stored(upto, "mix-cut")), keys, "left")
+    some = F.col("n") > 0
+    table = stored(leaf_budgets(counted, mix).select(*KEYS, F.when(some, F.expr("try_divide(budget - budget % greatest(n, 1), n)")).otherwise(0).cast("long").alias("_full"), F.when(some, F.expr("budget % greatest(n, 1)")).otherwise(0).alias("_rest"), F.col("budget").alias("_budget")), "mix-leaf-budgets")
+    placed = counted.join(sized(table.where("_rest > 0").drop("_budget")), KEYS).withColumn("p", place(mix.seed, F.col("_full"), F.col("doc_id")))
+    # The range in which the budget ends, then the part of it; all before it are taken.
+    edge = table.where("_rest > 0").select(*KEYS, F.lit("").alias("_range"), F.lit(0).cast("long").alias("_before"))
+    for level in range(LEVELS):
+        inside = placed.join(sized(edge), KEYS).where(F.substring("p", 1, DIGITS * level) == F.col("_range")) if level else placed.withColumns({"_range": F.lit(""), "_before": F.lit(0).cast("long")})
+        summed = inside.groupBy(*KEYS, "_rest", "_range", "_before", F.substring("p", DIGITS * level + 1, DIGITS).alias("b")).agg(F.sum("n_tokens").alias("n"))
+        end = F.col("_before") + F.sum("n").over(Window.partitionBy(*KEYS).orderBy("b"))  # 4096 rows a leaf at most
+        ended = summed.withColumn("end", end).where("end - n <= _rest and end > _rest")
+        edge = stored(ended.groupBy(*KEYS).agg(F.min(F.struct("b", F.concat("_range", "b").alias("r"), (F.col("end") - F.col("n")).alias("e"))).alias("m")).select(*KEYS, F.col("m.r").alias("_range"), F.col("m.e").alias("_before")), "mix-edge")
+    last = placed.join(sized(edge), KEYS).where(F.substring("p", 1, DIGITS * LEVELS) == F.col("_range")).groupBy(*KEYS, "p", "_before", "_rest").agg(F.sum("n_tokens").alias("n"))
+    upto = last.withColumn("end", F.col("_before") + F.sum("n").over(Window.partitionBy(*KEYS).orderBy("p"))).where("end <= _rest").groupBy(*KEYS).agg(F.max("p").alias("_place"))
+    return table.join(edge.drop("_before"), KEYS, "left").join(stored(upto, "mix-cut"), KEYS, "left")
 
 
 def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The taken rows with all their columns and how many times each is taken (``copies``)."""
     named = with_leaf(docs, mix, lang_col, source_col)
-    keys = ["_domain", "_lang", "_source"]
-    counted = stored(named.select(*keys, F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens")), "mix-counted")
-    return chosen(named, cuts(counted, mix), mix, id_col).drop(*keys)
+    counted = stored(named.select(*KEYS, F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens")), "mix-counted")
+    return chosen(named, cuts(counted, mix), mix, id_col).drop(*KEYS)
 
 
 def chosen(named: DataFrame, table: DataFrame, mix: Mix, id_col: str) -> DataFrame:
-    keys = ["_domain", "_lang", "_source"]
-    out = named.join(F.broadcast(stored(table, "mix-table")), keys)  # a row a leaf, MAX_LEAVES at most
+    out = named.join(sized(stored(table, "mix-table")), KEYS)
     p = place(mix.seed, F.col("_full"), F.col(id_col))
-    part = (F.col("_rest") > 0) & ((F.substring(p, 1, 3) < F.col("_range")) | (p <= F.col("_place")))
+    part = (F.col("_rest") > 0) & ((F.substring(p, 1, DIGITS * LEVELS) < F.col("_range")) | (p <= F.col("_place")))
     copies = F.when(F.col("_budget") > 0, F.col("_full") + F.when(part, 1).otherwise(0)).otherwise(0)
     return out.withColumn("copies", copies).where("copies > 0").drop("_full", "_rest", "_budget", "_range", "_place")
 
@@ -153,7 +177,7 @@ def chosen(named: DataFrame, table: DataFrame, mix: Mix, id_col: str) -> DataFra
 def digest(docs: DataFrame, mix: Mix) -> DataFrame:
     """``doc_id, domain, lang, source, n_tokens, copies`` of the taken documents, from one reading of the texts."""
     named = with_leaf(docs, mix)
-    counted = stored(named.select("_domain", "_lang", "_source", F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n_tokens")), "mix-counted")
+    counted = stored(named.select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n_tokens")), "mix-counted")
     return chosen(counted, cuts(counted, mix), mix, "doc_id").select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), "n_tokens", "copies")
 
 
