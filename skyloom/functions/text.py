@@ -114,6 +114,39 @@ def _number(text: str) -> float | None:
         return None
 
 
+_ROOT, _PART = r"[A-Za-z_][A-Za-z0-9_-]*", r"\.[A-Za-z_][A-Za-z0-9_-]*|\[[0-9]+\]|\[[A-Za-z_][A-Za-z0-9_]*=[^\]]*\]"
+
+
+def parsed_path(path: Column) -> Column:
+    """struct<root, steps: array<struct<kind, name, value>>> of a path in a column; null if it is malformed."""
+    sound = (F.length(path) <= PATH_CHARS) & path.rlike(f"^{_ROOT}(?:{_PART})*$")
+    parts = F.regexp_extract_all(F.regexp_replace(path, f"^{_ROOT}", ""), F.lit(f"({_PART})"), F.lit(1))
+
+    def step(p):
+        inner = F.substring(p, F.lit(2), F.length(p) - 2)
+        kind = F.when(p.startswith("."), "key").when(inner.rlike("^[0-9]+$"), "index").otherwise("select")
+        name = F.when(kind == "key", F.substring(p, F.lit(2), F.length(p))).when(kind == "index", inner).otherwise(F.substring_index(inner, "=", 1))
+        return F.struct(kind.alias("kind"), name.alias("name"), F.when(kind == "select", F.substring(inner, F.locate("=", inner) + 1, F.length(inner))).alias("value"))
+
+    return F.when(sound & (F.size(parts) <= PATH_STEPS), F.struct(F.regexp_extract(path, f"^({_ROOT})", 1).alias("root"), F.transform(parts, step).alias("steps")))
+
+
+def follow(document: Column, steps: Column) -> Column:
+    """The scalar that steps lead to in a JSON text, as text; null if there is none. Values stay JSON text on the way,
+    so a text that begins like an array or object counts as one."""
+    def entered(at, s):
+        items = F.from_json(at, "array<string>")
+        own = lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<map<string,string>>"), 0)[s["name"]]
+        number = s["value"].try_cast("double")
+        equal = lambda x: F.coalesce((own(x) == s["value"]) | (own(x).try_cast("double") == number), F.lit(False))
+        chosen = F.get(F.filter(items, equal), 0)
+        return (F.when(s["kind"] == "key", F.try_element_at(F.from_json(at, "map<string,string>"), s["name"]))
+                .when(s["kind"] == "index", F.get(items, s["name"].try_cast("int"))).otherwise(chosen))
+
+    end = F.aggregate(steps, document, entered)
+    return F.when(~end.rlike(r"^\s*[\[{]"), end)
+
+
 def values_match(a: Column, b: Column) -> Column:
     """Numbers within 0.05 or 2 percent, other strings if equal."""
     x, y = a.try_cast("double"), b.try_cast("double")

@@ -5,46 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_path, resolve_path, values_match
+from ..functions.text import follow, parsed_path, values_match
+from .relational import small
 
-#: Different paths that one run may cite; each is parsed on the driver.
-MAX_PATHS = 10_000
+def resolved(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
+    """``path, truth`` of all cited paths that lead to a scalar. ``artifacts``: root, document (JSON text), a row a document.
 
-
-def resolved(artifacts: DataFrame, paths: list[str]) -> DataFrame:
-    """``path, truth`` of all paths that lead to a scalar. ``artifacts``: root, document (JSON text), a row a document.
-
-    Paths of one document are resolved in one pass over it, as the elements of an array."""
-    by_root: dict[str, list[str]] = {}
-    for p in paths:
-        try:
-            by_root.setdefault(parse_path(p)[0], []).append(p)
-        except ValueError:
-            continue
-    out = artifacts.sparkSession.createDataFrame([], "path string, truth string")
-    for root, own in sorted(by_root.items()):
-        for at in range(0, len(own), 200):
-            found = F.array(*(F.struct(F.lit(p).alias("path"), resolve_path(F.col("document"), p).alias("truth")) for p in own[at:at + 200]))
-            out = out.unionByName(artifacts.where(F.col("root") == root).select(F.explode(found).alias("f")).select("f.path", "f.truth"))
-    return out.where("truth is not null")
-
-
-def _cited(refs: DataFrame) -> list[str]:
-    rows = refs.select("path").distinct().limit(MAX_PATHS + 1).collect()
-    if len(rows) > MAX_PATHS:
-        raise ValueError(f"more than {MAX_PATHS} different paths")
-    return sorted(r.path for r in rows if r.path)
+    A path's steps are arrays of (kind, name, value), so that any number of paths is resolved by a join of paths with the
+    document they name; a malformed path leads nowhere."""
+    paths = refs.select("path").distinct().withColumn("_p", parsed_path(F.col("path"))).where("_p is not null")
+    both = paths.select("path", F.col("_p.root").alias("root"), F.col("_p.steps").alias("steps")).join(small(artifacts), "root")
+    return both.select("path", follow(F.col("document"), F.col("steps")).alias("truth")).where("truth is not null")
 
 
 def verified(briefs: DataFrame, refs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Briefs with the references that resolve, their values replaced by the documents'; those left without any are dropped.
     ``briefs``: brief_id. ``refs``: brief_id, path, value."""
-    good = refs.join(F.broadcast(resolved(artifacts, _cited(refs))), "path")
+    good = refs.join(resolved(artifacts, refs), "path")
     kept = good.groupBy("brief_id").agg(F.sort_array(F.collect_set(F.struct("path", F.col("truth").alias("value")))).alias("refs"))
     return briefs.join(kept, "brief_id")
 
 
 def audited(refs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """``brief_id, ok``: whether all references of a brief resolve to what it says; nothing is repaired."""
-    truth = refs.join(F.broadcast(resolved(artifacts, _cited(refs))), "path", "left")
+    truth = refs.join(resolved(artifacts, refs), "path", "left")
     return truth.groupBy("brief_id").agg(F.bool_and(F.coalesce(values_match(F.col("value"), F.col("truth")), F.lit(False))).alias("ok"))

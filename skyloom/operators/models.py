@@ -60,19 +60,37 @@ def normalised(df: DataFrame, key: str, weather: list[str], times: list[str], la
     by a hash of seed, row and number, and met by an equi-join on their number."""
     assembler = VectorAssembler(inputCols=[*weather, *times], outputCol="_x", handleInvalid="keep")
     model = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=20, seed=seed).fit(assembler.transform(df.dropna(subset=[label, *weather])))
-    pool = df.dropna(subset=weather).select(*weather, (F.row_number().over(Window.orderBy(key)) - 1).alias("_i"))
-    size = pool.agg(F.count(F.lit(1)).alias("_c"))
-    draws = df.select(key, *times).join(F.broadcast(size)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), key, "_k"), F.col("_c")))
-    scored = model.transform(assembler.transform(draws.join(pool, "_i")))
+    pool, size = numbered(df.dropna(subset=weather).select(key, *weather), key, "_i")
+    draws = df.select(key, *times).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), key, "_k"), F.lit(max(1, size))))
+    scored = model.transform(assembler.transform(draws.join(pool.drop(key), "_i")))
     return scored.groupBy(key).agg(F.greatest(F.lit(0.0), F.avg("prediction")).alias("normalised"))
 
 
+def _drawn(seed: int, *names: str) -> Column:
+    """A number of 32 bits drawn by hash, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(n).cast("string") for n in names))), 1, 8), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame, key: str, name: str, buckets: int = 1024) -> tuple[DataFrame, int]:
+    """``rows`` numbered from 0 in the order of buckets of a hash of the key, then of the key, and how many they are: buckets are
+    numbered each by itself and moved by the sizes of those before, so no task orders the whole table."""
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    sizes = sorted((r["_bucket"], r["count"]) for r in dealt.groupBy("_bucket").count().collect())  # a row a bucket
+    before, total = [], 0
+    for bucket, n in sizes:
+        before.append((bucket, total))
+        total += n
+    table = rows.sparkSession.createDataFrame(before, "_bucket int, _before long")
+    placed = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_bucket").orderBy(key))).join(F.broadcast(table), "_bucket")
+    return placed.withColumn(name, F.col("_before") + F.col("_k") - 1).drop("_bucket", "_before", "_k"), total
+
+
 def block_bootstrap(series: DataFrame, at: str, value: Column, block: int = 3, reps: int = 600, seed: int = 7) -> DataFrame:
     """2.5th and 97.5th percentile of the mean over resampled blocks of a short daily series."""
     numbered = series.select(value.alias("_v"), (F.row_number().over(Window.orderBy(at)) - 1).alias("_i"))
     size = numbered.agg(F.count(F.lit(1)).alias("_c"))
     draws = series.sparkSession.range(reps).join(F.broadcast(size)).where(F.col("_c") >= block)
-    starts = draws.withColumn("_b", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_c") / block)))).withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), "id", "_b"), F.col("_c") - block + 1))
+    starts = draws.withColumn("_b", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_c") / block)))).withColumn("_s", _drawn(seed, "id", "_b") % (F.col("_c") - block + 1))
     means = starts.withColumn("_i", F.explode(F.sequence(F.col("_s"), F.col("_s") + block - 1))).join(F.broadcast(numbered), "_i").groupBy("id").agg(F.avg("_v").alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))

@@ -29,16 +29,58 @@ def trailing_join(probe: DataFrame, build: DataFrame, keys: list[str], at: str,
     return out.select(*(F.col(f"p.{c}") for c in probe.columns), *(F.col(f"q.{c}") for c in build.columns if c not in keys))
 
 
+#: Kilometres in a degree of latitude, at least; degrees of a cell of places.
+DEGREE_KM, PLACE_CELL = 110.5, 0.25
+
+
 def nearest(points: DataFrame, places: DataFrame, point_key: list[str], order: str, within: float | None = None) -> DataFrame:
-    """Each point's nearest place (the first in order of equals), with ``km``. The places are a dimension; the best is kept by
-    an aggregate that combines within each task, so that no pairs are shuffled."""
-    p, q = points.select(*point_key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), places
+    """Each point's nearest place (the first in order of equals), with ``km``; points without a place are left out.
+
+    Few places are sent to all tasks, and the best is kept by an aggregate that combines within each task, so that no pairs
+    are shuffled. Many are looked up by cells in rings that grow until each point has found one no farther than its ring."""
+    p = points.select(*point_key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     km = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    pairs = p.join(small(q), F.lit(True)).withColumn("km", km)
-    if within is not None:
-        pairs = pairs.where(F.col("km") < within)
-    best = pairs.groupBy(*point_key).agg(F.min(F.struct("km", order)).alias("m"))
-    return best.select(*point_key, F.col("m")[order].alias(order), F.col("m.km").alias("km"))
+    best = F.min(F.struct(F.col("km"), F.col(order).alias(order))).alias("m")
+    if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pairs = p.join(F.broadcast(places), F.lit(True)).withColumn("km", km)
+        pairs = pairs if within is None else pairs.where(F.col("km") < within)
+        found = pairs.groupBy(*point_key).agg(best)
+    else:
+        found = _nearest_by_cells(p, places, point_key, best, km, within)
+    return found.select(*point_key, F.col("m")[order].alias(order), F.col("m.km").alias("km"))
+
+
+def _nearest_by_cells(p: DataFrame, places: DataFrame, point_key: list[str], best: Column, km: Column, within: float | None) -> DataFrame:
+    """By rings of square cells: a place in a ring of ``r`` cells is surely the nearest if it is within ``r`` cells' least width.
+    Rings double until all points are settled or the whole globe has been looked at."""
+    cell = lambda c: F.floor(c / PLACE_CELL).cast("int")
+    q = places.withColumns({"_x": cell(F.col("lon")), "_y": cell(F.col("lat"))})
+    around = int(360 / PLACE_CELL)
+    open_, out, ring = p, None, 1
+    while True:
+        whole = ring * PLACE_CELL >= 180
+        span = F.sequence(F.lit(-ring), F.lit(ring))
+        if whole:
+            pairs = open_.join(q.drop("_x", "_y"), F.lit(True))
+        else:
+            look = open_.withColumn("_y", F.explode(F.transform(span, lambda k: cell(F.col("_lat")) + k))).withColumn("_x", F.explode(F.transform(span, lambda k: F.pmod(cell(F.col("_lon")) + k + around // 2, F.lit(around)) - around // 2)))
+            pairs = look.join(q, ["_x", "_y"])
+        pairs = pairs.withColumn("km", km)
+        pairs = pairs if within is None else pairs.where(F.col("km") < within)
+        got = pairs.groupBy(*point_key, "_lat", "_lon").agg(best)
+        # Cells are narrower towards the poles; the least width of the ring's rows counts.
+        width = ring * PLACE_CELL * DEGREE_KM * F.cos(F.radians(F.least(F.lit(90.0), F.abs("_lat") + ring * PLACE_CELL)))
+        sure = F.lit(True) if whole else (F.col("m.km") <= width)
+        settled = got.where(sure).select(*point_key, "m")
+        out = settled if out is None else out.unionByName(settled)
+        if whole:
+            return out
+        rest = open_.join(got.where(sure).select(*point_key), point_key, "left_anti")
+        if within is not None:
+            rest = rest.where(width < within)  # those whose ring covers the bound have nothing nearer
+        if rest.isEmpty():
+            return out
+        open_, ring = rest, ring * 4
 
 
 def idw(pairs: DataFrame, keys: list[str], km: str, value: str, order: str, power: int = 2, same_km: float = 0.05) -> DataFrame:
@@ -72,6 +114,36 @@ def _first_holding(points: DataFrame, places: DataFrame, size: float, key: str,
     return hits.withColumn(key, F.coalesce(first, missing)).drop("_x", "_y", "_cs")
 
 
+#: Ranges of values that a key's ranks are looked for in.
+RANGES = 4096
+
+
+def at_ranks(df: DataFrame, key: str, value: str, ranks) -> DataFrame:
+    """``key, n, rank, value``: each key's values at the ranks (from 0) that ``ranks`` gives for its number of values, an array
+    column. First the range of values that holds a rank is found from counts, then the rank in this range from counts of
+    its distinct values, so no key's values are ever sorted or held together."""
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
+    span = rows.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    place = F.coalesce(F.least(F.lit(RANGES - 1), F.floor(F.try_divide((F.col("_v") - F.col("_lo")) * RANGES, F.col("_hi") - F.col("_lo")))), F.lit(0)).cast("int")
+    dealt = rows.join(small(span), key).select(key, "_v", place.alias("_b"))
+    by = Window.partitionBy(key).orderBy("_b")  # RANGES rows a key at most
+    counts = dealt.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_end", F.sum("_c").over(by))
+    wanted = span.select(key, "n", F.explode(ranks(F.col("n"))).alias("rank"))
+    hit = counts.join(wanted, key).where((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_c"))).select(key, "n", "rank", "_b", (F.col("_end") - F.col("_c")).alias("_before"))
+    inside = dealt.join(small(hit), [key, "_b"]).groupBy(key, "n", "rank", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(key, "rank").orderBy("_v"))
+    return inside.withColumn("_end", end).where("_end > rank and _end - _c <= rank").select(key, "n", "rank", F.col("_v").alias("value"))
+
+
+def quantiles(df: DataFrame, key: str, value: str, share: float, name: str) -> DataFrame:
+    """``key, name``: each key's exact quantile, between the two nearest values in proportion."""
+    at = lambda n: (n - 1) * F.lit(float(share))
+    got = at_ranks(df, key, value, lambda n: F.array_distinct(F.array(F.floor(at(n)), F.ceil(at(n)))))
+    low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
+    n = F.first("n")
+    return got.groupBy(key).agg((low + (high - low) * (at(n) - F.floor(at(n)))).alias(name))
+
+
 def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 

@@ -133,10 +133,11 @@ def _(spark, d):
     return recent.where(geo.is_upwind(geo.haversine_km(*here), geo.bearing(*here), F.lit(315.0))).agg(F.round(F.coalesce(F.sum("frp"), F.lit(0.0)), 4).alias("frp"), F.count(F.lit(1)).alias("n"))
 
 
-@query("J17_ward_view", "SELECT c_custkey, coalesce(o_totalprice, c_acctbal) AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 50 = 0")
+@query("J17_ward_view", "SELECT c_custkey, coalesce(v, c_acctbal) AS v FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey")
 def _(spark, d):
-    o = t.read(spark, d, "orders").where("o_orderkey % 50 = 0")
-    return t.read(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("o_totalprice", "c_acctbal").alias("v"))
+    """The greatest finished order of each customer, else the balance."""
+    o = t.read(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("v"))
+    return t.read(spark, d, "customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("v", "c_acctbal").alias("v"))
 
 
 @query("J22_verdicts", "SELECT o_orderkey FROM orders LEFT JOIN (SELECT l_orderkey, bool_and(l_quantity < 45) AS ok FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(ok, true)")
@@ -263,10 +264,15 @@ def _(spark, d):
     return models.normalised(_modelled(spark, d), "row", ["wind_dir", "wind_speed"], ["hour"], "pm25", samples=10)
 
 
-@query("M13_bootstrap")
+_DRAWN = "('0x' || substr(md5('7:' || id || ':' || b), 1, 8))::BIGINT"
+
+
+@query("M13_bootstrap", t.with_ctes("obs", "").rstrip() + ", days AS (SELECT v, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS c FROM (SELECT CAST(floor(h / 24) AS BIGINT) AS day, avg(pm25) AS v FROM obs GROUP BY 1)), "
+       f"starts AS (SELECT id, b, {_DRAWN} % (c - 2) AS s FROM range(600) r(id), (SELECT any_value(c) AS c FROM days), LATERAL (SELECT unnest(range(1, CAST(ceil(c / 3.0) AS BIGINT) + 1)) AS b)), "
+       "means AS (SELECT id, avg(v) AS m FROM starts JOIN days ON i >= s AND i < s + 3 GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 5) AS lo, round(quantile_cont(m, 0.975), 5) AS hi FROM means")
 def _(spark, d):
     days = t.obs_hour(spark, d).groupBy(F.floor(F.col("h") / 24).cast("long").alias("day")).agg(F.avg("pm25").alias("v"))
-    return models.block_bootstrap(days, "day", F.col("v"))
+    return models.block_bootstrap(days, "day", F.col("v")).select(F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
 
 
 def _briefs(spark, d):
