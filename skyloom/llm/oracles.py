@@ -23,10 +23,12 @@ bins AS (
   UNION ALL SELECT rid, b.lang, 'w', 'rest', (n_words - coalesce(h.n, 0))::DOUBLE FROM b LEFT JOIN (SELECT rid, sum(n) AS n FROM hit GROUP BY 1) h USING (rid)
   UNION ALL SELECT rid, lang, 'c', v.bin, v.n::DOUBLE FROM b, LATERAL (SELECT unnest(['u', 'l', 'd', 's', 'y', 'o', 'w']) AS bin, unnest([u, a - u, g, s, n_symbols, greatest(0, length(j) - a - g - s - n_symbols), length(t) - length(j)]) AS n) v),
 refs AS (SELECT lang, kind, bin, n / greatest(1.0, sum(n) OVER (PARTITION BY lang, kind)) AS p, sum(n) OVER (PARTITION BY lang, kind) AS total FROM (SELECT lang, kind, bin, sum(n) AS n FROM bins GROUP BY ALL)),
-dist AS (SELECT rid, kind, max(total) AS total, sqrt(least(1.0, greatest(0.0, sum(CASE WHEN x > 0 THEN x * log2(x / ((x + p) / 2)) ELSE 0 END + CASE WHEN p > 0 THEN p * log2(p / ((x + p) / 2)) ELSE 0 END) / 2))) AS v
-  FROM (SELECT rid, bins.lang, kind, bin, CASE WHEN sum(n) OVER (PARTITION BY rid, kind) > 0 THEN n / sum(n) OVER (PARTITION BY rid, kind) END AS x FROM bins) e JOIN refs USING (lang, kind, bin) GROUP BY 1, 2)
+own AS (SELECT lang FROM refs WHERE kind = 'w' AND lang <> '' GROUP BY lang HAVING max(total) >= {q.REFERENCE_WORDS}),
+held AS (SELECT * FROM refs SEMI JOIN own USING (lang) UNION ALL SELECT l.lang, 'c', bin, p, NULL FROM (SELECT DISTINCT lang FROM b ANTI JOIN own USING (lang)) l, (SELECT bin, sum(n) / greatest(1.0, sum(sum(n)) OVER ()) AS p FROM bins WHERE kind = 'c' GROUP BY bin)),
+dist AS (SELECT rid, kind, sqrt(least(1.0, greatest(0.0, sum(CASE WHEN x > 0 THEN x * log2(x / ((x + p) / 2)) ELSE 0 END + CASE WHEN p > 0 THEN p * log2(p / ((x + p) / 2)) ELSE 0 END) / 2))) AS v
+  FROM (SELECT rid, bins.lang, kind, bin, CASE WHEN sum(n) OVER (PARTITION BY rid, kind) > 0 THEN n / sum(n) OVER (PARTITION BY rid, kind) END AS x FROM bins) e JOIN held USING (lang, kind, bin) GROUP BY 1, 2)
 SELECT doc_id, n_words, length(j) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (n_words < {q.CHAR_GUARD} OR dc.v <= {q.CHAR_DISTANCE}) AND (n_words < {q.WORD_GUARD} OR dw.v <= {q.WORD_DISTANCE}) AS kept
+  NOT base_failed AND (n_words < {q.CHAR_GUARD} OR coalesce(dc.v, 0) <= {q.CHAR_DISTANCE}) AND (n_words < {q.WORD_GUARD} OR coalesce(dw.v, 0) <= {q.WORD_DISTANCE}) AS kept
 FROM b LEFT JOIN dist dc ON dc.rid = b.rid AND dc.kind = 'c' LEFT JOIN dist dw ON dw.rid = b.rid AND dw.kind = 'w'
 """
 

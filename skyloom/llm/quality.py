@@ -5,8 +5,9 @@ pass them are compared with their language: the histogram of their character cla
 common words are held against those of all the language's documents by the Jensen-Shannon distance (base 2,
 0 to 1). Texts below a least length are too small a sample and pass.
 
-Defined results: a null text has no words. A document whose language is null, or has too few words in the whole
-corpus to tell, is compared with all documents together. Repeated rows each count. Windows are compared by
+Defined results: a null text has no words. A document whose language is null, empty or has too few words in the whole
+corpus to tell is compared by its characters with all documents together, and not by common words, which differ
+from language to language. Repeated rows each count. Windows are compared by
 64-bit hashes of their words, within one document. A null id is a row like any other.
 """
 
@@ -83,14 +84,12 @@ def class_counts() -> Column:
 
 
 def common_words(docs: DataFrame, lang: str = "_lang", text: str = "_text") -> dict[str, list[str]]:
-    """Each language's most frequent short words, and those of all documents under EVERY; counted over whole texts."""
-    short = docs.select(F.col(lang).alias("lang"), F.explode(F.filter(F.split(F.col(text), SPACE), lambda w: (F.length(w) <= COMMON_LETTERS) & (w != ""))).alias("word"))
-    # As many rows as languages times short words come out of the first sum; the second adds the languages up.
+    """Each language's most frequent short words, counted over whole texts."""
+    short = docs.where(F.col(lang) != EVERY).select(F.col(lang).alias("lang"), F.explode(F.filter(F.split(F.col(text), SPACE), lambda w: (F.length(w) <= COMMON_LETTERS) & (w != ""))).alias("word"))
     counts = short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    both = counts.select(F.explode(F.array("lang", F.lit(EVERY))).alias("lang"), "word", "n").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    first = both.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON_WORDS)
+    first = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON_WORDS)
     out: dict[str, list[str]] = {}
-    for r in first.where("lang is not null").orderBy("lang", "k").collect():
+    for r in first.orderBy("lang", "k").collect():
         out.setdefault(r.lang, []).append(r.word)
     return out
 

@@ -50,3 +50,21 @@ def test_distance_by_hand(spark):
     m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
     kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x)
     assert abs(got - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-12
+
+
+def test_small_and_null_languages_equal_sql(spark, tmp_path):
+    """Documents of no language, or of one with few words, are held against all documents, as the SQL says."""
+    import duckdb
+
+    from skyloom.llm import oracles
+
+    rng = random.Random(8)
+    prose = lambda n, letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [(i, prose(rng.randint(20, 200), "etaoinshr"), "en") for i in range(60)] + [(100 + i, prose(150, "àéîoçbdfg"), "xx") for i in range(3)]
+    rows += [(200 + i, prose(120, "etaoin"), None) for i in range(10)] + [(300, "9 8 7 6 " * 3 + prose(30, "123456"), None), (301, prose(150, "()!?;:"), "xx"), (302, None, None), (303, prose(140, "etaoin"), "")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = {r[0]: r[1:] for r in duck.execute(f"SELECT doc_id, base_failed, kept FROM ({oracles.OP3})").fetchall()}
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judged(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == want and got[200][1] and not got[300][1] and not got[301][1]
