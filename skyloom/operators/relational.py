@@ -90,6 +90,24 @@ def idw(pairs: DataFrame, keys: list[str], km: str, value: str, order: str, powe
     return pairs.groupBy(*keys).agg(F.coalesce(here[value], F.sum(F.col(value) * w) / F.sum(w)).alias(value))
 
 
+def surroundings(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """Each row with ``others``: the other keys of its time with distance and value, array<struct<o, km, v>>. ``rows``: key, at,
+    value, lat, lon. A time's keys are gathered once, as many as there are stations, and pairs never become rows."""
+    gathered = rows.groupBy(at).agg(F.collect_list(F.struct(F.col(key).alias("o"), F.col(value).alias("v"), "lat", "lon")).alias("_rs"))
+    each = gathered.select(at, F.explode("_rs").alias("_me"), "_rs")
+    me = F.col("_me")
+    others = F.transform(F.filter("_rs", lambda x: x["o"] != me["o"]), lambda x: F.struct(x["o"].alias("o"), geo.haversine_km(me["lat"], me["lon"], x["lat"], x["lon"]).alias("km"), x["v"].alias("v")))
+    return each.select(me["o"].alias(key), at, me["v"].alias(value), others.alias("others"))
+
+
+def weighted_others(least_km: float, power: int = 2) -> Column:
+    """Inverse-distance mean of ``others`` that have a value."""
+    there = F.filter("others", lambda x: x["v"].isNotNull())
+    w = lambda x: 1 / F.pow(F.greatest(x["km"], F.lit(least_km)), F.lit(power))
+    sums = F.aggregate(there, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda t, x: F.struct((t["a"] + x["v"] * w(x)).alias("a"), (t["b"] + w(x)).alias("b")), lambda t: F.try_divide(t["a"], t["b"]))
+    return F.when(F.size(there) > 0, sums)
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, key: str, missing: Column) -> DataFrame:
     """The first box (by key) that holds each point strictly inside, else ``missing``: an equi-join on grid buckets."""
     inside = lambda c: (F.col("lon") > c["x0"]) & (F.col("lon") < c["x0"] + size) & (F.col("lat") > c["y0"]) & (F.col("lat") < c["y0"] + size)

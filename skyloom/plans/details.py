@@ -9,7 +9,7 @@ from ..functions import aqi, display, geo, shapes, text
 from ..operators import relational as rel
 from . import documents as docs
 from . import tables as t
-from .registry import _A10, loo_pairs, mean24, query, r6
+from .registry import _A10, mean24, query, r6, station_rows
 
 # Polygons.
 
@@ -246,10 +246,9 @@ def _(spark, d):
 @query("D6_spatial_context", "SELECT a.station, a.h, round(sum(b.pm25 / pow(greatest(km, 0.05), 2)) / sum(CASE WHEN b.pm25 IS NOT NULL THEN 1 / pow(greatest(km, 0.05), 2) END), 6) AS idw, round(min(km), 6) AS nearest_km, count(*) AS n FROM obs a JOIN series b ON b.h = a.h AND b.station <> a.station JOIN (SELECT p.station AS x, q.station AS y, " + t.haversine_sql("p", "q") + " AS km FROM station p, station q) k ON k.x = a.station AND k.y = b.station GROUP BY 1, 2", "series station")
 def _(spark, d):
     """Like the leave-one-out estimate, but stations without a value at that hour still count as near."""
-    obs = t.obs_hour(spark, d)
-    pairs = loo_pairs(spark, d, rel.hourly_spine(obs, "station"))
-    w = F.when(F.col("pm25").isNotNull(), 1 / F.pow(F.greatest(F.col("km"), F.lit(0.05)), F.lit(2)))
-    return pairs.groupBy("station", "h").agg(r6(F.sum(F.col("pm25") * w) / F.sum(w)).alias("idw"), r6(F.min("km")).alias("nearest_km"), F.count(F.lit(1)).alias("n"))
+    every = rel.hourly_spine(t.obs_hour(spark, d), "station")
+    near = rel.surroundings(station_rows(spark, every), "station", "h", "pm25").where(F.col("pm25").isNotNull() & (F.size("others") > 0))
+    return near.select("station", "h", r6(rel.weighted_others(0.05)).alias("idw"), r6(F.array_min(F.transform("others", lambda x: x["km"]))).alias("nearest_km"), F.size("others").cast("long").alias("n"))
 
 
 @query("Q3_headline", "SELECT station, h, idx AS subindex24h, " + t.category_sql("idx") + f" AS category, 'PM2.5, mean of 24 hours' AS label FROM (SELECT station, h, {t.sub_index_sql('pm25', 'm')} AS idx FROM ({_A10}) WHERE m IS NOT NULL)", "series")

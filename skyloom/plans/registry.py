@@ -322,7 +322,7 @@ def _(spark, d):
     st = t.station(spark)
     f = t.fires(spark, d)
     # The stations are a dimension: distance and bearing of each fire to each are worked out once, before times meet.
-    near = f.crossJoin(F.broadcast(st.select("station", F.col("lat").alias("sl"), F.col("lon").alias("so"))))
+    near = f.crossJoin(rel.small(st.select("station", F.col("lat").alias("sl"), F.col("lon").alias("so"))))
     near = near.select("station", "event_id", "frp", "s", geo.haversine_km(F.col("sl"), F.col("so"), F.col("lat"), F.col("lon")).alias("km"), geo.bearing(F.col("sl"), F.col("so"), F.col("lat"), F.col("lon")).alias("to")).where(F.col("km") <= geo.REACH_KM)
     met = t.with_meteo(t.obs_hour(spark, d)).select("station", "h", "wind_dir", (F.col("h") * 3600).alias("at"))
     hits = rel.trailing_join(met, near, ["station"], "at", "s", 86400, "inner").where(geo.is_upwind(F.col("km"), F.col("to"), F.col("wind_dir")))
@@ -346,13 +346,8 @@ def _(spark, d):
     return a.join(F.broadcast(b)).select(F.col("station").alias("a"), "b", r6(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("km"))
 
 
-def loo_pairs(spark, d, others: DataFrame | None = None):
-    """(station, hour) with every other station of that hour and its distance."""
-    st = t.station(spark)
-    other = st.select(F.col("station").alias("o"), F.col("lat").alias("y"), F.col("lon").alias("x"))
-    km = F.broadcast(st.join(F.broadcast(other), F.col("station") != F.col("o")).select("station", "o", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")).alias("km")))
-    obs = t.obs_hour(spark, d)
-    return obs.select("station", "h").join(km, "station").join((obs if others is None else others).select(F.col("station").alias("o"), "h", "pm25"), ["o", "h"])
+def station_rows(spark, obs: DataFrame) -> DataFrame:
+    return obs.select("station", "h", "pm25").join(rel.small(t.station(spark)), "station")
 
 
 _LOO = "SELECT a.station, a.h, round(sum(b.pm25 / pow(greatest(k.km, 0.05), 2)) / sum(1 / pow(greatest(k.km, 0.05), 2)), 6) AS idw, round(min(k.km), 6) AS nearest_km, count(*) AS n FROM obs a JOIN obs b ON b.h = a.h AND b.station <> a.station JOIN (SELECT p.station AS x, q.station AS y, " + t.haversine_sql("p", "q") + " AS km FROM station p, station q) k ON k.x = a.station AND k.y = b.station GROUP BY 1, 2"
@@ -360,13 +355,16 @@ _LOO = "SELECT a.station, a.h, round(sum(b.pm25 / pow(greatest(k.km, 0.05), 2))
 
 @query("J13_idw_loo", _LOO, "obs station")
 def _(spark, d):
-    w = 1 / F.pow(F.greatest(F.col("km"), F.lit(0.05)), F.lit(2))
-    return loo_pairs(spark, d).groupBy("station", "h").agg(r6(F.sum(F.col("pm25") * w) / F.sum(w)).alias("idw"), r6(F.min("km")).alias("nearest_km"), F.count(F.lit(1)).alias("n"))
+    near = rel.surroundings(station_rows(spark, t.obs_hour(spark, d)), "station", "h", "pm25").where(F.size("others") > 0)
+    return near.select("station", "h", r6(rel.weighted_others(0.05)).alias("idw"), r6(F.array_min(F.transform("others", lambda x: x["km"]))).alias("nearest_km"), F.size("others").cast("long").alias("n"))
 
 
 @query("D7_idw_leave_one_out", "SELECT station, h, idw AS pm25 FROM (" + _LOO + ")", "obs station")
 def _(spark, d):
-    return rel.idw(loo_pairs(spark, d), ["station", "h"], "km", "pm25", "o").withColumn("pm25", r6("pm25"))
+    """A station within 50 m gives its own value, the first of several."""
+    near = rel.surroundings(station_rows(spark, t.obs_hour(spark, d)), "station", "h", "pm25").where(F.size("others") > 0)
+    here = F.array_min(F.transform(F.filter("others", lambda x: (x["km"] < 0.05) & x["v"].isNotNull()), lambda x: F.struct(x["o"].alias("o"), x["v"].alias("v"))))
+    return near.select("station", "h", r6(F.coalesce(here["v"], rel.weighted_others(1e-9))).alias("pm25"))
 
 
 @query("J14_anti", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) ON o_custkey = c_custkey")
