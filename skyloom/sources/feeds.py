@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,3 +154,35 @@ def validated(texts: DataFrame, schema: str, column: str = "body") -> DataFrame:
     """Adds ``data`` and ``error`` (``json`` or null): a body that is no JSON of the shape degrades to an error, not a failure."""
     parsed = F.from_json(column, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return texts.withColumn("data", parsed).withColumn("error", F.when(F.col(column).isNull() | F.col("data").isNull() | F.col("data._bad").isNotNull(), "json"))
+
+
+def live(spark: SparkSession, path: str, sensors: DataFrame) -> DataFrame:
+    """``station_id, ts_utc, parameter, value`` of the latest readings of a JSON answer; ``sensors``: sensor, parameter. The last
+    reading of a sensor counts, values that nobody believes are null."""
+    kind = "results array<struct<datetime: struct<utc: string>, value: double, sensorsId: bigint, locationsId: bigint>>"
+    r = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+    rows = r.select(F.col("sensorsId").alias("sensor"), F.col("locationsId").cast("string").alias("station_id"), F.date_trunc("hour", F.try_to_timestamp("datetime.utc")).alias("ts_utc"), "value").dropna(subset=["ts_utc"])
+    last = rows.groupBy("sensor").agg(F.max_by(F.struct("station_id", "ts_utc", "value"), "ts_utc").alias("m")).select("sensor", "m.*")
+    return last.join(sensors, "sensor").where(F.col("parameter").isin(list(CAPS))).select("station_id", "ts_utc", "parameter", believable(F.col("parameter"), F.col("value")).alias("value"))
+
+
+#: Names of pollutants in the national snapshot.
+SNAPSHOT_NAMES = {"PM2.5": "pm25", "PM10": "pm10", "NO2": "no2", "SO2": "so2", "OZONE": "o3", "CO": "co"}
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Wide rows ``station, ts_utc`` and pollutants of a national snapshot, whose times are local and whose values may say NA."""
+    kind = "records array<struct<station: string, pollutant_id: string, avg_value: string, last_update: string>>"
+    r = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("records").alias("r")).select("r.*")
+    names = F.create_map(*[F.lit(x) for kv in SNAPSHOT_NAMES.items() for x in kv])
+    name = F.try_element_at(names, F.upper(F.trim("pollutant_id")))
+    rows = r.select("station", F.timestamp_add("MINUTE", F.lit(-330), snapshot_time(F.col("last_update"))).alias("ts_utc"), name.alias("parameter"), believable(name, F.col("avg_value").try_cast("double")).alias("value"))
+    return rows.dropna(subset=["station", "ts_utc", "parameter"]).groupBy("station", "ts_utc").pivot("parameter", list(CAPS)).agg(F.avg("value"))
+
+
+def span(start: str, today: datetime.date) -> tuple[datetime.date, datetime.date]:
+    """First and last day to fetch: from a given day to yesterday."""
+    first, last = datetime.date.fromisoformat(start), today - datetime.timedelta(days=1)
+    if first > last:
+        raise ValueError(f"{start} is not before {today}")
+    return first, last

@@ -1,3 +1,4 @@
+import datetime
 import json
 import math
 import random
@@ -157,3 +158,20 @@ def test_publish_and_lookups(spark, tmp_path):
 def test_numbered(spark):
     rows, n = models.numbered(spark.range(500).withColumnRenamed("id", "k"), "k", "i", 16)
     assert n == 500 and sorted(r.i for r in rows.collect()) == list(range(500))
+
+
+def test_live_snapshot_and_many_points(spark, tmp_path):
+    at = lambda h: {"utc": f"2024-01-01T0{h}:20:00Z"}
+    (tmp_path / "l.json").write_text(json.dumps({"results": [{"datetime": at(1), "value": 5.0, "sensorsId": 1, "locationsId": 9}, {"datetime": at(3), "value": 7.0, "sensorsId": 1, "locationsId": 9}, {"datetime": at(2), "value": -1.0, "sensorsId": 2, "locationsId": 9}, {"datetime": {"utc": "x"}, "value": 1.0, "sensorsId": 1}]}))
+    sensors = spark.createDataFrame([(1, "pm25"), (2, "no2"), (3, "bc")], "sensor long, parameter string")
+    got = sorted((r.parameter, r.ts_utc.hour, r.value) for r in feeds.live(spark, str(tmp_path / "l.json"), sensors).collect())
+    assert got == [("no2", 2, None), ("pm25", 3, 7.0)]
+    rows = [("A", "PM2.5", "31", "05-01-2024 10:00:00"), ("A", "OZONE", "NA", "05-01-2024 10:00:00"), ("B", "NH3", "4", "05-01-2024 10:00:00"), ("B", "CO", "2", "bad")]
+    (tmp_path / "s.json").write_text(json.dumps({"records": [dict(zip(("station", "pollutant_id", "avg_value", "last_update"), r, strict=True)) for r in rows]}))
+    got = feeds.snapshot(spark, str(tmp_path / "s.json")).collect()
+    assert [(r.station, r.ts_utc.hour, r.ts_utc.minute, r.pm25, r.o3) for r in got] == [("A", 4, 30, 31.0, None)]
+    (tmp_path / "m.json").write_text(json.dumps([{"latitude": x, "longitude": 2.0, "hourly": {"time": ["2024-01-01T00:00"], "temperature_2m": [x]}} for x in (1.0, 3.0)]))
+    assert sorted((r.latitude, r.temp_2m) for r in feeds.meteo(spark, str(tmp_path / "m.json")).collect()) == [(1.0, 1.0), (3.0, 3.0)]
+    assert feeds.span("2024-01-01", datetime.date(2024, 1, 5)) == (datetime.date(2024, 1, 1), datetime.date(2024, 1, 4))
+    with pytest.raises(ValueError, match="not before"):
+        feeds.span("2024-01-05", datetime.date(2024, 1, 5))
