@@ -30,3 +30,12 @@ def audited(refs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """``brief_id, ok``: whether all references of a brief resolve to what it says; nothing is repaired."""
     truth = refs.join(resolved(artifacts, refs), "path", "left")
     return truth.groupBy("brief_id").agg(F.bool_and(F.coalesce(values_match(F.col("value"), F.col("truth")), F.lit(False))).alias("ok"))
+
+
+def grounded(briefs: DataFrame, books: DataFrame, stages: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Briefs whose effect and interval are the ledger's for their ward, or none; of the stage and scenario that they cite only
+    names that exist stay. ``briefs``: brief_id, ward_id, stage_transition, scenario. ``books``: ward_id, effect, ci_low, ci_high."""
+    real = briefs.join(small(books.select("ward_id", "effect", "ci_low", "ci_high")), "ward_id", "left")
+    a = real.join(small(stages.select("stage_transition", F.lit(True).alias("_a")).distinct()), "stage_transition", "left")
+    b = a.join(small(scenarios.select("scenario", F.lit(True).alias("_b")).distinct()), "scenario", "left")
+    return b.select("brief_id", "ward_id", "effect", "ci_low", "ci_high", F.when(F.col("_a"), F.col("stage_transition")).alias("stage_transition"), F.when(F.col("_b"), F.col("scenario")).alias("scenario"))

@@ -267,6 +267,17 @@ def _(spark, d):
     return rows.select("station", "h", r6("pm25").alias("target"), r6(u).alias("u"), r6(F.sin(2 * F.pi() * _hod(F.col("h")) / 24)).alias("sin24"), F.col("wind_speed").isNull().cast("int").alias("wind_missing"), "idw")
 
 
+@query("M5_forecast_model")
+def _(spark, d):
+    """The quantile forest of one horizon: what is known at an hour, and the time aimed at, give the value a day later."""
+    from ..operators import models
+
+    w = Window.partitionBy("station").orderBy("h")
+    s = rel.hourly_spine(t.obs_hour(spark, d), "station").withColumns({"target": F.lead("pm25", 24).over(w), "lag24": F.lag("pm25", 24).over(w), "hour": _hod(F.col("h") + 24).cast("double"), "place": F.col("station").cast("double")})
+    rows = s.dropna(subset=["pm25", "target"]).withColumn("lag24", F.coalesce("lag24", "pm25"))
+    return models.train_quantiles(rows, ["pm25", "lag24", "hour", "place"], "target", trees=8).predict(rows, ["station", "h"])
+
+
 ORIGINS = (474000, 473900, 473800)
 
 
@@ -387,16 +398,35 @@ def _(spark, d):
     return kept.unionByName(dropped)
 
 
-@query("X19_ledger_names", "SELECT s_suppkey AS brief_id, CASE WHEN s_suppkey % 3 = 0 THEN 'III to IV' END AS stage_transition, CASE WHEN s_suppkey % 4 < 3 THEN 'Act ' || (s_suppkey % 4 + 1) * 24 || 'h earlier' END AS scenario FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 < 3")
+def _named_briefs(spark, d):
+    """A brief a supplier, about a ward or none, citing a stage and a scenario of which some exist."""
+    k = F.col("s_suppkey")
+    ward = F.concat(F.lit("delhi_"), F.lpad((k % 30).cast("string"), 3, "0"))
+    briefs = t.read(spark, d, "supplier").select(k.alias("brief_id"), ward.alias("ward_id"), F.when(k % 3 == 0, "III to IV").otherwise("IV to V").alias("stage_transition"), F.concat(F.lit("Act "), ((k % 4 + 1) * 24).cast("string"), F.lit("h earlier")).alias("scenario"))
+    scenarios = spark.createDataFrame([(f"Act {abs(s)}h earlier",) for s in docs.SHIFTS], "scenario string")
+    stages = spark.createDataFrame([("III to IV",), ("II to III",), ("III to IV",)], "stage_transition string")
+    return briefs, stages, scenarios
+
+
+_CITED = "CASE WHEN s_suppkey % 3 = 0 THEN 'III to IV' END AS stage_transition, CASE WHEN s_suppkey % 4 < 3 THEN 'Act ' || (s_suppkey % 4 + 1) * 24 || 'h earlier' END AS scenario"
+
+
+@query("X19_ledger_names", f"SELECT s_suppkey AS brief_id, {_CITED} FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 < 3")
 def _(spark, d):
     """Of what briefs cite of the ledger only names that it has stay; briefs without any lose the citation."""
-    scenarios = spark.createDataFrame([(f"Act {abs(s)}h earlier",) for s in docs.SHIFTS], "scenario string")
-    stages = spark.createDataFrame([("III to IV",), ("II to III",), ("III to IV",)], "stage_transition string").distinct()
-    k = F.col("s_suppkey")
-    cited = t.read(spark, d, "supplier").select(k.alias("brief_id"), F.when(k % 3 == 0, "III to IV").otherwise("IV to V").alias("stage_transition"), F.concat(F.lit("Act "), ((k % 4 + 1) * 24).cast("string"), F.lit("h earlier")).alias("scenario"))
-    a = cited.join(F.broadcast(stages.withColumn("_a", F.lit(True))), "stage_transition", "left").join(F.broadcast(scenarios.withColumn("_b", F.lit(True))), "scenario", "left")
-    kept = a.select("brief_id", F.when(F.col("_a"), F.col("stage_transition")).alias("stage_transition"), F.when(F.col("_b"), F.col("scenario")).alias("scenario"))
-    return kept.where("stage_transition is not null or scenario is not null")
+    from ..operators import gate
+
+    briefs, stages, scenarios = _named_briefs(spark, d)
+    books = spark.createDataFrame([], "ward_id string, effect double, ci_low double, ci_high double")
+    return gate.grounded(briefs, books, stages, scenarios).select("brief_id", "stage_transition", "scenario").where("stage_transition is not null or scenario is not null")
+
+
+@query("X10_grounded", f"SELECT s_suppkey AS brief_id, ward_id, effect, ci_low, ci_high, {_CITED} FROM (SELECT s_suppkey, 'delhi_' || lpad(CAST(s_suppkey % 30 AS VARCHAR), 3, '0') AS ward_id FROM supplier) LEFT JOIN ledger USING (ward_id)", "ledger")
+def _(spark, d):
+    from ..operators import gate
+
+    briefs, stages, scenarios = _named_briefs(spark, d)
+    return gate.grounded(briefs, docs.ledger(spark, d), stages, scenarios)
 
 
 @query("B15_publish_order", "SELECT * FROM (VALUES ('deep', 1, 'nowcast'), ('deep', 2, 'forecast'), ('deep', 3, 'attribution'), ('deep', 4, 'enforcement'), ('deep', 5, 'advisories'), ('deep', 6, 'ledger'), ('deep', 7, 'replay'), ('standard', 1, 'nowcast'), ('standard', 2, 'forecast'), ('standard', 3, 'advisories')) v(tier, place, surface)")
