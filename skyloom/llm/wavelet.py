@@ -315,8 +315,10 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 4_0
 
     spark = docs.sparkSession
     bounded_batches(spark)
-    ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-               .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # The beginning of the text parts the rows of one id (or of none) among tasks; what is ordered within is the whole text.
+    ordered = (named.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.substring("text", 1, 64))
+               .sortWithinPartitions("doc_id", "text"))
     files = ordered.mapInArrow(lambda b: batches_of(shards(b), _FILE, 1), "content binary")
     return written_files(files, "wavelet", "\n")
 
