@@ -27,13 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, rows_of
+from .common import batches_of, bounded_batches, keeps, rows_of
 
 # The public byte-level pre-tokenizer's pattern; \s is spelled out as the Unicode White_Space set.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Pre-tokens, chunks and pairs kept in each worker; beyond it the store starts anew.
-CACHE, PAIRS = 120_000, 400_000
+#: Chunks, other pre-tokens and pairs kept in each worker. When half of them are new, those before are let go; what recurs is kept.
+CHUNKS, PIECES, PAIRS = 220_000, 40_000, 250_000
 _find = regex.compile(PATTERN).findall
 #: The same pattern for texts below U+0250 without fractions and raised digits, where plain classes say the same.
 _LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
@@ -54,35 +54,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """Pre-token to its ids' bytes, by the encoder when missing; bounded."""
+class _Store(dict):
+    """Strings to their ids' bytes, made when missing; bounded: a new generation takes over what it needs of the last one."""
 
-    def __init__(self, encode):
+    def __init__(self, make, size: int):
         super().__init__()
-        self._encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = struct.pack(f"<{len(out := self._encode(piece.encode("utf-8", "replace")))}I", *out)
-        if len(self) >= CACHE:
-            self.clear()
-        if len(piece) <= 256:
-            self[piece] = ids
-        return ids
-
-
-class _Chunks(dict):
-    """A chunk between single spaces, with the space before it, to its ids' bytes; bounded."""
-
-    def __init__(self, pieces: _Cache):
-        super().__init__()
-        self._pieces = pieces
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(map(self._pieces.__getitem__, pretokens(" " + chunk)))
-        if len(self) >= CACHE:
+        self._make, self._half, self._last = make, size // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self._last.get(key)
+        if ids is None:
+            ids = self._make(key)
+        if len(self) >= self._half:
+            self._last = dict(self)
             self.clear()
-        if len(chunk) <= 256:
-            self[chunk] = ids
+        if len(key) <= 256:
+            self[key] = ids
         return ids
 
 
@@ -99,21 +86,21 @@ class BytePairCodec:
         self.token: list[bytes] = [b""] * size
         for t, i in ids.items():
             self.token[i] = bytes(alphabet[c] for c in t)
-        #: The two parts of each merged token.
+        #: The two parts of each merged token, and by pairs (left << 20 | right) what they merge to.
         self.left, self.right = list(range(size)), list(range(size))
-        self.merged: dict[tuple[int, int], int] = {}
+        self.merged: dict[int, int] = {}
         #: Position in the order of merges; bytes come first.
         self.rank = [-1] * size
         for n, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             whole = ids[a + b]
-            self.merged[ids[a], ids[b]] = whole
+            self.merged[ids[a] << 20 | ids[b]] = whole
             if self.rank[whole] < 0:
                 self.rank[whole], self.left[whole], self.right[whole] = n, ids[a], ids[b]
         by_bytes = {t: i for i, t in enumerate(self.token) if t}
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for t, i in by_bytes.items():
-            self.automaton.add_word(t.decode("latin-1"), (len(t), i))
+            self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         #: The longest other token that a token starts with, or -1.
         self.shorter = [-1] * size
@@ -126,8 +113,9 @@ class BytePairCodec:
             self.token[i] = t.encode()
         self.added = added
         self._special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self._cache = _Cache(self.encode_piece)
-        self._chunks = _Chunks(self._cache)
+        #: By chunk between single spaces, for the space before it too, and by pre-token without a space before it.
+        self._chunks = _Store(self._chunk_ids, CHUNKS)
+        self._cache = _Store(self._piece_ids, PIECES)
         self.blob = np.frombuffer(b"".join(self.token), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in self.token])]).astype(np.int64)
 
@@ -139,7 +127,7 @@ class BytePairCodec:
         rank_a, rank_b = rank[a], rank[b]
         used_a = used_b = len(rank)
         while True:
-            whole = merged.get((a, b))
+            whole = merged.get(a << 20 | b)
             if whole is not None:
                 mine = rank[whole]
                 if mine < used_a and mine <= used_b:
@@ -157,15 +145,16 @@ class BytePairCodec:
         chars = data.decode("latin-1")
         size = len(chars)
         longest = [-1] * size
-        for end, (n, i) in self.automaton.iter(chars):
+        length = self.length
+        for end, i in self.automaton.iter(chars):
             # Ends come in order, so a later match from the same start is longer.
-            longest[end - n + 1] = i
+            longest[end - length[i] + 1] = i
         if -1 in longest:
             raise ValueError("the vocabulary lacks a byte of this text")
         open_ = bytearray(b"\x01") * (size + 1)
         out: list[int] = []
         at, candidate, last = 0, longest[0], -1
-        length, shorter, fits = self.length, self.shorter, self._fits
+        shorter, fits = self.shorter, self._fits
         while True:
             while candidate >= 0:
                 end = at + length[candidate]
@@ -193,6 +182,15 @@ class BytePairCodec:
                 at -= length[candidate]
                 last = out[-1] if out else -1
 
+    def _piece_ids(self, piece: str) -> bytes:
+        return struct.pack(f"<{len(out := self.encode_piece(piece.encode('utf-8', 'replace')))}I", *out)
+
+    def _chunk_ids(self, chunk: str) -> bytes:
+        first, *rest = pretokens(" " + chunk)
+        if not rest:
+            return self._piece_ids(first)
+        return b"".join([self._chunks[first[1:]] if len(first) > 1 else self._cache[first], *map(self._cache.__getitem__, rest)])
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -237,6 +235,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """``doc_id, ids``: each document's token ids, 4 bytes each, little-endian."""
 
     def run(batches):
+        keeps("bpe", codec.cache_clear)
         c = codec(vocabulary)
         return batches_of(((d, c.encode(t)) for d, t in rows_of(batches, "doc_id", "text")), _ENCODED, 512)
 
@@ -247,6 +246,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, text`` of what ``encode`` returned."""
 
     def run(batches):
+        keeps("bpe", codec.cache_clear)
         c = codec(vocabulary)
         return batches_of(((d, c.decode(np.frombuffer(i or b"", "<u4"))) for d, i in rows_of(batches, "doc_id", "ids")), pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), 512)
 
@@ -262,6 +262,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         return doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     def run(batches):
+        keeps("bpe", codec.cache_clear)
         c = codec(vocabulary)
         return batches_of((digests(c, d, t) for d, t in rows_of(batches, "doc_id", "text")), _DIGEST)
 
