@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,6 +115,20 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> It
     _give_back()
 
 
+#: What frees the tables that operators keep in this worker, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, free: Callable[[], None]) -> None:
+    """This worker's tables are now the operator's: those that other operators' tasks left behind are freed."""
+    others = [name for name in _kept if name != operator]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        _give_back()
+    _kept[operator] = free
+
+
 def _give_back() -> None:
     """Unused memory of this worker goes back to the system: other stages' tasks use the same worker."""
     gc.collect()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, hashed_sample, rows_of
+from .common import batches_of, bounded_batches, hashed_sample, keeps, rows_of
 
 #: Characters in an n-gram; the places before and after a word count as one.
 SIZE = 4
@@ -177,6 +177,8 @@ def predictions(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        keeps("langid", _letters.cache_clear)
+
         def rows():
             ids, texts, size = [], [], 0
             for d, t in rows_of(batches, "doc_id", "text"):

@@ -6,8 +6,8 @@ documents share link fewer documents, while a group of copies stays about as ali
 Document frequencies come from a count sketch of constant size over all documents.
 
 ICWS draws samples that two documents share with the probability of their weighted Jaccard similarity. Long
-documents draw one sample in each of ``BANDS * ROWS`` bins of their shingles (empty bins borrow), short ones draw
-each sample from all their shingles; those between do both, so that any two documents of 0.8 or more share a way.
+documents draw one sample in each of as many bins of their shingles (empty bins borrow), short ones draw
+each sample from all their shingles; those between do both, so that any two documents of the threshold or more share a way.
 In bins each repeat of a shingle is an element of its own, by its number, which leaves the similarity as it is: so
 the bins of a long text are filled evenly, even if a word or a passage repeated is all there is to it.
 ``ROWS`` samples make a band; documents with an equal band are candidates.
@@ -25,6 +25,8 @@ all link it. A null id gets a null class. Ties go to the smaller id: a class is
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,14 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, rows_of, stored
+from .common import batches_of, bounded_batches, keeps, rows_of, stored
 
-SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 20, 4
-SAMPLES = BANDS * ROWS
-#: Short documents draw from all shingles up to this many; long ones use bins from OVERLAP of it on. Two documents
-#: of similarity 0.8 differ in their number of shingles by a factor of 0.8 * (1 - DAMPING) at most.
-FULL, OVERLAP, DAMPING = 200, 0.55, 0.25
+SHINGLE, THRESHOLD, LEAST_THRESHOLD = 5, 0.8, 0.5
+#: Samples in a band, the fewest bands, and the chance that two documents of just the threshold share no band.
+ROWS, BANDS, MISSED = 4, 20, 3e-5
+#: Shingles up to which documents draw from all of them; the part of idf that is damped away at most.
+FULL, DAMPING = 200, 0.25
 #: Counters of the sketch, parts that it is summed in, and the share of documents up to which a shingle is rare.
 SKETCH, PARTS, RARE = 1 << 21, 64, 1e-3
 #: Members that one task compares with a bucket's first document; rows up to which a list of ids is broadcast.
@@ -49,11 +50,35 @@ BLOCK, BROADCAST_ROWS = 256, 500_000
 #: Members of a bucket up to which its open pairs are listed; documents in the two sides of a block of a larger one.
 SMALL, SIDES = 32, (256, 512)
 #: Characters of text that a task works on at once.
-_CHUNK = 400_000
+_CHUNK = 250_000
+#: Characters of the documents in a block of a large bucket, on average.
+BLOCK_CHARS = 4_000_000
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE, _U = 0x9E3779B97F4A7C15, np.uint64
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How samples are drawn for a threshold: bands of ROWS samples, and the number of shingles from which on bins are used.
+
+    Two documents of the threshold differ in their number of shingles by a factor of threshold * (1 - DAMPING) at most, so
+    bins begin below FULL by more than that: then two such documents always draw in a way that both have."""
+
+    bands: int
+    bins_from: float
+
+    @property
+    def samples(self) -> int:
+        return self.bands * ROWS
+
+
+def plan_for(threshold: float) -> Plan:
+    if not LEAST_THRESHOLD <= threshold <= 1:
+        raise ValueError(f"near-duplicates are found for thresholds of {LEAST_THRESHOLD} to 1")
+    chance = min(threshold, 0.999) ** ROWS
+    return Plan(max(BANDS, math.ceil(math.log(MISSED) / math.log(1 - chance))), FULL * min(0.55, 0.9 * threshold * (1 - DAMPING)))
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, mod 2**64."""
@@ -145,26 +170,26 @@ def _least(group: np.ndarray, value: np.ndarray, name: np.ndarray, groups: int)
     return np.where(np.isinf(least), _U(0), out)
 
 
-@lru_cache(maxsize=1)
-def _lenders() -> np.ndarray:
+@lru_cache(maxsize=2)
+def _lenders(samples: int) -> np.ndarray:
     """For each bin the order in which it borrows from others."""
-    return np.array([np.random.default_rng(j).permutation(SAMPLES) for j in range(SAMPLES)])
+    return np.array([np.random.default_rng(j).permutation(samples) for j in range(samples)])
 
 
 def _bands(samples: np.ndarray, way: int) -> np.ndarray:
-    out = np.zeros((len(samples), BANDS), _U)
+    out = np.zeros((len(samples), samples.shape[1] // ROWS), _U)
     for k in range(ROWS):
         out = _mix(out * _U(_BASE) + samples[:, k::ROWS])
-    return _mix(out + np.arange(BANDS, dtype=_U)[None, :] * _U(0xA24BAED4963EE407) + _U(way)).view(np.int64)
+    return _mix(out + np.arange(out.shape[1], dtype=_U)[None, :] * _U(0xA24BAED4963EE407) + _U(way)).view(np.int64)
 
 
-def signatures(s: Shingled, weight: np.ndarray) -> list[list[int]]:
+def signatures(s: Shingled, weight: np.ndarray, plan: Plan) -> list[list[int]]:
     """The bands of each text."""
-    docs = len(s.words)
+    docs, samples = len(s.words), plan.samples
     w = weight[_counters(s.key)] * s.count
     size = np.bincount(s.doc, s.count, docs)
     bands: list[list[int]] = [[] for _ in range(docs)]
-    long, short = size >= OVERLAP * FULL, (size > 0) & (size <= FULL)
+    long, short = size >= plan.bins_from, (size > 0) & (size <= FULL)
     if long.any():
         pick = long[s.doc]
         times = s.count[pick]
@@ -172,22 +197,22 @@ def signatures(s: Shingled, weight: np.ndarray) -> list[list[int]]:
         number = np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
         key[number > 0] = _mix(key[number > 0] + number[number > 0].astype(_U) * _U(_BASE))
         value, name = _draw(key, np.log(weight[_counters(np.repeat(s.key[pick], times))]), 1)
-        place = (_mix(key + _U(0x5851F42D4C957F2D)) >> _U(32)) * _U(SAMPLES) >> _U(32)
-        some = _least(of * SAMPLES + place.astype(np.int64), value, name, int(long.sum()) * SAMPLES).reshape(-1, SAMPLES)
+        place = (_mix(key + _U(0x5851F42D4C957F2D)) >> _U(32)) * _U(samples) >> _U(32)
+        some = _least(of * samples + place.astype(np.int64), value, name, int(long.sum()) * samples).reshape(-1, samples)
         full = some != 0
-        for j in range(SAMPLES):
+        for j in range(samples):
             need = ~full[:, j]
             if need.any():
-                order = _lenders()[j]
+                order = _lenders(samples)[j]
                 lender = order[full[need][:, order].argmax(axis=1)]
-                some[need, j] = _mix(some[need, lender] + _U(j + 1) * _U(_BASE))
+                some[need, j] = _mix(some[need, lender] + _U((j + 1) * _BASE % (1 << 64)))
         for i, b in zip(np.flatnonzero(long).tolist(), _bands(some, 1).tolist(), strict=True):
             bands[i] += b
     if short.any():
         pick = short[s.doc]
         key, of, log_w = s.key[pick], (np.cumsum(short) - 1)[s.doc[pick]], np.log(w[pick])
-        some = np.empty((int(short.sum()), SAMPLES), _U)
-        for j in range(SAMPLES):
+        some = np.empty((int(short.sum()), samples), _U)
+        for j in range(samples):
             value, name = _draw(key, log_w, j + 2)
             some[:, j] = _least(of, value, name, len(some))
         for i, b in zip(np.flatnonzero(short).tolist(), _bands(some, 2).tolist(), strict=True):
@@ -195,8 +220,14 @@ def signatures(s: Shingled, weight: np.ndarray) -> list[list[int]]:
     return bands
 
 
+def _free() -> None:
+    _powers.cache_clear()
+    _lenders.cache_clear()
+
+
 def _chunks(rows):
     """Lists of rows whose last column, the text, is about _CHUNK characters in all."""
+    keeps("neardup", _free)
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -255,7 +286,7 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, data[:2].decode(), offset=2).astype(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("chars", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
 
@@ -300,10 +331,13 @@ def verified(docs: DataFrame, pairs: DataFrame, weight, threshold: float) -> Dat
 
 
 def compared(docs: DataFrame, buckets: DataFrame, weight, threshold: float) -> DataFrame:
-    """Links between classes in large buckets ``band, node, root, main``: documents outside the main class against all,
+    """Links between classes in large buckets ``band, node, chars, root, main``: documents outside the main class against all,
     a block of either at a time. Of many links that join the same classes one is given out for each block."""
     outside = F.when(F.col("root") != F.col("main"), 1)
-    blocks = buckets.groupBy("band").agg(F.ceil(F.count(outside) / SIDES[0]).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / SIDES[1]).cast("int").alias("columns"))
+    chars = F.when(F.col("root") != F.col("main"), F.col("chars"))
+    # By number or by size, whichever gives more blocks: a block's texts lie in memory together.
+    parts = lambda n, size, side: F.greatest(F.ceil(n / side), F.ceil(F.coalesce(size, F.lit(0)) / BLOCK_CHARS)).cast("int")
+    blocks = buckets.groupBy("band").agg(parts(F.count(outside), F.sum(chars), SIDES[0]).alias("rows"), parts(F.count(F.lit(1)), F.sum("chars"), SIDES[1]).alias("columns"))
     dealt = buckets.join(blocks, "band")
     own, every = (F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("rows", "columns"))
     mine = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
@@ -317,6 +351,7 @@ def compared(docs: DataFrame, buckets: DataFrame, weight, threshold: float) -> D
     units = need.join(texts, "doc_id").select("band", "i", "j", "side", "doc_id", "root", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
 
     def run(batches):
+        keeps("neardup", _free)
         unit, held = None, []
         for row in rows_of(batches, "band", "i", "j", "side", "doc_id", "root", "text"):
             if row[:3] != unit:
@@ -380,6 +415,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id`` of every document."""
     spark: SparkSession = docs.sparkSession
+    plan = plan_for(threshold)
     picked = _picked(docs, id_col, text_col)
     named = picked.where("doc_id is not null")
     weight = spark.sparkContext.broadcast(damped_idf(sketch(named), named.count()))
@@ -387,11 +423,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     def signed(batches):
         for rows in _chunks(rows_of(batches, "doc_id", "text")):
             s = Shingled([t or "" for _, t in rows])
-            yield from zip([d for d, _ in rows], s.text_keys[0].tolist(), s.text_keys[1].tolist(), signatures(s, weight.value), strict=True)
+            yield from zip([d for d, _ in rows], s.text_keys[0].tolist(), s.text_keys[1].tolist(), [len(t or "") for _, t in rows], signatures(s, weight.value, plan), strict=True)
 
-    texts = stored(named.mapInArrow(lambda b: batches_of(signed(b), _SIGNED, 512), "doc_id long, hi long, lo long, bands array<long>"), "neardup-signed")
-    nodes = stored(texts.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("hi", "lo", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands")), "neardup-nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
+    texts = stored(named.mapInArrow(lambda b: batches_of(signed(b), _SIGNED, 512), "doc_id long, hi long, lo long, chars long, bands array<long>"), "neardup-signed")
+    nodes = stored(texts.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "chars", "bands")).alias("m")).select("hi", "lo", F.col("m.doc_id").alias("node"), F.col("m.chars").alias("chars"), F.col("m.bands").alias("bands")), "neardup-nodes")
+    buckets = nodes.select("node", "chars", F.explode("bands").alias("band"))
     first = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
     shared = stored(buckets.join(first, "band"), "neardup-buckets")
     pairs = stored(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "neardup-pairs")
@@ -402,7 +438,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     links = stored(verified(named, pairs, weight, threshold).select("a", "b").union(apart), "neardup-links")
     roots = components(links)
 
-    rooted = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(roots, "node", "left").select("band", "node", "chars", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("band", "root").count()
     main = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", "root")).alias("m")).where("n > 1").select("band", F.col("m.root").alias("main"))
     counts = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
@@ -411,7 +447,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     outside = few.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("xr"))
     across = outside.join(few, "band").where("root <> xr and (root = main or x < node)").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     more = verified(named, stored(across.join(pairs, ["a", "b"], "left_anti"), "neardup-pairs"), weight, threshold)
-    more = more.unionByName(compared(named, open_.where(F.col("members") > SMALL).select("band", "node", "root", "main"), weight, threshold)).select("a", "b")
+    more = more.unionByName(compared(named, open_.where(F.col("members") > SMALL).select("band", "node", "chars", "root", "main"), weight, threshold)).select("a", "b")
     more = stored(more, "neardup-links")
     final = roots if more.isEmpty() else components(more.union(roots.select("root", "node")))
     out = same.join(final, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id"))

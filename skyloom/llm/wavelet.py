@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, rows_of, stored, written_files
+from .common import batches_of, bounded_batches, keeps, rows_of, stored, written_files
 
 MAGIC = b"SKYWAVE1"
 BLOCK = 1 << 17
@@ -297,6 +297,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 4_0
         yield from zip([d for d, _ in held], encoder.encode_all([t for _, t in held]), strict=True)
 
     def shards(batches):
+        keeps("wavelet", word_encoder.cache_clear)
         encoder = word_encoder(vocabulary)
         levels = max(encoder.size - 1, end_id, 1).bit_length()
         part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,7 +46,7 @@ def test_samples_agree_as_often_as_similarity():
             w = weight[neardup._counters(s.key)] * s.count
             one, two = (slice(s.first[i], s.first[i + 1]) for i in (0, 1))
             want.append(neardup.similarity((s.key[one], w[one]), (s.key[two], w[two])))
-            a, b = neardup.signatures(s, weight)
+            a, b = neardup.signatures(s, weight, neardup.plan_for(0.8))
             hits += len(set(a) & set(b))
             total += max(len(a), len(b))
         assert abs(hits / total - np.mean(np.array(want) ** neardup.ROWS)) < 0.08
@@ -60,7 +61,7 @@ def test_long_texts_of_few_shingles_share_bands():
         lines = " ".join(" ".join([f"w{i}-{k}"] * 104) for k in range(10))
         own = " ".join(f"o{x}" for x in rng.integers(0, 1 << 40, 200))
         for a, b in ((" ".join([f"v{i}"] * 1004), " ".join([f"v{i}"] * 854)), (lines, lines + " " + own)):
-            a, b = neardup.signatures(neardup.Shingled([a, b]), weight)
+            a, b = neardup.signatures(neardup.Shingled([a, b]), weight, neardup.plan_for(0.8))
             assert set(a) & set(b)
             hits, total = hits + len(set(a) & set(b)), total + neardup.BANDS
     assert abs(hits / total - 0.85**neardup.ROWS) < 0.05
@@ -169,3 +170,55 @@ def test_components_of_nodes_with_two_roots(spark):
     edges = [(3, 4), (4, 6), (6, 9), (7, 9), (2, 7)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == dict.fromkeys((2, 3, 4, 6, 7, 9), 2)
+
+
+def weighted_brute(rows, threshold):
+    """Classes by damped idf from exact document frequencies, and how near any pair comes to the threshold."""
+    grams = {d: shingles(t) for d, t in rows}
+    df = defaultdict(int)
+    for g in grams.values():
+        for k in g:
+            df[k] += 1
+    log_rare = np.log(neardup.RARE)
+    weight = {k: 1 - neardup.DAMPING * (1 - np.log(max(n / len(rows), neardup.RARE)) / log_rare) for k, n in df.items()}
+    root = {d: d for d in grams}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids, margin = sorted(grams), 1.0
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            x, y = grams[a], grams[b]
+            shared = sum(min(x[k], y[k]) * weight[k] for k in x.keys() & y.keys())
+            every = sum(n * weight[k] for k, n in x.items()) + sum(n * weight[k] for k, n in y.items()) - shared
+            margin = min(margin, abs(shared / every - threshold))
+            if shared / every >= threshold:
+                a_, b_ = find(a), find(b)
+                root[max(a_, b_)] = min(a_, b_)
+    return {d: find(d) for d in ids}, margin
+
+
+def test_damped_idf_and_other_thresholds_equal_brute_force(spark):
+    """With the weights of real use, texts short and long, a passage that most documents share, and thresholds of 0.6, 0.8 and 0.9."""
+    for threshold, seed in ((0.8, 1), (0.6, 2), (0.9, 3)):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))  # noqa: B023, E731
+        passage = [word() for _ in range(40)]
+        rows = []
+        for _ in range(30):
+            base = [word() for _ in range(rng.choice([60, 110, 180, 230, 500]))]
+            for _ in range(rng.choice([1, 2, 4])):
+                copy = list(base)
+                for _ in range(int(rng.choice([0, 0.2, 0.5, 0.75, 1.6, 2.5]) * (1 - threshold) * len(base) / 10)):
+                    copy[rng.randrange(len(copy))] = word()
+                rows.append((len(rows), " ".join(copy + (passage if rng.random() < 0.7 else []))))
+        want, margin = weighted_brute(rows, threshold)
+        got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+        assert len(set(want.values())) < len(want) and margin > 1e-5
+        assert got == want
+    for wrong in (0.3, 1.2):
+        with pytest.raises(ValueError, match="thresholds"):
+            neardup.plan_for(wrong)
