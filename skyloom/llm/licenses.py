@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -131,9 +132,13 @@ def ngrams_of(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def _plain_words(text: str) -> set[str]:
+    return set(re.findall(r"[^\W_]+", text.lower()))
+
+
 @dataclass
 class Model:
-    """families: names of the classes. cues: the feature words. slots: JSON of the features and their weights by slot.
+    """families: names of the classes. cues: the feature words, without one of which a line is ordinary; none if that isn't so. slots: JSON of the features and their weights by slot.
     start: intercepts. temperature: what scores are divided by. templates: JSON of each class' templates as words."""
 
     families: list[str]
@@ -168,9 +173,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     fitting = docs.where((text != "") & (F.length(text) <= SAMPLE_CHARS)).select(text.alias("text"), F.col(id_col).alias("k"))
     sample = hashed_sample(fitting, SAMPLE_DOCS, F.col("k"), F.col("text"))
     own = [r.text for r in sample.select(F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''").distinct().orderBy("text").collect()]
-    cue = ("licen", "copyright", "permission", "spdx", "redistribut", "creative commons", "public domain", "warrant")
-    # Paragraphs of the sample that speak of licenses are no examples of ordinary text.
-    plain = [t for t in own if not any(c in t.lower() for c in cue)]
+    # Paragraphs of the sample that have many of a notice's words are no examples of ordinary text.
+    notices = [_plain_words(t) for t in (*(t for ts in TEMPLATES.values() for t in ts), *OTHERS)]
+    plain = [t for t in own if not any(2 * len(n & w) >= len(n) for w in [_plain_words(t)] for n in notices)]
     rows = training_rows() + [(t, NONE, i % 4 == 3) for i, t in enumerate(plain)]
     families = [*TEMPLATES, UNKNOWN, NONE]
     data = spark.createDataFrame([(t, float(families.index(c)), h, c == NONE and i >= len(rows) - len(plain)) for i, (t, c, h) in enumerate(rows)], "text string, label double, held boolean, own boolean").withColumn("words", words_of(F.col("text")))
@@ -200,7 +205,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     by_class = [[list(r.w) for r in split if r.i == i] for i in range(len(families))]
     data.unpersist()
     held.unpersist()
-    return Model(families, cues or [""], json.dumps(slots), start, float(temperature), json.dumps(by_class))
+    # A line without features has the intercepts for scores: only if ordinary text leads there can it be passed over.
+    return Model(families, (cues or [""]) if start[-1] == max(start) else [], json.dumps(slots), start, float(temperature), json.dumps(by_class))
 
 
 def classified(words: Column, model: Model) -> Column:
@@ -236,7 +242,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     empty = F.array().cast("array<struct<paragraph int, words array<string>>>")
     lines = F.transform(F.split("_t", "\n"), lambda p, i: F.struct(i.alias("paragraph"), words_of(p).alias("words")))
-    out = out.withColumn("_p", F.when(F.arrays_overlap(words_of(F.col("_t")), cues), F.filter(lines, lambda x: F.arrays_overlap(x["words"], cues))).otherwise(empty))
+    out = out.withColumn("_p", F.when(F.arrays_overlap(words_of(F.col("_t")), cues), F.filter(lines, lambda x: F.arrays_overlap(x["words"], cues))).otherwise(empty) if model.cues else F.filter(lines, lambda x: F.size(x["words"]) > 0))
     out = out.withColumn("_f", F.transform("_p", lambda x: F.struct(x["paragraph"].alias("paragraph"), classified(x["words"], model).alias("c"))))
     out = out.withColumn("_l", F.when(F.exists("_f", lambda x: x["c"]["family"].isin(UNKNOWN, NONE)), lines).otherwise(empty))
     known = F.filter("_f", lambda x: ~x["c"]["family"].isin(UNKNOWN, NONE))

@@ -1,7 +1,11 @@
+import json
+import math
+import random
 import re
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
 from skyloom.llm import licenses
 
@@ -54,3 +58,37 @@ def test_wrapped_notices(spark, model):
     got = families(spark, model, [*texts, "Released under the MIT License.\nUse of this product is subject to the terms of the end user license agreement."])
     known = {i: sorted({f for f in fs if f != licenses.UNKNOWN}) for i, fs in got.items()}
     assert known == {**{i: [f] for i, f in enumerate(want)}, len(want): ["mit"]}
+
+
+def scored(model, text):
+    """Family by adding up the weights of a paragraph's words and pairs of words, one by one."""
+    words = [w for w in re.split(r"(?:[^\w.]|_|\.(?!\d)|(?<!\d)\.)+", text.lower()) if w]
+    weights = {e["g"]: e["w"] for slot in json.loads(model.slots) for e in slot}
+    sums = list(model.start)
+    for g in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}:
+        sums = [a + b for a, b in zip(sums, weights.get(g, [0.0] * len(sums)), strict=True)]
+    top = max(sums)
+    powers = [math.exp((x - top) / model.temperature) for x in sums]
+    p = [x / sum(powers) for x in powers]
+    best = max(range(len(p) - 2), key=lambda i: (p[i], -i))
+    agree = max((len(set(t) & set(words)) / len(t) for t in json.loads(model.templates)[best]), default=0)
+    if p[best] >= licenses.SURE and agree >= licenses.CONFIRM:
+        return model.families[best], p[best]
+    return (licenses.NONE, p[-1]) if p[-1] >= max(p[best], p[-2]) else (licenses.UNKNOWN, 1 - p[-1])
+
+
+def test_scores_by_hand(spark, model):
+    rng = random.Random(4)
+    texts = [t for t, _, _ in licenses.training_rows()][::7] + ["plain words of no kind", "the license of software", *licenses.ORDINARY]
+    texts += [" ".join(rng.choices(rng.choice(texts).split(" "), k=8)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", licenses.classified(licenses.words_of(F.col("t")), model).alias("c"))
+    for r in df.collect():
+        family, sure = scored(model, texts[r.i])
+        assert r.c.family == family and abs(r.c.confidence - sure) < 1e-9, texts[r.i]
+
+
+def test_lines_without_features_are_ordinary(spark, model):
+    assert model.cues and scored(model, "zzz qqq")[0] == licenses.NONE
+    every = licenses.Model(**{**model.__dict__, "cues": []})
+    texts = ["nothing here\nReleased under the MIT License.\nmore", "words only", "Licensed under the Foo Bar Terms 9.1."]
+    assert families(spark, every, texts) == families(spark, model, texts)
