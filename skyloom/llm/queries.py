@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, licenses, mixing, neardup, oracles, quality, warc, wavelet
+from . import ann, bpe, chat, collocations, decontaminate, langid, licenses, mixing, neardup, oracles, quality, spelling, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.stored_output(rows))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_divergence": oracles.OP3, "op4_warc_dictionary": oracles.OP4, "op10_chat_format": oracles.OP10}
+    return {"op3_quality_divergence": oracles.OP3, "op4_warc_dictionary": oracles.OP4, "op10_chat_format": oracles.OP10,
+            "op11_collocations": oracles.OP11, "op12_decontaminate": oracles.OP12, "op13_spelling_variants": oracles.OP13}
