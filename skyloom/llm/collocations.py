@@ -56,11 +56,11 @@ class _Part:
         lang = batch.column("_lang").dictionary_encode()
         self.lang_of, self.lang_names = np.asarray(lang.indices).astype(np.int64), lang.dictionary
 
-    def walk(self, ahead: int) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, int]]:
+    def walk(self, ahead: int, size: int = TOGETHER) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, int]]:
         """Pieces as ids, spellings and languages by id, whether a word follows the one before in its piece, and at how many
         places windows may begin: the last ``ahead`` words come again with the next piece."""
         keep = (np.zeros(0, np.int64),) * 2
-        for begin, end in W.pieces(self.data, self.at, _FOLDING, TOGETHER):
+        for begin, end in W.pieces(self.data, self.at, _FOLDING, size):
             s, e = W.bounds(_FOLDING[self.data[begin:end]], begin, self.at)
             starts, ends = np.concatenate([keep[0], s + begin]), np.concatenate([keep[1], e + begin])
             over = end == len(self.data)

@@ -132,14 +132,14 @@ def joined(first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarr
     return first[new], most(last), start[new], most(end), text[new]
 
 
-def scanned_texts(known: WindowSet, hasher: W.Hashes, column: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+def scanned_texts(known: WindowSet, hasher: W.Hashes, column: pa.Array, size: int = W.PIECE) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
     """Words by text; the runs of hit words; pairs of text and item code."""
     data, at = W.utf8(column)
     counts, longest = np.zeros(len(column), np.int64), max(known.by_length, default=1)
     runs, items = [tuple(np.zeros(0, np.int64) for _ in range(5))], [np.zeros((0, 2), np.int64)]
     before = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     seen = 0
-    for begin, end in W.pieces(data, at, _FOLDING):
+    for begin, end in W.pieces(data, at, _FOLDING, size):
         folded = _FOLDING[data[begin:end]]
         s, e = W.bounds(folded, begin, at)
         text = np.searchsorted(at, s + begin, "right") - 1
@@ -252,8 +252,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     gaps = F.transform("_decontaminated_runs", lambda r, k: F.struct(
         F.when(k > 0, F.get("_decontaminated_runs", k - 1)["end"]).otherwise(F.lit(0)).alias("a"), r["start"].alias("b")))
     part = lambda a, b: f"substring(cast(`{text_col}` as binary), cast({a} as int) + 1, cast({b} - {a} as int))"
-    rest = F.expr(f"cast(concat(array_join(transform(_gaps, g -> decode({part('g.a', 'g.b')}, 'UTF-8')), ''), "
+    rest = F.expr(f"cast(concat(array_join(transform(_decontaminated_gaps, g -> decode({part('g.a', 'g.b')}, 'UTF-8')), ''), "
                   f"decode(substring(cast(`{text_col}` as binary), cast(element_at(_decontaminated_runs, -1).end as int) + 1), 'UTF-8')) as string)")
-    out = rows.join(sized(hit), row, "left").withColumn("_gaps", gaps)
+    out = rows.join(sized(hit), row, "left").withColumn("_decontaminated_gaps", gaps)
     return out.withColumn(text_col, F.when(F.col("_decontaminated_runs").isNull(), F.col(text_col)).otherwise(rest)).select(*names)
 
