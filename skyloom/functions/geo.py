@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 RADIUS_KM, CELL, REACH_KM, HALF_SECTOR = 6371.0088, 0.01, 100.0, 45.0
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_KM) -> Column:
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_KM, cosines: Column | None = None) -> Column:
+    """Great-circle distance; ``cosines``: the product of the latitudes' cosines, where it is at hand."""
+    cosines = F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) if cosines is None else cosines
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + cosines * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 

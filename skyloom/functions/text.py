@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -10,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-TAGS, ENTITIES, CONTROLS = r"[<>]", r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+# Fixed values of the gate; line breaks and tabs are control characters too, as published strings have one line.
+TAGS, ENTITIES, CONTROLS = r"[<>]", r"&(?:#x?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31});", r"[\x00-\x1F\x7F]"
+SPACES = r"[\s\x0B\x85\p{Z}]+"
 SCHEMES = r"(?i)javascript:|vbscript:|data:text/html"
 TOKENS = r"\b(?:nvapi-[A-Za-z0-9_-]{16,}|sk-[A-Za-z0-9]{20,}|gh[opsu]_[A-Za-z0-9]{20,})"
 
@@ -25,7 +26,7 @@ def sanitize(text: Column, compose: bool = True) -> Column:
     out = nfc(text) if compose else text
     for pattern in (TAGS, ENTITIES, CONTROLS):
         out = F.regexp_replace(out, pattern, " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(out, SPACES, " "))
 
 
 def violations(text: Column) -> Column:
@@ -59,95 +60,75 @@ def is_lineage_url(url: Column) -> Column:
     return is_http(url) & ~url.contains("?") & (F.size(violations(url)) == 0)
 
 
-#: ROOT, then any number of .KEY, [index] or [field=value].
-_STEP = re.compile(r"\.([A-Za-z_][\w-]*)|\[(\d+)\]|\[([A-Za-z_]\w*)=([^\]]*)\]")
-PATH_CHARS, PATH_STEPS = 300, 16
+#: Most characters and steps of a path; the tolerance of claimed numbers.
+PATH_CHARS, PATH_STEPS, NEAR, NEAR_SHARE = 300, 16, 0.05, 0.02
+_IDENT = r"[\p{L}\p{N}_]+"
+_STEP = rf"{_IDENT}|\[\s*[0-9]+\s*\]|\[\s*{_IDENT}\s*=[^\]]*\]"
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def parse_path(path: str) -> tuple[str, list[tuple]]:
-    """Root and steps of a path; ValueError if it is malformed."""
-    head = re.match(r"[A-Za-z_][\w-]*", path)
-    if not head or len(path) > PATH_CHARS:
-        raise ValueError(f"bad path: {path[:40]}")
-    steps, at = [], head.end()
-    while at < len(path):
-        m = _STEP.match(path, at)
-        if not m:
-            raise ValueError(f"bad step at {at}: {path[:40]}")
-        steps.append(("key", m[1]) if m[1] else ("index", int(m[2])) if m[2] else ("select", m[3], m[4]))
-        at = m.end()
-    if len(steps) > PATH_STEPS:
-        raise ValueError("too many steps")
-    return head[0], steps
+def parsed_path(path: Column) -> Column:
+    """struct<root, steps: array<struct<kind, name, value>>> of a path; null if it is malformed.
 
+    A path is a root and any number of keys, ``[index]`` and ``[field=value]``; dots stand between keys. Keys may begin with a
+    digit, values hold anything but a closing bracket."""
+    sound = (F.length(path) <= PATH_CHARS) & path.rlike(rf"^\.*{_IDENT}(?:\.|{_STEP})*$")
+    parts = F.regexp_extract_all(path, F.lit(f"({_STEP})"), F.lit(1))
 
-def resolve_path(document: Column, path: str) -> Column:
-    """The scalar at a path of a JSON text, as text; null if there is none. A selector takes the first item that matches."""
-    value = F.try_parse_json(document)
-    for step in parse_path(path)[1]:
-        if step[0] == "key":
-            value = F.try_variant_get(value, f"$.{step[1]}", "variant")
-        elif step[0] == "index":
-            value = F.try_variant_get(value, f"$[{step[1]}]", "variant")
-        else:
-            value = F.get(F.filter(F.try_variant_get(value, "$", "array<variant>"), _selects(step[1], step[2])), 0)
-    kind = F.schema_of_variant(value)
-    return F.when(~kind.rlike("^(OBJECT|ARRAY)"), F.try_variant_get(value, "$", "string"))
+    def step(p):
+        inner = F.trim(F.substring(p, F.lit(2), F.length(p) - 2))
+        kind = F.when(~p.startswith("["), "key").when(inner.rlike("^[0-9]+$"), "index").otherwise("select")
+        name = F.when(kind == "key", p).when(kind == "index", inner).otherwise(F.trim(F.substring_index(inner, "=", 1)))
+        return F.struct(kind.alias("kind"), name.alias("name"), F.when(kind == "select", F.substring(inner, F.locate("=", inner) + 1, F.length(inner))).alias("value"))
 
+    return F.when(sound & (F.size(parts) <= PATH_STEPS), F.struct(F.get(parts, 0).alias("root"), F.transform(F.slice(parts, 2, PATH_STEPS), step).alias("steps")))
 
-def _selects(field: str, text: str):
-    """Whether an item's field has the value; as a number if the item's is one."""
-    number = _number(text)
 
-    def match(item):
-        own = F.try_variant_get(item, f"$.{field}", "variant")
-        equal = F.try_variant_get(own, "$", "string") == text
-        return equal if number is None else F.when(F.schema_of_variant(own).rlike("BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(own, "$", "double") == number).otherwise(equal)
+def scalar(value: Column) -> Column:
+    """struct<kind, text> of a VARIANT that is a number, string, boolean or JSON null (text ``None``); null for anything else."""
+    made = F.schema_of_variant(value)
+    kind = F.when(made == "VOID", "null").when(made == "BOOLEAN", "boolean").when(made == "STRING", "string").when(made.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("None")).alias("text")))
 
-    return match
 
+def _equals(item: Column, text: Column) -> Column:
+    """Whether a field has the value of a selector: as a number if the field is one, as text if it is text."""
+    own = scalar(item)
+    number = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    as_kind = F.when(own["kind"] == "boolean", F.lower(own["text"]) == F.lower(F.trim(text))).when(own["kind"] == "number", own["text"].try_cast("double") == number).otherwise(own["text"] == text)
+    return F.coalesce(as_kind, F.lit(False))
 
-def _number(text: str) -> float | None:
-    try:
-        return float(text)
-    except ValueError:
-        return None
 
+def follow(document: Column, steps: Column) -> Column:
+    """The scalar that steps lead to in a JSON text, as :func:`scalar` has it; null if they lead nowhere or to a container.
+    Values are VARIANT on the way, so types survive. A selector takes the first item that matches."""
+    def entered(at, s):
+        items = F.try_variant_get(at, "$", "array<variant>")
+        fields = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
+        chosen = F.get(F.filter(items, lambda x: _equals(F.try_element_at(fields(x), s["name"]), s["value"])), 0)
+        return (F.when(s["kind"] == "key", F.try_element_at(fields(at), s["name"]))
+                .when(s["kind"] == "index", F.get(items, s["name"].try_cast("int"))).otherwise(chosen))
 
-_ROOT, _PART = r"[A-Za-z_][A-Za-z0-9_-]*", r"\.[A-Za-z_][A-Za-z0-9_-]*|\[[0-9]+\]|\[[A-Za-z_][A-Za-z0-9_]*=[^\]]*\]"
+    return scalar(F.aggregate(steps, F.try_parse_json(document), entered))
 
 
-def parsed_path(path: Column) -> Column:
-    """struct<root, steps: array<struct<kind, name, value>>> of a path in a column; null if it is malformed."""
-    sound = (F.length(path) <= PATH_CHARS) & path.rlike(f"^{_ROOT}(?:{_PART})*$")
-    parts = F.regexp_extract_all(F.regexp_replace(path, f"^{_ROOT}", ""), F.lit(f"({_PART})"), F.lit(1))
-
-    def step(p):
-        inner = F.substring(p, F.lit(2), F.length(p) - 2)
-        kind = F.when(p.startswith("."), "key").when(inner.rlike("^[0-9]+$"), "index").otherwise("select")
-        name = F.when(kind == "key", F.substring(p, F.lit(2), F.length(p))).when(kind == "index", inner).otherwise(F.substring_index(inner, "=", 1))
-        return F.struct(kind.alias("kind"), name.alias("name"), F.when(kind == "select", F.substring(inner, F.locate("=", inner) + 1, F.length(inner))).alias("value"))
+def resolve_path(document: Column, path: str) -> Column:
+    """The scalar at one path of a JSON text, as text; null if there is none or the path is malformed."""
+    return follow(document, parsed_path(F.lit(path))["steps"])["text"]
 
-    return F.when(sound & (F.size(parts) <= PATH_STEPS), F.struct(F.regexp_extract(path, f"^({_ROOT})", 1).alias("root"), F.transform(parts, step).alias("steps")))
 
+def claimed(value: Column) -> Column:
+    """A claimed value, as JSON text, typed like what it is held against; what isn't JSON is a string."""
+    return F.coalesce(scalar(F.try_parse_json(value)), F.when(value.isNotNull(), F.struct(F.lit("string").alias("kind"), value.alias("text"))))
 
-def follow(document: Column, steps: Column) -> Column:
-    """The scalar that steps lead to in a JSON text, as text; null if there is none. Values stay JSON text on the way,
-    so a text that begins like an array or object counts as one."""
-    def entered(at, s):
-        items = F.from_json(at, "array<string>")
-        own = lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<map<string,string>>"), 0)[s["name"]]
-        number = s["value"].try_cast("double")
-        equal = lambda x: F.coalesce((own(x) == s["value"]) | (own(x).try_cast("double") == number), F.lit(False))
-        chosen = F.get(F.filter(items, equal), 0)
-        return (F.when(s["kind"] == "key", F.try_element_at(F.from_json(at, "map<string,string>"), s["name"]))
-                .when(s["kind"] == "index", F.get(items, s["name"].try_cast("int"))).otherwise(chosen))
 
-    end = F.aggregate(steps, document, entered)
-    return F.when(~end.rlike(r"^\s*[\[{]"), end)
+def scalars_match(a: Column, b: Column) -> Column:
+    """Whether a claimed scalar is the true one: numbers within 0.05 or 2 percent, a boolean only if both are."""
+    x, y = a["text"].try_cast("double"), b["text"].try_cast("double")
+    either, both = ((a["kind"] == "boolean") | (b["kind"] == "boolean")), ((a["kind"] == "number") & (b["kind"] == "number"))
+    return F.when(either, (a["kind"] == b["kind"]) & (a["text"] == b["text"])).when(both, F.abs(x - y) <= F.greatest(F.lit(NEAR), NEAR_SHARE * F.abs(y))).otherwise(a["text"] == b["text"])
 
 
 def values_match(a: Column, b: Column) -> Column:
-    """Numbers within 0.05 or 2 percent, other strings if equal."""
-    x, y = a.try_cast("double"), b.try_cast("double")
-    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= F.greatest(F.lit(0.05), 0.02 * F.abs(y))).otherwise(a == b)
+    """:func:`scalars_match` of JSON texts."""
+    return scalars_match(claimed(a), claimed(b))

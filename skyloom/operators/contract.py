@@ -97,7 +97,7 @@ def schema_differences(df: DataFrame, declared: StructType) -> list[tuple[str, s
     return [(n, want.get(n), have.get(n)) for n in sorted({*want, *have}) if want.get(n) != have.get(n)]
 
 
-LEAKS = r"</think|nvapi-|sk-[A-Za-z0-9]{8}"
+LEAKS = r"(?i:</?think\b)|nvapi-|sk-[A-Za-z0-9]{8}"
 
 
 def gated(documents: DataFrame, column: str = "document") -> DataFrame:

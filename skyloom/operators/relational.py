@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, shapes
 
-#: Rows up to which a dimension is broadcast; beyond it Spark's planner decides.
+#: Rows up to which places are sent to all tasks; beyond it they are looked up by cells.
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast, given only after counting."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def few(df: DataFrame) -> bool:
+    """Whether ``df`` has so few rows: from the plan where it tells (a list, a range), else by counting up to the bound.
+
+    Joins on keys need no such question: adaptive execution broadcasts a side by its real size, when that is known."""
+    rows = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
+    return rows.get().longValue() <= BROADCAST_ROWS if rows.isDefined() else df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def trailing_join(probe: DataFrame, build: DataFrame, keys: list[str], at: str, then: str, width: int, how: str = "left") -> DataFrame:
@@ -33,6 +36,19 @@ def trailing_join(probe: DataFrame, build: DataFrame, keys: list[str], at: str,
 DEGREE_KM, PLACE_CELL = 110.5, 0.25
 
 
+def within_km(points: DataFrame, places: DataFrame, km: float, lat: str = "lat", lon: str = "lon", place_lat: str = "place_lat", place_lon: str = "place_lon") -> DataFrame:
+    """Points with the places that may lie within ``km``: places are dealt to the cells of one degree that their reach
+    touches, so points meet them in an equi-join; the caller's exact condition stands behind it. Columns of both must differ."""
+    tall = km / DEGREE_KM
+    width = F.least(F.lit(180.0), F.try_divide(F.lit(tall), F.cos(F.radians(F.least(F.lit(90.0), F.abs(place_lat) + tall)))))
+    cell = lambda c: F.floor(c).cast("int")
+    span = lambda c, by: F.sequence(cell(F.col(c) - by), cell(F.col(c) + by))
+    round_ = F.array_distinct(F.transform(span(place_lon, F.coalesce(width, F.lit(180.0))), lambda x: F.pmod(x + 180, F.lit(360)) - 180))
+    dealt = places.withColumn("_x", F.explode(round_)).withColumn("_y", F.explode(span(place_lat, F.lit(tall))))
+    at = {"_x": F.pmod(cell(F.col(lon)) + 180, F.lit(360)) - 180, "_y": cell(F.col(lat))}
+    return points.withColumns(at).join(dealt, ["_x", "_y"]).drop("_x", "_y")
+
+
 def nearest(points: DataFrame, places: DataFrame, point_key: list[str], order: str, within: float | None = None) -> DataFrame:
     """Each point's nearest place (the first in order of equals), with ``km``; points without a place are left out.
 
@@ -41,7 +57,7 @@ def nearest(points: DataFrame, places: DataFrame, point_key: list[str], order: s
     p = points.select(*point_key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     km = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
     best = F.min(F.struct(F.col("km"), F.col(order).alias(order))).alias("m")
-    if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few(places):
         pairs = p.join(F.broadcast(places), F.lit(True)).withColumn("km", km)
         pairs = pairs if within is None else pairs.where(F.col("km") < within)
         found = pairs.groupBy(*point_key).agg(best)
@@ -92,12 +108,17 @@ def idw(pairs: DataFrame, keys: list[str], km: str, value: str, order: str, powe
 
 def surroundings(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Each row with ``others``: the other keys of its time with distance and value, array<struct<o, km, v>>. ``rows``: key, at,
-    value, lat, lon. A time's keys are gathered once, as many as there are stations, and pairs never become rows."""
-    gathered = rows.groupBy(at).agg(F.collect_list(F.struct(F.col(key).alias("o"), F.col(value).alias("v"), "lat", "lon")).alias("_rs"))
-    each = gathered.select(at, F.explode("_rs").alias("_me"), "_rs")
-    me = F.col("_me")
-    others = F.transform(F.filter("_rs", lambda x: x["o"] != me["o"]), lambda x: F.struct(x["o"].alias("o"), geo.haversine_km(me["lat"], me["lon"], x["lat"], x["lon"]).alias("km"), x["v"].alias("v")))
-    return each.select(me["o"].alias(key), at, me["v"].alias(value), others.alias("others"))
+    value, lat, lon. A time's keys are gathered once, as many as there are stations, and each key's others are made within
+    that one row, so that neither pairs nor copies of the list become rows."""
+    gathered = rows.groupBy(at).agg(F.collect_list(F.struct(F.col(key).alias("o"), F.col(value).alias("v"), "lat", "lon", F.cos(F.radians("lat")).alias("c"))).alias("_rs"))
+
+    def others(me):
+        def apart(x):
+            return F.struct(x["o"].alias("o"), geo.haversine_km(me["lat"], me["lon"], x["lat"], x["lon"], cosines=me["c"] * x["c"]).alias("km"), x["v"].alias("v"))
+
+        return F.struct(me["o"].alias(key), me["v"].alias(value), F.transform(F.filter("_rs", lambda x: x["o"] != me["o"]), apart).alias("others"))
+
+    return gathered.select(at, F.inline(F.transform("_rs", others))).select(key, at, value, "others")
 
 
 def weighted_others(least_km: float, power: int = 2) -> Column:
@@ -127,7 +148,7 @@ def _first_holding(points: DataFrame, places: DataFrame, size: float, key: str,
     cell = lambda c: F.floor(c / size)
     cells = places.withColumn("_x", F.explode(F.sequence(cell(F.col("_box.west")), cell(F.col("_box.east"))))).withColumn("_y", F.explode(F.sequence(cell(F.col("_box.south")), cell(F.col("_box.north")))))
     lists = cells.groupBy("_x", "_y").agg(F.collect_list("_c").alias("_cs"))
-    hits = points.withColumns({"_x": cell(F.col("lon")), "_y": cell(F.col("lat"))}).join(small(lists), ["_x", "_y"], "left")
+    hits = points.withColumns({"_x": cell(F.col("lon")), "_y": cell(F.col("lat"))}).join(lists, ["_x", "_y"], "left")
     first = F.array_min(F.transform(F.filter("_cs", inside), lambda c: c[key]))
     return hits.withColumn(key, F.coalesce(first, missing)).drop("_x", "_y", "_cs")
 
@@ -143,12 +164,12 @@ def at_ranks(df: DataFrame, key: str, value: str, ranks) -> DataFrame:
     rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
     span = rows.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n"))
     place = F.coalesce(F.least(F.lit(RANGES - 1), F.floor(F.try_divide((F.col("_v") - F.col("_lo")) * RANGES, F.col("_hi") - F.col("_lo")))), F.lit(0)).cast("int")
-    dealt = rows.join(small(span), key).select(key, "_v", place.alias("_b"))
+    dealt = rows.join(span, key).select(key, "_v", place.alias("_b"))
     by = Window.partitionBy(key).orderBy("_b")  # RANGES rows a key at most
     counts = dealt.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_end", F.sum("_c").over(by))
     wanted = span.select(key, "n", F.explode(ranks(F.col("n"))).alias("rank"))
     hit = counts.join(wanted, key).where((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_c"))).select(key, "n", "rank", "_b", (F.col("_end") - F.col("_c")).alias("_before"))
-    inside = dealt.join(small(hit), [key, "_b"]).groupBy(key, "n", "rank", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = dealt.join(hit, [key, "_b"]).groupBy(key, "n", "rank", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
     end = F.col("_before") + F.sum("_c").over(Window.partitionBy(key, "rank").orderBy("_v"))
     return inside.withColumn("_end", end).where("_end > rank and _end - _c <= rank").select(key, "n", "rank", F.col("_v").alias("value"))
 

@@ -84,10 +84,23 @@ def _(spark, d):
     return v.agg(r6(F.min("x")).alias("west"), r6(F.min("y")).alias("south"), r6(F.max("x")).alias("east"), r6(F.max("y")).alias("north"), r6(F.avg("x")).alias("x"), r6(F.avg("y")).alias("y"))
 
 
-def _places(spark, d) -> DataFrame:
-    """Stations with the polygons around: each ward's outline is a road, and a building or an industrial site."""
+#: Kilometres over which the sites of industry are looked for.
+SITE_KM = 100.0
+
+
+def _places(spark, d, km: float = 2.0) -> DataFrame:
+    """Stations with the polygons that may come within ``km``, met by the cells that the station's reach and the polygon's
+    bounds touch: each ward's outline is a road, and a building or an industrial site. Coordinates are metres from the station."""
     st = t.station(spark).select("station", F.col("lat").alias("y0_"), F.col("lon").alias("x0_"))
-    return st.join(F.broadcast(t.rings(spark, d).select("ward_id", "ring"))).withColumn("m", shapes.to_metres(F.col("ring"), F.col("y0_"), F.col("x0_")))
+    tall = km / rel.DEGREE_KM
+    wide = F.lit(tall) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("y0_") + tall)))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / rel.PLACE_CELL).cast("int"), F.floor(hi / rel.PLACE_CELL).cast("int")))
+    near = st.withColumn("_x", cells(F.col("x0_") - wide, F.col("x0_") + wide)).withColumn("_y", cells(F.col("y0_") - tall, F.col("y0_") + tall))
+    own = t.rings(spark, d).select("ward_id", "ring", shapes.bounds(F.col("ring")).alias("_box"))
+    own = own.withColumn("_x", cells(F.col("_box.west"), F.col("_box.east"))).withColumn("_y", cells(F.col("_box.south"), F.col("_box.north")))
+    # A polygon over several cells is kept once, in the first cell that both touch.
+    first = (F.col("_x") == F.greatest(F.floor((F.col("x0_") - wide) / rel.PLACE_CELL), F.floor(F.col("_box.west") / rel.PLACE_CELL))) & (F.col("_y") == F.greatest(F.floor((F.col("y0_") - tall) / rel.PLACE_CELL), F.floor(F.col("_box.south") / rel.PLACE_CELL)))
+    return near.join(own, ["_x", "_y"]).where(first).drop("_x", "_y", "_box").withColumn("m", shapes.to_metres(F.col("ring"), F.col("y0_"), F.col("x0_")))
 
 
 _DEG = "(pi() / 180 * 6371008.8)"
@@ -99,7 +112,8 @@ _ROOTS = "SELECT *, ab * ab - l2 * (a2 - {r} * {r}) AS disc, greatest(0.0, -ab /
 @query("G12_road_density", "SELECT station, round(sum(CASE WHEN disc > 0 AND t1 > t0 THEN (t1 - t0) * sqrt(l2) ELSE 0 END) / 1000 / (pi() * 2.0 * 2.0), 6) AS density FROM (" + _ROOTS.format(r="2000.0") + ") GROUP BY 1", "station edges")
 def _(spark, d):
     """Kilometres of road in a circle of 2 km, by its area."""
-    return _places(spark, d).groupBy("station").agg(r6(F.sum(shapes.length_in_circle(F.col("m"), 2000.0)) / 1000 / (F.pi() * 4.0)).alias("density"))
+    got = _places(spark, d).groupBy("station").agg(r6(F.sum(shapes.length_in_circle(F.col("m"), 2000.0)) / 1000 / (F.pi() * 4.0)).alias("density"))
+    return t.station(spark).select("station").join(got, "station", "left").select("station", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 _SECTOR = "atan2({0} * {3} - {1} * {2}, {0} * {2} + {1} * {3}) * (2000.0 * 2000.0 / 2)"
@@ -108,7 +122,8 @@ _SECTOR = "atan2({0} * {3} - {1} * {2}, {0} * {2} + {1} * {3}) * (2000.0 * 2000.
 @query("G13_built_up", "SELECT station, round(least(1.0, sum(abs(part)) / (pi() * 2000.0 * 2000.0)), 6) AS fraction FROM (SELECT station, ward_id, sum(CASE WHEN disc > 0 AND v > u THEN " + _SECTOR.format("ax", "ay", "px", "py") + " + (px * qy - py * qx) / 2 + " + _SECTOR.format("qx", "qy", "bx", "bz") + " ELSE " + _SECTOR.format("ax", "ay", "bx", "bz")
        + " END) AS part FROM (SELECT *, ax + u * (bx - ax) AS px, ay + u * (bz - ay) AS py, ax + v * (bx - ax) AS qx, ay + v * (bz - ay) AS qy FROM (SELECT *, least(1.0, greatest(0.0, t0)) AS u, least(1.0, greatest(0.0, t1)) AS v FROM (" + _ROOTS.format(r="2000.0") + "))) GROUP BY 1, 2) GROUP BY 1", "station edges")
 def _(spark, d):
-    return _places(spark, d).groupBy("station").agg(r6(F.least(F.lit(1.0), F.sum(shapes.area_in_circle(F.col("m"), 2000.0)) / (F.pi() * 2000.0 * 2000.0))).alias("fraction"))
+    got = _places(spark, d).groupBy("station").agg(r6(F.least(F.lit(1.0), F.sum(shapes.area_in_circle(F.col("m"), 2000.0)) / (F.pi() * 2000.0 * 2000.0))).alias("fraction"))
+    return t.station(spark).select("station").join(got, "station", "left").select("station", F.coalesce("fraction", F.lit(0.0)).alias("fraction"))
 
 
 _ALONG = "least(1.0, greatest(0.0, -ab / l2))"
@@ -116,7 +131,7 @@ _ALONG = "least(1.0, greatest(0.0, -ab / l2))"
 
 @query("G14_industrial_km", f"SELECT station, round(min(km), 6) AS km FROM (SELECT station, ward_id, CASE WHEN sum(" + _CROSSED.format(x="0.0", y="0.0") + f") % 2 = 1 THEN 0.0 ELSE min(sqrt(pow(ax + {_ALONG} * (bx - ax), 2) + pow(ay + {_ALONG} * (bz - ay), 2))) / 1000 END AS km FROM ({_CLIP}) WHERE CAST(right(ward_id, 3) AS INT) % 6 = 0 GROUP BY 1, 2) GROUP BY 1", "station edges")
 def _(spark, d):
-    sites = _places(spark, d).where(F.substring("ward_id", -3, 3).cast("int") % 6 == 0)
+    sites = _places(spark, d, SITE_KM).where(F.substring("ward_id", -3, 3).cast("int") % 6 == 0)
     km = F.when(geo.inside_ring(F.lit(0.0), F.lit(0.0), F.col("m")), 0.0).otherwise(shapes.distance_to_line(F.col("m")) / 1000)
     return sites.groupBy("station").agg(r6(F.min(km)).alias("km"))
 
@@ -188,9 +203,9 @@ def _(spark, d):
 
 @query("J21_coordinates", "SELECT station, h, round(pm25, 6) AS pm25, lat, lon FROM obs JOIN (SELECT station, arg_min(lat, event_id) AS lat, arg_min(lon, event_id) AS lon FROM (SELECT o.station, event_id, lat + event_id % 3 / 1000.0::DOUBLE AS lat, lon FROM obs_long o JOIN station USING (station)) GROUP BY 1) USING (station)", "obs station")
 def _(spark, d):
-    rows = t.obs_long(spark, d).join(rel.small(t.station(spark)), "station")
+    rows = t.obs_long(spark, d).join(t.station(spark), "station")
     first = rows.groupBy("station").agg(F.min_by(F.col("lat") + F.col("event_id") % 3 / F.lit(1000.0), "event_id").alias("lat"), F.min_by("lon", "event_id").alias("lon"))
-    return t.obs_hour(spark, d).join(rel.small(first), "station").select("station", "h", r6("pm25").alias("pm25"), "lat", "lon")
+    return t.obs_hour(spark, d).join(first, "station").select("station", "h", r6("pm25").alias("pm25"), "lat", "lon")
 
 
 @query("P17_satellite", "SELECT station, h, no2_sat, CAST(NULL AS DOUBLE) AS aod550 FROM obs LEFT JOIN (SELECT CAST(floor(h / 24) AS BIGINT) AS day, round(avg(value), 6) AS no2_sat FROM obs_long WHERE parameter = 'no2' GROUP BY 1) s ON s.day = CAST(floor(h / 24) AS BIGINT)", "obs")
@@ -198,7 +213,7 @@ def _(spark, d):
     """City-day values of a satellite on each hour; a product that was not fetched is a null column."""
     day = F.floor(F.col("h") / 24).cast("long")
     sat = t.obs_long(spark, d).where("parameter = 'no2'").groupBy(day.alias("day")).agg(r6(F.avg("value")).alias("no2_sat"))
-    return with_columns(t.obs_hour(spark, d).withColumn("day", day).join(rel.small(sat), "day", "left"), ["no2_sat", "aod550"]).select("station", "h", "no2_sat", "aod550")
+    return with_columns(t.obs_hour(spark, d).withColumn("day", day).join(sat, "day", "left"), ["no2_sat", "aod550"]).select("station", "h", "no2_sat", "aod550")
 
 
 def with_columns(df: DataFrame, names: list[str], kind: str = "double") -> DataFrame:
@@ -238,7 +253,7 @@ def _(spark, d):
 @query("W12_recent_history", "SELECT ward_id, " + ", ".join(f"round(max(pm25) FILTER (WHERE ahead = {k}), 5) AS o{k}" for k in (0, 1, 6, 25)) + f" FROM (SELECT ward_id, (SELECT max(h) FROM obs) - h AS ahead, {docs._WEIGHTED.format('pm25')} AS pm25 FROM ward_km JOIN (SELECT * FROM obs WHERE h > (SELECT max(h) - 26 FROM obs)) USING (station) GROUP BY ward_id, h) GROUP BY 1", "obs ward_km")
 def _(spark, d):
     rows = docs.recent(spark, d, 26).select("station", "pm25", (F.col("last") - F.col("h")).alias("ahead"))
-    est = rows.join(rel.small(docs.ward_km(spark, d)), "station").groupBy("ward_id", "ahead").agg(docs.weighted("pm25").alias("pm25"))
+    est = rows.join(docs.ward_km(spark, d), "station").groupBy("ward_id", "ahead").agg(docs.weighted("pm25").alias("pm25"))
     wide = est.groupBy("ward_id").pivot("ahead", [0, 1, 6, 25]).agg(F.max("pm25"))
     return wide.select("ward_id", *(F.round(F.col(str(k)), 5).alias(f"o{k}") for k in (0, 1, 6, 25)))
 

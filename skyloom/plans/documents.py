@@ -96,7 +96,7 @@ t.SQL["nowcast"] = ("SELECT *, " + t.category_sql("subindex24h") + " AS category
 def nowcast(spark, d) -> DataFrame:
     """Wards with the inverse-distance mean of the stations' last 24 hours, its 90th percentile, index, category and confidence."""
     means = recent(spark, d, 24).groupBy("station").agg(F.avg("pm25").alias("m"), F.coalesce(F.stddev_samp("pm25"), F.lit(0.0)).alias("sd"))
-    est = ward_km(spark, d).join(rel.small(means), "station").groupBy("ward_id").agg(weighted("m").alias("m"), weighted("sd").alias("sd"), F.min("km").alias("km"))
+    est = ward_km(spark, d).join(means, "station").groupBy("ward_id").agg(weighted("m").alias("m"), weighted("sd").alias("sd"), F.min("km").alias("km"))
     return indexed(est.select("ward_id", F.round("m", 4).alias("pm25_p50"), F.round(F.col("m") + Q90 * F.col("sd"), 4).alias("pm25_p90"), domain.distance_confidence(F.col("km")).alias("confidence")))
 
 
@@ -122,11 +122,11 @@ def forecast(spark, d) -> DataFrame:
     usual = obs.groupBy("station", _hour(F.col("h")).alias("hod")).agg(F.avg("pm25").alias("m"), F.coalesce(F.stddev_samp("pm25"), F.lit(0.0)).alias("sd"))
     ahead = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(c).alias("confidence"), F.lit(k).alias("keep")) for h, (c, k) in HORIZONS.items())))
     wanted = obs.agg(F.max("h").alias("last")).select("last", ahead.alias("z")).select("z.*", _hour(F.col("last") + F.col("z.h")).alias("hod"))
-    means = rel.small(usual.join(F.broadcast(wanted), "hod"))  # stations by horizons
+    means = usual.join(F.broadcast(wanted), "hod")  # stations by horizons
     est = ward_km(spark, d).join(means, "station").groupBy("ward_id", "h", "confidence", "keep").agg(weighted("m").alias("m"), weighted("sd").alias("sd"))
     now = nowcast(spark, d).select("ward_id", F.col("pm25_p50").alias("now"))
     p50 = F.col("keep") * F.col("now") + (1 - F.col("keep")) * F.col("m")
-    return indexed(est.join(rel.small(now), "ward_id").select("ward_id", "h", "confidence", F.round(p50, 4).alias("pm25_p50"), F.round(p50 + Q90 * F.col("sd"), 4).alias("pm25_p90")))
+    return indexed(est.join(now, "ward_id").select("ward_id", "h", "confidence", F.round(p50, 4).alias("pm25_p50"), F.round(p50 + Q90 * F.col("sd"), 4).alias("pm25_p90")))
 
 
 def forecast_wards(rows: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def attribution(spark, d) -> DataFrame:
     """``ward_id, shares, confidence``: sources of each ward from its land use and the signals of its nearest station."""
     signals = cpf(spark, d).groupBy("station").agg(sector_mean(285, 345).alias("nw"), sector_mean(300, 60).alias("north"))
     points = t.ward_points(spark, d)
-    w = points.join(rel.nearest(points, t.station(spark), ["ward_id"], "station").select("ward_id", "station"), "ward_id").join(rel.small(signals), "station")
+    w = points.join(rel.nearest(points, t.station(spark), ["ward_id"], "station").select("ward_id", "station"), "ward_id").join(signals, "station")
     k = F.col("k")
     parts = domain.source_shares((k * 7 % 10) / F.lit(10.0), (k * 3 % 10) / F.lit(10.0), k % 6 + F.lit(0.3), (k * 11 % 200).cast("double"), F.col("nw"), F.col("north"))
     rows = w.select("ward_id", parts.alias("shares"))
@@ -211,7 +211,7 @@ t.SQL["enforcement"] = (
 
 def ward_hours(spark, d, hours: int) -> DataFrame:
     """Inverse-distance estimate of each ward for each of the last hours."""
-    return recent(spark, d, hours).select("station", "h", "pm25").join(rel.small(ward_km(spark, d)), "station").groupBy("ward_id", "h").agg(weighted("pm25").alias("pm25"))
+    return recent(spark, d, hours).select("station", "h", "pm25").join(ward_km(spark, d), "station").groupBy("ward_id", "h").agg(weighted("pm25").alias("pm25"))
 
 
 def enforcement(spark, d) -> DataFrame:

@@ -205,7 +205,7 @@ def feature_store(spark, d):
     place = st.select("station", "lat", "lon", "ward_id", (F.col("station") % 7 / F.lit(10.0)).alias("road_density"))
     met = t.with_meteo(t.obs_hour(spark, d))
     fires = QUERIES["J5_upwind"](spark, d).select("station", "h", F.col("frp").alias("frp_upwind"), F.col("n").alias("fire_count_upwind"))
-    rows = met.join(fires, ["station", "h"], "left").join(rel.small(place), "station", "left")
+    rows = met.join(fires, ["station", "h"], "left").join(place, "station", "left")
     at = F.timestamp_seconds(F.col("h") * 3600)
     return store.finalized(rows.select(at.alias("ts_utc"), F.col("station").cast("string").alias("station_id"), "lat", "lon", "pm25", F.col("wind_speed").alias("wind_speed_10m"), F.col("wind_dir").alias("wind_dir_10m"), "frp_upwind", "fire_count_upwind", "road_density", "ward_id"))
 
@@ -229,7 +229,8 @@ def _(spark, d):
     late = f.join(F.broadcast(f.agg(F.max("s").alias("last"))), F.col("s") > F.col("last") - 86400).select("frp", "lat", "lon")
     at = (F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))
     g = grid.select("i", "j", F.col("lat").alias("y"), F.col("lon").alias("x"))
-    hit = late.join(rel.small(g), geo.is_upwind(geo.haversine_km(*at), geo.bearing(*at), F.lit(315.0))).groupBy("i", "j").agg(F.round(F.sum("frp"), 4).alias("frp"))
+    near = rel.within_km(g, late, geo.REACH_KM, "y", "x", "lat", "lon")
+    hit = near.where(geo.is_upwind(geo.haversine_km(*at), geo.bearing(*at), F.lit(315.0))).groupBy("i", "j").agg(F.round(F.sum("frp"), 4).alias("frp"))
     return use.join(hit, ["i", "j"], "left").select("i", "j", "road_density", F.coalesce("frp", F.lit(0.0)).alias("frp"))
 
 
@@ -241,7 +242,7 @@ def _(spark, d):
     now = obs.join(F.broadcast(last), F.col("h") == F.col("last")).select("station", "pm25")
     grid = cells(spark).select("i", "j", F.col("lat").alias("y"), F.col("lon").alias("x"))
     km = grid.join(F.broadcast(t.station(spark))).select("i", "j", "station", geo.haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon")).alias("km"))
-    est = km.join(rel.small(now), "station").groupBy("i", "j").agg(F.round(docs.weighted("pm25"), 5).alias("idw"), r6(F.min("km")).alias("nearest_km"), F.count(F.lit(1)).alias("n"))
+    est = km.join(now, "station").groupBy("i", "j").agg(F.round(docs.weighted("pm25"), 5).alias("idw"), r6(F.min("km")).alias("nearest_km"), F.count(F.lit(1)).alias("n"))
     return est
 
 
@@ -290,7 +291,7 @@ def _(spark, d):
     origins = F.broadcast(spark.createDataFrame([(o,) for o in ORIGINS], "origin long"))
     usual = obs.join(origins, F.col("h") <= F.col("origin") - 48).groupBy("origin", _hod(F.col("h")).alias("hod")).agg(F.avg("pm25").alias("clim"))
     test = s.join(origins, (F.col("h") >= F.col("origin")) & (F.col("h") < F.col("origin") + 48)).withColumn("hod", _hod(F.col("h") + 24))
-    both = test.join(rel.small(usual), ["origin", "hod"], "left")
+    both = test.join(usual, ["origin", "hod"], "left")
     rmse = lambda c: r6(F.sqrt(F.avg(F.pow(F.col("target") - F.col(c), 2))))
     return both.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), rmse("pm25").alias("persistence"), rmse("clim").alias("seasonal")).where("n >= 20")
 
@@ -306,7 +307,7 @@ def _(spark, d):
     by = met.groupBy("station", "wind_speed").agg(F.sum("pm25").alias("s"), F.count("pm25").alias("n"))
     whole = by.groupBy("station").agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("c")).where("c >= 200")
     effect = by.join(whole, "station").select("station", "wind_speed", (F.col("s") / F.col("n") - F.col("mean")).alias("effect"))
-    rows = met.join(rel.small(effect), ["station", "wind_speed"])
+    rows = met.join(effect, ["station", "wind_speed"])
     return rows.groupBy(F.floor((F.col("h") * 60 + 330) / 1440).cast("long").alias("day")).agg(F.round(F.avg("pm25"), 5).alias("raw"), F.round(F.avg(F.col("pm25") - F.col("effect")), 5).alias("normalised"))
 
 
@@ -332,7 +333,7 @@ def _(spark, d):
     met = t.with_meteo(t.obs_hour(spark, d))
     fine = met.groupBy("station", "wind_speed").agg(F.sum("pm25").alias("s"), F.count("pm25").alias("n"))
     rough = fine.groupBy("station").agg((F.sum("s") / F.sum("n")).alias("b"))
-    both = met.join(rel.small(fine.withColumn("a", F.col("s") / F.col("n")).select("station", "wind_speed", "a")), ["station", "wind_speed"]).join(rel.small(rough), "station")
+    both = met.join(fine.withColumn("a", F.col("s") / F.col("n")).select("station", "wind_speed", "a"), ["station", "wind_speed"]).join(rough, "station")
     e = both.agg(F.sqrt(F.avg(F.pow(F.col("pm25") - F.col("a"), 2))).alias("w"), F.sqrt(F.avg(F.pow(F.col("pm25") - F.col("b"), 2))).alias("o"))
     return e.select(r6("w").alias("with_rmse"), r6("o").alias("without_rmse"), F.round(100 * (F.col("o") - F.col("w")) / F.col("o"), 4).alias("delta_pct"))
 
@@ -344,7 +345,7 @@ def _(spark, d):
     held = (F.col("h") >= 473640) & (F.col("h") < 473760)
     learned = obs.where(~held).groupBy("station").agg(r6(F.avg("pm25")).alias("predicted"))
     actual = obs.where(held).groupBy("station", F.floor(F.col("h") / 24).cast("long").alias("day")).agg(r6(F.avg("pm25")).alias("actual"))
-    return actual.join(rel.small(learned), "station").select("station", "day", "predicted", "actual")
+    return actual.join(learned, "station").select("station", "day", "predicted", "actual")
 
 
 @query("T6_interventions", "SELECT day, CASE WHEN day < 19736 THEN 'early' ELSE 'late' END AS part FROM (VALUES " + ", ".join(f"({k})" for k in DAYS[:3]) + ") e(day)")

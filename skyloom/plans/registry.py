@@ -75,7 +75,7 @@ def _(spark, d):
     hours = obs.select("h").distinct()
     stride = F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / 100)
     kept = hours.withColumns({"n": F.row_number().over(Window.orderBy("h")), "stride": stride}).where("(n - 1) % stride = 0").select("h")
-    return obs.join(rel.small(kept), "h", "left_semi").select("station", "h")
+    return obs.join(kept, "h", "left_semi").select("station", "h")
 
 
 @query("P14_missing", "SELECT station, h, CAST(pm25 IS NULL AS INTEGER) AS missing FROM series", "series")
@@ -168,6 +168,11 @@ def _(spark, d):
 
 @query("A12_peak", t.with_ctes("met", "").rstrip() + _CPF + " SELECT station, CAST(sector * 30 + 15 AS DOUBLE) AS bearing FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY p DESC, sector) AS n FROM cpf WHERE p IS NOT NULL) WHERE n = 1")
 def _(spark, d):
+    return peaks(spark, d)
+
+
+def peaks(spark, d):
+    """Each station's direction of the strongest signal; stations without one are left out."""
     best = cpf(spark, d).where("p is not null").groupBy("station").agg(F.min(F.struct((-F.col("p")).alias("p"), "sector")).alias("m"))
     return best.select("station", (F.col("m.sector") * 30 + 15).cast("double").alias("bearing"))
 
@@ -302,7 +307,7 @@ def _(spark, d):
 def _(spark, d):
     n, r, s = (t.read(spark, d, x) for x in ("nation", "region", "supplier"))
     counts = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("s_suppkey").alias("suppliers"))
-    return n.join(rel.small(r), F.col("r_regionkey") == F.col("n_regionkey")).join(counts, "n_nationkey", "left").select("n_name", "r_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+    return n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).join(counts, "n_nationkey", "left").select("n_name", "r_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 
 
 @query("J3_pip", "SELECT event_id, coalesce(min(ward_id), 'delhi_unassigned') AS ward_id FROM fires LEFT JOIN wards ON lon > x0 AND lon < x0 + 0.1 AND lat > y0 AND lat < y0 + 0.1 GROUP BY 1", "fires wards")
@@ -321,8 +326,8 @@ def _(spark, d):
 def _(spark, d):
     st = t.station(spark)
     f = t.fires(spark, d)
-    # The stations are a dimension: distance and bearing of each fire to each are worked out once, before times meet.
-    near = f.crossJoin(rel.small(st.select("station", F.col("lat").alias("sl"), F.col("lon").alias("so"))))
+    # Distance and bearing of each fire to the stations in reach are worked out once, before times meet.
+    near = rel.within_km(f, st.select("station", F.col("lat").alias("sl"), F.col("lon").alias("so")), geo.REACH_KM, place_lat="sl", place_lon="so")
     near = near.select("station", "event_id", "frp", "s", geo.haversine_km(F.col("sl"), F.col("so"), F.col("lat"), F.col("lon")).alias("km"), geo.bearing(F.col("sl"), F.col("so"), F.col("lat"), F.col("lon")).alias("to")).where(F.col("km") <= geo.REACH_KM)
     met = t.with_meteo(t.obs_hour(spark, d)).select("station", "h", "wind_dir", (F.col("h") * 3600).alias("at"))
     hits = rel.trailing_join(met, near, ["station"], "at", "s", 86400, "inner").where(geo.is_upwind(F.col("km"), F.col("to"), F.col("wind_dir")))
@@ -347,7 +352,7 @@ def _(spark, d):
 
 
 def station_rows(spark, obs: DataFrame) -> DataFrame:
-    return obs.select("station", "h", "pm25").join(rel.small(t.station(spark)), "station")
+    return obs.select("station", "h", "pm25").join(t.station(spark), "station")
 
 
 _LOO = "SELECT a.station, a.h, round(sum(b.pm25 / pow(greatest(k.km, 0.05), 2)) / sum(1 / pow(greatest(k.km, 0.05), 2)), 6) AS idw, round(min(k.km), 6) AS nearest_km, count(*) AS n FROM obs a JOIN obs b ON b.h = a.h AND b.station <> a.station JOIN (SELECT p.station AS x, q.station AS y, " + t.haversine_sql("p", "q") + " AS km FROM station p, station q) k ON k.x = a.station AND k.y = b.station GROUP BY 1, 2"
@@ -554,7 +559,7 @@ def _(spark, d):
 # Strings.
 
 
-_SAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[<>]', ' ', 'g'), '&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);', ' ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g'), '\s+', ' ', 'g'))"
+_SAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[<>]', ' ', 'g'), '&(?:#x?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31});', ' ', 'g'), '[\x00-\x1F\x7F]', ' ', 'g'), '[\s\x0B\x{85}\pZ]+', ' ', 'g'))"
 
 
 @query("X1_sanitize", f"SELECT page_id, md5({_SAN}) AS digest FROM pages")
@@ -562,10 +567,10 @@ def _(spark, d):
     return t.read(spark, d, "pages").select("page_id", F.md5(text.sanitize(F.col("html"))).alias("digest"))
 
 
-@query("X2_violations", r"SELECT page_id, regexp_matches(html, '[<>]') AS angle, regexp_matches(html, '&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);') AS entity, regexp_matches(html, '(?i)javascript:|vbscript:|data:text/html') AS scheme FROM pages")
+@query("X2_violations", r"SELECT page_id, regexp_matches(html, '[<>]') AS angle, regexp_matches(html, '[\x00-\x1F\x7F]') AS control, regexp_matches(html, '&(?:#x?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31});') AS entity, regexp_matches(html, '(?i)javascript:|vbscript:|data:text/html') AS scheme FROM pages")
 def _(spark, d):
     found = text.violations(F.col("html"))
-    return t.read(spark, d, "pages").select("page_id", *(F.array_contains(found, n).alias(n) for n in ("angle", "entity", "scheme")))
+    return t.read(spark, d, "pages").select("page_id", *(F.array_contains(found, n).alias(n) for n in ("angle", "control", "entity", "scheme")))
 
 
 @query("X4_strip_query", "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages")
