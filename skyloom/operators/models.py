@@ -1,77 +1,11 @@
-"""Quantile models, cross-validation, weather normalisation and bootstrap on Spark ML and DataFrames."""
+"""Numbering of rows without ordering a whole table."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-@dataclass
-class QuantileForest:
-    """A forest whose leaves hold quantiles of their training rows; a prediction is their mean over trees."""
-
-    assembler: VectorAssembler
-    model: object
-    leaves: DataFrame
-
-    def predict(self, df: DataFrame, key: list[str]) -> DataFrame:
-        """``key`` and p50, p90: not negative, p90 at least p50."""
-        rows = _leaves(self.model.transform(self.assembler.transform(df))).select(*key, "tree", "leaf")
-        # Trees times leaves: a table of bounded size.
-        means = rows.join(F.broadcast(self.leaves), ["tree", "leaf"]).groupBy(*key).agg(F.avg("q50").alias("p50"), F.avg("q90").alias("p90"))
-        p50 = F.greatest(F.col("p50"), F.lit(0.0))
-        return means.select(*key, p50.alias("p50"), F.greatest(F.col("p90"), p50).alias("p90"))
-
-
-def _leaves(df: DataFrame) -> DataFrame:
-    return df.select("*", F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-
-
-def train_quantiles(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 6, seed: int = 7) -> QuantileForest:
-    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    filled = df.dropna(subset=[label])
-    model = RandomForestRegressor(featuresCol="_x", labelCol=label, leafCol="_leaf", numTrees=trees, maxDepth=depth, seed=seed).fit(assembler.transform(filled))
-    rows = _leaves(model.transform(assembler.transform(filled)))
-    leaves = rows.groupBy("tree", "leaf").agg(F.percentile(label, F.array(F.lit(0.5), F.lit(0.9))).alias("q")).select("tree", "leaf", F.col("q")[0].alias("q50"), F.col("q")[1].alias("q90"))
-    return QuantileForest(assembler, model, leaves)
-
-
-def leave_one_out(df: DataFrame, station: str, key: list[str], features: list[str], label: str, least: int = 50, most: int | None = None) -> DataFrame:
-    """Predictions for each station from a model of the others; folds with fewer than ``least`` rows to learn from are left out."""
-    names = [r[0] for r in df.select(station).distinct().orderBy(station).collect()]
-    parts = []
-    for name in names[:most]:
-        learn = df.where(F.col(station) != name)
-        if learn.limit(least).count() == least:
-            parts.append(train_quantiles(learn, features, label).predict(df.where(F.col(station) == name), [*key, label]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def normalised(df: DataFrame, key: str, weather: list[str], times: list[str], label: str, samples: int = 30, seed: int = 7) -> DataFrame:
-    """Mean prediction of each row under ``samples`` weathers drawn from all rows, its own times held: rows are drawn whole,
-    by a hash of seed, row and number, and met by an equi-join on their number."""
-    assembler = VectorAssembler(inputCols=[*weather, *times], outputCol="_x", handleInvalid="keep")
-    model = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=20, seed=seed).fit(assembler.transform(df.dropna(subset=[label, *weather])))
-    pool, size = numbered(df.dropna(subset=weather).select(key, *weather), key, "_i")
-    draws = df.select(key, *times).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), key, "_k"), F.lit(max(1, size))))
-    scored = model.transform(assembler.transform(draws.join(pool.drop(key), "_i")))
-    return scored.groupBy(key).agg(F.greatest(F.lit(0.0), F.avg("prediction")).alias("normalised"))
-
-
-def _drawn(seed: int, *names: str) -> Column:
-    """A number of 32 bits drawn by hash, the same in every engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(n).cast("string") for n in names))), 1, 8), 16, 10).cast("long")
-
-
 def numbered(rows: DataFrame, key: str, name: str, buckets: int = 1024) -> tuple[DataFrame, int]:
     """``rows`` numbered from 0 in the order of buckets of a hash of the key, then of the key, and how many they are: buckets are
     numbered each by itself and moved by the sizes of those before, so no task orders the whole table."""
@@ -84,13 +18,3 @@ def numbered(rows: DataFrame, key: str, name: str, buckets: int = 1024) -> tuple
     table = rows.sparkSession.createDataFrame(before, "_bucket int, _before long")
     placed = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_bucket").orderBy(key))).join(F.broadcast(table), "_bucket")
     return placed.withColumn(name, F.col("_before") + F.col("_k") - 1).drop("_bucket", "_before", "_k"), total
-
-
-def block_bootstrap(series: DataFrame, at: str, value: Column, block: int = 3, reps: int = 600, seed: int = 7) -> DataFrame:
-    """2.5th and 97.5th percentile of the mean over resampled blocks of a short daily series."""
-    numbered = series.select(value.alias("_v"), (F.row_number().over(Window.orderBy(at)) - 1).alias("_i"))
-    size = numbered.agg(F.count(F.lit(1)).alias("_c"))
-    draws = series.sparkSession.range(reps).join(F.broadcast(size)).where(F.col("_c") >= block)
-    starts = draws.withColumn("_b", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_c") / block)))).withColumn("_s", _drawn(seed, "id", "_b") % (F.col("_c") - block + 1))
-    means = starts.withColumn("_i", F.explode(F.sequence(F.col("_s"), F.col("_s") + block - 1))).join(F.broadcast(numbered), "_i").groupBy("id").agg(F.avg("_v").alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))

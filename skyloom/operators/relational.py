@@ -15,8 +15,11 @@ def few(df: DataFrame) -> bool:
     """Whether ``df`` has so few rows: from the plan where it tells (a list, a range), else by counting up to the bound.
 
     Joins on keys need no such question: adaptive execution broadcasts a side by its real size, when that is known."""
-    rows = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
-    return rows.get().longValue() <= BROADCAST_ROWS if rows.isDefined() else df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):  # neither adds rows
+        plan = plan.children().head()
+    rows = plan.stats().rowCount()
+    return int(rows.get()) <= BROADCAST_ROWS if rows.isDefined() else df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def trailing_join(probe: DataFrame, build: DataFrame, keys: list[str], at: str, then: str, width: int, how: str = "left") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import details, documents, governance, products  # noqa: F401  (they register their queries)
+from . import details, documents, governance, learned, products  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

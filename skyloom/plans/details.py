@@ -289,10 +289,10 @@ def _(spark, d):
     return docs.enforcement(spark, d).orderBy("place").limit(6).select("ward_id")
 
 
-@query("O10_shift_order", "SELECT row_number() OVER (ORDER BY shift DESC) AS place, shift, coalesce(exposure, 0.0) AS exposure FROM (SELECT 0 AS shift, 0.0::DOUBLE AS exposure UNION ALL SELECT shift, round(exposure * abs(shift) / 170.0::DOUBLE, 1) FROM (" + docs._TOTALS + "), (VALUES (-72), (-48), (-24)) s(shift))", "ledger")
+@query("O10_shift_order", "SELECT row_number() OVER (ORDER BY shift DESC) AS place, shift, coalesce(exposure, 0.0) AS exposure FROM (SELECT 0 AS shift, 0.0::DOUBLE AS exposure UNION ALL SELECT shift, round(exposure * abs(shift) / hours, 1) FROM (" + docs._TOTALS + "), season, (VALUES (-72), (-48), (-24)) s(shift))", "ledger")
 def _(spark, d):
     base = spark.createDataFrame([(0, 0.0)], "shift int, exposure double")
-    rows = base.unionByName(docs.counterfactuals(docs.totals(docs.ledger(spark, d))).select("shift", "exposure"))
+    rows = base.unionByName(docs.counterfactuals(docs.totals(docs.ledger(spark, d)), docs.season(spark, d)).select("shift", "exposure"))
     return rows.select(F.row_number().over(Window.orderBy(F.desc("shift"))).alias("place"), "shift", "exposure")
 
 

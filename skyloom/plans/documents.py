@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import aqi, domain, geo
+from ..operators import events
 from ..operators import relational as rel
 from . import tables as t
 from .registry import cpf, query, r6
@@ -32,8 +33,8 @@ MESSAGES = {
     "severe": {"en": "Stay in; help children and the old.", "hi": "Ghar mein rahein; bachchon aur budhon ka dhyan rakhein.", "mr": "Gharat raha; mule ani vruddhanchi kalji ghya."},
 }
 ACTIONS = {"traffic": "traffic_management", "industry": "inspect_industry", "biomass": "stop_burning", "dust": "suppress_dust", "residential_other": "outreach"}
-#: Effect of a season's measures with its bounds, in micrograms; hours they were in force; earlier starts that are asked about.
-EFFECT, ACTIVE_HOURS, SHIFTS = (-12.5, -20.0, -5.0), 170, (-72, -48, -24)
+#: Earlier starts that are asked about, in hours.
+SHIFTS = (-72, -48, -24)
 #: Rank of the category from which a ward is at risk, and how many candidates a digest has.
 RISK_FLOOR, CANDIDATES = 3, 8
 
@@ -86,7 +87,7 @@ def indexed(rows: DataFrame) -> DataFrame:
 _KM = "SELECT w.ward_id, s.station, " + t.haversine_sql("w", "s") + " AS km FROM wardpt w, station s"
 _WEIGHTED = "sum({0} / pow(greatest(km, 1e-9), 2)) / sum(1 / pow(greatest(km, 1e-9), 2))"
 t.NEEDED |= {"ward_km": ["wardpt", "station"], "nowcast": ["obs", "ward_km"], "forecast": ["nowcast"], "cpf": ["met"], "shares": ["wardpt", "station", "cpf"], "hours168": ["obs", "ward_km"],
-             "enforcement": ["hours168", "shares", "nowcast", "wardpt"], "ledger": ["nowcast", "wardpt"]}
+             "enforcement": ["hours168", "shares", "nowcast", "wardpt"], "ledger": ["nowcast", "wardpt", "season"]}
 t.SQL["ward_km"] = _KM
 t.SQL["nowcast"] = ("SELECT *, " + t.category_sql("subindex24h") + " AS category FROM (SELECT *, " + t.sub_index_sql("pm25", "pm25_p50") + f" AS subindex24h FROM (SELECT ward_id, round({_WEIGHTED.format('m')}, 4) AS pm25_p50, "
                     f"round({_WEIGHTED.format('m')} + {Q90} * {_WEIGHTED.format('sd')}, 4) AS pm25_p90, CASE WHEN min(km) <= 3 THEN 'high' WHEN min(km) <= 9 THEN 'med' ELSE 'low' END AS confidence "
@@ -259,15 +260,15 @@ def _(spark, d):
     return republished(advisories(nowcast(spark, d), regional)).select("ward_id", "risk_level", F.explode("langs").alias("l")).select("ward_id", "risk_level", "l.*")
 
 
-def ledger_rows(wards: DataFrame, effect: tuple[float, float, float] = EFFECT, hours: int = ACTIVE_HOURS) -> DataFrame:
+def ledger_rows(wards: DataFrame, season: DataFrame) -> DataFrame:
     """Of wards ``ward_id, pm, population``: effect and avoided exposure and deaths with bounds, scaled by the ward's level
-    against the city's, rounded as they are published."""
+    against the city's, rounded as they are published. ``season``: one row eff, e_lo, e_hi and hours in force."""
     scale = F.greatest(F.lit(0.2), F.col("pm") / F.col("city"))
     rows = wards.withColumn("city", F.avg("pm").over(Window.partitionBy())).withColumn("s", scale)  # a row a ward
-    rows = rows.withColumns({n: F.round(F.lit(e) * F.col("s"), 1) for n, e in zip(("eff", "e_lo", "e_hi"), effect, strict=True)})
+    rows = rows.join(F.broadcast(season)).withColumns({n: F.round(F.col(n) * F.col("s"), 1) for n in ("eff", "e_lo", "e_hi")})
     deaths = {n: F.round(domain.avoided_deaths(F.col("pm"), F.col("pm") - F.col(e), F.col("population")), 3) for n, e in (("deaths", "eff"), ("_a", "e_lo"), ("_b", "e_hi"))}
     rows = rows.withColumns(deaths)
-    return rows.select("ward_id", F.round(F.col("population") * F.abs("eff") * hours, 1).alias("exposure"), "deaths", F.least("_a", "_b", "deaths").alias("ci_low"), F.greatest("_a", "_b", "deaths").alias("ci_high"), F.col("eff").alias("effect"))
+    return rows.select("ward_id", F.round(F.col("population") * F.abs("eff") * F.col("hours"), 1).alias("exposure"), "deaths", F.least("_a", "_b", "deaths").alias("ci_low"), F.greatest("_a", "_b", "deaths").alias("ci_high"), F.col("eff").alias("effect"))
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -275,22 +276,82 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.sum("exposure"), 1).alias("exposure"), *(F.round(F.sum(c), 1).alias(c) for c in ("deaths", "ci_low", "ci_high")))
 
 
-def counterfactuals(total: DataFrame, hours: int = ACTIVE_HOURS) -> DataFrame:
+def counterfactuals(total: DataFrame, season: DataFrame) -> DataFrame:
     """What starting earlier would have added, by shift."""
-    shifts = total.withColumn("shift", F.explode(F.array(*map(F.lit, SHIFTS)))).withColumn("f", F.abs("shift") / F.lit(float(hours)))
+    shifts = total.join(F.broadcast(season.select("hours"))).withColumn("shift", F.explode(F.array(*map(F.lit, SHIFTS)))).withColumn("f", F.abs("shift") / F.col("hours"))
     return shifts.select("shift", F.round(F.col("exposure") * F.col("f"), 1).alias("exposure"), *(F.round(F.col(c) * F.col("f"), 2).alias(c) for c in ("deaths", "ci_low", "ci_high")))
 
 
+# The event study: a daily series of orders stands for the city's, as it is the only one of some years.
+
+#: A measure's stage with the days (since 1970) on which it began and ended, and the transition it is scored by.
+MEASURES = (("III", 9921, 9928, "III invoked"), ("IV", 10392, 10395, "IV invoked"), ("IV", 10915, None, "IV invoked again"), ("II", 9900, 9990, None))
+
+
+def daily_series(spark, d) -> DataFrame:
+    day = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return t.read(spark, d, "orders").groupBy(day.alias("x")).agg((F.avg("o_totalprice") / 1000).alias("v"))
+
+
+def scored_events(spark) -> DataFrame:
+    return spark.createDataFrame([(label, day) for _, day, _, label in MEASURES if label], "label string, day long")
+
+
+def event_effects(spark, d) -> DataFrame:
+    return events.effects(daily_series(spark, d), scored_events(spark))
+
+
+def season(spark, d) -> DataFrame:
+    """One row: the season's effect from its events, and the hours its measures were in force."""
+    rows = spark.createDataFrame([(stage, a * 86400, None if b is None else b * 86400) for stage, a, b, _ in MEASURES], "stage string, a long, b long")
+    calendar = rows.select("stage", F.timestamp_seconds("a").alias("start"), F.timestamp_seconds("b").alias("end"))
+    return events.season(event_effects(spark, d)).join(F.broadcast(events.active_hours(calendar)))
+
+
+_DRAW = "('0x' || substr(md5('0:' || {}), 1, 8))::BIGINT"
+_MEAN = "list_aggregate(list_transform(range(len({0})), lambda j: {0}[CAST(" + _DRAW.format("day || ':{0}:' || k || ':' || CAST(floor(j / 3) AS INTEGER)") + " % greatest(1, len({0}) - 2) + j % 3 + 1 AS INTEGER)]), 'avg')"
+t.SQL["daily"] = "SELECT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS x, avg(o_totalprice) / 1000 AS v FROM orders GROUP BY 1"
+t.SQL["scored"] = "SELECT * FROM (VALUES " + ", ".join(f"('{label}', {day}::BIGINT)" for _, day, _, label in MEASURES if label) + ") e(label, day)"
+t.SQL["sides"] = "SELECT label, day, list(v ORDER BY x) FILTER (WHERE x < day) AS pre, list(v ORDER BY x) FILTER (WHERE x >= day) AS post, count(*) AS n_days FROM scored JOIN daily ON x >= day - 10 AND x < day + 10 GROUP BY 1, 2"
+t.SQL["boot"] = "SELECT day, quantile_cont(e, 0.025) AS lo, quantile_cont(e, 0.975) AS hi FROM (SELECT day, " + _MEAN.format("post") + " - " + _MEAN.format("pre") + " AS e FROM sides, range(600) r(k) WHERE len(pre) >= 3 AND len(post) >= 3) GROUP BY 1"
+t.SQL["placebo"] = ("SELECT p.day, avg(v) FILTER (WHERE x >= p.day) - avg(v) FILTER (WHERE x < p.day) AS e FROM (SELECT c.day FROM (SELECT unnest(range(lo, hi + 1)) AS day FROM (SELECT min(x) + 10 AS lo, max(x) - 10 AS hi FROM daily)) c "
+                    "WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE abs(s.day - c.day) <= 21) ORDER BY " + _DRAW.format("c.day") + ", c.day LIMIT 300) p LEFT JOIN daily ON x >= p.day - 10 AND x < p.day + 10 GROUP BY 1")
+t.SQL["effects"] = ("SELECT label, day, round(real, 1) AS effect, least(round(lo, 1), round(real, 1)) AS ci_low, greatest(round(hi, 1), round(real, 1)) AS ci_high, coalesce(real < 0 AND share <= 0.2, false) AS placebo_pass, round(share, 6) AS percentile, n_days FROM ("
+                    "SELECT label, day, n_days, list_aggregate(post, 'avg') - list_aggregate(pre, 'avg') AS real, lo, hi, (SELECT avg(CASE WHEN e < list_aggregate(post, 'avg') - list_aggregate(pre, 'avg') THEN 1.0 ELSE 0.0 END) FROM placebo) AS share FROM sides JOIN boot USING (day)) WHERE n_days >= 10")
+_HOURS = sum((b - a) * 24 for stage, a, b, _ in MEASURES if stage in ("III", "IV") and b is not None)
+t.SQL["season"] = "SELECT " + ", ".join(f"coalesce(avg({c}) FILTER (WHERE placebo_pass), avg({c})) AS {n}" for c, n in (("effect", "eff"), ("ci_low", "e_lo"), ("ci_high", "e_hi"))) + f", {max(_HOURS, 24)}::DOUBLE AS hours FROM effects"
+t.NEEDED |= {"sides": ["daily", "scored"], "boot": ["sides"], "placebo": ["daily", "scored"], "effects": ["sides", "boot", "placebo"], "season": ["effects"]}
+
+
+@query("M12_placebo", "SELECT label, effect, percentile, placebo_pass, (SELECT count(*) FROM placebo) AS pool FROM effects", "effects")
+def _(spark, d):
+    """How each event's effect stands among those of days that lie far from all events."""
+    pool = events.placebos(daily_series(spark, d), scored_events(spark)).agg(F.count(F.lit(1)).alias("pool"))
+    return event_effects(spark, d).join(F.broadcast(pool)).select("label", "effect", "percentile", "placebo_pass", "pool")
+
+
+@query("M13_bootstrap", "SELECT day, round(lo, 5) AS lo, round(hi, 5) AS hi FROM boot", "boot")
+def _(spark, d):
+    """The interval of each event's difference, from blocks of days drawn on both sides."""
+    found = events.intervals(events.windows(daily_series(spark, d), scored_events(spark).select("day")))
+    return found.select("day", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
+
+
+@query("M14_effects", "SELECT * FROM effects", "effects")
+def _(spark, d):
+    return event_effects(spark, d)
+
+
 _HRS = "exp(0.1430 * ln(1 + greatest(0.0, ({0}) - 2.4) / 1.6) / (1 + exp(-(greatest(0.0, ({0}) - 2.4) - 15.5) / 36.8)))"
 _AF = f"(({_HRS} - 1) / {_HRS})"
 _DEATHS = "round(population * 0.66 * 0.009 * (" + _AF.format("pm - {0}") + " - " + _AF.format("pm") + "), 3)"
-t.SQL["ledger"] = ("SELECT ward_id, round(population * abs(eff) * 170, 1) AS exposure, deaths, least(a, b, deaths) AS ci_low, greatest(a, b, deaths) AS ci_high, eff AS effect FROM (SELECT *, " + ", ".join(f"{_DEATHS.format(e)} AS {n}" for n, e in (("deaths", "eff"), ("a", "e_lo"), ("b", "e_hi")))
-                   + " FROM (SELECT *, round(-12.5 * s, 1) AS eff, round(-20.0 * s, 1) AS e_lo, round(-5.0 * s, 1) AS e_hi FROM (SELECT ward_id, population, pm25_p50 AS pm, greatest(0.2, pm25_p50 / avg(pm25_p50) OVER ()) AS s FROM nowcast JOIN wardpt USING (ward_id))))")
+t.SQL["ledger"] = ("SELECT ward_id, round(population * abs(eff) * hours, 1) AS exposure, deaths, least(a, b, deaths) AS ci_low, greatest(a, b, deaths) AS ci_high, eff AS effect FROM (SELECT *, " + ", ".join(f"{_DEATHS.format(e)} AS {n}" for n, e in (("deaths", "eff"), ("a", "e_lo"), ("b", "e_hi")))
+                   + " FROM (SELECT ward_id, population, pm, hours, round((season.eff * s)::DECIMAL(18, 6), 1)::DOUBLE AS eff, round((season.e_lo * s)::DECIMAL(18, 6), 1)::DOUBLE AS e_lo, round((season.e_hi * s)::DECIMAL(18, 6), 1)::DOUBLE AS e_hi FROM season, (SELECT ward_id, population, pm25_p50 AS pm, greatest(0.2, pm25_p50 / avg(pm25_p50) OVER ()) AS s FROM nowcast JOIN wardpt USING (ward_id))))")
 
 
 def ledger(spark, d) -> DataFrame:
     people = t.ward_points(spark, d).select("ward_id", "population")
-    return ledger_rows(nowcast(spark, d).select("ward_id", F.col("pm25_p50").alias("pm")).join(people, "ward_id"))
+    return ledger_rows(nowcast(spark, d).select("ward_id", F.col("pm25_p50").alias("pm")).join(people, "ward_id"), season(spark, d))
 
 
 @query("B9_ledger", "SELECT ward_id, exposure, deaths, ci_low, ci_high, effect FROM ledger", "ledger")
@@ -306,9 +367,9 @@ def _(spark, d):
     return totals(ledger(spark, d))
 
 
-@query("B9_counterfactuals", f"SELECT shift, round(exposure * abs(shift) / 170.0::DOUBLE, 1) AS exposure, round(deaths * (abs(shift) / 170.0::DOUBLE), 2) AS deaths, round(ci_low * (abs(shift) / 170.0::DOUBLE), 2) AS ci_low, round(ci_high * (abs(shift) / 170.0::DOUBLE), 2) AS ci_high FROM ({_TOTALS}), (VALUES (-72), (-48), (-24)) s(shift)", "ledger")
+@query("B9_counterfactuals", f"SELECT shift, round(exposure * abs(shift) / hours, 1) AS exposure, round(deaths * (abs(shift) / hours), 2) AS deaths, round(ci_low * (abs(shift) / hours), 2) AS ci_low, round(ci_high * (abs(shift) / hours), 2) AS ci_high FROM ({_TOTALS}), season, (VALUES (-72), (-48), (-24)) s(shift)", "ledger")
 def _(spark, d):
-    return counterfactuals(totals(ledger(spark, d)))
+    return counterfactuals(totals(ledger(spark, d)), season(spark, d))
 
 
 # The digest, and lookups over documents.

@@ -268,17 +268,6 @@ def _(spark, d):
     return rows.select("station", "h", r6("pm25").alias("target"), r6(u).alias("u"), r6(F.sin(2 * F.pi() * _hod(F.col("h")) / 24)).alias("sin24"), F.col("wind_speed").isNull().cast("int").alias("wind_missing"), "idw")
 
 
-@query("M5_forecast_model")
-def _(spark, d):
-    """The quantile forest of one horizon: what is known at an hour, and the time aimed at, give the value a day later."""
-    from ..operators import models
-
-    w = Window.partitionBy("station").orderBy("h")
-    s = rel.hourly_spine(t.obs_hour(spark, d), "station").withColumns({"target": F.lead("pm25", 24).over(w), "lag24": F.lag("pm25", 24).over(w), "hour": _hod(F.col("h") + 24).cast("double"), "place": F.col("station").cast("double")})
-    rows = s.dropna(subset=["pm25", "target"]).withColumn("lag24", F.coalesce("lag24", "pm25"))
-    return models.train_quantiles(rows, ["pm25", "lag24", "hour", "place"], "target", trees=8).predict(rows, ["station", "h"])
-
-
 ORIGINS = (474000, 473900, 473800)
 
 
@@ -314,19 +303,6 @@ def _(spark, d):
 DAYS = (19732, 19735, 19738, 19760)
 
 
-@query("M14_effects", "SELECT day, round(post - pre, 6) AS effect, round(least(post - pre - 1.96 * se, post - pre), 6) AS ci_low, round(greatest(post - pre + 1.96 * se, post - pre), 6) AS ci_high FROM (SELECT day, avg(v) FILTER (WHERE x >= day) AS post, avg(v) FILTER (WHERE x < day) AS pre, sqrt(coalesce(var_samp(v) FILTER (WHERE x >= day), 0) / count(*) FILTER (WHERE x >= day) + coalesce(var_samp(v) FILTER (WHERE x < day), 0) / count(*) FILTER (WHERE x < day)) AS se, count(*) AS n FROM (VALUES "
-       + ", ".join(f"({k})" for k in DAYS) + ") e(day) JOIN (SELECT CAST(floor(h / 24) AS BIGINT) AS x, avg(pm25) AS v FROM obs GROUP BY 1) ON x >= day - 10 AND x < day + 10 GROUP BY 1 HAVING count(*) >= 10 AND count(*) FILTER (WHERE x >= day) > 0 AND count(*) FILTER (WHERE x < day) > 0)", "obs")
-def _(spark, d):
-    """Effects of events as differences of ten-day means; events with fewer than ten covered days are skipped, bounds are widened to hold the effect."""
-    daily = t.obs_hour(spark, d).groupBy(F.floor(F.col("h") / 24).cast("long").alias("x")).agg(F.avg("pm25").alias("v"))
-    events = F.broadcast(spark.createDataFrame([(k,) for k in DAYS], "day long"))
-    near = daily.join(events, (F.col("x") >= F.col("day") - 10) & (F.col("x") < F.col("day") + 10))
-    post, pre = (F.when(c, F.col("v")) for c in (F.col("x") >= F.col("day"), F.col("x") < F.col("day")))
-    sums = near.groupBy("day").agg((F.avg(post) - F.avg(pre)).alias("e"), F.sqrt(F.coalesce(F.var_samp(post), F.lit(0.0)) / F.count(post) + F.coalesce(F.var_samp(pre), F.lit(0.0)) / F.count(pre)).alias("se"), F.count(F.lit(1)).alias("n"))
-    kept = sums.where("n >= 10 and e is not null")
-    return kept.select("day", r6("e").alias("effect"), r6(F.least(F.col("e") - 1.96 * F.col("se"), F.col("e"))).alias("ci_low"), r6(F.greatest(F.col("e") + 1.96 * F.col("se"), F.col("e"))).alias("ci_high"))
-
-
 @query("M15_ablation", "SELECT round(w, 6) AS with_rmse, round(o, 6) AS without_rmse, round(100 * (o - w) / o, 4) AS delta_pct FROM (SELECT sqrt(avg(pow(pm25 - a, 2))) AS w, sqrt(avg(pow(pm25 - b, 2))) AS o FROM (SELECT pm25, avg(pm25) OVER (PARTITION BY station, wind_speed) AS a, avg(pm25) OVER (PARTITION BY station) AS b FROM met))", "met")
 def _(spark, d):
     """Error with and without a group of inputs, and by how much it differs."""

@@ -192,11 +192,16 @@ def _(spark, d):
     return s.agg(r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.avg(F.abs(e))).alias("mae"), r6(F.avg(F.greatest(0.9 * e, -0.1 * e))).alias("pinball"))
 
 
-@query("A16_buckets", "SELECT CASE WHEN v < 1.5 THEN 1.5 WHEN v < 3 THEN 3.0 WHEN v < 5 THEN 5.0 WHEN v < 8 THEN 8.0 ELSE 99.0 END::DOUBLE AS upto, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT value, value / 40 AS v FROM events) GROUP BY 1")
+def bucket(km):
+    """The upper edge of a distance's bucket; null beyond the last one, which is labelled by the largest distance in it."""
+    return F.when(km < 1.5, 1.5).when(km < 3, 3.0).when(km < 5, 5.0).when(km < 8, 8.0)
+
+
+@query("A16_buckets", "SELECT coalesce(edge, round(far, 1)) AS upto, n, mean FROM (SELECT edge, max(v) AS far, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT value, v, CASE WHEN v < 1.5 THEN 1.5 WHEN v < 3 THEN 3.0 WHEN v < 5 THEN 5.0 WHEN v < 8 THEN 8.0 END::DOUBLE AS edge FROM (SELECT value, value / 40 AS v FROM events)) GROUP BY 1)")
 def _(spark, d):
     v = F.col("value") / 40
-    edge = F.when(v < 1.5, 1.5).when(v < 3, 3.0).when(v < 5, 5.0).when(v < 8, 8.0).otherwise(99.0)
-    return t.read(spark, d, "events").groupBy(edge.alias("upto")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"))
+    found = t.read(spark, d, "events").groupBy(bucket(v).alias("edge")).agg(F.max(v).alias("far"), F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"))
+    return found.select(F.coalesce("edge", F.round("far", 1)).alias("upto"), "n", "mean")
 
 
 def numbered(spark, d):

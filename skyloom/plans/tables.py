@@ -50,6 +50,13 @@ def with_meteo(obs: DataFrame) -> DataFrame:
     return obs.withColumns({"wind_dir": ((F.col("station") * 47 + F.col("h") * 13) % 360).cast("double"), "wind_speed": (1 + (F.col("station") + F.col("h")) % 5).cast("double")})
 
 
+def with_weather(rows: DataFrame) -> DataFrame:
+    """All seven weather columns: what the wind's are, and four more made alike from station and hour."""
+    s, h = F.col("station"), F.col("h")
+    more = {"temp": 12 + (h * 7 + s * 3) % 22, "rh": 30 + (h * 11 + s * 5) % 65, "precip": F.when((h + s) % 17 == 0, 2.5).otherwise(0.0), "blh": 200 + (h * 29 + s * 101) % 1500}
+    return with_meteo(rows).withColumns({k: v.cast("double") for k, v in more.items()})
+
+
 def fires(spark, d) -> DataFrame:
     e = read(spark, d, "events").where("event_type = 'error'")
     return e.select("event_id", (28.0 + (F.col("event_id") * 7 % 130) / 100.0).alias("lat"), (76.3 + (F.col("event_id") * 11 % 150) / 100.0).alias("lon"), F.col("value").alias("frp"), second_number(F.col("ts")).alias("s"))
