@@ -159,11 +159,14 @@ def cuts(counted: DataFrame, mix: Mix) -> DataFrame:
     return table.join(edge.drop("_before"), KEYS, "left").join(stored(upto, "mix-cut"), KEYS, "left")
 
 
-def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The taken rows with all their columns and how many times each is taken (``copies``)."""
-    named = with_leaf(docs, mix, lang_col, source_col)
-    counted = stored(named.select(*KEYS, F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens")), "mix-counted")
-    return chosen(named, cuts(counted, mix), mix, id_col).drop(*KEYS)
+def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", copies: str = "copies") -> DataFrame:
+    """The taken rows with all their columns and how many times each is taken, in a column ``copies``, to which an input column
+    of that name gives way. Input columns may have any names: they travel as one value."""
+    own = lambda c: f"_doc.`{c}`"
+    named = with_leaf(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")), mix, own(lang_col), own(source_col))
+    counted = stored(named.select(*KEYS, F.col(own(id_col)).cast("long").alias("doc_id"), word_count(F.col(own(text_col))).alias("n_tokens")), "mix-counted")
+    taken = chosen(named, cuts(counted, mix), mix, own(id_col))
+    return taken.select(*(F.col(own(c)).alias(c) for c in docs.columns if c != copies), F.col("copies").alias(copies))
 
 
 def chosen(named: DataFrame, table: DataFrame, mix: Mix, id_col: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from skyloom.llm import mixing
 
 
@@ -53,4 +55,12 @@ def test_selection(spark):
         assert {((r.domain, r.lang, r.source), r.doc_id): r.copies for r in got} == want
         kept = mixing.mixed(df.drop("copies"), mix)
         assert kept.columns == ["doc_id", "text", "lang", "source", "copies"] and kept.count() == len(got)
+    # Names that the operator uses itself.
+    odd = df.withColumns({"copies": F.lit(99), "_rest": F.lit("r"), "_domain": F.lit("d"), "_place": F.lit(1), "n_tokens": F.lit(-1)})
+    kept = mixing.mixed(odd, mixing.STANDARD, copies="times")
+    assert kept.columns == [*odd.columns, "times"]
+    plain = sorted((str(r.doc_id), r.copies) for r in mixing.mixed(df.drop("copies"), mixing.STANDARD).collect())
+    assert sorted((str(r.doc_id), r.times) for r in kept.collect()) == plain
+    assert kept.where("copies <> 99 or _rest <> 'r' or _domain <> 'd' or _place <> 1 or n_tokens <> -1").count() == 0
+    assert sorted((str(r.doc_id), r.copies) for r in mixing.mixed(odd, mixing.STANDARD).collect()) == plain
     assert mixing.digest(df.limit(0), mixing.STANDARD).collect() == []
