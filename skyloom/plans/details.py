@@ -41,9 +41,11 @@ def _(spark, d):
     return inside.groupBy("ward_id").agg(F.sum("people").alias("population"))
 
 
-@query("G8_cell_rings", "SELECT i, j, p, round(76.83::DOUBLE + (j + dx) * 0.01, 6) AS x, round(28.4::DOUBLE + (i + dy) * 0.01, 6) AS y FROM range(48) a(i), range(51) b(j), (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(p, dx, dy)")
+@query("G8_cell_rings", "SELECT i, j, p, round(76.83::DOUBLE + (j + dx) * 0.01, 6) AS x, round(28.4::DOUBLE + (i + dy) * 0.01, 6) AS y FROM (SELECT DISTINCT CAST(floor(round_even(lat / 0.01, 6)) - 2840 AS BIGINT) AS i, CAST(floor(round_even(lon / 0.01, 6)) - 7683 AS BIGINT) AS j FROM fires), (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(p, dx, dy)", "fires")
 def _(spark, d):
-    cells = spark.range(48 * 51).select(F.floor(F.col("id") / 51).alias("i"), (F.col("id") % 51).alias("j"))
+    """The outlines of all cells in which a fire was seen."""
+    index = lambda c, least: (geo.cell_floor(F.col(c)) - least).cast("long")
+    cells = t.fires(spark, d).select(index("lat", 2840).alias("i"), index("lon", 7683).alias("j")).distinct()
     ring = shapes.cell_ring(F.lit(t.SOUTH), F.lit(t.WEST), F.col("i"), F.col("j"), geo.CELL)
     return cells.select("i", "j", F.posexplode(ring).alias("p", "v")).select("i", "j", "p", r6("v.x").alias("x"), r6("v.y").alias("y"))
 

@@ -11,7 +11,7 @@ from ..operators import relational as rel
 from ..sources import feeds, store
 from . import documents as docs
 from . import tables as t
-from .registry import _IDX, indexed, query, r6
+from .registry import _IDX, indexed, measures, query, r6
 
 # The gate, on documents of which some are wrong.
 
@@ -131,17 +131,19 @@ def _(spark, d):
     return rows.groupBy("station", F.floor(F.col("h") / 24).cast("long").alias("day")).agg(F.round(F.avg(F.col("value") * 1000.0), 4).alias("value"))
 
 
-@query("S22_calendar", "SELECT * FROM (VALUES ('III', TIMESTAMP '2024-01-13 18:30:00', TIMESTAMP '2024-01-18 18:30:00'), ('IV', TIMESTAMP '2024-01-14 18:30:00', NULL)) v(stage, start_utc, end_utc)")
+@query("S22_calendar", "SELECT stage, start - INTERVAL 330 MINUTE AS start_utc, stop - INTERVAL 330 MINUTE AS end_utc FROM measures", "measures")
 def _(spark, d):
-    local = spark.createDataFrame([("III", "2024-01-14 00:00", "2024-01-19 00:00"), ("IV", "2024-01-15 00:00", None)], "stage string, start string, end string")
-    return feeds.calendar(local).select("stage", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_utc", "end_utc")))
+    """A calendar in local time, as a city writes it, in universal time."""
+    text_ = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return feeds.calendar(measures(spark, d).select("stage", text_("start").alias("start"), text_("stop").alias("end")))
 
 
-@query("S26_cutoff", "SELECT * FROM (VALUES ('VIIRS_SNPP', DATE '2024-03-31'), ('MODIS', DATE '2023-12-31'), ('VIIRS_NOAA21', DATE '2024-01-01')) v(product, cutoff)")
+@query("S26_cutoff", "SELECT upper(event_type) AS product, CASE WHEN event_type = 'error' THEN DATE '2024-01-01' ELSE max(CAST(ts AS DATE)) END AS cutoff FROM events GROUP BY event_type")
 def _(spark, d):
-    lines = spark.createDataFrame([("data_id,min_date,max_date",), ("VIIRS_SNPP_SP,2012-01-20,2024-03-31",), ("VIIRS_SNPP_NRT,2024-04-01,2024-07-01",), ("MODIS_SP,2000-11-01,2023-12-31",), ("broken",)], "line string")
-    wanted = spark.createDataFrame([("VIIRS_SNPP",), ("MODIS",), ("VIIRS_NOAA21",)], "product string")
-    return feeds.cutoffs(wanted, lines, "2024-01-01")
+    """The last day of each product's archive, from lines as a service lists them; a product that has none yet gets the constant."""
+    days = t.read(spark, d, "events").groupBy(F.upper("event_type").alias("product")).agg(F.min(F.col("ts").cast("date")).alias("a"), F.max(F.col("ts").cast("date")).alias("b"))
+    lines = days.select(F.concat_ws(",", F.concat("product", F.when(F.col("product") == "ERROR", "_NRT").otherwise("_SP")), F.col("a").cast("string"), F.col("b").cast("string")).alias("line"))
+    return feeds.cutoffs(days.select("product"), lines, "2024-01-01")
 
 
 @query("K9_population", "SELECT ward_id, CASE WHEN population > 0 THEN CAST(population AS BIGINT) END AS population, k FROM wards", "wards")
@@ -324,10 +326,10 @@ def _(spark, d):
     return actual.join(learned, "station").select("station", "day", "predicted", "actual")
 
 
-@query("T6_interventions", "SELECT day, CASE WHEN day < 19736 THEN 'early' ELSE 'late' END AS part FROM (VALUES " + ", ".join(f"({k})" for k in DAYS[:3]) + ") e(day)")
+@query("T6_interventions", "SELECT label, day, effect, placebo_pass FROM effects", "effects")
 def _(spark, d):
-    rows = spark.createDataFrame([(k, "early" if k < 19736 else "late") for k in DAYS[:3]], "day int, part string")
-    return docs.republished(rows, "events")
+    """The events of the interventions document, as they are looked up in it."""
+    return docs.republished(docs.event_effects(spark, d).select("label", "day", "effect", "placebo_pass"), "events")
 
 
 @query("B10_receipts", "SELECT 'rows' AS name, count(*)::DOUBLE AS value FROM events UNION ALL SELECT 'stations', count(DISTINCT station)::DOUBLE FROM obs UNION ALL SELECT 'persistence_mae', (SELECT round(avg(abs(target - pm25)), 6) FROM (SELECT pm25, lead(pm25, 24) OVER (PARTITION BY station ORDER BY h) AS target FROM series)) UNION ALL SELECT 'north_hits', (SELECT count(*) FILTER (WHERE wind_dir >= 330 OR wind_dir <= 30)::DOUBLE FROM met)", "series met")
@@ -406,9 +408,13 @@ def _(spark, d):
     return gate.grounded(briefs, docs.ledger(spark, d), stages, scenarios)
 
 
-@query("B15_publish_order", "SELECT * FROM (VALUES ('deep', 1, 'nowcast'), ('deep', 2, 'forecast'), ('deep', 3, 'attribution'), ('deep', 4, 'enforcement'), ('deep', 5, 'advisories'), ('deep', 6, 'ledger'), ('deep', 7, 'replay'), ('standard', 1, 'nowcast'), ('standard', 2, 'forecast'), ('standard', 3, 'advisories')) v(tier, place, surface)")
+_DEEP = ("nowcast", "forecast", "attribution", "enforcement", "advisories", "ledger", "replay")
+
+
+@query("B15_publish_order", "SELECT r_name AS city, place, surface FROM region JOIN (VALUES " + ", ".join(f"(0, {i}, '{x}')" for i, x in enumerate(_DEEP, 1)) + ", (1, 1, 'nowcast'), (1, 2, 'forecast'), (1, 3, 'advisories')) v(tier, place, surface) ON r_regionkey % 2 = tier")
 def _(spark, d):
+    """What is made for each city in which order, by its tier."""
     from .publish import order
 
-    rows = [(tier, i, s) for tier in ("deep", "standard") for i, s in enumerate(order(tier), 1)]
-    return spark.createDataFrame(rows, "tier string, place int, surface string")
+    tier = F.when(F.col("r_regionkey") % 2 == 0, F.array(*map(F.lit, order("deep")))).otherwise(F.array(*map(F.lit, order("standard"))))
+    return t.read(spark, d, "region").select(F.col("r_name").alias("city"), F.posexplode(tier).alias("place", "surface")).withColumn("place", F.col("place") + 1)

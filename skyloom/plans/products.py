@@ -9,7 +9,7 @@ from ..functions import domain, geo, text
 from ..operators import gate
 from ..operators import relational as rel
 from . import tables as t
-from .registry import _CPF, _IDX, ORACLES, QUERIES, calendar, indexed, peaks, query, r6  # noqa: F401
+from .registry import _CPF, _IDX, ORACLES, QUERIES, calendar, indexed, measures, peaks, query, r6  # noqa: F401
 
 # What is to be done about a source.
 ACTIONS = {"traffic": "traffic_management", "industry": "inspect_industry", "biomass": "stop_burning", "dust": "suppress_dust", "residential_other": "outreach"}
@@ -206,9 +206,10 @@ def _(spark, d):
     return t.wards(spark, d).orderBy(F.desc("population"), "ward_id").limit(12).select("ward_id", "k")
 
 
-@query("O9_latest_start", "SELECT 'IV' AS stage, 473600 AS lo")
+@query("O9_latest_start", "SELECT stage, id FROM measures ORDER BY start DESC, id LIMIT 1", "measures")
 def _(spark, d):
-    return calendar(spark).agg(F.max_by("stage", "lo").alias("stage"), F.max("lo").cast("int").alias("lo"))
+    """The measure that began last, the first of several; an aggregate, so nothing is sorted."""
+    return measures(spark, d).agg(F.max_by(F.struct("stage", "id"), F.struct("start", -F.col("id"))).alias("m")).select("m.stage", "m.id")
 
 
 @query("C6_sorted", "SELECT bool_and(v <= prev) AS ok FROM (SELECT population AS v, lag(population, 1, population) OVER (ORDER BY population DESC, ward_id) AS prev FROM wards)", "wards")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import aqi, domain, geo, text
+from ..operators import events
 from ..operators import relational as rel
 from . import tables as t
 
@@ -221,10 +222,20 @@ def _(spark, d):
     return share.join(days, "station", "left").select("station", "exceedance_pct", F.coalesce("days", F.lit(0)).alias("persistence_days"))
 
 
-@query("A21_active_hours", "SELECT greatest(sum(hi - lo), 24) AS hours FROM (VALUES ('III', 473400, 473500), ('IV', 473450, 473520), ('II', 473000, 473900), ('IV', 473600, NULL)) v(stage, lo, hi) WHERE stage IN ('III', 'IV') AND hi IS NOT NULL")
+t.SQL["measures"] = "SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'IV' WHEN '2-HIGH' THEN 'III' ELSE 'II' END AS stage, o_orderdate AS start, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_days(CAST(1 + o_orderkey % 9 AS INTEGER)) END AS stop FROM orders"
+
+
+def measures(spark, d):
+    """Orders as measures in force: a stage by priority, from the order's day on, without an end while it is pending."""
+    o = t.read(spark, d, "orders")
+    stage = F.when(F.col("o_orderpriority") == "1-URGENT", "IV").when(F.col("o_orderpriority") == "2-HIGH", "III").otherwise("II")
+    end = F.when(F.col("o_orderstatus") != "P", F.timestamp_add("DAY", (1 + F.col("o_orderkey") % 9).cast("int"), F.col("o_orderdate")))
+    return o.select(F.col("o_orderkey").alias("id"), stage.alias("stage"), F.col("o_orderdate").alias("start"), end.alias("stop"))
+
+
+@query("A21_active_hours", "SELECT greatest(sum(epoch(stop) - epoch(start)) / 3600, 24.0)::DOUBLE AS hours FROM measures WHERE stage IN ('III', 'IV') AND stop IS NOT NULL", "measures")
 def _(spark, d):
-    rows = calendar(spark).where(F.col("stage").isin("III", "IV") & F.col("hi").isNotNull())
-    return rows.agg(F.greatest(F.sum(F.col("hi") - F.col("lo")), F.lit(24)).alias("hours"))
+    return events.active_hours(measures(spark, d).withColumnRenamed("stop", "end"))
 
 
 def calendar(spark):
@@ -350,9 +361,11 @@ def _(spark, d):
     return rel.nearest(t.fires(spark, d), t.station(spark), ["event_id"], "station").select("event_id", "station", r6("km").alias("km"))
 
 
-@query("J12_pairwise", "SELECT a.station AS a, b.station AS b, round(" + t.haversine_sql("a", "b") + ", 6) AS km FROM station a, station b", "station")
+@query("J12_pairwise", "SELECT a.station AS a, b.station AS b, round(" + t.haversine_sql("a", "b") + ", 6) AS km FROM (SELECT * FROM station SEMI JOIN obs USING (station)) a, (SELECT * FROM station SEMI JOIN obs USING (station)) b", "station obs")
 def _(spark, d):
-    a, b = t.station(spark), t.station(spark).select(F.col("station").alias("b"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    """Distances between all stations that have readings: a dimension by itself."""
+    a = t.station(spark).join(t.obs_long(spark, d), "station", "left_semi")
+    b = a.select(F.col("station").alias("b"), F.col("lat").alias("y"), F.col("lon").alias("x"))
     return a.join(F.broadcast(b)).select(F.col("station").alias("a"), "b", r6(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("km"))
 
 
@@ -460,10 +473,12 @@ def _(spark, d):
     return t.fires(spark, d).select("event_id", geo.cell_id("delhi", F.col("lat"), F.col("lon"), t.SOUTH, t.WEST).alias("cell"))
 
 
-@query("G7_enumerate", "SELECT 'delhi_' || i || '_' || j AS cell FROM range(48) a(i), range(51) b(j)")
+@query("G7_enumerate", "SELECT 'delhi_' || i || '_' || j AS cell FROM (SELECT CAST(round((max(y0) + 0.1 - 28.4) / 0.01) AS BIGINT) AS rows_, CAST(round((max(x0) + 0.1 - 76.83) / 0.01) AS BIGINT) AS cols FROM wards) b, LATERAL (SELECT unnest(range(b.rows_)) AS i), LATERAL (SELECT unnest(range(b.cols)) AS j)", "wards")
 def _(spark, d):
-    n = F.col("id")
-    return spark.range(48 * 51).select(F.concat_ws("_", F.lit("delhi"), F.floor(n / 51).cast("string"), (n % 51).cast("string")).alias("cell"))
+    """All cells over the wards' bounds."""
+    n = lambda c, least: F.sequence(F.lit(0), F.round((F.max(c) + 0.1 - least) / 0.01).cast("int") - 1)
+    bounds = t.wards(spark, d).agg(n("y0", t.SOUTH).alias("i"), n("x0", t.WEST).alias("j"))
+    return bounds.select(F.explode("i").alias("i"), "j").select("i", F.explode("j").alias("j")).select(F.concat_ws("_", F.lit("delhi"), "i", "j").alias("cell"))
 
 
 @query("Q1_sub_index", "SELECT event_id, " + ", ".join(f"{t.sub_index_sql(p, 'value')} AS {p}" for p in aqi.BREAKPOINTS) + " FROM events")
@@ -486,9 +501,13 @@ def _(spark, d):
     return t.read(spark, d, "events").select("event_id", full.alias("q")).select("event_id", "q.aqi", "q.dominant", "q.category")
 
 
-@query("Q5_breakpoints", "SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}::DOUBLE, {r[3]}::DOUBLE, {r[4]}, {r[5]}, {str(r[6]).lower()})" for r in aqi.breakpoint_rows()) + ") v(pollutant, category, conc_lo, conc_hi, index_lo, index_hi, extrapolated)")
+@query("Q5_breakpoints", "SELECT v.*, (SELECT count(*) FROM obs_long WHERE parameter = v.pollutant AND value > v.conc_lo AND value <= v.conc_hi) AS readings FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}::DOUBLE, {r[3]}::DOUBLE, {r[4]}, {r[5]}, {str(r[6]).lower()})" for r in aqi.breakpoint_rows()) + ") v(pollutant, category, conc_lo, conc_hi, index_lo, index_hi, extrapolated)", "obs_long")
 def _(spark, d):
-    return spark.createDataFrame(aqi.breakpoint_rows(), "pollutant string, category string, conc_lo double, conc_hi double, index_lo int, index_hi int, extrapolated boolean")
+    """The rows of the index, with how many readings lie in each."""
+    rows = spark.createDataFrame(aqi.breakpoint_rows(), "pollutant string, category string, conc_lo double, conc_hi double, index_lo int, index_hi int, extrapolated boolean")
+    inside = (F.col("parameter") == F.col("pollutant")) & (F.col("value") > F.col("conc_lo")) & (F.col("value") <= F.col("conc_hi"))
+    hits = t.obs_long(spark, d).join(F.broadcast(rows.select("pollutant", "category", "conc_lo", "conc_hi")), inside).groupBy("pollutant", "category").agg(F.count(F.lit(1)).alias("readings"))
+    return rows.join(hits, ["pollutant", "category"], "left").select(*rows.columns, F.coalesce("readings", F.lit(0)).alias("readings"))
 
 
 @query("D1_wind", "SELECT station, h, round(-wind_speed * sin(radians(wind_dir)), 6) AS u, round(-wind_speed * cos(radians(wind_dir)), 6) AS v FROM met", "met")
