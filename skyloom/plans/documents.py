@@ -404,11 +404,10 @@ def _(spark, d):
 
 
 @query("J17_ward_views", "SELECT n.ward_id, hz AS h, coalesce(f.subindex24h, n.subindex24h) AS subindex, coalesce(f.pm25_p50, n.pm25_p50) AS pm25_p50, coalesce(f.confidence, n.confidence) AS confidence FROM nowcast n CROSS JOIN (VALUES (0), (24), (48), (72)) z(hz) "
-       "LEFT JOIN forecast f ON f.ward_id = n.ward_id AND f.h = hz AND CAST(right(f.ward_id, 3) AS INT) % 4 <> 0", "forecast")
+       "LEFT JOIN forecast f ON f.ward_id = n.ward_id AND f.h = hz", "forecast")
 def _(spark, d):
-    """Each ward's view at each horizon: the forecast, or the nowcast where there is none."""
-    some = forecast(spark, d).where(F.substring("ward_id", -3, 3).cast("int") % 4 != 0)
-    return ward_views(nowcast(spark, d), some)
+    """Each ward's view at each horizon: the forecast, or the nowcast where there is none, as for the present."""
+    return ward_views(nowcast(spark, d), forecast(spark, d))
 
 
 def ward_views(now: DataFrame, ahead: DataFrame) -> DataFrame:

@@ -105,9 +105,9 @@ def _(spark, d):
 # Feeds and sinks.
 
 
-@query("S6_discovery", "SELECT user_id AS station, string_agg(parameter, ',' ORDER BY parameter) AS parameters FROM (SELECT DISTINCT user_id, CASE event_type WHEN 'view' THEN 'pm25' WHEN 'click' THEN 'bc' WHEN 'purchase' THEN 'no2' ELSE 'um003' END AS parameter FROM events WHERE value > 250) GROUP BY 1 HAVING bool_or(parameter IN ('pm25', 'no2'))")
+@query("S6_discovery", "SELECT user_id AS station, string_agg(parameter, ',' ORDER BY parameter) AS parameters FROM (SELECT DISTINCT user_id, CASE event_type WHEN 'view' THEN 'pm25' WHEN 'click' THEN 'bc' WHEN 'purchase' THEN 'no2' ELSE 'um003' END AS parameter FROM events) GROUP BY 1 HAVING bool_or(parameter IN ('pm25', 'no2'))")
 def _(spark, d):
-    e = t.read(spark, d, "events").where("value > 250")
+    e = t.read(spark, d, "events")
     name = F.when(F.col("event_type") == "view", "pm25").when(F.col("event_type") == "click", "bc").when(F.col("event_type") == "purchase", "no2").otherwise("um003")
     sensors = e.select(F.col("user_id").alias("station"), name.alias("parameter"))
     return feeds.discovered(sensors, "station", "parameter").select("station", F.array_join("parameters", ",").alias("parameters"))

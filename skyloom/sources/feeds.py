@@ -23,7 +23,11 @@ def believable(parameter: Column, value: Column) -> Column:
 def archive(spark: SparkSession, path: str) -> DataFrame:
     """Hourly wide observations from an archive laid out as locationid=/year=/month=; partitions are pruned by filters on
     those columns. Floors to the hour after conversion to UTC."""
-    raw = spark.read.option("header", True).schema(ARCHIVE).csv(path)
+    return hourly_wide(spark.read.option("header", True).schema(ARCHIVE).csv(path))
+
+
+def hourly_wide(raw: DataFrame) -> DataFrame:
+    """A row a station and hour from long rows ``location_id, datetime, lat, lon, parameter, value``."""
     known = raw.where(F.col("parameter").isin(list(CAPS)))
     rows = known.select(F.col("location_id").cast("string").alias("station_id"), F.date_trunc("hour", F.try_to_timestamp("datetime")).alias("ts_utc"), "parameter",
                         believable(F.col("parameter"), F.col("value").try_cast("double")).alias("value"), "lat", "lon")
@@ -36,6 +40,11 @@ def meteo(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an hourly struct of arrays; an absent variable is a null column."""
     fields = ", ".join(f"{k}: array<double>" for k in METEO)
     raw = spark.read.schema(f"latitude double, longitude double, hourly struct<time: array<string>, {fields}>").option("multiLine", True).json(path)
+    return hourly_points(raw)
+
+
+def hourly_points(raw: DataFrame) -> DataFrame:
+    """A row a place and hour from places with a struct of arrays."""
     rows = raw.select("latitude", "longitude", F.explode(F.arrays_zip(F.col("hourly.time"), *(F.coalesce(F.col(f"hourly.{k}"), F.array().cast("array<double>")).alias(k) for k in METEO))).alias("r"))
     return rows.select("latitude", "longitude", F.try_to_timestamp("r.time", F.lit("yyyy-MM-dd'T'HH:mm")).alias("ts_utc"), *(F.col(f"r.{k}").alias(v) for k, v in METEO.items())).dropDuplicates(["latitude", "longitude", "ts_utc"])
 
@@ -43,9 +52,14 @@ def meteo(spark: SparkSession, path: str) -> DataFrame:
 def fires(spark: SparkSession, path: str) -> DataFrame:
     """Detections with a place and a time; other lines (a notice, say) are dropped."""
     raw = spark.read.option("header", True).csv(path)
-    at = F.try_to_timestamp(F.concat("acq_date", F.lpad("acq_time", 4, "0")), F.lit("yyyy-MM-ddHHmm"))
     if not {"latitude", "longitude", "frp", "acq_date", "acq_time"} <= set(raw.columns):
         return spark.createDataFrame([], "lat double, lon double, frp double, acq_utc timestamp")
+    return detections(raw)
+
+
+def detections(raw: DataFrame) -> DataFrame:
+    """Fires from text columns."""
+    at = F.try_to_timestamp(F.concat("acq_date", F.lpad("acq_time", 4, "0")), F.lit("yyyy-MM-ddHHmm"))
     return raw.select(F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), F.col("frp").try_cast("double").alias("frp"), at.alias("acq_utc")).dropna(subset=["lat", "lon", "acq_utc"]).dropDuplicates()
 
 
@@ -160,7 +174,11 @@ def live(spark: SparkSession, path: str, sensors: DataFrame) -> DataFrame:
     """``station_id, ts_utc, parameter, value`` of the latest readings of a JSON answer; ``sensors``: sensor, parameter. The last
     reading of a sensor counts, values that nobody believes are null."""
     kind = "results array<struct<datetime: struct<utc: string>, value: double, sensorsId: bigint, locationsId: bigint>>"
-    r = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+    return latest(spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*"), sensors)
+
+
+def latest(r: DataFrame, sensors: DataFrame) -> DataFrame:
+    """The last believable reading of each sensor."""
     rows = r.select(F.col("sensorsId").alias("sensor"), F.col("locationsId").cast("string").alias("station_id"), F.date_trunc("hour", F.try_to_timestamp("datetime.utc")).alias("ts_utc"), "value").dropna(subset=["ts_utc"])
     last = rows.groupBy("sensor").agg(F.max_by(F.struct("station_id", "ts_utc", "value"), "ts_utc").alias("m")).select("sensor", "m.*")
     return last.join(sensors, "sensor").where(F.col("parameter").isin(list(CAPS))).select("station_id", "ts_utc", "parameter", believable(F.col("parameter"), F.col("value")).alias("value"))
