@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import batches_of, bounded_batches, sized, stored
+from .common import batches_of, bounded_batches, give_back, sized, stored
 
 #: Fixed values of the contract: what ends a piece, what parts words, most words of a phrase.
 BREAKS, SPACES, LONGEST = [*b".,;:!?", *range(10, 14)], list(b"\x20\x09"), 5
@@ -43,7 +43,7 @@ MOST_BITS = 28
 #: A pair is dealt by three words from this share of all words on, and from so many occurrences on at least.
 HOT_SHARE, HOT_LEAST = 500, 50_000
 #: Bytes of texts whose counts are put together before they leave Python.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())])
 
@@ -125,6 +125,7 @@ def _mapped(rows: DataFrame, schema: str, work: Callable[[_Part], Iterator[pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield from work(_Part(batch))
+        give_back()
 
     return rows.mapInArrow(mapped, schema)
 

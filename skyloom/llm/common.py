@@ -112,7 +112,7 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> It
     if buffer:
         yield _batch(buffer, schema)
         buffer = []
-    _give_back()
+    give_back()
 
 
 #: What frees the tables that operators keep in this worker, by operator.
@@ -125,11 +125,11 @@ def keeps(operator: str, free: Callable[[], None]) -> None:
     for name in others:
         _kept.pop(name)()
     if others:
-        _give_back()
+        give_back()
     _kept[operator] = free
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Unused memory of this worker goes back to the system: other stages' tasks use the same worker."""
     gc.collect()
     pa.default_memory_pool().release_unused()
