@@ -53,8 +53,13 @@ def in_range(b: Column, low: float, high: float) -> Column:
 
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting over a closed ring ``array<struct<x, y>>``, the boundary excluded."""
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    n = F.size(ring) - 1
+    return inside_area(x, y, F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
+
+def inside_area(x: Column, y: Column, edges: Column) -> Column:
+    """Ray casting over the edges ``array<struct<a, b>>`` of all rings of an area, outlines, holes and further parts alike: a point
+    is inside if the ray to the east meets an odd number of them. The boundary is excluded."""
     def crossed(e):
         a, b = e["a"], e["b"]
         above = (a["y"] > y) != (b["y"] > y)

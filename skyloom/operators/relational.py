@@ -146,6 +146,53 @@ def points_in_rings(points: DataFrame, places: DataFrame, size: float, key: str,
     return _first_holding(points, places.select(key, shapes.bounds(F.col(ring)).alias("_box"), F.struct(key, ring).alias("_c")), size, key, missing, inside)
 
 
+#: Cells into which a cell on an area's edge is divided each way, and degrees by which cells are taken to be larger than they are.
+PARTS, SLACK = 4, 1e-9
+
+
+def area_cover(places: DataFrame, size: float, key: str, rings: str = "rings") -> DataFrame:
+    """Areas as cells: a row for each place and cell of ``size`` degrees that it meets, ``_x``, ``_y``, ``key`` and ``_subs``: the
+    parts of the cell that are inside (``inner``) or on the edge, these with the edges that decide there. Parts outside are left
+    out. ``rings``: closed rings of all outlines, holes and further parts."""
+    q = size / PARTS
+    reach = lambda c: F.transform(F.flatten(F.col(rings)), lambda p: p[c])
+    cell = lambda v: F.floor(F.floor(v / q) / PARTS).cast("long")
+    span = lambda c: F.explode(F.sequence(cell(F.array_min(reach(c)) - SLACK), cell(F.array_max(reach(c)) + SLACK)))
+    rows = places.select(key, rings, F.flatten(F.transform(rings, shapes.edges)).alias("_edges")).withColumn("_x", span("x")).withColumn("_y", span("y"))
+    low = lambda e, c: F.least(e["a"][c], e["b"][c])
+    high = lambda e, c: F.greatest(e["a"][c], e["b"][c])
+
+    def deciding(edges, x, y, width):
+        """The edges that a ray to the east from the cell at ``x, y`` may meet."""
+        return F.filter(edges, lambda e: (high(e, "y") >= y - SLACK) & (low(e, "y") <= y + width + SLACK) & (high(e, "x") >= x - SLACK))
+
+    def part(edges, ix, iy, width):
+        """struct<x, y, n, inner, edges> of the cell whose numbers are ``ix, iy`` in cells of ``q`` and that is ``width`` wide."""
+        x, y = ix * q, iy * q
+        return shapes.bound(deciding(edges, x, y, width), lambda own: F.struct(
+            ix.alias("x"), iy.alias("y"), F.exists(own, lambda e: low(e, "x") <= x + width + SLACK).alias("mixed"), geo.inside_area(x + width / 2, y + width / 2, own).alias("inner"), own.alias("edges")))
+
+    rows = rows.withColumn("_c", part(F.col("_edges"), F.col("_x") * PARTS, F.col("_y") * PARTS, size))
+    steps = F.sequence(F.lit(0), F.lit(PARTS * PARTS - 1))
+    subs = F.transform(steps, lambda k: part(F.col("_c.edges"), F.col("_x") * PARTS + k % PARTS, F.col("_y") * PARTS + F.floor(k / PARTS), q))
+    kept = F.transform(F.filter(subs, lambda c: c["mixed"] | c["inner"]), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (~c["mixed"]).alias("inner"), F.when(c["mixed"], c["edges"]).alias("edges")))
+    whole = F.array(F.struct(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.lit(True).alias("inner"), F.lit(None).cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>").alias("edges")))
+    return rows.select(key, "_x", "_y", F.when(F.col("_c.mixed"), kept).when(F.col("_c.inner"), whole).alias("_subs")).where(F.size("_subs") > 0)
+
+
+def points_in_areas(points: DataFrame, places: DataFrame, size: float, key: str, missing: Column, rings: str = "rings") -> DataFrame:
+    """The first place (by key) that holds each point strictly inside, else ``missing``. Places may have holes and several parts.
+    Each cell has one list of what covers it: cells wholly inside decide without a test, those on an edge test few edges."""
+    q = size / PARTS
+    lists = area_cover(places, size, key, rings).groupBy("_x", "_y").agg(F.collect_list(F.struct(key, "_subs")).alias("_cs"))
+    at = {"_ix": F.floor(F.col("lon") / q).cast("long"), "_iy": F.floor(F.col("lat") / q).cast("long")}
+    met = points.withColumns(at).withColumns({"_x": F.floor(F.col("_ix") / PARTS).cast("long"), "_y": F.floor(F.col("_iy") / PARTS).cast("long")}).join(lists, ["_x", "_y"], "left")
+    here = lambda s: s["x"].isNull() | ((s["x"] == F.col("_ix")) & (s["y"] == F.col("_iy")))
+    holds = lambda c: F.exists(c["_subs"], lambda s: F.when(~here(s), False).when(s["inner"], True).otherwise(geo.inside_area(F.col("lon"), F.col("lat"), s["edges"])))
+    first = F.array_min(F.transform(F.filter("_cs", holds), lambda c: c[key]))
+    return met.withColumn(key, F.coalesce(first, missing)).drop("_x", "_y", "_ix", "_iy", "_cs")
+
+
 def _first_holding(points: DataFrame, places: DataFrame, size: float, key: str, missing: Column, inside) -> DataFrame:
     """Each grid cell has the list of places over it, so that a point meets one row and is never multiplied or shuffled twice."""
     cell = lambda c: F.floor(c / size)

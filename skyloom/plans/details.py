@@ -23,6 +23,13 @@ def _(spark, d):
     return rel.points_in_rings(points, t.rings(spark, d).select("ward_id", "ring"), 0.05, "ward_id", F.lit("delhi_unassigned")).select("event_id", "ward_id")
 
 
+@query("J3_areas", f"SELECT event_id, coalesce(min(ward_id), 'delhi_unassigned') AS ward_id FROM fires LEFT JOIN ({_IN_WARD.replace('edges', 'area_edges')}) USING (event_id) GROUP BY 1", "fires area_edges")
+def _(spark, d):
+    """Fires in wards that have holes, islands in them and parts by themselves."""
+    points = t.fires(spark, d).select("event_id", "lat", "lon")
+    return rel.points_in_areas(points, t.areas(spark, d).select("ward_id", "rings"), 0.05, "ward_id", F.lit("delhi_unassigned")).select("event_id", "ward_id")
+
+
 @query("J4_cells_in_polygons", "SELECT ward_id, count(*) AS cells FROM (SELECT id, min(ward_id) AS ward_id FROM (SELECT id, ward_id FROM (SELECT i * 60 + j AS id, 28.40::DOUBLE + (i + 0.5::DOUBLE) / 100.0 AS lat, 76.83::DOUBLE + (j + 0.5::DOUBLE) / 100.0 AS lon FROM range(60) a(i), range(60) b(j)), edges GROUP BY 1, 2 HAVING sum("
        + _CROSSED.format(x="lon", y="lat") + ") % 2 = 1) GROUP BY 1) GROUP BY 1", "edges")
 def _(spark, d):

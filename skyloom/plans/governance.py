@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import domain, geo, text
-from ..operators import contract
+from ..operators import contract, schema
 from ..operators import relational as rel
 from ..sources import feeds, store
 from . import documents as docs
@@ -90,6 +90,20 @@ def _(spark, d):
     return e.select("event_id", contract.by_schema({c: F.col(c) for c in e.columns}, schema).alias("ok"))
 
 
+READING = {
+    "type": "object", "required": ["id", "kind", "reading"], "additionalProperties": False, "$defs": {"share": {"type": "number", "maximum": 150}},
+    "properties": {"id": {"type": "integer"}, "kind": {"enum": ["view", "click", "purchase", "signup"]}, "reading": {"type": "object", "properties": {"v": {"type": "number", "maximum": 400}, "shares": {"type": "array", "items": {"$ref": "#/$defs/share"}}}}},
+}
+
+
+@query("C15_violations", "SELECT event_id, array_to_string(list_filter([CASE WHEN event_type = 'error' THEN '$.kind: enum' END, CASE WHEN value > 400 THEN '$.reading.v: maximum' END, CASE WHEN value / 2 > 150 THEN '$.reading.shares[0]: maximum' END, CASE WHEN value / 4 > 150 THEN '$.reading.shares[1]: maximum' END], lambda x: x IS NOT NULL), '; ') AS broken FROM events")
+def _(spark, d):
+    """What nested documents violate of their schema, each with its path."""
+    v = F.col("value")
+    doc = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.struct(v.alias("v"), F.array(v / 2, v / 4).alias("shares")).alias("reading")))
+    return t.read(spark, d, "events").select("event_id", F.array_join(schema.violations(doc, READING), "; ").alias("broken"))
+
+
 @query("C16_stripped", "SELECT event_id, '{\"k\":' || event_id || '}' AS doc FROM events")
 def _(spark, d):
     doc = t.read(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("k"), F.col("event_type").alias("unknown"))).alias("document"))

@@ -80,12 +80,24 @@ def rings(spark, d) -> DataFrame:
     return wards(spark, d).withColumn("ring", F.array(*corners))
 
 
+#: Further rings of a ward, from its south-western corner on: a hole, an island in it, and a part by itself in the west.
+MORE_RINGS = (((0.0413, 0.0407), (0.0611, 0.0403), (0.0607, 0.0617), (0.0403, 0.0613)), ((0.0457, 0.0451), (0.0553, 0.0457), (0.0551, 0.0557)), ((0.0023, 0.0901), (0.0171, 0.0907), (0.0027, 0.0993)))
+
+
+def areas(spark, d) -> DataFrame:
+    """Wards with all their rings, each closed."""
+    closed = lambda ring: F.array(*(F.struct((F.col("x0") + F.lit(x)).alias("x"), (F.col("y0") + F.lit(y)).alias("y")) for x, y in (*ring, ring[0])))
+    return wards(spark, d).withColumn("rings", F.array(*(closed(r) for r in (RING, *MORE_RINGS))))
+
+
 def ward_points(spark, d) -> DataFrame:
     """Wards with a point inside them."""
     return wards(spark, d).select("ward_id", "k", (F.col("y0") + 0.0512).alias("lat"), (F.col("x0") + 0.0487).alias("lon"), "population")
 
 
 SQL = {
+    "area_edges": "SELECT ward_id, k, x0 + ax AS ax, y0 + ay AS ay, x0 + bx AS bx, y0 + bz AS bz FROM wards, (VALUES " + ", ".join(
+        f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for ring in (RING, *MORE_RINGS) for a, b in zip(ring, (*ring[1:], ring[0]), strict=True)) + ") e(ax, ay, bx, bz)",
     "edges": "SELECT ward_id, k, i, x0 + ax AS ax, y0 + ay AS ay, x0 + bx AS bx, y0 + bz AS bz FROM wards, (VALUES " + ", ".join(
         f"({i}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for i, (a, b) in enumerate(zip(RING, (*RING[1:], RING[0]), strict=True))) + ") e(i, ax, ay, bx, bz)",
     "wardpt": "SELECT ward_id, k, y0 + 0.0512::DOUBLE AS lat, x0 + 0.0487::DOUBLE AS lon, population FROM wards",
@@ -121,7 +133,7 @@ def category_sql(v: str) -> str:
 
 
 #: What each table of SQL is made of.
-NEEDED: dict[str, list[str]] = {"obs": ["obs_long"], "met": ["obs"], "spine": ["obs"], "series": ["spine"], "edges": ["wards"], "wardpt": ["wards"]}
+NEEDED: dict[str, list[str]] = {"obs": ["obs_long"], "met": ["obs"], "spine": ["obs"], "series": ["spine"], "edges": ["wards"], "area_edges": ["wards"], "wardpt": ["wards"]}
 
 
 def with_ctes(names: str, query: str) -> str:

@@ -69,13 +69,14 @@ def snapshot_time(text: Column) -> Column:
 
 
 def ward_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Features of a collection with their properties as JSON and their rings as arrays of points."""
+    """Features of a collection with their properties as JSON, ``parts`` (each an outline and its holes) and ``rings``, all of them
+    in one array, as the tests of areas take them."""
     raw = spark.read.option("multiLine", True).schema("features array<struct<properties: string, geometry: struct<type: string, coordinates: string>>>").json(path)
     f = raw.select(F.explode("features").alias("f")).select("f.*").select("properties", "geometry.type", "geometry.coordinates")
-    one = F.from_json("coordinates", "array<array<array<double>>>")
-    many = F.flatten(F.from_json("coordinates", "array<array<array<array<double>>>>"))
-    rings = F.when(F.col("type") == "Polygon", one).otherwise(many)
-    return f.select("properties", F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))).alias("rings"))
+    one = F.array(F.from_json("coordinates", "array<array<array<double>>>"))
+    many = F.from_json("coordinates", "array<array<array<array<double>>>>")
+    parts = F.transform(F.when(F.col("type") == "Polygon", one).otherwise(many), lambda part: F.transform(part, lambda r: F.transform(r, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))))
+    return f.select("properties", parts.alias("parts")).withColumn("rings", F.flatten("parts"))
 
 
 def months(first: tuple[int, int], last: tuple[int, int]) -> list[tuple[int, int]]:
