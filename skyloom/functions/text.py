@@ -99,7 +99,7 @@ def _equals(item: Column, text: Column) -> Column:
     return F.coalesce(as_kind, F.lit(False))
 
 
-def follow(document: Column, steps: Column) -> Column:
+def followed(document: Column, steps: Column) -> Column:
     """The scalar that steps lead to in a JSON text, as :func:`scalar` has it; null if they lead nowhere or to a container.
     Values are VARIANT on the way, so types survive. A selector takes the first item that matches."""
     def entered(at, s):
@@ -112,9 +112,14 @@ def follow(document: Column, steps: Column) -> Column:
     return scalar(F.aggregate(steps, F.try_parse_json(document), entered))
 
 
+def follow(document: Column, steps: Column) -> Column:
+    """:func:`followed` as text."""
+    return followed(document, steps)["text"]
+
+
 def resolve_path(document: Column, path: str) -> Column:
     """The scalar at one path of a JSON text, as text; null if there is none or the path is malformed."""
-    return follow(document, parsed_path(F.lit(path))["steps"])["text"]
+    return follow(document, parsed_path(F.lit(path))["steps"])
 
 
 def claimed(value: Column) -> Column:

@@ -458,6 +458,27 @@ def _(spark, d):
     return lookup(document(rows, "wards"), "wards", kind_of(rows), "delhi_011").select("ward_id", "exposure", "deaths")
 
 
+def ledger_document(spark, d) -> DataFrame:
+    """The ledger as it is published: totals of the rounded values, wards, and what acting earlier would have added."""
+    rows = ledger(spark, d)
+    sums = totals(rows)
+    listed = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))  # noqa: E731  wards; shifts
+    whole = listed(rows, "wards").join(listed(counterfactuals(sums, season(spark, d)), "counterfactuals")).join(sums.select(F.struct(*sums.columns).alias("totals")))
+    return whole.select(F.to_json(F.struct(F.lit(CITY).alias("city"), "totals", "wards", "counterfactuals")).alias("document"))
+
+
+_SHIFTED = "SELECT shift, round(exposure * abs(shift) / hours, 1) AS exposure, round(deaths * (abs(shift) / hours), 2) AS deaths FROM (" + _TOTALS + "), season, (VALUES (-72), (-48), (-24)) s(shift)"
+
+
+@query("T5_ledger_totals", f"SELECT 0 AS shift, exposure, deaths FROM ({_TOTALS}) UNION ALL {_SHIFTED}", "ledger")
+def _(spark, d):
+    """What the ledger says without a ward: its totals (shift 0) and counterfactuals."""
+    kind = "city string, totals struct<exposure: double, deaths: double>, counterfactuals array<struct<shift: int, exposure: double, deaths: double>>"
+    doc = ledger_document(spark, d).select(F.from_json("document", kind).alias("d")).select("d.*")
+    rows = F.concat(F.array(F.struct(F.lit(0).alias("shift"), F.col("totals.exposure").alias("exposure"), F.col("totals.deaths").alias("deaths"))), "counterfactuals")
+    return doc.select(F.inline(rows))
+
+
 @query("T8_get_fires", "SELECT y, x, n, frp FROM (SELECT CAST(round_even(lat / 0.05, 0) AS BIGINT) AS y, CAST(round_even(lon / 0.05, 0) AS BIGINT) AS x, count(*) AS n, round(sum(frp), 4) AS frp FROM fires WHERE s > (SELECT max(s) - 259200 FROM fires) GROUP BY 1, 2) ORDER BY frp DESC, y, x LIMIT 12", "fires")
 def _(spark, d):
     rows = fire_clusters(t.fires(spark, d))

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import aqi, domain, geo
+from ..functions import aqi, domain, geo, text
 from ..operators import boosting
 from ..operators import relational as rel
+from ..operators.staging import Steps
 from . import documents as docs
 from . import tables as t
 from .governance import cells
+from .products import bearing_hits
 from .registry import QUERIES, bucket, query, r6
 
 #: Inputs of the present-level model, of a forecast and of weather normalisation (weather first, which is drawn, then times).
@@ -82,12 +84,16 @@ def _(spark, d):
 
 @query("M4_distance_curve")
 def _(spark, d):
+    return distance_curve(spark, left_out(spark, d))
+
+
+def distance_curve(spark, found: DataFrame) -> DataFrame:
     """Errors of the left-out stations by the distance to their nearest other station, for the model and for inverse distances."""
     a, b = (t.station(spark).select(F.col("station").alias(f"{p}s"), F.col("lat").alias(f"{p}y"), F.col("lon").alias(f"{p}x")) for p in "ab")
     pairs = a.join(F.broadcast(b), F.col("as") != F.col("bs"))  # stations by stations
     near = pairs.groupBy(F.col("as").alias("station")).agg(F.min(geo.haversine_km(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx"))).alias("km"))
     rmse = lambda c: F.round(F.sqrt(F.avg(F.pow(F.col("pm25") - F.col(c), 2))), 2)
-    by = left_out(spark, d).where("idw is not null").join(near, "station").groupBy(bucket(F.col("km")).alias("edge")).agg(F.max("km").alias("far"), rmse("p50").alias("model_rmse"), rmse("idw").alias("idw_rmse"), F.count(F.lit(1)).alias("n"))
+    by = found.where("idw is not null").join(near, "station").groupBy(bucket(F.col("km")).alias("edge")).agg(F.max("km").alias("far"), rmse("p50").alias("model_rmse"), rmse("idw").alias("idw_rmse"), F.count(F.lit(1)).alias("n"))
     return by.select(F.coalesce("edge", F.round("far", 1)).alias("dist_km"), "model_rmse", "idw_rmse", "n")
 
 
@@ -138,6 +144,10 @@ def backtest(spark, d, horizon: int, features: list[str] = FORECAST) -> DataFram
 
 @query("M6_backtest")
 def _(spark, d):
+    return backtests(spark, d)
+
+
+def backtests(spark, d) -> DataFrame:
     """The trained forecast against persistence and the hour's usual level, by horizon."""
     one, two, three = (backtest(spark, d, h) for h in HORIZONS)
     return one.unionByName(two).unionByName(three)
@@ -231,3 +241,47 @@ def _(spark, d):
     rank = F.element_at(F.create_map(*map(F.lit, ("low", 0, "med", 1, "high", 2))), F.col("confidence"))
     rolled = cell_nowcast(spark, d).join(placed, ["i", "j"]).groupBy("ward_id").agg(r6(F.avg("pm25_p50")).alias("pm25_p50"), r6(F.avg("pm25_p90")).alias("pm25_p90"), F.round(F.median("subindex24h")).cast("int").alias("subindex24h"), F.min_by("confidence", rank).alias("confidence"), F.count(F.lit(1)).alias("cells"))
     return rolled.withColumn("category", aqi.category(F.col("subindex24h")))
+
+
+# What published numbers rest on.
+
+
+def metrics_document(spark, d) -> DataFrame:
+    """One row: the left-out stations' errors by distance and over all, and the backtest by horizon, as JSON text."""
+    steps = Steps(spark, "metrics")
+    found = steps.staged(left_out(spark, d))
+    rmse = lambda c: F.round(F.sqrt(F.avg(F.pow(F.col("pm25") - F.col(c), 2))), 2)
+    overall = found.where("idw is not null").agg(F.struct(rmse("p50").alias("model_rmse"), rmse("idw").alias("idw_rmse"), F.count(F.lit(1)).alias("n"), F.count_distinct("station").alias("stations")).alias("overall"))
+    buckets = distance_curve(spark, found).agg(F.sort_array(F.collect_list(F.struct("dist_km", "model_rmse", "idw_rmse", "n"))).alias("buckets"))
+    tests = backtests(spark, d)
+    ahead = tests.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("horizon").cast("string"), F.struct(*(c for c in tests.columns if c != "horizon")))))).alias("forecast"))
+    whole = buckets.join(overall).join(ahead)  # one row each
+    return whole.select(F.to_json(F.struct(F.struct(F.lit("IDW").alias("baseline"), "buckets", "overall").alias("nowcast_cv"), "forecast")).alias("document"))
+
+
+@query("K13_metrics")
+def _(spark, d):
+    return metrics_document(spark, d)
+
+
+def receipts_document(spark, d, metrics: DataFrame) -> DataFrame:
+    """One row: the metrics, how many stations point where sources are known, the index's rows, and where the data came from."""
+    hits = bearing_hits(spark, d)
+    checks = hits.select(F.array(*(F.struct(F.lit(n).alias("check_name"), F.concat_ws(" of ", F.col(n).cast("string"), F.concat(F.col("stations").cast("string"), F.lit(" stations"))).alias("observed"), (F.col(n) > 0).alias("pass")) for n in hits.columns if n != "stations")).alias("checks"))
+    lineage = None
+    for name in ("events", "customer", "orders"):
+        one = t.read(spark, d, name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("source"), F.lit(f"https://data.example/{name}").alias("base_url"), "rows")
+        lineage = one if lineage is None else lineage.unionByName(one)
+    sources = lineage.agg(F.sort_array(F.collect_list(F.struct("source", "base_url", "rows"))).alias("lineage"))
+    bands = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("pollutant", "category", "conc_lo", "conc_hi", "index_lo", "index_hi", "extrapolated"), row, strict=True))) for row in aqi.breakpoint_rows()))
+    parts = metrics.select(F.col("document").alias("_m")).join(checks).join(sources)
+    body = F.concat(F.lit('{"cities":{"' + docs.CITY + '":{"metrics":'), "_m", F.lit(',"attribution_directional_checks":'), F.to_json("checks"), F.lit('}},"methodology":{"aqi_breakpoints":'), F.to_json(bands), F.lit('},"lineage":'), F.to_json("lineage"), F.lit("}"))
+    return parts.select(body.alias("document"))
+
+
+@query("B10_receipts_document")
+def _(spark, d):
+    """The receipts, with the values that briefs cite looked up by their paths."""
+    doc = receipts_document(spark, d, metrics_document(spark, d))
+    paths = ["receipts.cities.delhi.metrics.forecast.24.skill_pct", "receipts.cities.delhi.metrics.nowcast_cv.overall.model_rmse", "receipts.cities.delhi.attribution_directional_checks[check_name=north].observed", "receipts.methodology.aqi_breakpoints[0].index_hi", "receipts.lineage[source=events].rows"]
+    return doc.select("document", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), text.resolve_path(F.col("document"), p).alias("value")) for p in paths))).alias("r")).select("r.path", "r.value")

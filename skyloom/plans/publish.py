@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ def publish(spark: SparkSession, sf_dir: str, root: str, tier: str = "deep") ->
     done = []
     for name in order(tier):
         if name in made:
-            contract.gated(docs.document(made[name](), LISTS.get(name, "wards"))).coalesce(1).write.mode("overwrite").text(f"{root}/{name}")
+            doc = docs.ledger_document(spark, sf_dir) if name == "ledger" else docs.document(made[name](), LISTS.get(name, "wards"))
+            contract.gated(doc).coalesce(1).write.mode("overwrite").text(f"{root}/{name}")
             done.append(name)
     return done
 
@@ -56,6 +59,9 @@ def call(spark: SparkSession, root: str, tool: str, **args) -> dict:
         return {"available": False, "error": type(e).__name__}
     if doc is None:
         return {"available": False}
+    if name == "ledger" and "ward_id" not in args:
+        whole = json.loads(doc.document)
+        return {"available": True, "totals": whole.get("totals"), "counterfactuals": whole.get("counterfactuals", [])}
     listed = f"$.{LISTS.get(name, 'wards')}"
     rows = spark.createDataFrame([(doc.document,)], "document string").select(F.explode(F.from_json(F.get_json_object("document", listed), "array<string>")).alias("entry"))
     if "ward_id" in args:

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import nearest
+
 ARCHIVE = "location_id long, sensors_id long, location string, datetime string, lat double, lon double, parameter string, units string, value string"
 # Pollutants and the greatest values that are believed.
 CAPS = {"pm25": 1500.0, "pm10": 3000.0, "no2": 1000.0, "so2": 1000.0, "o3": 1000.0, "co": 100.0}
@@ -199,6 +201,27 @@ def snapshot(spark: SparkSession, path: str) -> DataFrame:
     return rows.dropna(subset=["station", "ts_utc", "parameter"]).groupBy("station", "ts_utc").pivot("parameter", list(CAPS)).agg(F.avg("value"))
 
 
+def matched_snapshot(records: DataFrame, stations: DataFrame, bbox: tuple[float, float, float, float], within: float = 1.0) -> DataFrame:
+    """Wide rows ``station_id, ts_utc`` and pollutants of a snapshot's records (texts ``latitude, longitude, pollutant_id, avg_value,
+    last_update``) in a box (west, south, east, north): each record counts for the nearest station within ``within`` km, others
+    for none. ``stations``: station_id, lat, lon."""
+    west, south, east, north = bbox
+    r = records.select(F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), "pollutant_id", "avg_value", "last_update")
+    r = r.where(F.col("lat").between(south, north) & F.col("lon").between(west, east)).withColumn("_place", F.concat_ws(" ", "lat", "lon"))
+    near = nearest(r.select("_place", "lat", "lon").distinct(), stations, ["_place"], "station_id", within=within).select("_place", "station_id")
+    names = F.create_map(*[F.lit(x) for kv in SNAPSHOT_NAMES.items() for x in kv])
+    name = F.try_element_at(names, F.upper(F.trim("pollutant_id")))
+    rows = r.join(near, "_place").select("station_id", F.timestamp_add("MINUTE", F.lit(-330), snapshot_time(F.col("last_update"))).alias("ts_utc"), name.alias("parameter"), believable(name, F.col("avg_value").try_cast("double")).alias("value"))
+    return rows.dropna(subset=["ts_utc", "parameter"]).groupBy("station_id", "ts_utc").pivot("parameter", list(CAPS)).agg(F.avg("value"))
+
+
+def backfilled(cached: DataFrame, daily: DataFrame, products: list[str], station: str = "station_id", day: str = "date") -> DataFrame:
+    """A cache of satellite days by station (``products`` as columns) with the days of stations that it hasn't, pivoted from long
+    rows ``station, day, product, value``; what is cached stays as it is."""
+    new = daily.join(cached.select(station).distinct(), station, "left_anti")
+    return cached.select(station, day, *products).unionByName(new.groupBy(station, day).pivot("product", products).agg(F.avg("value")))
+
+
 def span(start: str, today: datetime.date) -> tuple[datetime.date, datetime.date]:
     """First and last day to fetch: from a given day to yesterday."""
     first, last = datetime.date.fromisoformat(start), today - datetime.timedelta(days=1)

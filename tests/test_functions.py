@@ -70,3 +70,11 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "w.json").write_text('{"type": "FeatureCollection", "features": [{"properties": {"n": 1}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [0, 0]]]]}}, {"properties": {}, "geometry": {"type": "Polygon", "coordinates": [[[5, 5], [6, 5], [5, 5]]]}}]}')
     assert [r.rings[0][0].x for r in feeds.ward_polygons(spark, str(tmp_path / "w.json")).collect()] == [0.0, 5.0]
     assert feeds.months((2023, 11), (2024, 2)) == [(2023, 11), (2023, 12), (2024, 1), (2024, 2)]
+
+
+def test_snapshot_by_nearest_station(spark):
+    rows = [("28.6001", "77.2", "PM2.5", "50", "2024-01-01 10:00:00"), ("28.6001", "77.2", "PM2.5", "70", "01-01-2024 10:00:00"), ("28.6001", "77.2", "NO2", "NA", "2024-01-01T10:00:00"), ("28.9", "77.2", "PM10", "9", "2024-01-01 10:00:00"), ("28.65", "77.2", "PM10", "9", "2024-01-01 10:00:00"), ("x", None, "PM10", "9", "")]
+    records = spark.createDataFrame(rows, "latitude string, longitude string, pollutant_id string, avg_value string, last_update string")
+    stations = spark.createDataFrame([("a", 28.6, 77.2), ("b", 28.606, 77.2)], "station_id string, lat double, lon double")
+    got = feeds.matched_snapshot(records, stations, (77.0, 28.5, 77.5, 28.7)).collect()
+    assert [(r.station_id, r.ts_utc.hour, r.ts_utc.minute, r.pm25, r.no2, r.pm10) for r in got] == [("a", 4, 30, 60.0, None, None)]

@@ -59,3 +59,10 @@ def test_cells(spark, name):
     got = rows(spark, name)
     assert len(got) == (100 if name == "B4_cells" else len({r.ward_id for r in got})) and got
     assert all(0 <= r.pm25_p50 <= r.pm25_p90 and r.category and r.confidence in ("low", "med", "high") for r in got)
+
+
+def test_receipts(spark):
+    got = {r.path.split("receipts.")[1]: r.value for r in rows(spark, "B10_receipts_document")}
+    assert len(got) == 5 and all(v is not None for v in got.values())
+    assert got["lineage[source=events].rows"] == "10000" and got["methodology.aqi_breakpoints[0].index_hi"] == "50"
+    assert got["cities.delhi.attribution_directional_checks[check_name=north].observed"].endswith("of 12 stations") and float(got["cities.delhi.metrics.nowcast_cv.overall.model_rmse"]) > 0

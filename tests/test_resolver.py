@@ -36,7 +36,7 @@ MALFORMED = ["", " ", "a[]", "a[b]", "a[[0]]", "a[=v]", "a[0", "a b", "a-b.c", "
 def truths(spark):
     artifacts = spark.createDataFrame([(k, json.dumps(v)) for k, v in DOCS.items()], "root string, document string")
     refs = spark.createDataFrame([(p,) for p in (*GOOD, *NOWHERE, *MALFORMED)] + [(None,)], "path string")
-    return {r.path: (r.truth.kind, r.truth.text) for r in gate.resolved(artifacts, refs).collect()}
+    return {r.path: (r.kind, r.truth) for r in gate.resolved(artifacts, refs).collect()}
 
 
 @pytest.mark.parametrize("path", GOOD)
