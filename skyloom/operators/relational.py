@@ -39,6 +39,36 @@ def trailing_join(probe: DataFrame, build: DataFrame, keys: list[str], at: str,
 DEGREE_KM, PLACE_CELL = 110.5, 0.25
 
 
+def trailing_totals(rows: DataFrame, keys: list[str], at: str, value: str, width: int, parts: int = 24) -> DataFrame:
+    """``keys, at, n, total``: for each distinct time (a whole number) of a key, how many rows lie in the ``width`` up to it
+    (later than ``at - width``) and the sum of their values (null if they have none).
+
+    The same as a range window, without a key's rows in one task: rows are first added up by time, within tasks too. A range is
+    then the rest of the bucket in which it begins, the whole buckets between, and the beginning of its last one, so the
+    windows hold one bucket's times, or a key's buckets. Nothing is subtracted. ``parts`` must divide ``width``; rows without a
+    time are left out; null keys are keys of their own.
+    """
+    if width % parts:
+        raise ValueError("parts must divide width")
+    # Null keys meet, too: a key travels as one struct.
+    step, key = width // parts, F.struct(*keys)
+    times = rows.where(F.col(at).isNotNull()).groupBy(key.alias("_key"), F.col(at).cast("long").alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
+    times = times.withColumn("_b", F.floor(F.col("_at") / step))
+    spans = times.groupBy("_key", "_b").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
+    between = Window.partitionBy("_key").orderBy("_b").rangeBetween(1 - parts, -1)
+    spans = spans.select("_key", "_b", F.sum("_n").over(between).alias("_mn"), F.sum("_v").over(between).alias("_mv"))
+    # Each time asks, as a row of no weight, for what is later than it in the bucket where its range begins.
+    asked = times.select("_key", (F.col("_at") - width).alias("_at"), F.lit(0).cast("long").alias("_n"), F.lit(None).cast("double").alias("_v"), (F.col("_b") - parts).alias("_b"), F.lit(True).alias("_asks"))
+    both = times.withColumn("_asks", F.lit(False)).unionByName(asked)
+    w = Window.partitionBy("_key", "_b").orderBy("_at")
+    upto, later = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(1, Window.unboundedFollowing)
+    ends = both.select("_key", "_b", "_at", "_asks", *(F.when(F.col("_asks"), F.sum(c).over(later)).otherwise(F.sum(c).over(upto)).alias(c) for c in ("_n", "_v")))
+    ends = ends.select("_key", F.when(F.col("_asks"), F.col("_at") + width).otherwise(F.col("_at")).alias("_at"), F.when(F.col("_asks"), F.col("_b") + parts).otherwise(F.col("_b")).alias("_b"), "_n", "_v")
+    summed = ends.groupBy("_key", "_b", "_at").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v")).join(spans, ["_key", "_b"])
+    total = F.when(F.col("_v").isNotNull() | F.col("_mv").isNotNull(), F.coalesce("_v", F.lit(0.0)) + F.coalesce("_mv", F.lit(0.0)))
+    return summed.select("_key.*", F.col("_at").alias(at), (F.coalesce("_n", F.lit(0)) + F.coalesce("_mn", F.lit(0))).alias("n"), total.alias("total"))
+
+
 def within_km(points: DataFrame, places: DataFrame, km: float, lat: str = "lat", lon: str = "lon", place_lat: str = "place_lat", place_lon: str = "place_lon") -> DataFrame:
     """Points with the places that may lie within ``km``: places are dealt to the cells of one degree that their reach
     touches, so points meet them in an equi-join; the caller's exact condition stands behind it. Columns of both must differ."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aqi, display, geo, shapes, text
+from ..operators import borders
 from ..operators import relational as rel
 from . import documents as docs
 from . import tables as t
@@ -197,6 +198,38 @@ def features(rows: DataFrame, ring: str, tolerance: float, digits: int, *propert
     return rows.withColumn("feature", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))))
 
 
+_BIG = "CASE WHEN (7 * {0} + 13 * j) % 4 = 0 THEN 1 ELSE 0 END"
+
+
+@query("K8_shared_borders", f"SELECT i, j, CAST(5 + low + high AS INTEGER) AS corners, round(0.0009::DOUBLE * (1 + (high - low) * 0.1::DOUBLE), 8) AS area FROM (SELECT i, j, {_BIG.format('i')} AS low, {_BIG.format('(i + 1)')} AS high FROM (SELECT DISTINCT CAST(floor(round((lat - 28) * 100) / 3) AS BIGINT) AS i, CAST(floor(round((lon - 76.3) * 100) / 3) AS BIGINT) AS j FROM fires))", "fires")
+def _(spark, d):
+    """The cells in which fires were seen, as areas with uneven borders, published: small bends go, large ones stay on both sides."""
+    index = lambda c, least: F.floor(F.round((F.col(c) - least) * 100) / 3).cast("long").alias("i" if c == "lat" else "j")
+    cells = t.fires(spark, d).select(index("lat", 28), index("lon", 76.3)).distinct()
+    i, j = F.col("i"), F.col("j")
+    corner = lambda y, x: (x, y + F.lit(0.15) * ((x + y) % 2))
+    bend = lambda y: (j + 0.5, y + F.when((7 * y + 13 * j) % 4 == 0, 0.275).otherwise(0.115))
+    ring = [corner(i, j), bend(i), corner(i, j + 1), (j + 1, i + 0.5), corner(i + 1, j + 1), bend(i + 1), corner(i + 1, j), (j, i + 0.5), corner(i, j)]
+    areas = cells.select("i", "j", F.concat_ws("_", i, j).alias("cell"), F.array(F.array(F.array(*(shapes.point(x * F.lit(0.03), y * F.lit(0.03)) for x, y in ring)))).alias("parts"))
+    f = bordered_features(areas, "cell", 0.003, 5, "cell")
+    back = F.transform(F.from_json(F.get_json_object("feature", "$.geometry.coordinates[0]"), "array<array<double>>"), lambda p: shapes.point(p[0], p[1]))
+    return f.select("i", "j", back.alias("r")).select("i", "j", F.size("r").alias("corners"), F.round(shapes.area(F.col("r")), 8).alias("area"))
+
+
+def bordered_features(rows: DataFrame, key: str, tolerance: float, digits: int, *properties: str) -> DataFrame:
+    """Adds ``feature``: the JSON of each area, given as ``parts`` (arrays of closed rings, holes after the outline). Borders are
+    thinned alike on both sides and rounded, so that areas still fit together. An area without parts has no geometry."""
+    thin = borders.thinned(rows.withColumn("_flat", F.flatten("parts")), key, tolerance, "_flat")
+    before = lambda k: F.aggregate(F.slice("parts", 1, k), F.lit(0), lambda n, part: n + F.size(part))
+    cut = F.transform("parts", lambda part, k: F.slice("_flat", before(k) + 1, F.size(part)))
+    plain = F.transform(cut, lambda part: F.transform(part, lambda ring: F.transform(shapes.rounded(ring, digits), lambda p: F.array(p["x"], p["y"]))))
+    shape = lambda kind, at: F.to_json(F.struct(F.lit(kind).alias("type"), at.alias("coordinates")))
+    geometry = F.when(F.size("_plain") == 1, shape("Polygon", F.get("_plain", 0))).when(F.size("_plain") > 1, shape("MultiPolygon", F.col("_plain"))).otherwise("null")
+    thin = thin.withColumn("_plain", plain)
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*properties)), F.lit(',"geometry":'), geometry, F.lit("}"))
+    return thin.withColumn("feature", feature).drop("_flat", "_plain")
+
+
 # Nearest places, joins and windows.
 
 CITIES = (("delhi", 28.61, 77.21), ("gurugram", 28.46, 77.03), ("noida", 28.57, 77.32), ("rohtak", 28.90, 76.61), ("meerut", 28.98, 77.71))
@@ -255,8 +288,9 @@ def _(spark, d):
 
 @query("W8_trailing_fires", "SELECT event_id, count(*) OVER w AS n, round(sum(frp) OVER w, 4) AS frp FROM (SELECT *, CAST(floor(lat * 10) AS BIGINT) AS band FROM fires) WINDOW w AS (PARTITION BY band ORDER BY s RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)", "fires")
 def _(spark, d):
-    w = Window.partitionBy(F.floor(F.col("lat") * 10)).orderBy("s").rangeBetween(-86399, 0)
-    return t.fires(spark, d).select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.round(F.sum("frp").over(w), 4).alias("frp"))
+    rows = t.fires(spark, d).withColumn("band", F.floor(F.col("lat") * 10))
+    near = rel.trailing_totals(rows, ["band"], "s", "frp", 86_400)
+    return rows.select("event_id", "band", "s").join(near, ["band", "s"]).select("event_id", "n", F.round("total", 4).alias("frp"))
 
 
 @query("W12_recent_history", "SELECT ward_id, " + ", ".join(f"round(max(pm25) FILTER (WHERE ahead = {k}), 5) AS o{k}" for k in (0, 1, 6, 25)) + f" FROM (SELECT ward_id, (SELECT max(h) FROM obs) - h AS ahead, {docs._WEIGHTED.format('pm25')} AS pm25 FROM ward_km JOIN (SELECT * FROM obs WHERE h > (SELECT max(h) - 26 FROM obs)) USING (station) GROUP BY ward_id, h) GROUP BY 1", "obs ward_km")
