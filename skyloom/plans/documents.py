@@ -130,10 +130,11 @@ def forecast(spark, d) -> DataFrame:
     return indexed(est.join(now, "ward_id").select("ward_id", "h", "confidence", F.round(p50, 4).alias("pm25_p50"), F.round(p50 + Q90 * F.col("sd"), 4).alias("pm25_p90")))
 
 
-def forecast_wards(rows: DataFrame) -> DataFrame:
-    """A row a ward with its series by horizon; wards without all horizons are left out."""
-    parts = [c for c in rows.columns if c != "ward_id"]
-    whole = rows.groupBy("ward_id").agg(F.sort_array(F.collect_list(F.struct("h", *(c for c in parts if c != "h")))).alias("series"))
+def forecast_wards(rows: DataFrame, *keys: str) -> DataFrame:
+    """A row a ward (or other keys) with its series by horizon; wards without all horizons are left out."""
+    keys = keys or ("ward_id",)
+    parts = [c for c in rows.columns if c not in keys]
+    whole = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", *(c for c in parts if c != "h")))).alias("series"))
     return whole.where((F.size("series") == len(HORIZONS)) & F.forall("series", lambda s: s["pm25_p50"].isNotNull() & ~F.isnan(s["pm25_p50"])))
 
 

@@ -16,7 +16,7 @@ from . import documents as docs
 from . import tables as t
 from .governance import cells
 from .products import bearing_hits
-from .registry import QUERIES, bucket, query, r6
+from .registry import ORACLES, QUERIES, bucket, query, r6
 
 #: Inputs of the present-level model, of a forecast and of weather normalisation (weather first, which is drawn, then times).
 WEATHER = ["wind_u", "wind_v", "wind_speed", "temp", "rh", "precip", "blh"]
@@ -47,9 +47,9 @@ def with_wind(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"wind_u": u, "wind_v": v})
 
 
-def station_frame(spark, d) -> DataFrame:
+def station_frame(spark, d, obs: DataFrame | None = None) -> DataFrame:
     """``station``, ``h``, ``pm25`` and the present-level model's inputs; of the surroundings the other stations of the hour."""
-    obs = t.obs_hour(spark, d).join(t.station(spark), "station")
+    obs = (t.obs_hour(spark, d) if obs is None else obs).join(t.station(spark), "station")
     around = rel.surroundings(obs, "station", "h", "pm25")
     km = F.array_min(F.transform("others", lambda x: x["km"]))
     near = around.select("station", "h", "pm25", rel.weighted_others(0.05).alias("idw"), km.alias("nearest_km"), (F.size("others") + 1).alias("station_count"))
@@ -97,10 +97,10 @@ def distance_curve(spark, found: DataFrame) -> DataFrame:
     return by.select(F.coalesce("edge", F.round("far", 1)).alias("dist_km"), "model_rmse", "idw_rmse", "n")
 
 
-def supervised(spark, d, horizon: int) -> DataFrame:
+def supervised(spark, d, horizon: int, obs: DataFrame | None = None) -> DataFrame:
     """Rows by station and origin: what is known at the origin, the weather forecast for the hour aimed at, and that hour's value."""
     by = Window.partitionBy("station").orderBy("h")
-    obs = t.obs_hour(spark, d)
+    obs = t.obs_hour(spark, d) if obs is None else obs
     s = t.with_weather(rel.hourly_spine(obs, "station")).withColumns({"lag0": F.col("pm25"), **{f"lag{k}": F.lag("pm25", k).over(by) for k in LAGS}, "roll24": rel.guarded_mean("pm25", 24, 6, "station"), "trend6": F.col("pm25") - F.lag("pm25", 6).over(by), "y": F.lead("pm25", horizon).over(by)})
     s = s.withColumns({f"{m}_tgt": F.lead(m, horizon).over(by) for m in ("wind_speed", "blh", "rh", "precip", "temp")}).withColumn("target_h", F.col("h") + horizon)
     fires = QUERIES["J5_upwind"](spark, d).select("station", "h", F.col("frp").alias("frp_upwind"))
@@ -204,28 +204,43 @@ def _(spark, d):
 # The present-level document: cells first, wards from them.
 
 
-def cell_nowcast(spark, d) -> DataFrame:
-    """Each grid cell at the last covered hour: ``i``, ``j``, ``pm25_p50``, ``pm25_p90``, ``subindex24h``, ``category``, ``confidence``.
+def last_covered(obs: DataFrame) -> DataFrame:
+    """One row, ``last``: the last hour at which at least two stations have a value."""
+    return obs.groupBy("h").agg(F.count("pm25").alias("n")).where("n >= 2").agg(F.max("h").alias("last"))
 
-    The model learns from the station-hours and is asked at the cells, with the weather of the nearest station and the
-    surroundings as seen from the cell. The index rests on the cell's inverse-distance mean of the last 24 hours. Cells whose
-    estimate is not finite are left out."""
-    frame = station_frame(spark, d)
-    model = boosting.train(frame, NOWCAST, "pm25", [0.5, 0.9], ["station", "h"], SETTINGS)
-    obs = t.obs_hour(spark, d)
-    last = obs.groupBy("h").agg(F.count("pm25").alias("n")).where("n >= 2").agg(F.max("h").alias("last"))
-    recent = obs.join(F.broadcast(last), (F.col("h") <= F.col("last")) & (F.col("h") > F.col("last") - 24))
+
+def with_history(obs: DataFrame, hours: DataFrame, back: int) -> DataFrame:
+    """The values of the ``back`` hours up to each of some hours (``last``), with ``ahead``: by how much they precede it."""
+    wanted = hours.where("last is not null").select("last", F.explode(F.sequence(F.lit(0), F.lit(back - 1))).alias("ahead")).withColumn("h", F.col("last") - F.col("ahead"))
+    return obs.select("station", "h", "pm25").join(F.broadcast(wanted), "h").drop("h")  # few hours are asked for
+
+
+def cell_estimates(spark, d, model: boosting.Boosted, hours: DataFrame) -> DataFrame:
+    """``h``, ``i``, ``j``, ``pm25_p50``, ``pm25_p90``, ``subindex24h``, ``category``, ``confidence`` of the grid's cells at each of some hours.
+
+    The model is asked at the cells, with the weather of the nearest station and the surroundings as seen from the cell. The
+    index rests on the cell's inverse-distance mean of the 24 hours. Cells whose estimate is not finite are left out."""
+    recent = with_history(t.obs_hour(spark, d), hours, 24)
     grid = cells(spark).select("i", "j", F.col("lat").alias("y"), F.col("lon").alias("x"))
     km = grid.join(F.broadcast(t.station(spark))).select("i", "j", "station", geo.haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon")).alias("km"))
-    day = recent.groupBy("station").agg(F.avg("pm25").alias("mean24"), F.max(F.when(F.col("h") == F.col("last"), F.col("pm25"))).alias("now"), F.any_value("last").alias("h"))
+    day = recent.groupBy("station", F.col("last").alias("h")).agg(F.avg("pm25").alias("mean24"), F.max(F.when(F.col("ahead") == 0, F.col("pm25"))).alias("now"))
     w = 1 / F.pow(F.greatest(F.col("km"), F.lit(0.05)), F.lit(2))
     mean = lambda c: F.try_divide(F.sum(F.col(c) * w), F.sum(F.when(F.col(c).isNotNull(), w)))
     there = F.when(F.col("now").isNotNull(), F.col("km"))
-    near = km.join(day, "station").groupBy("i", "j").agg(mean("now").alias("idw"), mean("mean24").alias("m24"), F.min(there).alias("nearest_km"), F.count("now").alias("station_count"), F.min_by("station", "km").alias("station"), F.any_value("h").alias("h"))
+    near = km.join(day, "station").groupBy("h", "i", "j").agg(mean("now").alias("idw"), mean("mean24").alias("m24"), F.min(there).alias("nearest_km"), F.count("now").alias("station_count"), F.min_by("station", "km").alias("station"))
     asked = with_times(with_wind(t.with_weather(near)))
-    got = bounded(model.predict(asked, ["i", "j", "m24", "nearest_km"], ["pm25_p50", "pm25_p90"]), "pm25_p50", "pm25_p90").where("pm25_p50 is not null and not isnan(pm25_p50)")
+    got = bounded(model.predict(asked, ["h", "i", "j", "m24", "nearest_km"], ["pm25_p50", "pm25_p90"]), "pm25_p50", "pm25_p90").where("pm25_p50 is not null and not isnan(pm25_p50)")
     index = aqi.sub_index("pm25", F.col("m24"))
-    return got.select("i", "j", r6("pm25_p50").alias("pm25_p50"), r6("pm25_p90").alias("pm25_p90"), index.alias("subindex24h"), aqi.category(index).alias("category"), domain.distance_confidence(F.col("nearest_km")).alias("confidence"))
+    return got.select("h", "i", "j", r6("pm25_p50").alias("pm25_p50"), r6("pm25_p90").alias("pm25_p90"), index.alias("subindex24h"), aqi.category(index).alias("category"), domain.distance_confidence(F.col("nearest_km")).alias("confidence"))
+
+
+def cell_model(spark, d, obs: DataFrame | None = None) -> boosting.Boosted:
+    return boosting.train(station_frame(spark, d, obs), NOWCAST, "pm25", [0.5, 0.9], ["station", "h"], SETTINGS)
+
+
+def cell_nowcast(spark, d) -> DataFrame:
+    """Each grid cell at the last covered hour, by a model that learned from the station-hours."""
+    return cell_estimates(spark, d, cell_model(spark, d), last_covered(t.obs_hour(spark, d))).drop("h")
 
 
 @query("B4_cells")
@@ -243,6 +258,105 @@ def _(spark, d):
     return rolled.withColumn("category", aqi.category(F.col("subindex24h")))
 
 
+# The forecast document and replays.
+
+
+def ward_inputs(spark, d, hours: DataFrame) -> DataFrame:
+    """``ward_id``, ``h`` (origin), ``horizon`` and a forecast's inputs: each ward's last 25 hours are inverse-distance means of the
+    stations, so wards without a station have a history, too. Weather and fires are the city's means. Wards without any value
+    in that time are left out."""
+    seen = with_history(t.obs_hour(spark, d), hours, 25).join(docs.ward_km(spark, d), "station")
+    hourly = seen.groupBy("ward_id", F.col("last").alias("h"), "ahead").agg(docs.weighted("pm25").alias("v"))
+    at = lambda k: F.max(F.when(F.col("ahead") == k, F.col("v")))
+    known = hourly.groupBy("ward_id", "h").agg(at(0).alias("lag0"), *(at(k).alias(f"lag{k}") for k in LAGS), F.avg(F.when(F.col("ahead") < 24, F.col("v"))).alias("roll24"))
+    fires = QUERIES["J5_upwind"](spark, d).join(F.broadcast(hours.select(F.col("last").alias("h"))), "h").groupBy("h").agg(F.avg("frp").alias("frp_upwind"))
+    aims = hours.select(F.col("last").alias("h"), F.explode(F.array(*map(F.lit, HORIZONS))).alias("horizon")).withColumn("target_h", F.col("h") + F.col("horizon"))
+    then = t.with_weather(aims.select("horizon", F.col("h").alias("_from"), F.col("target_h").alias("h")).join(F.broadcast(t.station(spark))))
+    sky = then.groupBy(F.col("_from").alias("h"), "horizon").agg(*(F.avg(m).alias(f"{m}_tgt") for m in ("wind_speed", "blh", "rh", "precip", "temp")))
+    rows = known.join(aims, "h").join(sky, ["h", "horizon"]).join(fires, "h", "left").withColumns({"trend6": F.col("lag0") - F.col("lag6"), "frp_upwind": F.coalesce("frp_upwind", F.lit(0.0))})
+    return with_times(rows, "target_h")
+
+
+_ENDS = "(SELECT max(h) AS last FROM (SELECT h FROM obs GROUP BY h HAVING count(pm25) >= 2))"
+_HISTORY = f"SELECT ward_id, last, last - h AS ahead, {docs._WEIGHTED.format('pm25')} AS v FROM ward_km JOIN obs USING (station), {_ENDS} WHERE h > last - 25 AND h <= last GROUP BY ward_id, last, h"
+
+
+@query("B5_ward_inputs", "SELECT ward_id, last AS h, horizon, round(lag0, 5) AS lag0, round(lag3, 5) AS lag3, round(lag24, 5) AS lag24, round(roll24, 5) AS roll24, round(lag0 - lag6, 5) AS trend6, round(coalesce(frp, 0.0), 5) AS frp_upwind, "
+       "round((SELECT avg(1 + (station + last + horizon) % 5) FROM station), 5) AS wind_speed_tgt, round((SELECT avg(200 + ((last + horizon) * 29 + station * 101) % 1500) FROM station), 5) AS blh_tgt, round((SELECT avg(CASE WHEN (last + horizon + station) % 17 = 0 THEN 2.5 ELSE 0 END) FROM station), 5) AS precip_tgt, "
+       "round(sin(2 * pi() * (floor(((last + horizon) * 60 + 330) / 60) % 24) / 24), 5) AS hour_sin FROM (SELECT ward_id, last, " + ", ".join(f"max(v) FILTER (WHERE ahead = {k}) AS lag{k}" for k in (0, 3, 6, 24))
+       + f", avg(v) FILTER (WHERE ahead < 24) AS roll24 FROM ({_HISTORY}) GROUP BY 1, 2) LEFT JOIN (SELECT h, avg(frp) AS frp FROM ({ORACLES['J5_upwind']}) GROUP BY 1) f ON f.h = last, (VALUES (24), (48), (72)) z(horizon)", "obs ward_km station")
+def _(spark, d):
+    rows = ward_inputs(spark, d, last_covered(t.obs_hour(spark, d)))
+    return rows.select("ward_id", "h", "horizon", *(F.round(c, 5).alias(c) for c in ("lag0", "lag3", "lag24", "roll24", "trend6", "frp_upwind", "wind_speed_tgt", "blh_tgt", "precip_tgt", "hour_sin")))
+
+
+def forecast_models(spark, d, obs: DataFrame | None = None) -> dict[int, boosting.Boosted]:
+    """Both quantiles by horizon."""
+    return {h: boosting.train(supervised(spark, d, h, obs), FORECAST, "y", [0.5, 0.9], ["station", "h"], SETTINGS) for h in HORIZONS}
+
+
+def ward_forecast(spark, d, models: dict[int, boosting.Boosted], hours: DataFrame) -> DataFrame:
+    """``h`` (origin), ``ward_id``, ``series`` by horizon, from each of some hours; a ward with an estimate that is not finite is left out."""
+    rows = Steps(spark, "forecast").staged(ward_inputs(spark, d, hours))
+    parts = [bounded(models[k].predict(rows.where(F.col("horizon") == k), ["h", "ward_id", "horizon"], ["pm25_p50", "pm25_p90"]), "pm25_p50", "pm25_p90") for k in HORIZONS]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sure = F.element_at(F.create_map(*(F.lit(x) for k in HORIZONS for x in (k, docs.HORIZONS[k][0]))), F.col("horizon"))
+    told = docs.indexed(every.select(F.col("h").alias("origin"), "ward_id", F.col("horizon").alias("h"), sure.alias("confidence"), F.round("pm25_p50", 4).alias("pm25_p50"), F.round("pm25_p90", 4).alias("pm25_p90")))
+    return docs.forecast_wards(told, "origin", "ward_id")
+
+
+@query("B5_ward_forecast")
+def _(spark, d):
+    """The forecast document by the trained models: each ward from its own history, one, two and three days ahead."""
+    got = ward_forecast(spark, d, forecast_models(spark, d), last_covered(t.obs_hour(spark, d)))
+    return docs.republished(got.drop("origin")).select("ward_id", F.explode("series").alias("s")).select("ward_id", "s.*")
+
+
+#: A replay's days, as hours since 1970 from the first (inclusive) to the last (exclusive), and the hour of a day at which it is told.
+REPLAYED, TOLD_AT = (473_640, 473_760), 12
+
+
+def unseen(spark, d, first: int, end: int) -> DataFrame:
+    """The hourly values without those of a time: what a replay's models may learn from. Lags that reach into it are missing, too."""
+    return t.obs_hour(spark, d).where((F.col("h") < first) | (F.col("h") >= end))
+
+
+def replay_hours(spark, first: int, end: int) -> DataFrame:
+    return spark.range(first + TOLD_AT, end, 24).select(F.col("id").alias("last"))
+
+
+@query("M16_replay_cells")
+def _(spark, d):
+    """The cells as they would have been told on each replayed day, by a model that never saw those days, beside what the stations of that hour meant."""
+    return replayed_cells(spark, d, *REPLAYED)
+
+
+def replayed_cells(spark, d, first: int, end: int) -> DataFrame:
+    return cell_estimates(spark, d, cell_model(spark, d, unseen(spark, d, first, end)), replay_hours(spark, first, end))
+
+
+@query("B12_replay_forecast")
+def _(spark, d):
+    """The wards' forecasts from each replayed day by models that never saw those days, with the value that came (null if none did)."""
+    return replayed_forecast(spark, d, *REPLAYED)
+
+
+def replayed_forecast(spark, d, first: int, end: int) -> DataFrame:
+    got = ward_forecast(spark, d, forecast_models(spark, d, unseen(spark, d, first, end)), replay_hours(spark, first, end))
+    rows = got.select("origin", "ward_id", F.explode("series").alias("s")).select("origin", "ward_id", "s.*").withColumn("last", F.col("origin") + F.col("h"))
+    came = with_history(t.obs_hour(spark, d), rows.select("last").distinct(), 1).join(docs.ward_km(spark, d), "station").groupBy("last", "ward_id").agg(r6(docs.weighted("pm25")).alias("actual"))
+    return rows.join(came, ["last", "ward_id"], "left").drop("last")
+
+
+def replay_index(told: DataFrame, ahead: DataFrame) -> DataFrame:
+    """One row: the document that lists the replayed days, with how many cells (``told``) and wards (``ahead``) each tells of."""
+    wards = ahead.groupBy(F.col("origin").alias("h")).agg(F.count_distinct("ward_id").alias("wards"))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("h") / 24).cast("int")).cast("string")
+    days = told.groupBy("h").agg(F.count(F.lit(1)).alias("cells")).join(wards, "h", "full").select(date.alias("date"), F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("wards", F.lit(0)).alias("wards"))
+    window = F.struct(F.get("dates", F.lit(0))["date"].alias("start"), F.try_element_at("dates", F.lit(-1))["date"].alias("end"))
+    return docs.document(days, "dates", window=window, note=F.lit("Out of fold: the models learned from all hours but those of the replayed days."))
+
+
 # What published numbers rest on.
 
 

@@ -9,7 +9,7 @@ from skyloom.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
 #: Queries that train models, round by round, and so run jobs while they are planned; ``test_products`` holds them. All others are one lazy plan.
-EAGER = {"M2_quantiles", "M4_leave_one_out", "M4_distance_curve", "M5_forecast_model", "M6_backtest", "M9_normalised", "M10_city_daily", "M10_station_normalised", "M15_model_ablation", "K13_metrics", "B10_receipts_document", "B4_cells", "B4_ward_rollup"}
+EAGER = {"M2_quantiles", "M4_leave_one_out", "M4_distance_curve", "M5_forecast_model", "M6_backtest", "M9_normalised", "M10_city_daily", "M10_station_normalised", "M15_model_ablation", "K13_metrics", "B10_receipts_document", "B4_cells", "B4_ward_rollup", "B5_ward_forecast", "B12_replay_forecast", "M16_replay_cells"}
 
 
 @pytest.fixture(scope="module")

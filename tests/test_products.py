@@ -1,8 +1,11 @@
 """Models on the test tables: bounds that hold whatever the data, and errors held against what a baseline makes of the same rows."""
 
+import json
+
 import numpy as np
 import pytest
 
+from skyloom.plans import learned
 from skyloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -66,3 +69,29 @@ def test_receipts(spark):
     assert len(got) == 5 and all(v is not None for v in got.values())
     assert got["lineage[source=events].rows"] == "10000" and got["methodology.aqi_breakpoints[0].index_hi"] == "50"
     assert got["cities.delhi.attribution_directional_checks[check_name=north].observed"].endswith("of 12 stations") and float(got["cities.delhi.metrics.nowcast_cv.overall.model_rmse"]) > 0
+
+
+def test_ward_forecast(spark):
+    got = rows(spark, "B5_ward_forecast")
+    by = {}
+    for r in got:
+        by.setdefault(r.ward_id, []).append(r)
+        assert 0 <= r.pm25_p50 <= r.pm25_p90 and r.category
+    assert len(by) == 25 and all(sorted((r.h, r.confidence) for r in of) == [(24, "high"), (48, "med"), (72, "low")] for of in by.values())
+
+
+def test_replay(spark):
+    first, end = learned.REPLAYED
+    seen = learned.unseen(spark, SF, first, end)
+    assert 0 < seen.count() < QUERIES["A1_hourly"](spark, SF).count()
+    # Neither an origin nor an aim nor what is known at an origin lies in the replayed time.
+    learned_from = learned.supervised(spark, SF, 24, seen).select("h", "target_h", *(f"lag{k}" for k in (0, *learned.LAGS))).toPandas()
+    inside = lambda h: (h >= first) & (h < end)
+    assert len(learned_from) and not (inside(learned_from.h) | inside(learned_from.target_h)).any()
+    assert all(learned_from[f"lag{k}"][inside(learned_from.h - k)].isna().all() for k in learned.LAGS)
+    ahead, told = QUERIES["B12_replay_forecast"](spark, SF), QUERIES["M16_replay_cells"](spark, SF)
+    index = json.loads(learned.replay_index(told, ahead).first()["document"])
+    assert [x["date"] for x in index["dates"]] == ["2024-01-13", "2024-01-14", "2024-01-15", "2024-01-16", "2024-01-17"] and index["window"] == {"start": "2024-01-13", "end": "2024-01-17"}
+    assert {(x["cells"], x["wards"]) for x in index["dates"]} == {(100, 25)}
+    got = ahead.where("actual is not null").toPandas()
+    assert (got.pm25_p90 >= got.pm25_p50).all() and set(got.h) == {24, 48, 72} and (got.actual <= got.pm25_p90).mean() > 0.6
