@@ -8,6 +8,10 @@ the ``response``, the others are ``revisit`` records that name it.
 Defined results: a null payload is an empty one, a null url gives ``urn:page:<id>``. Rows with equal id and
 payload are each written; those with the largest id of their payload are all responses. A null id counts as
 smaller than any other; it revisits if its payload has a response with an id, and is a response if not.
+
+Each record has an id of its own. That of a response follows from its page's id and payload, so that revisits can name it;
+revisits, pages without an id and repeated responses take in the place at which they were written, and what
+revisits a repeated response names only the page.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,19 +60,23 @@ def _uri(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f<>]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _name(page_id: int | None, digest: str, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{place}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. The payload's length stays in a revisit's HTTP header."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, alone: bool = True, place: str = "") -> bytes:
+    """One WARC/1.1 record. The payload's length stays in a revisit's HTTP header. ``alone``: whether the response (itself, or
+    the one it refers to) is the only one of its page and payload; ``place``: where it is written, of no other record."""
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    own = "" if alone and refers_to is None and page_id is not None else place
     http = _HTTP.format(len(payload)).encode()
     block = http + payload if refers_to is None else http
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}",
-             f"WARC-Target-URI: {_uri(url) if url else f'urn:page:{page_id}'}", f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}",
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id, digest, own)}", f"WARC-Date: {DATE}",
+             f"WARC-Target-URI: {_uri(url) if url else f'urn:page:{page_id}'}", f"WARC-Payload-Digest: sha1:{digest}",
              "Content-Type: application/http; msgtype=response", f"Page-ID: {'' if page_id is None else page_id}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to)}", f"Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Refers-To: {_name(refers_to, digest)}"] if alone else []
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -124,15 +133,18 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[int, str, bytes |
 
 
 def with_revisits(payloads: DataFrame) -> DataFrame:
-    """Adds ``refers_to``. Payloads are compared by digests, and only the digests of repeated ones are joined; the payloads
+    """Adds ``refers_to`` and ``alone`` (see ``record``). Payloads are compared by digests, and only the digests of repeated ones are joined; the payloads
     themselves move only if the revisits are too many to be sent to all tasks. A digest that many rows have is reduced to
     its largest id in each task."""
     marks = stored(payloads.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")), "warc-marks")
     groups = marks.groupBy("sha", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").drop("n")
-    others = stored(marks.join(groups, ["sha", "size"]).where("page_id is null or page_id < last").select("page_id", "sha", "last").distinct(), "warc-revisits")
+    met = marks.join(groups, ["sha", "size"]).groupBy("page_id", "sha", "last").agg(F.count(F.lit(1)).alias("n"))
+    twice = met.where("page_id = last and n > 1").select("sha", F.lit(False).alias("alone"))
+    marked = met.join(twice, "sha", "left").where("page_id is null or page_id < last or not alone")
+    others = stored(marked.select("page_id", "sha", "last", F.coalesce("alone", F.lit(True)).alias("alone")), "warc-revisits")
     keyed = payloads.withColumn("sha", F.sha1("payload"))
     return (keyed.alias("p").join(sized(others).alias("o"), F.expr("p.page_id <=> o.page_id and p.sha = o.sha"), "left")
-            .select("p.page_id", "p.url", "p.payload", F.col("o.last").alias("refers_to")))
+            .select("p.page_id", "p.url", "p.payload", F.expr("nullif(o.last, p.page_id)").alias("refers_to"), F.coalesce("o.alone", F.lit(True)).alias("alone")))
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> str:
@@ -142,7 +154,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     dictionary = train_dictionary(payloads)
 
     def run(batches):
-        records = (record(*r) for r in rows_of(batches, "page_id", "url", "payload", "refers_to"))
+        task = TaskContext.get().partitionId()
+        records = (record(*r, f"{task}:{k}") for k, r in enumerate(rows_of(batches, "page_id", "url", "payload", "refers_to", "alone")))
         return batches_of(((a,) for a in archives(records, dictionary)), pa.schema([("content", pa.binary())]), 1)
 
     return written_files(with_revisits(payloads).mapInArrow(run, "content binary"), "warc", EMPTY_FRAME)
