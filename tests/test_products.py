@@ -95,3 +95,9 @@ def test_replay(spark):
     assert {(x["cells"], x["wards"]) for x in index["dates"]} == {(100, 25)}
     got = ahead.where("actual is not null").toPandas()
     assert (got.pm25_p90 >= got.pm25_p50).all() and set(got.h) == {24, 48, 72} and (got.actual <= got.pm25_p90).mean() > 0.6
+
+
+def test_audit_of_every_brief(spark):
+    suppliers = {r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    got = {r.brief_id: r.ok for r in rows(spark, "X12_audit")}
+    assert set(got) == suppliers and {k % 10 for k in got if got[k]} > {9}
