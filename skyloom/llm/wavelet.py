@@ -20,12 +20,12 @@ import os
 import re
 import string
 import struct
-import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,34 +35,25 @@ from .common import batches_of, bounded_batches, keeps, rows_of, stored, written
 
 MAGIC = b"SKYWAVE1"
 BLOCK = 1 << 17
-#: Chunks of text kept with their ids in each worker; beyond it a new store is begun, which takes what recurs from the
-#: last one. Characters asked of the library at once.
-CACHE, ASKED = 600_000, 200_000
-#: Controls that Python takes for white space and the vocabulary does not; texts with one are split at plain white space.
-_odd = re.compile("[\x1c-\x1f]").search
-_chunks = re.compile(r"[^ \t\n\r]+").findall
-# The vocabulary's pre-tokens, for lower-case ASCII without white space.
-_ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
-
-
-def _pieces(chunk: str) -> tuple[str, ...] | None:
-    """A chunk's pre-tokens, each of which is encoded alone as it is within the chunk; None if only the library can tell."""
-    if chunk.isascii():
-        chunk = chunk.lower()  # what the library does to ASCII
-        return (chunk,) if chunk.isalpha() else tuple(_ascii_pieces(chunk)) if "<|" not in chunk else None
-    stem = chunk.rstrip(string.punctuation)
-    if stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha():
-        return (stem, chunk[len(stem):]) if len(stem) < len(chunk) else (stem,)
-    return None
+#: Words kept with their ids in each worker; beyond it those stay that the last texts had. Bytes of texts that are encoded
+#: at once, and of words that the library is asked for at once.
+CACHE, AT_ONCE, ASKED = 1_000_000, 12_000_000, 400_000
 
 
-class WordEncoder:
-    """Whole texts to ids by the tokenizers library, which is asked once for each pre-token.
+# Words that are one pre-token of the vocabulary each (letters that no normal form changes, or ASCII punctuation).
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-/:-@\[-`{-~]+"
+_ONE = f"^(?:{_LETTERS}|{_MARKS})$"
+
 
-    The vocabulary's pre-tokens never hold white space, and its normalizer changes nothing across it, so the ids of
-    a text are those of its chunks between white space one after the other, and those of a chunk are its pre-tokens'.
-    Many are asked for together, parted by spaces; the answer is parted where a token ends a word. Chunks with a
-    special token's beginning, or letters whose normal form is more than letters, are asked for alone.
+class WordEncoder:
+    """Whole texts to ids by the tokenizers library, which is asked once for each new word.
+
+    The vocabulary's pre-tokens never hold white space, and its normalizer changes nothing across it, so the ids of a
+    text are those of its words between ASCII white space one after the other. ASCII words are taken in lower case, as the
+    library does, and marks after letters are words of their own, as they are pre-tokens of their own. Many words are
+    asked for together: those that are one pre-token each parted by spaces, and the answer where a token ends a word;
+    others parted by a special token, at which the library cuts a text before all else. Words with a special token of
+    their own are asked for alone. Words are told apart, and their ids put together, by columns.
     """
 
     def __init__(self, path: str):
@@ -75,65 +66,126 @@ class WordEncoder:
         self.size = self._library.get_vocab_size(with_added_tokens=True)
         self._ends = np.zeros(self.size, bool)
         self._ends[[i for t, i in self._library.get_vocab().items() if t.endswith("</w>")]] = True
-        self._known: dict[str, bytes] = {}
-        self._last: dict[str, bytes] = {}
-
-    def _ask(self, text: str) -> bytes:
-        return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _ask_words(self, words: list[str]) -> list[bytes]:
-        ids = self._ask(" ".join(words))
-        ends = (np.flatnonzero(self._ends[np.frombuffer(ids, "<u4")]) + 1) * 4
-        if len(ends) != len(words):
-            return [self._ask(w) for w in words]
-        at = [0, *ends.tolist()]
-        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        known, last = self._known, self._last
-        parted, new = {}, set()
-        for c in chunks:
-            if c in last:
-                known[c] = last[c]
-                continue
-            pieces = _pieces(c)
-            if pieces is None:
-                known[c] = self._ask(c)
-                continue
-            if pieces != (c,):
-                parted[c] = pieces
-            for p in pieces:
-                if p in last:
-                    known[p] = last[p]
-                elif p not in known:
-                    new.add(p)
-        words, size = [], 0
-        for w in new:
-            words.append(w)
-            size += len(w) + 1
-            if size >= ASKED:
-                known.update(zip(words, self._ask_words(words), strict=True))
-                words, size = [], 0
-        if words:
-            known.update(zip(words, self._ask_words(words), strict=True))
-        for c, pieces in parted.items():
-            known[c] = b"".join([known[p] for p in pieces])
+        added = self._library.get_added_tokens_decoder()
+        self._special = "|".join(map(re.escape, [t.content for t in added.values()]))
+        # A token between words that takes nothing from them.
+        self._parting = next(((i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)), None)
+        self._words = pa.array([], pa.string())
+        self._start, self._count, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _ask(self, text: str) -> np.ndarray:
+        return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _ask_words(self, words: pa.Array, parting: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after the other, and how many each has."""
+        if parting is not None:
+            ids = self._ask(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), parting)[0].as_py())
+            if parting == " ":
+                ends = np.flatnonzero(self._ends[ids]) + 1
+                if len(ends) == len(words) and ends[-1] == len(ids):
+                    return ids, np.diff(ends, prepend=0)
+            else:
+                parted = ids == self._parting[0]
+                ends = np.append(np.flatnonzero(parted), len(ids))
+                if len(ends) == len(words):
+                    return ids[~parted], np.diff(ends, prepend=-1) - 1
+        each = [self._ask(w) for w in words.to_pylist()]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self, words: pa.Array) -> None:
+        one = _matching(words, _ONE)
+        own = ~one & _matching(words, self._special) if self._special else np.zeros(len(words), bool)
+        pools, counts, places = [], [], []
+        for group, parting in ((one, " "), (~one & ~own, self._parting and self._parting[1]), (own, None)):
+            at = np.flatnonzero(group)
+            places.append(at)
+            for part in _pieces(words.take(pa.array(at)), ASKED):
+                ids, count = self._ask_words(part, parting)
+                pools.append(ids)
+                counts.append(count)
+        count = np.concatenate(counts)
+        start = np.empty(len(words), np.int64)
+        start[np.concatenate(places)] = np.cumsum(count) - count + len(self._pool)
+        size = np.empty(len(words), np.int64)
+        size[np.concatenate(places)] = count
+        self._start, self._count = np.concatenate([self._start, start]), np.concatenate([self._count, size])
+        self._pool = np.concatenate([self._pool, *pools])
+
+    def _keep(self, places: np.ndarray) -> None:
+        """Forgets all words but those at the places."""
+        ids = self._pool[_runs(self._start[places], self._count[places])]
+        self._words, self._pool, self._count = self._words.take(pa.array(places)), ids, self._count[places]
+        self._start = np.cumsum(self._count) - self._count
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls) one after the other, and where each text's end."""
+        split = pc.ascii_split_whitespace(texts)
+        words, parts = _parted(split.flatten())
+        known = len(self._words)
+        # The known words come first and are distinct, so that they keep their places; new ones get the next.
+        both = pa.concat_arrays([self._words, words]).dictionary_encode()
+        at, self._words = both.indices.to_numpy()[known:], both.dictionary
+        if len(self._words) > known:
+            self._learn(self._words.slice(known))
+        count = self._count[at]
+        ids = self._pool[_runs(self._start[at], count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(parts)])[np.cumsum(pc.list_value_length(split).to_numpy())]]
+        if len(self._words) > CACHE:
+            self._keep(np.unique(at))
+        return ids, ends
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        every = [_chunks(t) if _odd(t) else t.split() for t in (t or "" for t in texts)]
-        if len(self._known) >= CACHE:
-            self._last, self._known = self._known, {}
-        new = set().union(*every).difference(self._known)
-        if new:
-            self._learn(new)
-        found = self._known.__getitem__
-        return [b"".join(map(found, chunks)) for chunks in every]
+        ids, ends = self.encode_column(pa.array([t or "" for t in texts], pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
 
+def _matching(words: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+
+
+def _parted(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words with marks after letters as words of their own, and how many each has become; ASCII in lower case."""
+    ascii_ = pc.string_is_ascii(words)
+    plain = pc.and_not(ascii_, pc.match_substring(words, "<|"))  # upper-case letters keep what is no special token from being one
+    words = pc.if_else(plain, pc.ascii_lower(words), words)
+    stem = pc.ascii_rtrim(words, string.punctuation)
+    letters = pc.and_(plain, pc.ascii_is_alpha(stem)).to_numpy(zero_copy_only=False).copy()
+    size, whole = pc.binary_length(stem).to_numpy(), pc.binary_length(words).to_numpy()
+    other = np.flatnonzero(~ascii_.to_numpy(zero_copy_only=False) & (size < whole))
+    letters[other] = _matching(stem.take(pa.array(other)), f"^{_LETTERS}$")
+    at = np.flatnonzero(letters & (size < whole))
+    # A word's letters and marks lie one after the other: only a border between them is new.
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    borders = np.insert(offsets, at + 1, offsets[at] + size[at])
+    parts = np.ones(len(words), np.int64)
+    parts[at] = 2
+    return pa.StringArray.from_buffers(len(borders) - 1, pa.py_buffer(borders), words.buffers()[2]), parts
+
+
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    places = np.repeat(start - (ends - count), count)
+    places += np.arange(total)
+    return places
+
+
+def _pieces(texts: pa.Array, size: int):
+    """The column in pieces of about so many bytes, of one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -279,6 +331,11 @@ _FILE = pa.schema([("content", pa.binary())])
 _DOC = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def _ended(encoder: WordEncoder, held: list[tuple[pa.Array, pa.Array]], end_id: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    ids, ends = encoder.encode_column(pa.concat_arrays([t for _, t in held]))
+    return [d for names, _ in held for d in names.to_pylist()], np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+
+
 def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encodes the documents, each followed by ``end_id``, and writes shards; returns their folder.
 
@@ -287,32 +344,39 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: int = 4_0
     """
 
     def encoded(encoder, batches):
+        """(ids of documents, their tokens with the end ids, where each document's end), some MB of texts at a time."""
         held, size = [], 0
-        for row in rows_of(batches, "doc_id", "text"):
-            held.append(row)
-            size += len(row[1] or "")
-            if size >= 1_000_000:
-                yield from zip([d for d, _ in held], encoder.encode_all([t for _, t in held]), strict=True)
-                held, size = [], 0
-        yield from zip([d for d, _ in held], encoder.encode_all([t for _, t in held]), strict=True)
+        for batch in batches:
+            names, texts = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "text"))
+            at = 0
+            for piece in _pieces(pc.fill_null(texts, ""), AT_ONCE):
+                held.append((names.slice(at, len(piece)), piece))
+                at, size = at + len(piece), size + piece.nbytes
+                if size >= AT_ONCE:
+                    yield _ended(encoder, held, end_id)
+                    held, size = [], 0
+        if held:
+            yield _ended(encoder, held, end_id)
 
     def shards(batches):
         keeps("wavelet", word_encoder.cache_clear)
         encoder = word_encoder(vocabulary)
         levels = max(encoder.size - 1, end_id, 1).bit_length()
-        part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, seq = TaskContext.get().partitionId(), 0
         names, sizes, parts, held = [], [], [], 0
-        for doc_id, ids in encoded(encoder, batches):
-            ids += end
-            if names and held + len(ids) // 4 > shard_tokens:
-                yield (build(np.frombuffer(b"".join(parts), "<u4"), names, sizes, part, seq, levels),)
-                names, sizes, parts, held, seq = [], [], [], 0, seq + 1
-            names.append(doc_id)
-            sizes.append(len(ids) // 4)
-            parts.append(ids)
-            held += len(ids) // 4
+        for doc_ids, ids, ends in encoded(encoder, batches):
+            begin = done = 0
+            for doc_id, end in zip(doc_ids, ends.tolist(), strict=True):
+                if names and held + end - begin > shard_tokens:
+                    parts.append(ids[done:begin])
+                    yield (build(np.concatenate(parts), names, sizes, part, seq, levels),)
+                    names, sizes, parts, held, seq, done = [], [], [], 0, seq + 1, begin
+                names.append(doc_id)
+                sizes.append(end - begin)
+                held, begin = held + end - begin, end
+            parts.append(ids[done:])
         if names:
-            yield (build(np.frombuffer(b"".join(parts), "<u4"), names, sizes, part, seq, levels),)
+            yield (build(np.concatenate(parts), names, sizes, part, seq, levels),)
 
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -333,7 +397,7 @@ def read_documents(spark, folder: str) -> DataFrame:
             ids, (names, sizes) = shard.ids().astype("<u4"), shard.documents()
             ends = np.cumsum(sizes)
             for name, end, size in zip(names, ends.tolist(), sizes.tolist(), strict=True):
-                yield shard.header["part"], shard.header["seq"], name, end - size, size, zlib.crc32(ids[end - size:end].tobytes())
+                yield shard.header["part"], shard.header["seq"], name, end - size, size, zlib.crc32(ids[end - size:end])
 
     files = spark.read.format("binaryFile").load(folder).select("content")
     docs = stored(files.mapInArrow(lambda b: batches_of(decoded(b), _DOC), "part long, seq long, doc_id long, local_start long, n_tokens long, ids_crc32 long"), "wavelet-docs")

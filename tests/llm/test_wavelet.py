@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,3 +69,23 @@ def test_stores_that_follow_each_other(monkeypatch):
     texts = [f"some words, {'abcdefghij'[i % 10] * 3} here. {'klmno'[i % 5]}Q" for i in range(60)]
     for t in texts:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
+def test_words_are_asked_for_together(monkeypatch):
+    encoder, asked = wavelet.WordEncoder(PATH), []
+    ask = encoder._ask
+    monkeypatch.setattr(encoder, "_ask", lambda text: asked.append(text) or ask(text))
+    odd = ["<|ENDOFTEXT|> <|endoftext|>", "a<|startoftext|>b <|", "J̌. ǰ, J̌1", "a B　c.", "\x1cA\x1d b\x0bC", " ", "", "don't'S -- it's... (É) ÀÖ!? ×÷ KÅ."]
+    texts = [*odd, *(f"é{i}à, 中{i}. Word{i}" for i in range(500)), *odd]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == want
+    assert len(asked) < 10
+    asked.clear()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == want and not asked
+
+
+def test_pieces_of_a_column_that_is_a_slice():
+    texts = pa.array(["x" * n for n in (9, 1, 0, 50, 2, 3, 4)]).slice(1)
+    assert [p.to_pylist() for p in wavelet._pieces(texts, 5)] == [["x", ""], ["x" * 50], ["xx", "xxx"], ["xxxx"]]
+    ids, ends = wavelet.word_encoder(PATH).encode_column(pa.array(["a b", "A, b", "", "c"]).slice(1))
+    assert ends.tolist() == [3, 3, 4] and ids.tolist() == LIBRARY.encode("a, b c", add_special_tokens=False).ids
