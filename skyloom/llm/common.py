@@ -37,12 +37,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Documents of a task that writes what belongs to documents.
+TASK_DOCS = 4096
+
+
+def in_few(df: DataFrame, documents: int) -> DataFrame:
+    """``df``, some rows for each of so many documents, in a task for each TASK_DOCS of them where it is in more. Few documents
+    in many partitions would be as many files of a few rows, and for each of them Hadoop's local file system starts several
+    processes, which for a moment take as much memory as the executor itself."""
+    return df.coalesce(max(1, -(-documents // TASK_DOCS)))
+
+
+def stored(df: DataFrame, name: str, documents: int | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later steps do not depend on
-    executors that may be lost, nor compute it anew."""
+    executors that may be lost, nor compute it anew. ``documents``: see ``in_few``."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df if documents is None else in_few(df, documents)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_batches, keeps, rows_of, stored
+from .common import batches_of, bounded_batches, in_few, keeps, rows_of, stored
 
 SHINGLE, THRESHOLD, LEAST_THRESHOLD = 5, 0.8, 0.5
 #: Samples in a band, the fewest bands, and the chance that two documents of just the threshold share no band.
@@ -302,12 +302,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (float(a[1].sum()) + float(b[1].sum()) - shared)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, weight, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Pairs are dealt by a, in blocks of about BLOCK if it has many."""
+def verified(docs: DataFrame, pairs: DataFrame, weight, threshold: float, documents: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough, of so many documents. Pairs are dealt by a, in blocks of about BLOCK if it has many."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("doc_id"), F.lit(1).alias("k"))
     leaders = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc_id"), F.lit(0).alias("k"))
-    need = stored(members.unionByName(leaders), "neardup-need")
+    need = stored(members.unionByName(leaders), "neardup-need", documents)
     # The ids needed are few beside the texts: up to a known number they go to the texts, beyond it both are shuffled.
     texts = docs.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "doc_id")
     dealt = texts.select("a", "block", "k", "doc_id", "text").repartition("a", "block").sortWithinPartitions("a", "block", "k", "doc_id")
@@ -330,7 +330,7 @@ def verified(docs: DataFrame, pairs: DataFrame, weight, threshold: float) -> Dat
     return dealt.mapInArrow(lambda b: batches_of(run(b), _EDGE), "a long, b long, similarity double")
 
 
-def compared(docs: DataFrame, buckets: DataFrame, weight, threshold: float) -> DataFrame:
+def compared(docs: DataFrame, buckets: DataFrame, weight, threshold: float, documents: int) -> DataFrame:
     """Links between classes in large buckets ``band, node, chars, root, main``: documents outside the main class against all,
     a block of either at a time. Of many links that join the same classes one is given out for each block."""
     outside = F.when(F.col("root") != F.col("main"), 1)
@@ -343,7 +343,7 @@ def compared(docs: DataFrame, buckets: DataFrame, weight, threshold: float) -> D
     mine = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     xs = dealt.where("root <> main").select("band", mine("rows", 1).alias("i"), every.alias("j"), F.lit(0).alias("side"), F.col("node").alias("doc_id"), "root")
     ys = dealt.select("band", own.alias("i"), mine("columns", 2).alias("j"), F.lit(1).alias("side"), F.col("node").alias("doc_id"), "root")
-    need = stored(xs.unionByName(ys), "neardup-blocks")
+    need = stored(xs.unionByName(ys), "neardup-blocks", documents)
     if need.isEmpty():
         return docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
     wanted = need.select("doc_id").distinct()
@@ -395,8 +395,8 @@ def _links(rows: list[tuple], weight: np.ndarray, threshold: float):
                 yield rows[x][1], rows[y][1], float(found[y])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` (its component's least node) of all nodes with an edge, by alternating large and small stars."""
+def components(edges: DataFrame, documents: int | None = None) -> DataFrame:
+    """``node, root`` (its component's least node) of all nodes with an edge, by alternating large and small stars. ``documents``: nodes at most."""
     e = edges.select("a", "b").where("a <> b").distinct()
     while True:
         every = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
@@ -404,7 +404,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = every.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        e = stored(small.where("a <> b").distinct(), "neardup-stars")
+        e = stored(small.where("a <> b").distinct(), "neardup-stars", documents)
         # Stars only: each node has one root, and no node that has a root is one.
         several = e.groupBy("a").count().where("count > 1").select("a")
         if several.unionByName(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")).isEmpty():
@@ -418,7 +418,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     plan = plan_for(threshold)
     picked = _picked(docs, id_col, text_col)
     named = picked.where("doc_id is not null")
-    weight = spark.sparkContext.broadcast(damped_idf(sketch(named), named.count()))
+    documents = named.count()
+    weight = spark.sparkContext.broadcast(damped_idf(sketch(named), documents))
 
     def signed(batches):
         for rows in _chunks(rows_of(batches, "doc_id", "text")):
@@ -426,32 +427,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             yield from zip([d for d, _ in rows], s.text_keys[0].tolist(), s.text_keys[1].tolist(), [len(t or "") for _, t in rows], signatures(s, weight.value, plan), strict=True)
 
     texts = stored(named.mapInArrow(lambda b: batches_of(signed(b), _SIGNED, 512), "doc_id long, hi long, lo long, chars long, bands array<long>"), "neardup-signed")
-    nodes = stored(texts.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "chars", "bands")).alias("m")).select("hi", "lo", F.col("m.doc_id").alias("node"), F.col("m.chars").alias("chars"), F.col("m.bands").alias("bands")), "neardup-nodes")
+    nodes = stored(texts.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "chars", "bands")).alias("m")).select("hi", "lo", F.col("m.doc_id").alias("node"), F.col("m.chars").alias("chars"), F.col("m.bands").alias("bands")), "neardup-nodes", documents)
     buckets = nodes.select("node", "chars", F.explode("bands").alias("band"))
     first = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
-    shared = stored(buckets.join(first, "band"), "neardup-buckets")
-    pairs = stored(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "neardup-pairs")
+    shared = stored(buckets.join(first, "band"), "neardup-buckets", documents)
+    pairs = stored(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "neardup-pairs", documents)
     # Rows with one id but several texts are one document from the start.
     same = texts.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("doc_id", "node").distinct()
-    same = stored(same, "neardup-same")
+    same = stored(same, "neardup-same", documents)
     apart = same.where("doc_id <> node").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = stored(verified(named, pairs, weight, threshold).select("a", "b").union(apart), "neardup-links")
-    roots = components(links)
+    links = stored(verified(named, pairs, weight, threshold, documents).select("a", "b").union(apart), "neardup-links", documents)
+    roots = components(links, documents)
 
     rooted = shared.join(roots, "node", "left").select("band", "node", "chars", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("band", "root").count()
     main = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("count", "root")).alias("m")).where("n > 1").select("band", F.col("m.root").alias("main"))
     counts = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
-    open_ = stored(rooted.join(main.join(counts, "band"), "band"), "neardup-open")
+    open_ = stored(rooted.join(main.join(counts, "band"), "band"), "neardup-open", documents)
     few = open_.where(F.col("members") <= SMALL)
     outside = few.where("root <> main").select("band", F.col("node").alias("x"), F.col("root").alias("xr"))
     across = outside.join(few, "band").where("root <> xr and (root = main or x < node)").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    more = verified(named, stored(across.join(pairs, ["a", "b"], "left_anti"), "neardup-pairs"), weight, threshold)
-    more = more.unionByName(compared(named, open_.where(F.col("members") > SMALL).select("band", "node", "chars", "root", "main"), weight, threshold)).select("a", "b")
-    more = stored(more, "neardup-links")
-    final = roots if more.isEmpty() else components(more.union(roots.select("root", "node")))
+    more = verified(named, stored(across.join(pairs, ["a", "b"], "left_anti"), "neardup-pairs", documents), weight, threshold, documents)
+    more = more.unionByName(compared(named, open_.where(F.col("members") > SMALL).select("band", "node", "chars", "root", "main"), weight, threshold, documents)).select("a", "b")
+    more = stored(more, "neardup-links", documents)
+    final = roots if more.isEmpty() else components(more.union(roots.select("root", "node")), documents)
     out = same.join(final, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id"))
-    return out.unionByName(picked.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    return in_few(out.unionByName(picked.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))), documents)
 
 
 def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

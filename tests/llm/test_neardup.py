@@ -1,3 +1,4 @@
+import pathlib
 import random
 from collections import defaultdict
 
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skyloom.llm import neardup
+from skyloom.llm import common, neardup
 
 
 def shingles(text):
@@ -222,3 +223,25 @@ def test_damped_idf_and_other_thresholds_equal_brute_force(spark):
     for wrong in (0.3, 1.2):
         with pytest.raises(ValueError, match="thresholds"):
             neardup.plan_for(wrong)
+
+
+def test_few_documents_are_few_files(spark, monkeypatch):
+    """Hundreds of partitions with a few rows each are not as many files, in any step."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    folders, scratch = [], common.scratch
+    monkeypatch.setattr(common, "scratch", lambda *a: folders.append(scratch(*a)) or folders[-1])
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(60)]
+    rows = [(k * 100 + i, " ".join([*t[:i], "x", *t[i + 1:]])) for k, t in enumerate(texts) for i in (0, 57, 58)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+        got = {r.doc_id: r.class_id for r in out.collect()}
+        assert out.rdd.getNumPartitions() <= 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {k: k // 100 * 100 for k, _ in rows}
+    assert len(folders) > 5 and all(len(list(pathlib.Path(f).glob("part-*"))) <= 2 for f in folders)
