@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard.
 
 Vectors are dealt to bands of lengths within a factor of 2, and in a band to shards by a hash of their id, of
-``SHARD_BYTES`` at most (smaller ones while cores are free). In a shard, vectors enter a directed graph in batches: a greedy search from the medoid proposes neighbours, and relaxed pruning keeps a neighbour
-only if no kept one is nearer to it by the factor 1/``ALPHA``; reverse edges are pruned the same way. A query
-searches each shard's graph with a beam; the best of all shards are ranked by exact scores in double precision.
+``SHARD_BYTES`` at most (smaller ones while cores are free). In a shard, vectors enter a directed graph in batches: a greedy search (up to ``FEW`` vectors, a comparison with all of
+them) proposes neighbours, and relaxed pruning keeps a neighbour only if no kept one is nearer to it by the factor
+1/``ALPHA``; reverse edges are pruned the same way, once a node has more than there is room for. A query searches each
+shard's graph with a beam, from the medoid and nodes by chance, so that it gets into clusters to which no edges lead; the
+best of all shards are ranked by exact scores in double precision.
 
 The largest inner product is found as the smallest distance once each vector has one more component that makes
 all lengths of its shard equal; as these are alike, single precision does for the walk through the graph, however
@@ -32,14 +34,21 @@ from .common import batches_of, stored
 SHARD_BYTES, SHARD_LEAST, QUERY_BLOCK = 64 << 20, 8192, 100_000
 #: Edges of a node, width of the beam in building and in searching, nodes expanded at a time, relaxation of pruning.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, STRIDE, ALPHA = 32, 64, 160, 4, 1.2
-_BATCH = 256
+#: Edges that a node may have while its graph is built: only beyond them is it pruned to DEGREE again.
+ROOM = 48
+#: Vectors in a graph up to which those that enter are compared with all of it, ``_BLOCK`` at a time. That takes no more
+#: time than a walk and misses no neighbour.
+FEW = 131_072
+#: Nodes at which each search enters: the medoid and others by chance, as few edges lead from one cluster to another.
+ENTRIES = 256
+_BATCH, _BLOCK = 256, 16384
 
 
 class Graph:
-    """A shard's vectors (with the added component), edges (-1: none) and entry node."""
+    """A shard's vectors (with the added component), edges (-1: none) and the nodes at which searches enter."""
 
-    def __init__(self, x: np.ndarray, edges: np.ndarray, entry: int):
-        self.x, self.edges, self.entry = x, edges, entry
+    def __init__(self, x: np.ndarray, edges: np.ndarray, entries: np.ndarray):
+        self.x, self.edges, self.entries = x, edges, entries
         self.norms = np.einsum("nd,nd->n", x, x)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,41 +56,53 @@ class Graph:
         many, n = len(q), len(self.x)
         met = np.zeros((many, n + 1), bool)  # the last column stands for "no edge"
         met[:, n] = True
-        ids = np.full((many, beam), n)
-        dist = np.full((many, beam), np.inf, np.float32)
-        done = np.ones((many, beam), bool)
-        ids[:, 0], done[:, 0] = self.entry, False
-        dist[:, 0] = self._distances(q, np.full((many, 1), self.entry))[:, 0]
-        met[:, self.entry] = True
+        met[:, self.entries] = True
+        # A candidate is one integer of its distance, its node and whether it was expanded, so that one sort ranks them.
+        none = _candidates(np.array([np.inf]), np.array([n]))[0]
+        own = self.x[self.entries]
+        first = self.norms[self.entries] - 2 * q @ own.T + np.einsum("qd,qd->q", q, q)[:, None]
+        first = np.sort(_candidates(first, np.broadcast_to(self.entries, first.shape)), axis=1)[:, :beam]
+        held = np.full((many, beam), none)
+        held[:, :first.shape[1]] = first
         active = np.arange(many)
         while len(active):
             # The first STRIDE unexpanded nodes of each query.
-            waiting = ~done[active]
-            order = np.cumsum(waiting, axis=1)
-            chosen = waiting & (order <= STRIDE)
-            row, col = np.nonzero(chosen)
-            done[active[row], col] = True
+            mine = held[active]
+            waiting = mine & 1 == 0
+            order = np.cumsum(waiting, axis=1, dtype=np.int32)
+            row, col = np.nonzero(waiting & (order <= STRIDE))
             nodes = np.full((len(active), STRIDE), n)
-            nodes[row, order[row, col] - 1] = ids[active[row], col]
+            nodes[row, order[row, col] - 1] = _nodes(mine[row, col])
+            mine[row, col] |= 1
             near = np.where(nodes[:, :, None] < n, self.edges[np.minimum(nodes, n - 1)], n).reshape(len(active), -1)
             near = np.where(near < 0, n, near)
             near.sort(axis=1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = n
             near[met[active[:, None], near]] = n
+            near.sort(axis=1)
+            near = near[:, :max(1, int((near < n).sum(axis=1).max()))]
             met[active[:, None], near] = True
-            d = self._distances(q[active], near)
-            every, all_d = np.concatenate([ids[active], near], axis=1), np.concatenate([dist[active], d], axis=1)
-            all_done = np.concatenate([done[active], near >= n], axis=1)
-            best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam] if all_d.shape[1] > beam else np.tile(np.arange(all_d.shape[1]), (len(active), 1))
-            rank = np.take_along_axis(best, np.argsort(np.take_along_axis(all_d, best, 1), axis=1, kind="stable"), 1)
-            ids[active], dist[active], done[active] = (np.take_along_axis(a, rank, 1) for a in (every, all_d, all_done))
-            active = active[(~done[active]).any(axis=1)]
-        return np.where(np.isinf(dist), -1, ids), dist
+            more = _candidates(self._distances(q[active], near), near)
+            mine = np.sort(np.concatenate([mine, more], axis=1), axis=1)[:, :beam]
+            held[active] = mine
+            active = active[(mine & 1 == 0).any(axis=1)]
+        found = _nodes(held)
+        return np.where(found < n, found, -1), (held >> 32).astype(np.int32).view(np.float32)
 
     def _distances(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         at = np.minimum(nodes, len(self.x) - 1)
         d = self.norms[at] - 2 * np.matmul(self.x[at], q[:, :, None])[:, :, 0] + np.einsum("qd,qd->q", q, q)[:, None]
-        return np.where(nodes < len(self.x), d, np.inf).astype(np.float32)
+        return np.where(nodes < len(self.x), d, np.inf)
+
+
+def _candidates(distances: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Candidates as integers: the bits of a float that is not negative order as it does. The last bit says that there is
+    nothing to expand: it is set later for expanded nodes, and here for infinite distances, which are no nodes."""
+    return np.maximum(distances, 0).astype(np.float32).view(np.int32).astype(np.int64) << 32 | nodes << 1 | np.isinf(distances)
+
+
+def _nodes(candidates: np.ndarray) -> np.ndarray:
+    return (candidates & 0xFFFFFFFF) >> 1
 
 
 def prune(x: np.ndarray, centre: np.ndarray, nodes: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -91,7 +112,11 @@ def prune(x: np.ndarray, centre: np.ndarray, nodes: np.ndarray, degree: int = DE
     norms = np.einsum("mcd,mcd->mc", own, own)
     p = x[centre]
     to_p = norms - 2 * np.matmul(own, p[:, :, None])[:, :, 0] + np.einsum("md,md->m", p, p)[:, None]
-    between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(own, own.transpose(0, 2, 1))
+    between = np.matmul(own, own.transpose(0, 2, 1))
+    between *= -2
+    between += norms[:, :, None]
+    between += norms[:, None, :]
+    between *= alpha * alpha
     alive = (nodes >= 0) & (nodes != centre[:, None])
     out = np.full((many, degree), -1)
     rows = np.arange(many)
@@ -102,7 +127,7 @@ def prune(x: np.ndarray, centre: np.ndarray, nodes: np.ndarray, degree: int = DE
         if not found.any():
             break
         out[found, k] = nodes[rows[found], best[found]]
-        alive &= ~(found[:, None] & (alpha * alpha * between[rows, best] <= to_p))
+        alive &= ~(found[:, None] & (between[rows, best] <= to_p))
         alive[rows, best] = False
     return out
 
@@ -111,24 +136,42 @@ def build(x: np.ndarray) -> Graph:
     """The graph of distinct vectors."""
     n = len(x)
     rng = np.random.default_rng(n)
-    edges = np.full((n, DEGREE), -1)
+    edges = np.full((n, ROOM), -1)
     entry = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
-    graph = Graph(x, edges, entry)
     order = rng.permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
+    graph = Graph(x, edges, order[:ENTRIES])
     at = 1
     while at < n:
         batch = order[at:at + min(_BATCH, max(1, at))]
+        near = _nearest(x, batch, order[:at]) if at <= FEW else graph.search(x[batch], min(BUILD_BEAM, n))[0]
         at += len(batch)
-        near, _ = graph.search(x[batch], min(BUILD_BEAM, n))
         # Points of one batch don't find each other in the graph yet: each is also offered its nearest ones here.
         mates = _mates(x, batch)
-        edges[batch] = prune(x, batch, _unique(np.concatenate([near, mates], axis=1)))
+        edges[batch, :DEGREE] = prune(x, batch, _unique(np.concatenate([near, mates], axis=1)))
         _reverse(x, edges, batch)
+    wide = np.flatnonzero((edges >= 0).sum(axis=1) > DEGREE)
+    for lo in range(0, len(wide), 512):
+        nodes = wide[lo:lo + 512]
+        edges[nodes, :DEGREE] = prune(x, nodes, edges[nodes])
+    graph.edges = edges[:, :DEGREE].copy()
     _reach(graph)
     return graph
 
 
+def _nearest(x: np.ndarray, batch: np.ndarray, entered: np.ndarray, k: int = BUILD_BEAM) -> np.ndarray:
+    found, far = [], []
+    for lo in range(0, len(entered), _BLOCK):
+        nodes = entered[lo:lo + _BLOCK]
+        own = x[nodes]
+        d = np.einsum("nd,nd->n", own, own) - 2 * x[batch] @ own.T
+        best = np.argpartition(d, min(k, len(nodes)) - 1, axis=1)[:, :k]
+        found.append(nodes[best])
+        far.append(np.take_along_axis(d, best, 1))
+    nodes, d = np.concatenate(found, axis=1), np.concatenate(far, axis=1)
+    return np.take_along_axis(nodes, np.argsort(d, axis=1)[:, :k], 1)
+
+
 def _mates(x: np.ndarray, batch: np.ndarray, k: int = 8) -> np.ndarray:
     own = x[batch]
     d = np.einsum("nd,nd->n", own, own)[None, :] - 2 * own @ own.T
@@ -160,16 +203,17 @@ def _reverse(x: np.ndarray, edges: np.ndarray, batch: np.ndarray) -> None:
         own = np.full((len(count), edges.shape[1]), -1)
         own[:, :min(every.shape[1], edges.shape[1])] = every[:, :edges.shape[1]]
         if full.any():
-            own[full] = prune(x, nodes[some][full], every[full][:, :int(count.max())])
+            own[full] = -1
+            own[full, :DEGREE] = prune(x, nodes[some][full], every[full][:, :int(count.max())])
         edges[nodes[some]] = own
 
 
 def _reach(graph: Graph) -> None:
-    """Adds edges until every node can be reached from the entry."""
+    """Adds edges until every node can be reached from the entries."""
     n = len(graph.x)
     seen = np.zeros(n, bool)
-    seen[graph.entry] = True
-    front = np.array([graph.entry])
+    seen[graph.entries] = True
+    front = graph.entries
     while True:
         while len(front):
             near = graph.edges[front].ravel()
@@ -201,7 +245,7 @@ def pack_index(ids: np.ndarray, vectors: np.ndarray) -> bytes:
     more = np.sqrt(np.clip(1 - (near_one * near_one).sum(axis=1), 0, None))
     graph = build(np.concatenate([near_one, more[:, None]], axis=1).astype(np.float32))
     out = io.BytesIO()
-    np.savez(out, x=distinct, ids=ids[order], starts=starts, edges=graph.edges.astype(np.int32), entry=graph.entry, points=graph.x)
+    np.savez(out, x=distinct, ids=ids[order], starts=starts, edges=graph.edges.astype(np.int32), entries=graph.entries, points=graph.x)
     return out.getvalue()
 
 
@@ -211,11 +255,12 @@ class Index:
     def __init__(self, data: bytes):
         f = np.load(io.BytesIO(data))
         self.x, self.ids, self.starts = f["x"], f["ids"], f["starts"]
-        self.graph = Graph(f["points"], f["edges"].astype(np.int64), int(f["entry"]))
+        self.graph = Graph(f["points"], f["edges"].astype(np.int64), f["entries"])
         self.exponent = int(np.frexp(np.abs(self.x).max())[1])
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float, float]]:
         """(query id, vector id, score, size beyond double precision) of each query's best k in the shard."""
+        beam = int(beam * max(1, len(self.x) / _BLOCK) ** 0.5)  # a larger graph hides more from a narrow beam
         for lo in range(0, len(queries), _BATCH):
             q, names = queries[lo:lo + _BATCH], query_ids[lo:lo + _BATCH]
             unit = q / np.abs(q).max(axis=1, keepdims=True)

@@ -78,3 +78,51 @@ def test_products_beyond_double_precision(spark):
 def test_dealing():
     assert ann.dealing([], 100, 10) == []
     assert ann.dealing([(5, 3), (-2, 4), (6, 950), (9, 1)], 400, 10) == [(-2, 0, 1), (5, 0, 1), (6, 1, 3), (9, 4, 1)]
+
+
+def test_work_of_a_shard(monkeypatch):
+    n, rows, pairs = 3000, [], []
+    x = np.random.default_rng(4).normal(size=(n, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    prune, distances = ann.prune, ann.Graph._distances
+    monkeypatch.setattr(ann, "prune", lambda v, centre, *a, **k: rows.append(len(centre)) or prune(v, centre, *a, **k))
+    monkeypatch.setattr(ann.Graph, "_distances", lambda g, q, nodes: pairs.append(nodes.size) or distances(g, q, nodes))
+    graph = ann.build(x)
+    # A neighbour of new vectors is pruned only once it has more edges than there is room for, not for each batch of them.
+    assert sum(rows) < 4 * n
+    assert graph.edges.shape[1] == ann.DEGREE and (graph.edges < n).all()
+    pairs.clear()
+    found, dist = graph.search(x[:200], 100)
+    # Distances are taken to nodes that a query has not met, which are fewer than the neighbours that it is shown.
+    assert sum(pairs) < 0.75 * 200 * 100 * ann.DEGREE
+    d = ((x[:200, None].astype(float) - x[None]) ** 2).sum(axis=2)
+    want = np.argsort(d, axis=1)[:, :20]
+    assert np.mean([len(set(f[:20].tolist()) & set(w.tolist())) / 20 for f, w in zip(found, want, strict=True)]) > 0.97
+    assert (np.diff(dist, axis=1) >= 0).all() and np.allclose(dist, np.take_along_axis(d, found, 1), atol=1e-5)
+
+
+def test_few_clusters():
+    n, rng = 8000, np.random.default_rng(1)
+    centres = rng.normal(size=(5, 64))
+    x = (centres / np.linalg.norm(centres, axis=1, keepdims=True))[rng.integers(0, 5, n)] + rng.normal(size=(n, 64)) / 40
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, asked, got = ann.Index(ann.pack_index(np.arange(n), x)), np.arange(0, n, 40), {}
+    for q, v, _, _ in index.search(asked, x[asked], 20, ann.SEARCH_BEAM):
+        got.setdefault(q, set()).add(v)
+    want = brute(np.arange(n), x, 40, 20)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) > 0.95
+
+
+def test_a_graph_of_more_vectors_than_are_compared(monkeypatch):
+    monkeypatch.setattr(ann, "FEW", 500, raising=False)
+    x = np.random.default_rng(6).normal(size=(3000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, _ = ann.build(x).search(x[:200], 100)
+    want = np.argsort(-(x[:200] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(f[:20].tolist()) & set(w.tolist())) / 20 for f, w in zip(found, want, strict=True)]) > 0.97
+
+
+def test_fewer_nodes_than_the_beam_is_wide():
+    x = np.random.default_rng(5).normal(size=(7, 4)).astype(np.float32)
+    found, dist = ann.build(x).search(x[:3], 12)
+    assert (np.sort(found[:, :7], axis=1) == np.arange(7)).all() and (found[:, 7:] == -1).all() and np.isinf(dist[:, 7:]).all()
